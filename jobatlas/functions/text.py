@@ -69,7 +69,7 @@ def _c(x) -> Column:
 
 def utrim(c) -> Column:
     """Trim Unicode whitespace from both ends (Spark's trim only strips U+0020)."""
-    return F.regexp_replace(_c(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.regexp_replace(_c(c), f"^{WS_CLASS}+|{WS_CLASS}+\\z", "")
 
 
 def collapse_ws(c) -> Column:
@@ -123,23 +123,26 @@ def mine_skills(desc_text, dictionary=KNOWN_SKILLS) -> Column:
     """P5: dictionary skills found in (already tag-free) text, in dictionary order.
 
     One-word entries must equal a whole token; entries containing a space match
-    as substrings of the lower-cased text.  Token membership goes through
-    ``array_intersect`` (hash based), so the cost is linear in the text length.
+    as substrings of the lower-cased text.  No lambda touches the text: token
+    membership is one hash-based ``array_intersect`` and the final
+    ``array_intersect`` with the dictionary restores dictionary order, so the
+    lower-cased text and its tokens are computed once per row (higher-order
+    function bodies are re-evaluated per element and would repeat that work).
     """
+    empty = F.array().cast("array<string>")
+    if not dictionary:
+        return empty
     lowered = fold_lower(desc_text)
     words = [k for k in dictionary if " " not in k]
     phrases = [k for k in dictionary if " " in k]
-    word_hits = F.array_intersect(F.array(*[F.lit(w) for w in words]), desc_tokens(lowered)) \
-        if words else F.array().cast("array<string>")
-    dict_arr = F.array(*[F.lit(k) for k in dictionary])
-    phrase_set = set(phrases)
-    if phrase_set:
-        mined = F.filter(dict_arr, lambda k: F.array_contains(word_hits, k)
-                         | ((F.instr(k, " ") > 0) & F.contains(lowered, k)))
-    else:
-        mined = F.filter(dict_arr, lambda k: F.array_contains(word_hits, k))
-    return F.when(F.coalesce(_c(desc_text), F.lit("")) == "", F.array().cast("array<string>")) \
-        .otherwise(mined)
+    found = []
+    if words:
+        found.append(F.array_intersect(F.array(*[F.lit(w) for w in words]), desc_tokens(lowered)))
+    if phrases:
+        found.append(F.array(*[F.when(F.contains(lowered, F.lit(p)), F.lit(p)) for p in phrases]))
+    hits = F.concat(*found) if len(found) > 1 else found[0]
+    mined = F.array_intersect(F.array(*[F.lit(k) for k in dictionary]), hits)
+    return F.when(F.coalesce(_c(desc_text), F.lit("")) == "", empty).otherwise(mined)
 
 
 def normalize_skills(tags, desc_text, dictionary=KNOWN_SKILLS) -> Column:
@@ -154,12 +157,19 @@ def normalize_skills(tags, desc_text, dictionary=KNOWN_SKILLS) -> Column:
 # classification
 # ---------------------------------------------------------------------------
 
-SENIORITY_PATTERN = f"(?i)(?<![{ASCII_WORD}])({SENIORITY_ALTERNATIVES})(?![{ASCII_WORD}])"
+def seniority_pattern(alternatives: str = SENIORITY_ALTERNATIVES) -> str:
+    """Case-insensitive alternation bounded by ASCII word boundaries (spelled as look-arounds:
+    Java's ``\\b`` treats accented letters as word characters)."""
+    return f"(?i)(?<![{ASCII_WORD}])({alternatives})(?![{ASCII_WORD}])"
 
 
-def seniority_marker(c) -> Column:
+SENIORITY_PATTERN = seniority_pattern()
+
+
+def seniority_marker(c, alternatives: str = SENIORITY_ALTERNATIVES) -> Column:
     """Leftmost seniority marker in ``c`` or NULL."""
-    return F.nullif(F.regexp_extract(F.coalesce(_c(c), F.lit("")), SENIORITY_PATTERN, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.coalesce(_c(c), F.lit("")), seniority_pattern(alternatives), 1),
+                    F.lit(""))
 
 
 def canonical_seniority(m) -> Column:
@@ -171,22 +181,24 @@ def canonical_seniority(m) -> Column:
     return expr.otherwise(low)
 
 
-def classify_experience(title, experience_raw, desc_text) -> Column:
+def classify_experience(title, experience_raw, desc_text,
+                        alternatives: str = SENIORITY_ALTERNATIVES) -> Column:
     """First marker in the title, else the experience field, else the description."""
-    m = F.coalesce(seniority_marker(title), seniority_marker(experience_raw),
-                   seniority_marker(desc_text))
+    m = F.coalesce(seniority_marker(title, alternatives), seniority_marker(experience_raw, alternatives),
+                   seniority_marker(desc_text, alternatives))
     return F.coalesce(canonical_seniority(m), F.lit(""))
 
 
-def classify_work_type(work_raw, location_raw, desc_text) -> Column:
+def classify_work_type(work_raw, location_raw, desc_text, hybrid_marker: str = HYBRID_MARKER,
+                       remote_markers: tuple[str, ...] = REMOTE_MARKERS) -> Column:
     """Substring vote over lower(work || ' ' || location || ' ' || description)."""
     hay = F.lower(F.concat_ws(" ", null_to_blank(work_raw), null_to_blank(location_raw),
                               null_to_blank(desc_text)))
     remote = None
-    for m in REMOTE_MARKERS:
+    for m in remote_markers:
         p = F.contains(hay, F.lit(m))
         remote = p if remote is None else remote | p
-    return (F.when(F.contains(hay, F.lit(HYBRID_MARKER)), "hybrid")
+    return (F.when(F.contains(hay, F.lit(hybrid_marker)), "hybrid")
             .when(remote, "remote").otherwise("onsite"))
 
 
@@ -269,7 +281,7 @@ def parse_posted_date(raw) -> Column:
                  F.concat_ws("-", g(SLASH_DATE_RE, 1), g(SLASH_DATE_RE, 2), g(SLASH_DATE_RE, 3)))
            .when(s.rlike(DOT_DATE_RE),
                  F.concat_ws("-", g(DOT_DATE_RE, 3), g(DOT_DATE_RE, 2), g(DOT_DATE_RE, 1))))
-    return F.try_to_date(ymd, F.lit("yyyy-MM-dd"))
+    return F.try_to_date(ymd, "yyyy-MM-dd")
 
 
 def nil_if_zero(c) -> Column:
