@@ -297,7 +297,7 @@ def clean_currency(c) -> Column:
 def lenient_int(c) -> Column:
     """S8: '' -> 0, integer text, else float text truncated, else 0."""
     s = utrim(null_to_blank(c))
-    return F.coalesce(F.try_cast(s, "int"), F.try_cast(F.try_cast(s, "double"), "int"), F.lit(0))
+    return F.coalesce(s.try_cast("int"), s.try_cast("double").try_cast("int"), F.lit(0))
 
 
 # ---------------------------------------------------------------------------

@@ -62,3 +62,34 @@ def canon_seniority(m: str) -> str:
 
 def seniority_re(alternatives: str) -> str:
     return q(f"(?i)\\b({alternatives})\\b")
+
+
+PLACELESS = ", ".join(q(p) for p in X.PLACELESS_LOCATIONS)
+
+
+def _split_parts(s: str) -> str:
+    return f"list_filter(list_transform(string_split({s}, ','), lambda x: {utrim('x')}), lambda x: x <> '')"
+
+
+def split_city(raw: str) -> str:
+    s = utrim(f"coalesce({raw}, '')")
+    parts = _split_parts(s)
+    return (f"(CASE WHEN {s} = '' THEN '' WHEN lower({s}) IN ({PLACELESS}) THEN '' "
+            f"WHEN len({parts}) >= 2 THEN ({parts})[1] ELSE '' END)")
+
+
+def split_country(raw: str) -> str:
+    s = utrim(f"coalesce({raw}, '')")
+    parts = _split_parts(s)
+    return (f"(CASE WHEN {s} = '' THEN '' WHEN lower({s}) IN ({PLACELESS}) "
+            f"THEN upper(substr(lower({s}), 1, 1)) || substr(lower({s}), 2) "
+            f"WHEN len({parts}) >= 2 THEN ({parts})[-1] WHEN len({parts}) = 1 THEN ({parts})[1] ELSE '' END)")
+
+
+def location_key(city: str, country: str) -> str:
+    return (f"coalesce(nullif(concat_ws('|', nullif({lower(utrim(city))}, ''), "
+            f"nullif({lower(utrim(country))}, '')), ''), 'remote')")
+
+
+def geocode_display(city: str, country: str) -> str:
+    return f"coalesce(nullif(concat_ws(', ', nullif({city}, ''), nullif({country}, '')), ''), 'Remote')"
