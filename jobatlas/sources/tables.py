@@ -106,4 +106,7 @@ ORACLE_VIEWS = {
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the named oracle views as CTEs."""
     ctes = ",\n".join(f"{n} AS ({ORACLE_VIEWS[n]})" for n in names)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
