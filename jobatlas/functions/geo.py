@@ -56,8 +56,10 @@ def clamp_viewport_cols(west, south, east, north) -> Column:
 
 
 def quantise(c, digits: int = 1) -> Column:
-    """P25: round to 0.1 degree, half away from zero."""
-    return F.round(_c(c), digits)
+    """P25: scale by 10^digits in floating point, round half away from zero, scale back
+    (so 444.04999999999995 -> 4440.5 -> 444.1, as the scaled product rounds)."""
+    scale = float(10 ** digits)
+    return F.round(_c(c) * F.lit(scale), 0) / F.lit(scale)
 
 
 def world_px(zoom) -> Column:
