@@ -119,38 +119,72 @@ def desc_tokens(lowered_text) -> Column:
     return F.split(_c(lowered_text), SKILL_TOKEN_SPLIT)
 
 
-def mine_skills(desc_text, dictionary=KNOWN_SKILLS) -> Column:
-    """P5: dictionary skills found in (already tag-free) text, in dictionary order.
+def mine_skills_lowered(lowered, dictionary=KNOWN_SKILLS) -> Column:
+    """P5 over text that is already tag-free and lower-cased (see :func:`lowered_text`).
 
     One-word entries must equal a whole token; entries containing a space match
-    as substrings of the lower-cased text.  No lambda touches the text: token
-    membership is one hash-based ``array_intersect`` and the final
-    ``array_intersect`` with the dictionary restores dictionary order, so the
-    lower-cased text and its tokens are computed once per row (higher-order
-    function bodies are re-evaluated per element and would repeat that work).
+    as substrings.  No lambda touches the text: token membership is one
+    hash-based ``array_intersect`` and a second ``array_intersect`` with the
+    dictionary restores dictionary order.
     """
     empty = F.array().cast("array<string>")
     if not dictionary:
         return empty
-    lowered = fold_lower(desc_text)
+    low = _c(lowered)
     words = [k for k in dictionary if " " not in k]
     phrases = [k for k in dictionary if " " in k]
     found = []
     if words:
-        found.append(F.array_intersect(F.array(*[F.lit(w) for w in words]), desc_tokens(lowered)))
+        found.append(F.array_intersect(F.array(*[F.lit(w) for w in words]), desc_tokens(low)))
     if phrases:
-        found.append(F.array(*[F.when(F.contains(lowered, F.lit(p)), F.lit(p)) for p in phrases]))
+        found.append(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases]))
     hits = F.concat(*found) if len(found) > 1 else found[0]
     mined = F.array_intersect(F.array(*[F.lit(k) for k in dictionary]), hits)
-    return F.when(F.coalesce(_c(desc_text), F.lit("")) == "", empty).otherwise(mined)
+    return F.when(F.coalesce(low, F.lit("")) == "", empty).otherwise(mined)
+
+
+def lowered_text(desc_text) -> Column:
+    """The text skill mining works on: lower-cased (tag-free input expected)."""
+    return fold_lower(F.coalesce(_c(desc_text), F.lit("")))
+
+
+def mine_skills(desc_text, dictionary=KNOWN_SKILLS) -> Column:
+    """P5: dictionary skills found in (already tag-free) text, in dictionary order.
+
+    For large inputs prefer :func:`with_skills`, which materialises the
+    lower-cased text once: this Column form repeats it per reference when it
+    ends up below a higher-order function.
+    """
+    return mine_skills_lowered(lowered_text(desc_text), dictionary)
 
 
-def normalize_skills(tags, desc_text, dictionary=KNOWN_SKILLS) -> Column:
-    """Cleaned source tags then mined skills; blanks dropped, first occurrence kept."""
+def _clean_literal(k: str) -> str:
+    """Python twin of :func:`clean_skill_tag` for literal dictionary entries."""
+    return k.strip().lower().strip(SKILL_CUTSET)
+
+
+def normalize_skills(tags, desc_text=None, dictionary=KNOWN_SKILLS, lowered=None) -> Column:
+    """Cleaned source tags then mined skills; blanks dropped, first occurrence kept.
+
+    Pass ``lowered`` (a column holding :func:`lowered_text`) to mine from a
+    materialised column instead of re-deriving it from ``desc_text``.
+    """
     tag_arr = F.coalesce(_c(tags), F.array().cast("array<string>"))
-    both = F.concat(tag_arr, mine_skills(desc_text, dictionary))
-    cleaned = F.filter(F.transform(both, clean_skill_tag), lambda x: x != "")
-    return F.array_distinct(cleaned)
+    tags_clean = F.filter(F.transform(tag_arr, clean_skill_tag), lambda x: x != "")
+    low = lowered if lowered is not None else lowered_text(desc_text)
+    mined = mine_skills_lowered(low, dictionary)
+    # dictionary entries are literals: clean them here instead of per row
+    cleaned = {k: _clean_literal(k) for k in dictionary}
+    if any(k != v for k, v in cleaned.items()):
+        m = F.create_map(*[F.lit(x) for kv in cleaned.items() for x in kv])
+        mined = F.filter(F.transform(mined, lambda k: m[k]), lambda x: x != "")
+    return F.array_distinct(F.concat(tags_clean, mined))
+
+
+def with_skills(df, out: str, tags, desc_text, dictionary=KNOWN_SKILLS):
+    """DataFrame form of P4/P5: lower-cases the text once in its own projection."""
+    staged = df.withColumn("_skill_low", lowered_text(desc_text))
+    return staged.withColumn(out, normalize_skills(tags, None, dictionary, F.col("_skill_low"))).drop("_skill_low")
 
 
 # ---------------------------------------------------------------------------
@@ -206,16 +240,28 @@ def classify_work_type(work_raw, location_raw, desc_text, hybrid_marker: str = H
 # location
 # ---------------------------------------------------------------------------
 
+_NOT_SEP = r"[^,\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_SEP = WS_CLASS[:-1] + ",]"
+# first / last non-empty comma-separated segment (trimmed), and "at least two such segments"
+FIRST_SEGMENT_RE = f"^{_SEP}*([^,]*{_NOT_SEP})"
+LAST_SEGMENT_RE = f"({_NOT_SEP}(?:[^,]*{_NOT_SEP})?){_SEP}*\\z"
+TWO_SEGMENTS_RE = f"(?s){_NOT_SEP}[^,]*,.*{_NOT_SEP}"
+
+
 def split_location(raw) -> Column:
-    """struct<city, country> from free text like "San Francisco, CA, USA"."""
+    """struct<city, country> from free text like "San Francisco, CA, USA".
+
+    Blank -> ('', ''); remote/worldwide/anywhere/global -> ('', Title-case);
+    otherwise the comma-separated, trimmed, non-empty segments: one -> ('', it),
+    several -> (first, last).  Written with anchored regexes (no array lambdas) so
+    the whole expression is code-generated and each part is evaluated once.
+    """
     s = utrim(null_to_blank(raw))
-    parts = F.filter(F.transform(F.split(s, ","), utrim), lambda x: x != "")
-    n = F.size(parts)
-    city = (F.when(s == "", "").when(F.lower(s).isin(*PLACELESS_LOCATIONS), "")
-            .when(n >= 2, F.try_element_at(parts, F.lit(1))).otherwise(""))
-    country = (F.when(s == "", "").when(F.lower(s).isin(*PLACELESS_LOCATIONS), F.initcap(F.lower(s)))
-               .when(n >= 2, F.try_element_at(parts, F.lit(-1)))
-               .when(n == 1, F.try_element_at(parts, F.lit(1))).otherwise(""))
+    first = F.regexp_extract(s, FIRST_SEGMENT_RE, 1)
+    last = F.regexp_extract(s, LAST_SEGMENT_RE, 1)
+    placeless = F.lower(s).isin(*PLACELESS_LOCATIONS)
+    city = F.when(placeless, "").when(s.rlike(TWO_SEGMENTS_RE), first).otherwise("")
+    country = F.when(placeless, F.initcap(F.lower(s))).otherwise(last)
     return F.struct(city.alias("city"), country.alias("country"))
 
 

@@ -27,13 +27,14 @@ def normalize(raw: DataFrame, dictionary=X.KNOWN_SKILLS) -> DataFrame:
         X.clean_title("title").alias("title"),
         F.col("title").alias("_title_raw"),
         X.strip_html(X.null_to_blank(F.col("description"))).alias("_desc"),
+        X.lowered_text(X.strip_html(X.null_to_blank(F.col("description")))).alias("_low"),
         "skills_raw", "experience_raw", "work_type_raw", "location_raw",
         "salary_min", "salary_max", "salary_currency", "posted_at", "source", "source_url", *seq)
     out = step1.select(
         "company_name", "company_logo", "city", "country",
         X.location_key("city", "country").alias("location_key"),
         "title",
-        X.normalize_skills("skills_raw", "_desc", dictionary).alias("skills"),
+        X.normalize_skills("skills_raw", None, dictionary, F.col("_low")).alias("skills"),
         X.classify_experience("_title_raw", "experience_raw", "_desc").alias("experience_level"),
         X.classify_work_type("work_type_raw", "location_raw", "_desc").alias("work_type"),
         X.nil_if_zero("salary_min").alias("salary_min"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.dedup import dedup_batch
+from ..session import spread
 from ..sources import tables as T
 from . import sqltext as S
 from .registry import register
@@ -33,14 +34,14 @@ def _bytes_md5(c) -> list:
 @register("clean_text", f"""SELECT doc_id, md5(c) AS text_md5, CAST(strlen(c) AS BIGINT) AS text_bytes
 FROM (SELECT doc_id, {S.collapse('text')} AS c FROM documents)""")
 def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.read_table(spark, sf_dir, "documents")
+    d = spread(T.read_table(spark, sf_dir, "documents"))
     return d.select("doc_id", *_bytes_md5(X.collapse_ws("text")))
 
 
 @register("strip_html", f"""SELECT page_id, md5(c) AS text_md5, CAST(strlen(c) AS BIGINT) AS text_bytes
 FROM (SELECT page_id, {S.collapse(S.strip_html('html'))} AS c FROM pages)""")
 def q_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.read_table(spark, sf_dir, "pages")
+    p = spread(T.read_table(spark, sf_dir, "pages"))
     return p.select("page_id", *_bytes_md5(X.collapse_ws(X.strip_html("html"))))
 
 
@@ -58,9 +59,9 @@ SELECT doc_id, array_to_string({S.ordered_distinct('l')}, '|') AS skills@EXTRA@
 
 @register("mine_skills", _skills_sql("CAST([] AS VARCHAR[])").replace("@EXTRA@", ""))
 def q_mine_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.read_table(spark, sf_dir, "documents")
-    skills = X.normalize_skills(F.array().cast("array<string>"), X.strip_html("text"), MINING_DICT)
-    return d.select("doc_id", F.array_join(skills, "|").alias("skills"))
+    d = spread(T.read_table(spark, sf_dir, "documents")).select("doc_id", "text")
+    d = X.with_skills(d, "skills", F.array().cast("array<string>"), X.strip_html("text"), MINING_DICT)
+    return d.select("doc_id", F.array_join("skills", "|").alias("skills"))
 
 
 _FIRST_LINE_SQL = "split_part(text, chr(10), 1)"
@@ -71,11 +72,11 @@ _TAGS_SQL = "[' .NET ', upper(lang), source, lang || ';']"
     "@EXTRA@", ", array_to_string(list_filter(list_transform(string_split(" + _FIRST_LINE_SQL + ", ','), "
           "lambda x: " + S.utrim("x") + "), lambda x: x <> ''), '|') AS csv"))
 def q_skill_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.read_table(spark, sf_dir, "documents")
+    d = spread(T.read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source")
     tags = F.array(F.lit(" .NET "), F.upper("lang"), F.col("source"), F.concat("lang", F.lit(";")))
-    skills = X.normalize_skills(tags, X.strip_html("text"), MINING_DICT)
+    d = X.with_skills(d, "skills", tags, X.strip_html("text"), MINING_DICT)
     first_line = F.substring_index("text", "\n", 1)
-    return d.select("doc_id", F.array_join(skills, "|").alias("skills"),
+    return d.select("doc_id", F.array_join("skills", "|").alias("skills"),
                     F.array_join(X.csv_list(first_line), "|").alias("csv"))
 
 
@@ -86,7 +87,7 @@ m AS (SELECT doc_id, coalesce(nullif(regexp_extract(title, {S.seniority_re(SENIO
     nullif(regexp_extract(body, {S.seniority_re(SENIORITY_MARKERS)}, 1), '')) AS mk FROM d)
 SELECT doc_id, coalesce({S.canon_seniority('mk')}, '') AS experience_level FROM m""")
 def q_seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.read_table(spark, sf_dir, "documents")
+    d = spread(T.read_table(spark, sf_dir, "documents"))
     lvl = X.classify_experience(F.substring_index("text", "\n", 1), F.col("source"),
                                 X.strip_html("text"), SENIORITY_MARKERS)
     return d.select("doc_id", lvl.alias("experience_level"))
@@ -98,7 +99,7 @@ SELECT doc_id, CASE WHEN contains(hay, {S.q(WORK_HYBRID)}) THEN 'hybrid'
     WHEN {' OR '.join(f'contains(hay, {S.q(m)})' for m in WORK_REMOTE)} THEN 'remote'
     ELSE 'onsite' END AS work_type FROM d""")
 def q_work_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.read_table(spark, sf_dir, "documents")
+    d = spread(T.read_table(spark, sf_dir, "documents"))
     wt = X.classify_work_type(F.col("source"), F.col("lang"), X.strip_html("text"),
                               WORK_HYBRID, WORK_REMOTE)
     return d.select("doc_id", wt.alias("work_type"))

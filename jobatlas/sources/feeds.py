@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..schemas import RAW_JOB_COLUMNS
+from ..session import spread
 
 # Fixed values ---------------------------------------------------------------
 # Source order of one ingestion run.
@@ -87,8 +88,9 @@ def _items(payloads: DataFrame, name: str) -> DataFrame:
     envelope = {"remoteok": None, "remotive": "jobs", "arbeitnow": "data", "jobicy": "jobs",
                 "adzuna": "results", "jooble": "jobs"}[name]
     arr = doc if envelope is None else doc.getField(envelope)
-    return payloads.select(*_ctx(payloads, name), F.posexplode_outer(arr).alias("pos", "it")) \
+    items = payloads.select(*_ctx(payloads, name), F.posexplode_outer(arr).alias("pos", "it")) \
         .where(F.col("it").isNotNull())
+    return spread(items)
 
 
 def _raw(name: str, it: dict) -> list[Column]:
