@@ -92,15 +92,24 @@ def haversine_km(lat1, lng1, lat2, lng2) -> Column:
 
 
 def radius_box(lat0: float, lng0: float, km: float) -> tuple[float, float, float, float]:
-    """Lat/lng box that contains every point within ``km`` of (lat0, lng0): a cheap,
-    pushable pre-filter in front of :func:`haversine_km`.  Returns (minLng, minLat, maxLng, maxLat)."""
-    dlat = math.degrees(km / EARTH_RADIUS_KM)
-    if abs(lat0) + dlat >= 90:
-        return (-180.0, max(-90.0, lat0 - dlat), 180.0, min(90.0, lat0 + dlat))
-    dlng = math.degrees(km / (EARTH_RADIUS_KM * math.cos(math.radians(lat0))))
-    if dlng >= 180:
-        return (-180.0, lat0 - dlat, 180.0, lat0 + dlat)
+    """Lat/lng box containing every point within ``km`` of (lat0, lng0): a cheap,
+    pushable pre-filter in front of :func:`haversine_km`.  Returns (minLng, minLat, maxLng, maxLat).
+
+    Longitude half-width is asin(sin(r) / cos(lat0)) with r the angular radius (the
+    widest point of the circle lies poleward of its centre); a circle that reaches a
+    pole spans all longitudes.  A box crossing the antimeridian comes back with
+    minLng > maxLng, which :func:`in_viewport` treats as wrapping.
+    """
+    r = km / EARTH_RADIUS_KM
+    dlat = math.degrees(r)
+    lo_lat, hi_lat = max(-90.0, lat0 - dlat), min(90.0, lat0 + dlat)
+    if lat0 + dlat >= 90 or lat0 - dlat <= -90:
+        return (-180.0, lo_lat, 180.0, hi_lat)
+    ratio = math.sin(r) / math.cos(math.radians(lat0))
+    if ratio >= 1:
+        return (-180.0, lo_lat, 180.0, hi_lat)
+    dlng = math.degrees(math.asin(ratio))
     lo, hi = lng0 - dlng, lng0 + dlng
     lo = lo + 360 if lo < -180 else lo
     hi = hi - 360 if hi > 180 else hi
-    return (lo, lat0 - dlat, hi, lat0 + dlat)
+    return (lo, lo_lat, hi, hi_lat)

@@ -396,6 +396,11 @@ def company_initial(name) -> Column:
     return F.upper(F.substring(null_to_blank(name), 1, 1))
 
 
+def top_skills(skills, n: int = 6) -> Column:
+    """The first ``n`` skills shown on an office card."""
+    return F.slice(F.coalesce(_c(skills), F.array().cast("array<string>")), 1, n)
+
+
 def csv_list(c) -> Column:
     """Comma-separated text -> trimmed, non-empty list."""
     return F.filter(F.transform(F.split(null_to_blank(c), ","), utrim), lambda x: x != "")

@@ -156,3 +156,21 @@ def q_geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pins(T.companies(spark, sf_dir), T.offices(spark, sf_dir), T.jobs(spark, sf_dir), PinFilter(),
              limit=False)
     return C.geojson_features(p)
+
+
+NEAR = (48.8566, 2.3522, 3000.0)   # lat, lng, km
+
+
+@register("offices_near", T.with_views(f"""SELECT office_id, round(km, 3) AS distance_km FROM (
+    SELECT id AS office_id, 2 * 6371.0088 * asin(least(1.0, sqrt(
+        pow(sin((radians(lat) - radians({NEAR[0]})) / 2), 2)
+        + cos(radians({NEAR[0]})) * cos(radians(lat)) * pow(sin((radians(lng) - radians({NEAR[1]})) / 2), 2)))) AS km
+    FROM offices) WHERE km <= {NEAR[2]}""", "offices"))
+def q_offices_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offices within a radius, box pre-filter (pushable) then exact great-circle distance."""
+    o = T.offices(spark, sf_dir)
+    lo_lng, lo_lat, hi_lng, hi_lat = GEO.radius_box(NEAR[0], NEAR[1], NEAR[2])
+    box = GEO.in_viewport(o.lat, o.lng, lo_lng, lo_lat, hi_lng, hi_lat)
+    d = GEO.haversine_km(F.lit(NEAR[0]), F.lit(NEAR[1]), o.lat, o.lng)
+    return (o.where(box).select(o.id.alias("office_id"), d.alias("km"))
+            .where(F.col("km") <= NEAR[2]).select("office_id", F.round("km", 3).alias("distance_km")))
