@@ -63,6 +63,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition for CPU-heavy row-wise work when the input arrives in
     fewer partitions than the cluster can run at once (e.g. one big row group or a few
     exploded payload files).  A no-op when the input is already spread, which is the
-    normal case for large, many-file inputs."""
+    normal case for large, many-file inputs.  Meant for plain file scans: on a plan
+    with an exchange, asking for the partition count makes AQE run the upstream
+    stages -- use ``df.hint("rebalance")`` there instead."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -11,8 +11,8 @@ request.  Optional payload columns carry request context:
 
 Every adapter is ``from_json`` with an explicit schema + ``posexplode`` of the
 item list + one projection, i.e. native expressions only.  One payload is one
-row until the explode, so large histories should land as many payload files
-(or JSON lines) -- the adapters repartition after the explode.
+row until the explode; the exploded items are rebalanced (AQE ``rebalance``
+hint), so a single oversized payload does not end up in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..schemas import RAW_JOB_COLUMNS
-from ..session import spread
 
 # Fixed values ---------------------------------------------------------------
 # Source order of one ingestion run.
@@ -90,7 +89,9 @@ def _items(payloads: DataFrame, name: str) -> DataFrame:
     arr = doc if envelope is None else doc.getField(envelope)
     items = payloads.select(*_ctx(payloads, name), F.posexplode_outer(arr).alias("pos", "it")) \
         .where(F.col("it").isNotNull())
-    return spread(items)
+    # One landed file may hold a large share of all items (one page, one source): rebalance
+    # after the explode so AQE splits big partitions and merges small ones at run time.
+    return items.hint("rebalance")
 
 
 def _raw(name: str, it: dict) -> list[Column]:
