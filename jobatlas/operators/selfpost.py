@@ -73,5 +73,6 @@ def dashboard_offices(requests: DataFrame, coords: DataFrame | None = None) -> D
     lat = F.when(explicit, F.col("lat")).otherwise(F.col("_glat"))
     lng = F.when(explicit, F.col("lng")).otherwise(F.col("_glng"))
     reason = F.when(~ok_loc, REJECT_LOCATION).when(lat.isNull(), "could not geocode that location")
-    return r.select("company_id", F.col("_city").alias("city"), F.col("_country").alias("country"),
-                    "address", lat.alias("lat"), lng.alias("lng"), reason.alias("reason"))
+    keep = [c for c in requests.columns if c not in ("city", "country", "lat", "lng")]
+    return r.select(*keep, "location_key", F.col("_city").alias("city"), F.col("_country").alias("country"),
+                    F.when(ok_loc, lat).alias("lat"), F.when(ok_loc, lng).alias("lng"), reason.alias("reason"))

@@ -290,3 +290,42 @@ def q_self_posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.selfpost import self_posted
     out = self_posted(_submissions(spark, sf_dir), T.offices(spark, sf_dir), T.companies(spark, sf_dir))
     return out.withColumn("clean_skills", F.array_join("clean_skills", "|"))
+
+
+# -- dashboard offices (K6) -------------------------------------------------------------------
+
+@register("dashboard_offices", f"""WITH req AS (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS company_id,
+        CASE WHEN c_acctbal < -900 THEN '' WHEN c_acctbal < 0 THEN c_mktsegment ELSE '' END AS city,
+        CASE WHEN c_acctbal < -900 THEN '' ELSE n_name END AS country,
+        'street ' || CAST(c_custkey AS VARCHAR) AS address,
+        CASE WHEN c_acctbal > 5000 THEN CAST(c_custkey % 90 AS DOUBLE) END AS lat,
+        CASE WHEN c_acctbal > 5000 THEN CAST(c_custkey % 180 AS DOUBLE) END AS lng
+    FROM customer JOIN nation ON c_nationkey = n_nationkey),
+gz AS (SELECT lower(n_name) AS location_key,
+        arg_min(CAST((s_suppkey * 37) % 161 AS DOUBLE) - 80.0, s_suppkey) AS lat,
+        arg_min(CAST((s_suppkey * 73) % 359 AS DOUBLE) - 179.0, s_suppkey) AS lng
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+k AS (SELECT req.*, {S.location_key('city', 'country')} AS location_key,
+        city <> '' OR country <> '' AS ok_loc, lat IS NOT NULL AND lng IS NOT NULL AS explicit FROM req),
+r AS (SELECT k.*, CASE WHEN explicit THEN k.lat ELSE gz.lat END AS rlat,
+        CASE WHEN explicit THEN k.lng ELSE gz.lng END AS rlng
+    FROM k LEFT JOIN gz ON gz.location_key = k.location_key)
+SELECT c_custkey, company_id, address, location_key, city, country,
+    CASE WHEN ok_loc THEN rlat END AS lat, CASE WHEN ok_loc THEN rlng END AS lng,
+    CASE WHEN NOT ok_loc THEN 'city or country is required'
+         WHEN rlat IS NULL THEN 'could not geocode that location' END AS reason
+FROM r""")
+def q_dashboard_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.selfpost import dashboard_offices
+    c = T.read_table(spark, sf_dir, "customer")
+    n = T.read_table(spark, sf_dir, "nation")
+    bal = F.col("c_acctbal")
+    req = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(
+        "c_custkey", F.col("c_nationkey").cast("long").alias("company_id"),
+        F.when(bal < -900, "").when(bal < 0, F.col("c_mktsegment")).otherwise("").alias("city"),
+        F.when(bal < -900, "").otherwise(F.col("n_name")).alias("country"),
+        F.concat(F.lit("street "), F.col("c_custkey").cast("string")).alias("address"),
+        F.when(bal > 5000, (F.col("c_custkey") % 90).cast("double")).alias("lat"),
+        F.when(bal > 5000, (F.col("c_custkey") % 180).cast("double")).alias("lng"))
+    _, _, gaz = _geo_inputs(spark, sf_dir)
+    return dashboard_offices(req, G.first_result(gaz))

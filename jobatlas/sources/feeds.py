@@ -267,13 +267,20 @@ def matches_keyword(kw: Column, title: Column, desc: Column, tags: Column) -> Co
                        lambda t: F.contains(F.lower(t), k)))
 
 
-def apply_queries(raw: DataFrame, queries: DataFrame) -> DataFrame:
+MAX_QUERIES = 10_000
+
+
+def apply_queries(raw: DataFrame, queries: DataFrame, max_queries: int = MAX_QUERIES) -> DataFrame:
     """A client-side-filtered feed is searched once per query.
 
-    ``queries`` is the run's search list (a handful of rows): it is broadcast and
-    the keyword predicate is a nested-loop condition, so the feed is scanned
-    once and never shuffled.
+    ``queries`` is the run's search list -- one entry per feed request, so a
+    handful of rows.  Its size is checked (``max_queries``) before it is
+    broadcast; the keyword predicate is then a nested-loop condition evaluated
+    where the feed rows already are, so the feed is scanned once and never shuffled.
     """
+    n = queries.count()
+    if n > max_queries:
+        raise ValueError(f"search list has {n} queries; at most {max_queries} are broadcast to the feed scan")
     q = F.broadcast(queries.select(F.col("query_ord").alias("_q"), F.col("keywords").alias("_kw"),
                                    F.col("per_page").alias("_per_page")))
     j = raw.join(q, matches_keyword(F.col("_kw"), F.col("title"), F.col("description"),
