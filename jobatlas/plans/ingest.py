@@ -45,12 +45,13 @@ def fetch(payloads: dict[str, DataFrame], queries: DataFrame,
           per_page: int = FD.DEFAULT_PER_QUERY) -> tuple[DataFrame, DataFrame]:
     """All enabled sources -> (raw rows, payload errors)."""
     frames, errors = {}, []
+    FD.check_query_list(queries)
     for s in FD.SOURCE_ORDER:
         if s not in payloads:
             continue
         raw = FD.ADAPTERS[s](payloads[s])
         if s in FD.CLIENT_FILTERED:
-            raw = FD.cap_per_query(FD.apply_queries(raw, queries).drop("_per_page"), per_page)
+            raw = FD.cap_per_query(FD.apply_queries(raw, queries, checked=True).drop("_per_page"), per_page)
         elif s == "jooble":
             raw = FD.cap_per_query(raw, per_page)
         frames[s] = raw
@@ -72,35 +73,35 @@ def run(raw: DataFrame, store: Store, gazetteer: DataFrame, run_ts: Column,
 
     With ``checkpoint`` (the default) every stage that several later stages read
     -- raw rows, the deduplicated batch, placed records and each merged table --
-    is checkpointed to the shared checkpoint folder once, so no stage is
-    recomputed and a lost executor only costs the current stage.
+    is written once as a Parquet table in the shared checkpoint folder, so no
+    stage is recomputed and a lost executor only costs the current stage.
     """
-    ck = cut_lineage if checkpoint else (lambda d: d)
-    raw = ck(raw)
+    ck = (lambda d, name: cut_lineage(d, name)) if checkpoint else (lambda d, name: d)
+    raw = ck(raw, "raw")
     norm = drop_incomplete(normalize(raw, dictionary)).withColumn("seq", _seq()).drop(*SEQ_COLUMNS)
-    deduped = ck(dedup_batch(norm, "dedup_hash", ["seq"]))
+    deduped = ck(dedup_batch(norm, "dedup_hash", ["seq"]), "deduped")
     recs = deduped.withColumn("display", X.geocode_display("city", "country"))
     coords, unresolved, new_cache = G.resolve(G.unique_keys(recs), store.cache, gazetteer)
-    coords = ck(coords)
+    coords = ck(coords, "coords")
     placed, failed = G.place(recs, coords)
-    placed = ck(placed)
+    placed = ck(placed, "placed")
 
     companies = ck(M.upsert_companies(
         store.companies,
         placed.select(F.col("company_name").alias("name"), F.lit("").alias("website"),
                       F.col("company_logo").alias("logo_url"), "seq"),
-        run_ts, "seq"))
+        run_ts, "seq"), "companies")
     with_company = placed.join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")),
                                "company_name")
     offices = ck(M.upsert_offices(
         store.offices,
         with_company.select("company_id", "city", "country", F.lit("").alias("address"), "lat", "lng", "seq"),
-        run_ts, "seq"))
+        run_ts, "seq"), "offices")
     office_ids = offices.select(F.col("id").alias("office_id"), "company_id", "city",
                                 F.col("country").alias("_office_country"))
     job_rows = (with_company.withColumn("_office_country", M.office_country(F.col("city"), F.col("country")))
                 .join(office_ids, ["company_id", "city", "_office_country"]))
-    jobs = ck(M.upsert_jobs(store.jobs, job_rows, run_ts, "seq"))
+    jobs = ck(M.upsert_jobs(store.jobs, job_rows, run_ts, "seq"), "jobs")
     cache = M.upsert_cache(store.cache, new_cache, run_ts)
 
     z = F.lit(0).cast("long")

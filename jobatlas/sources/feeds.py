@@ -270,7 +270,15 @@ def matches_keyword(kw: Column, title: Column, desc: Column, tags: Column) -> Co
 MAX_QUERIES = 10_000
 
 
-def apply_queries(raw: DataFrame, queries: DataFrame, max_queries: int = MAX_QUERIES) -> DataFrame:
+def check_query_list(queries: DataFrame, max_queries: int = MAX_QUERIES) -> None:
+    """Size bound of the search list that :func:`apply_queries` broadcasts."""
+    n = queries.count()
+    if n > max_queries:
+        raise ValueError(f"search list has {n} queries; at most {max_queries} are broadcast to the feed scan")
+
+
+def apply_queries(raw: DataFrame, queries: DataFrame, max_queries: int = MAX_QUERIES,
+                  checked: bool = False) -> DataFrame:
     """A client-side-filtered feed is searched once per query.
 
     ``queries`` is the run's search list -- one entry per feed request, so a
@@ -278,9 +286,8 @@ def apply_queries(raw: DataFrame, queries: DataFrame, max_queries: int = MAX_QUE
     broadcast; the keyword predicate is then a nested-loop condition evaluated
     where the feed rows already are, so the feed is scanned once and never shuffled.
     """
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"search list has {n} queries; at most {max_queries} are broadcast to the feed scan")
+    if not checked:
+        check_query_list(queries, max_queries)
     q = F.broadcast(queries.select(F.col("query_ord").alias("_q"), F.col("keywords").alias("_kw"),
                                    F.col("per_page").alias("_per_page")))
     j = raw.join(q, matches_keyword(F.col("_kw"), F.col("title"), F.col("description"),
