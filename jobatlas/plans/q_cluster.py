@@ -107,12 +107,14 @@ _CUR = "(CASE WHEN coalesce(salary_currency, '') <> '' THEN salary_currency || '
 @register("salary_label", T.with_views(f"""SELECT l_orderkey, l_linenumber, l_partkey,
     CASE WHEN {_LO} IS NULL AND {_HI} IS NULL THEN ''
          WHEN {_LO} IS NOT NULL AND {_HI} IS NOT NULL THEN {_CUR} || {_k_sql(_LO)} || '–' || {_k_sql(_HI)}
-         ELSE {_CUR} || {_k_sql(f'coalesce({_LO}, {_HI})')} END AS salary_label
+         ELSE {_CUR} || {_k_sql(f'coalesce({_LO}, {_HI})')} END AS salary_label,
+    array_to_string(skills[1:6], '|') AS card_skills
 FROM jobs""", "jobs"))
 def q_salary_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = T.jobs(spark, sf_dir)
     return j.select("l_orderkey", "l_linenumber", "l_partkey",
-                    X.salary_label("salary_min", "salary_max", "salary_currency").alias("salary_label"))
+                    X.salary_label("salary_min", "salary_max", "salary_currency").alias("salary_label"),
+                    F.array_join(X.top_skills("skills", 6), "|").alias("card_skills"))
 
 
 @register("viewport_buckets", """WITH v AS (SELECT o_orderkey, o_totalprice / 997.0 - 200.0 AS west,
