@@ -248,3 +248,19 @@ def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT p_partkey, p_brand, p_name, p_type, {_FP_SQL} AS dedup_hash FROM part)) WHERE rn = 1""")
 def q_dedup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_batch(_part_postings(spark, sf_dir), "dedup_hash", ["p_partkey"])
+
+
+# -- large-dictionary mining (dictionary as a table) -----------------------------------------
+
+@register("mine_skills_dict", f"""WITH dict AS (SELECT DISTINCT trim(t, '.,;:') AS skill FROM (
+        SELECT unnest(string_split_regex({S.lower("coalesce(text, '')")}, '[^a-z0-9+#.]+')) AS t FROM benchmark)
+        WHERE trim(t, '.,;:') <> ''),
+dt AS (SELECT doc_id, unnest(list_distinct(string_split_regex({S.lower(S.strip_html("coalesce(text, '')"))},
+        '[^a-z0-9+#.]+'))) AS tok FROM documents)
+SELECT doc_id, string_agg(skill, '|' ORDER BY skill) AS skills FROM dt JOIN dict ON tok = skill GROUP BY doc_id""")
+def q_mine_skills_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.skills import dictionary_from_tokens, mine_skills_with_table
+    dictionary = dictionary_from_tokens(T.read_table(spark, sf_dir, "benchmark"), "text")
+    d = spread(T.read_table(spark, sf_dir, "documents")).select("doc_id", "text")
+    out = mine_skills_with_table(d, "doc_id", X.strip_html("text"), dictionary)
+    return out.select("doc_id", F.array_join("skills", "|").alias("skills"))
