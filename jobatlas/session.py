@@ -35,17 +35,25 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+_LOCAL_CKPT: str | None = None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; we only invent one (under the local
     temp dir) when the setting is absent, which is the local-test case.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    global _LOCAL_CKPT
+    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT
     if not d:
-        d = tempfile.mkdtemp(prefix="jobatlas-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = _LOCAL_CKPT = tempfile.mkdtemp(prefix="jobatlas-ckpt-")
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core conf may be read-only at run time; keep ours
+            pass
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
