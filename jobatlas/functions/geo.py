@@ -35,6 +35,29 @@ def in_viewport(lat, lng, min_lng: float, min_lat: float, max_lng: float, max_la
     return lat_ok & lng_ok
 
 
+def _edge_lat(lat_deg: Column | float, lng: Column, lng_mid: float, half_span_deg: float) -> Column:
+    """Latitude (degrees) at longitude ``lng`` of the great circle through
+    (mid - half, lat) and (mid + half, lat): atan(tan(lat) * cos(lng - mid) / cos(half))."""
+    return F.degrees(F.atan(F.tan(F.radians(F.lit(float(lat_deg)))) * F.cos(F.radians(lng - F.lit(lng_mid)))
+                            / F.lit(math.cos(math.radians(half_span_deg)))))
+
+
+def in_viewport_geodesic(lat, lng, min_lng: float, min_lat: float, max_lng: float, max_lat: float) -> Column:
+    """F8 with great-circle top/bottom edges (geography envelope semantics): the edges
+    bow poleward between the corners.  Valid for 0 < span < 180 deg without wrap;
+    other boxes fall back to the planar test.  A planar pre-filter on the box that
+    contains the bowed edges comes first, so the scan still gets pushed range filters.
+    """
+    span = max_lng - min_lng
+    if not (0 < span < 180) or max_lat >= 90 or min_lat <= -90:
+        return in_viewport(lat, lng, min_lng, min_lat, max_lng, max_lat)
+    half, mid = span / 2.0, (min_lng + max_lng) / 2.0
+    widen = lambda b: math.degrees(math.atan(math.tan(math.radians(b)) / math.cos(math.radians(half))))
+    outer = in_viewport(lat, lng, min_lng, min(min_lat, widen(min_lat)), max_lng, max(max_lat, widen(max_lat)))
+    la, ln = _c(lat), _c(lng)
+    return outer & (la >= _edge_lat(min_lat, ln, mid, half)) & (la <= _edge_lat(max_lat, ln, mid, half))
+
+
 def clamp_viewport(west: float, south: float, east: float, north: float) -> tuple[float, float, float, float]:
     """P26 (driver-side scalar): world box when the span is >= 270 deg or crosses +-180,
     else longitudes clamped to +-180 and latitudes to +-85.  Returns (minLng, minLat, maxLng, maxLat)."""

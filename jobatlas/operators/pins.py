@@ -21,7 +21,7 @@ from typing import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import in_viewport
+from ..functions.geo import in_viewport, in_viewport_geodesic
 from ..functions.text import parse_csv_list
 
 DEFAULT_PIN_LIMIT = 2000
@@ -45,6 +45,7 @@ class PinFilter:
     source: str = ""
     company: str = ""
     limit: int = 0
+    edges: str = "planar"           # or "geodesic": great-circle top/bottom edges
 
     # -- predicates ---------------------------------------------------------
     def job_predicates(self, jobs: DataFrame | None = None) -> list[Column]:
@@ -79,7 +80,8 @@ class PinFilter:
     def viewport_predicate(self, lat: Column, lng: Column) -> Column | None:
         if not self.has_viewport:
             return None
-        return in_viewport(lat, lng, self.min_lng, self.min_lat, self.max_lng, self.max_lat)
+        test = in_viewport_geodesic if self.edges == "geodesic" else in_viewport
+        return test(lat, lng, self.min_lng, self.min_lat, self.max_lng, self.max_lat)
 
     def effective_limit(self) -> int:
         return self.limit if self.limit > 0 else DEFAULT_PIN_LIMIT

@@ -46,6 +46,13 @@ PIN_FILTERS = {
     "pins_salary_overlap": (PinFilter(salary_min=60000, salary_max=90000),
                             "(j.salary_max IS NULL OR j.salary_max >= 60000) "
                             "AND (j.salary_min IS NULL OR j.salary_min <= 90000)", 2000),
+    "pins_viewport_geodesic": (PinFilter(has_viewport=True, min_lng=-60.0, min_lat=-30.0,
+                                         max_lng=60.0, max_lat=50.0, edges="geodesic"),
+                               "o.lng BETWEEN -60 AND 60 "
+                               "AND o.lat >= degrees(atan(tan(radians(-30.0)) * cos(radians(o.lng - 0.0)) "
+                               "/ cos(radians(60.0)))) "
+                               "AND o.lat <= degrees(atan(tan(radians(50.0)) * cos(radians(o.lng - 0.0)) "
+                               "/ cos(radians(60.0))))", 2000),
     "pins_company": (PinFilter(company="ion_1", source="remotive"),
                      "c.name ILIKE '%ion_1%' AND j.source = 'remotive'", 2000),
 }

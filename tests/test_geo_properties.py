@@ -38,3 +38,35 @@ def test_clamp_viewport_is_inside_world(w, s, span, h):
     box = GEO.clamp_viewport(w, s, w + span, s + h)
     assert -180 <= box[0] <= 180 and -180 <= box[2] <= 180
     assert box[1] >= -85 and box[3] <= 85
+
+
+def _gc_lat(lat_e, lng, mid, half):
+    """Latitude of the great circle through (mid-half, lat_e), (mid+half, lat_e) at lng, by vectors."""
+    def vec(lat, lon):
+        la, lo = math.radians(lat), math.radians(lon)
+        return (math.cos(la) * math.cos(lo), math.cos(la) * math.sin(lo), math.sin(la))
+    a, b = vec(lat_e, mid - half), vec(lat_e, mid + half)
+    n = (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    lo = math.radians(lng)
+    # n . (cos(la)cos(lo), cos(la)sin(lo), sin(la)) = 0  ->  tan(la) = -(n0 cos lo + n1 sin lo) / n2
+    return math.degrees(math.atan(-(n[0] * math.cos(lo) + n[1] * math.sin(lo)) / n[2]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.floats(-170, 10), st.floats(1, 170), st.floats(-80, 80), st.floats(0, 1))
+def test_geodesic_edge_formula(min_lng, span, lat_e, frac):
+    if abs(lat_e) < 1e-3:
+        return
+    mid, half = min_lng + span / 2, span / 2
+    lng = min_lng + frac * span
+    expect = _gc_lat(lat_e, lng, mid, half)
+    got = math.degrees(math.atan(math.tan(math.radians(lat_e)) * math.cos(math.radians(lng - mid))
+                                 / math.cos(math.radians(half))))
+    assert abs(expect - got) < 1e-7
+
+
+def test_geodesic_viewport_column(spark):
+    df = spark.createDataFrame([(50.5, 0.0), (50.5, -29.0), (49.0, 0.0), (-51.0, 0.0)], "lat double, lng double")
+    rows = df.where(GEO.in_viewport_geodesic(df.lat, df.lng, -30.0, -50.0, 30.0, 50.0)).collect()
+    # the top edge bows north to ~52.3 deg at the centre and meets 50 deg at the corners
+    assert sorted((r.lat, r.lng) for r in rows) == [(-51.0, 0.0), (49.0, 0.0), (50.5, 0.0)]
