@@ -137,3 +137,15 @@ def q_company_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     "companies", "offices"))
 def q_company_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.company_lookup(T.companies(spark, sf_dir), T.offices(spark, sf_dir))
+
+
+JOB_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "office_id")
+
+
+@register("pins_skills_index", _pin_sql(PIN_FILTERS["pins_skills_all"][1]))
+def q_pins_skills_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 through the exploded skill index (semi-join) instead of array_contains on every job."""
+    from .layout import jobs_with_all_skills, skill_index
+    jobs = T.jobs(spark, sf_dir)
+    filtered = jobs_with_all_skills(jobs, skill_index(jobs, JOB_KEY), [" Small ", "ECONOMY"], JOB_KEY)
+    return pins(T.companies(spark, sf_dir), T.offices(spark, sf_dir), filtered)

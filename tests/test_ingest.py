@@ -48,3 +48,21 @@ def test_two_runs(spark):
     assert str(jobs["Engineer"].posted_date) == "2024-01-05"
     assert {r.name for r in store1.companies.collect()} == {"Acme", "Initech"}
     assert store1.offices.count() == 2
+
+
+def test_map_queries_over_ingested_store(spark):
+    from jobatlas.operators import facets
+    from jobatlas.operators.pins import PinFilter, office_detail, pins
+    store1, _, _, _ = _run_twice(spark)
+    p = {r.company_name: r.job_count for r in pins(store1.companies, store1.offices, store1.jobs).collect()}
+    assert p == {"Acme": 1, "Initech": 1}
+    near_berlin = PinFilter(has_viewport=True, min_lng=10, min_lat=50, max_lng=15, max_lat=55)
+    assert [r.company_name for r in pins(store1.companies, store1.offices, store1.jobs, near_berlin).collect()] \
+        == ["Acme"]
+    st = facets.stats(store1.companies, store1.offices, store1.jobs).first()
+    assert (st.companies, st.offices, st.jobs, st.remote_jobs) == (2, 2, 2, 1)
+    sk = {r.skill: r.n for r in facets.skill_facets(store1.jobs).collect()}
+    assert sk == {"go": 1, "docker": 1}
+    d = office_detail(store1.companies, store1.offices, store1.jobs, PinFilter(keyword="analyst"),
+                      job_columns=("title", "work_type", "posted_date", "created_at"))
+    assert sorted((r.company_name, r.title) for r in d.collect()) == [("Acme", None), ("Initech", "Analyst")]
