@@ -59,3 +59,34 @@ def cascade_delete(companies: DataFrame, offices: DataFrame, jobs: DataFrame,
     gone_offices = offices.join(gone.select(F.col("id").alias("company_id")), "company_id", "left_semi")
     j = jobs.join(gone_offices.select(F.col("id").alias("office_id")), "office_id", "left_anti")
     return c, o, j
+
+
+def store_checks(companies: DataFrame, offices: DataFrame, jobs: DataFrame, cache: DataFrame) -> DataFrame:
+    """Q1 + Q2 over a posting store: (rule, key, n) for every violation, empty when clean.
+
+    Keys are rendered as text so all rules share one result schema.
+    """
+    def dup(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
+        return duplicate_keys(df, keys).select(F.lit(rule).alias("rule"),
+                                               F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"),
+                                               F.col("n"))
+
+    def orphan(child: DataFrame, fk: str, parent: DataFrame, pk: str, rule: str) -> DataFrame:
+        return orphans(child, fk, parent, pk).groupBy(fk).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(rule).alias("rule"), F.col(fk).cast("string").alias("key"), F.col("n"))
+
+    parts = [
+        dup(companies, ["name"], "companies.name unique"),
+        dup(companies, ["id"], "companies.id unique"),
+        dup(offices, ["company_id", "city", "country"], "offices key unique"),
+        dup(offices, ["id"], "offices.id unique"),
+        dup(jobs, ["dedup_hash"], "jobs.dedup_hash unique"),
+        dup(jobs, ["id"], "jobs.id unique"),
+        dup(cache, ["location_key"], "geocode_cache.location_key unique"),
+        orphan(offices, "company_id", companies, "id", "offices.company_id -> companies.id"),
+        orphan(jobs, "office_id", offices, "id", "jobs.office_id -> offices.id"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -66,3 +66,12 @@ def test_map_queries_over_ingested_store(spark):
     d = office_detail(store1.companies, store1.offices, store1.jobs, PinFilter(keyword="analyst"),
                       job_columns=("title", "work_type", "posted_date", "created_at"))
     assert sorted((r.company_name, r.title) for r in d.collect()) == [("Acme", None), ("Initech", "Analyst")]
+
+
+def test_store_integrity_after_two_runs(spark):
+    from jobatlas.operators.quality import store_checks
+    store1, _, _, _ = _run_twice(spark)
+    assert store_checks(store1.companies, store1.offices, store1.jobs, store1.cache).count() == 0
+    broken = store1.jobs.unionByName(store1.jobs.limit(1))
+    bad = store_checks(store1.companies, store1.offices, broken, store1.cache).collect()
+    assert {r.rule for r in bad} == {"jobs.dedup_hash unique", "jobs.id unique"}
