@@ -147,7 +147,8 @@ FROM part"""
 _URL = "'https://jobs.example/' || CAST(k AS VARCHAR)"
 
 
-def _raw_sql(source: str, cols: dict, where: str = "TRUE", pos_keys: str = "page_ord") -> str:
+def _raw_sql(source: str, cols: dict, where: str = "TRUE", pos_keys: str = "page_ord",
+             page_ord: str = "page_ord") -> str:
     d = {"source_id": "CAST(k AS VARCHAR)", "source_url": _URL, "company_name": S.utrim("company_raw"),
          "company_logo": "''", "location_raw": "loc_raw", "city": S.split_city("loc_raw"),
          "country": S.split_country("loc_raw"), "title": S.utrim("title_raw"), "description": "descr",
@@ -156,7 +157,7 @@ def _raw_sql(source: str, cols: dict, where: str = "TRUE", pos_keys: str = "page
     d.update(cols)
     sel = ",\n    ".join(f"{v} AS {k}" for k, v in d.items())
     return f"""SELECT k, '{source}' AS source, {sel},
-    {FD.SOURCE_ORDER.index(source)} AS source_ord, 0 AS query_ord, page_ord,
+    {FD.SOURCE_ORDER.index(source)} AS source_ord, 0 AS query_ord, {page_ord} AS page_ord,
     CAST(row_number() OVER (PARTITION BY {pos_keys} ORDER BY k) - 1 AS INTEGER) AS pos
 FROM items WHERE {where}"""
 
@@ -196,7 +197,8 @@ RAW_SQL = {
         "work_type_raw": "CASE WHEN p_size % 2 = 0 THEN 'full_time' ELSE 'part_time' END",
         "salary_min": "CASE WHEN p_size % 3 = 0 THEN 0 ELSE CAST(trunc(p_retailprice * 100) AS INTEGER) END",
         "salary_max": "CAST(trunc(p_retailprice * 100 + 5000.5) AS INTEGER)",
-        "salary_currency": _CURRENCY_CASE, "posted_at": "dt"}, pos_keys="page_ord, cc"),
+        "salary_currency": _CURRENCY_CASE, "posted_at": "dt"}, pos_keys="page_ord, cc",
+        page_ord=f"CAST(list_position({S.sql_list(FD.ADZUNA_COUNTRIES)}, cc) * {FD.ADZUNA_PAGE_SPAN} + page_ord AS INTEGER)"),
     "jooble": _raw_sql("jooble", {
         "work_type_raw": "CASE WHEN p_size % 3 = 0 THEN 'Full-time' WHEN p_size % 3 = 1 THEN 'Remote' "
                          "ELSE 'Hybrid office' END",

@@ -38,6 +38,8 @@ ADZUNA_CURRENCY = {"gb": "GBP", "us": "USD", "ca": "USD", "in": "INR", "au": "AU
 CLIENT_FILTERED = ("remoteok", "arbeitnow", "jobicy")
 DEFAULT_PER_QUERY = 100
 ADZUNA_PAGE_CAP = 50
+# adzuna rows are ordered by (marketplace, page): page_ord = marketplace index * span + page
+ADZUNA_PAGE_SPAN = 100_000
 # Search terms of a scheduled run when none are given.
 DEFAULT_QUERY_TERMS = ("software engineer", "backend", "frontend", "data scientist",
                        "devops", "product manager", "designer", "full stack")
@@ -211,7 +213,15 @@ def currency_for_country(code: Column) -> Column:
 
 
 def adzuna(payloads: DataFrame) -> DataFrame:
-    """One payload per marketplace (``country`` column); salary truncated to int."""
+    """One payload per marketplace (``country`` column); salary truncated to int.
+
+    Marketplaces are pulled in a fixed order, so the marketplace's position is
+    folded into ``page_ord`` and "first occurrence" follows that order.
+    """
+    codes = F.array(*[F.lit(c) for c in ADZUNA_COUNTRIES])
+    market = F.array_position(codes, F.lower(X.null_to_blank(F.col("country"))))
+    page = F.coalesce(F.col("page_ord"), F.lit(0)) if "page_ord" in payloads.columns else F.lit(0)
+    payloads = payloads.withColumn("page_ord", (market * ADZUNA_PAGE_SPAN + page).cast("int"))
     it = _items(payloads, "adzuna")
     loc = adzuna_location(_s("location.area"), _s("location.display_name"))
     trunc = lambda c: F.when(c.isNull(), F.lit(0.0)).otherwise(
