@@ -17,6 +17,8 @@ from ..operators.pins import PinFilter, pins
 from ..sources import tables as T
 from .registry import register
 
+_V3 = ("companies", "offices", "jobs")
+
 
 def _points(spark: SparkSession, sf_dir: str, weight: str = "count") -> DataFrame:
     c = T.read_table(spark, sf_dir, "customer")
@@ -153,7 +155,13 @@ def q_office_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                     X.company_initial(c.name).alias("initial"))
 
 
-@register("geojson_features")
+@register("geojson_features", T.with_views("""WITH p AS (SELECT o.id AS office_id, o.lat, o.lng, o.city, o.country,
+        c.name AS company_name, COUNT(*) AS job_count
+    FROM offices o JOIN companies c ON c.id = o.company_id JOIN jobs j ON j.office_id = o.id
+    GROUP BY o.id, o.lat, o.lng, o.city, o.country, c.name)
+SELECT office_id, to_json({'type': 'Feature', 'geometry': {'type': 'Point', 'coordinates': [lng, lat]},
+    'properties': {'office_id': office_id, 'company': company_name, 'city': city, 'country': country,
+                   'job_count': job_count}})::VARCHAR AS feature FROM p""", *_V3))
 def q_geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pins(T.companies(spark, sf_dir), T.offices(spark, sf_dir), T.jobs(spark, sf_dir), PinFilter(),
              limit=False)
