@@ -15,7 +15,8 @@ from ..session import cut_lineage, shared_path
 from ..sources import feeds as FD
 from ..sources import tables as T
 from . import ingest as I
-from .q_feeds import landed_payloads
+from . import sqltext as S
+from .q_feeds import _ITEMS_SQL, _feed_body, landed_payloads
 from .registry import register
 
 RUN1_SOURCES = ("remoteok", "remotive", "arbeitnow")
@@ -33,7 +34,57 @@ def part_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("rank"))
 
 
-@register("run_metrics")
+def _metrics_sql() -> str:
+    """Both runs restated in SQL: feed rows (J6 keyword match, L4 caps), fingerprint fields
+    (P1, P9, P10, P13), first per fingerprint (D1), gazetteer placement (G5), and the
+    second run's inserted / skipped split against the first run's fingerprints (K3)."""
+    assert all("|" not in t for t in SEARCH)   # keyword match on the '|'-joined tag list is exact
+    q = "(VALUES " + ", ".join(f"({i}, {S.q(t)})" for i, t in enumerate(SEARCH)) + ") q(qo, kw)"
+    client = " UNION ALL ".join(f"SELECT * FROM ({_feed_body(s)})" for s in FD.CLIENT_FILTERED)
+    per = FD.DEFAULT_PER_QUERY
+
+    def norm(raw: str) -> str:
+        c0, k0 = S.utrim("city"), S.utrim("country")
+        fb = f"({c0} = '' AND {k0} = '' AND coalesce(location_raw, '') <> '')"
+        return f"""(SELECT *, {S.fingerprint('co', 'ti', 'ci', 'cn')} AS h, {S.location_key('ci', 'cn')} AS lk FROM (
+            SELECT source_ord, query_ord, page_ord, pos, {S.collapse('company_name')} AS co, {S.collapse('title')} AS ti,
+                CASE WHEN {fb} THEN {S.split_city('location_raw')} ELSE {c0} END AS ci,
+                CASE WHEN {fb} THEN {S.split_country('location_raw')} ELSE {k0} END AS cn
+            FROM {raw}) WHERE co <> '' AND ti <> '')"""
+
+    def first(n: str) -> str:
+        return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h
+            ORDER BY source_ord, query_ord, page_ord, pos) AS rn FROM {n}) WHERE rn = 1)"""
+
+    return f"""WITH items AS ({_ITEMS_SQL}),
+client AS (SELECT r.* REPLACE (q.qo AS query_ord) FROM ({client}) r JOIN {q}
+    ON (q.kw = '' OR contains(lower(r.title), lower(q.kw)) OR contains(lower(coalesce(r.description, '')), lower(q.kw))
+        OR contains(lower(r.skills_raw), lower(q.kw)))),
+client_cap AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, query_ord
+    ORDER BY page_ord, pos) AS rn FROM client) WHERE rn <= {per}),
+jooble_cap AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, query_ord
+    ORDER BY page_ord, pos) AS rn FROM ({_feed_body('jooble')})) WHERE rn <= {per}),
+raw1 AS (SELECT * FROM client_cap WHERE source IN ({", ".join(S.q(s) for s in RUN1_SOURCES if s in FD.CLIENT_FILTERED)})
+    UNION ALL SELECT * FROM ({_feed_body('remotive')})),
+raw2 AS (SELECT * FROM client_cap UNION ALL SELECT * FROM ({_feed_body('remotive')})
+    UNION ALL SELECT * FROM ({_feed_body('adzuna')}) UNION ALL SELECT * FROM jooble_cap),
+gaz AS (SELECT DISTINCT lower(p_name) || '|' || lower(p_type) AS lk FROM part WHERE p_size <= 25
+    UNION SELECT DISTINCT lower(p_type) FROM part),
+d1 AS {first(norm('raw1'))},
+d2 AS {first(norm('raw2'))},
+p1 AS (SELECT * FROM d1 WHERE lk IN (SELECT lk FROM gaz)),
+p2 AS (SELECT * FROM d2 WHERE lk IN (SELECT lk FROM gaz))
+SELECT (SELECT count(*) FROM raw1) AS fetched, (SELECT count(*) FROM d1) AS after_dedup,
+    (SELECT count(*) FROM p1) AS inserted, CAST(0 AS BIGINT) AS skipped,
+    (SELECT count(*) FROM d1) - (SELECT count(*) FROM p1) AS geocode_fail, CAST(0 AS BIGINT) AS errors, 1 AS run
+UNION ALL
+SELECT (SELECT count(*) FROM raw2), (SELECT count(*) FROM d2),
+    (SELECT count(*) FROM p2 WHERE h NOT IN (SELECT h FROM p1)),
+    (SELECT count(*) FROM p2 WHERE h IN (SELECT h FROM p1)),
+    (SELECT count(*) FROM d2) - (SELECT count(*) FROM p2), CAST(0 AS BIGINT), 2"""
+
+
+@register("run_metrics", _metrics_sql())
 def q_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = FD.queries_frame(spark, SEARCH, FD.DEFAULT_PER_QUERY)
     gaz = part_gazetteer(spark, sf_dir)
