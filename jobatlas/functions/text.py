@@ -283,15 +283,21 @@ def geocode_display(city, country) -> Column:
 # fingerprint
 # ---------------------------------------------------------------------------
 
-def canonical_token(c) -> Column:
-    """Lower-case, runs of non [a-z0-9] -> one space, trimmed."""
-    return F.trim(F.regexp_replace(fold_lower(null_to_blank(c)), "[^a-z0-9]+", " "))
+def canonical_token(c, keep_unicode: bool = False) -> Column:
+    """Lower-case, runs of non [a-z0-9] -> one space, trimmed.
+
+    ``keep_unicode=True`` keeps every Unicode letter and digit instead, so titles in
+    non-Latin scripts do not all collapse to '' (and collide); the default keeps the
+    original fingerprints.
+    """
+    pattern = r"[^\p{L}\p{N}]+" if keep_unicode else "[^a-z0-9]+"
+    return F.trim(F.regexp_replace(fold_lower(null_to_blank(c)), pattern, " "))
 
 
-def dedup_hash(company, title, city, country) -> Column:
+def dedup_hash(company, title, city, country, keep_unicode: bool = False) -> Column:
     """SHA-256 hex of the four canonical tokens joined by U+001F."""
-    return F.sha2(F.concat_ws(FINGERPRINT_SEP, canonical_token(company), canonical_token(title),
-                              canonical_token(city), canonical_token(country)), 256)
+    t = lambda x: canonical_token(x, keep_unicode)
+    return F.sha2(F.concat_ws(FINGERPRINT_SEP, t(company), t(title), t(city), t(country)), 256)
 
 
 # ---------------------------------------------------------------------------

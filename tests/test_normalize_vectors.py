@@ -136,3 +136,12 @@ def test_incomplete_dropped(spark):
     raw = raw_jobs(spark, [dict(company_name="  ", title="Dev"), dict(company_name="A", title="  "),
                            dict(company_name="A", title="Dev")])
     assert drop_incomplete(normalize(raw)).count() == 1
+
+
+def test_keep_unicode_fingerprint(spark):
+    df = spark.createDataFrame([("株式会社", "エンジニア"), ("株式会社", "デザイナー"), ("Acme", "Ingénieur"),
+                                ("Acme", "Ingenieur")], "a string, b string")
+    default = [r[0] for r in df.select(X.dedup_hash("a", "b", F.lit(""), F.lit(""))).collect()]
+    uni = [r[0] for r in df.select(X.dedup_hash("a", "b", F.lit(""), F.lit(""), keep_unicode=True)).collect()]
+    assert default[0] == default[1]          # non-Latin roles collide by default (original behaviour)
+    assert uni[0] != uni[1] and uni[2] != uni[3]

@@ -58,3 +58,12 @@ def test_facet_stream_complete_mode(spark):
     INC.facet_stream(stream, ["work_type"], f"{out}/r", f"{out}/ck")
     got = {r.work_type: r.n for r in spark.read.parquet(f"{out}/r").collect()}
     assert got == {"remote": 2, "onsite": 1}
+
+
+def test_stateful_dedup_stream(spark):
+    land = tempfile.mkdtemp(prefix="land-")
+    out = tempfile.mkdtemp(prefix="out-")
+    spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, v int").write.parquet(f"{land}/one")
+    INC.first_seen_stream_stateful(INC.file_stream(spark, f"{land}/one", "k string, v int"), "k",
+                                   f"{out}/r", f"{out}/ck")
+    assert sorted(r.k for r in spark.read.parquet(f"{out}/r").collect()) == ["a", "b"]
