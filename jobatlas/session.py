@@ -17,6 +17,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -41,12 +42,19 @@ _LOCAL_CKPT: str | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only invent one (under the local
-    temp dir) when the setting is absent, which is the local-test case.
+    A cluster names a shared folder there (or in the context's checkpoint dir).
+    Only a ``local[...]`` session with neither set -- the test case -- gets an
+    invented folder under the machine's temp dir; any other master must name a
+    shared folder, because executors on other machines cannot see a local one.
     """
     global _LOCAL_CKPT
-    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT
+    d = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+         or _LOCAL_CKPT)
     if not d:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder on shared storage "
+                               "(stage tables and stream checkpoints are written there)")
         d = _LOCAL_CKPT = tempfile.mkdtemp(prefix="jobatlas-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
