@@ -36,22 +36,45 @@ def first_result(gazetteer: DataFrame, key: str = "location_key", rank: str = "r
                                                               F.col("_c.lng").alias("lng"))
 
 
+# Provider response shapes and the leading-float rule of a "%f" scan
+# (leading blanks skipped, the longest decimal prefix read, trailing text ignored).
+GOOGLE_RESPONSE = ("struct<status:string,results:array<struct<geometry:struct<"
+                   "location:struct<lat:double,lng:double>>>>>")
+NOMINATIM_RESPONSE = "array<struct<lat:string,lon:string>>"
+LEADING_FLOAT = r"^\s*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)"
+
+
+def scan_float(c: Column) -> Column:
+    """The number a "%f" scan reads from the start of a string; NULL if none."""
+    return F.nullif(F.regexp_extract(c, LEADING_FLOAT, 1), F.lit("")).try_cast("double")
+
+
 def provider_rows(responses: DataFrame, provider: str) -> DataFrame:
     """Landed provider responses (location_key, value JSON) -> gazetteer rows.
 
-    ``google``: ``results[i].geometry.location.{lat,lng}``; ``nominatim``: ``[i].{lat,lon}`` as text.
+    Only the first result of a response counts.  ``google``: the response must have
+    status ``OK`` and at least one result; ``results[0].geometry.location`` gives
+    the point (an absent location decodes to 0, 0).  ``nominatim``: ``[0].lat`` and
+    ``[0].lon`` are text, both must start with a number.  A response that is not
+    JSON, or fails these rules, gives no row: the key stays unresolved and is not
+    cached, so the next run asks again.  Extra columns of ``responses`` (e.g. a
+    fetch order used as ``rank``) are kept.
     """
+    extra = [c for c in responses.columns if c not in ("location_key", "value")]
     if provider == "google":
-        schema = "struct<status:string,results:array<struct<geometry:struct<location:struct<lat:double,lng:double>>>>>"
-        doc = F.from_json("value", schema)
-        ex = responses.select("location_key", F.posexplode(doc["results"]).alias("rank", "r"))
-        return ex.select("location_key", "rank", F.col("r.geometry.location.lat").alias("lat"),
-                         F.col("r.geometry.location.lng").alias("lng")).where(F.col("lat").isNotNull())
-    schema = "array<struct<lat:string,lon:string>>"
-    ex = responses.select("location_key", F.posexplode(F.from_json("value", schema)).alias("rank", "r"))
-    return ex.select("location_key", "rank", F.col("r.lat").try_cast("double").alias("lat"),
-                     F.col("r.lon").try_cast("double").alias("lng")) \
-        .where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+        doc = F.from_json("value", GOOGLE_RESPONSE)
+        first = F.try_element_at(doc["results"], F.lit(1))
+        ok = (doc["status"] == "OK") & first.isNotNull()
+        lat = F.coalesce(first["geometry"]["location"]["lat"], F.lit(0.0))
+        lng = F.coalesce(first["geometry"]["location"]["lng"], F.lit(0.0))
+    elif provider == "nominatim":
+        first = F.try_element_at(F.from_json("value", NOMINATIM_RESPONSE), F.lit(1))
+        lat, lng = scan_float(first["lat"]), scan_float(first["lon"])
+        ok = lat.isNotNull() & lng.isNotNull()
+    else:
+        raise ValueError(provider)
+    out = responses.select("location_key", *extra, F.when(ok, lat).alias("lat"), F.when(ok, lng).alias("lng"))
+    return out.where(F.col("lat").isNotNull())
 
 
 def resolve(keys: DataFrame, cache: DataFrame, gazetteer: DataFrame,

@@ -77,6 +77,88 @@ def q_geocode_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unresolved.select("location_key", "display", "n_records")
 
 
+# -- provider responses (G3) and cache merge (K4/G4) -----------------------------------
+
+def _loc(lat: F.Column, lng: F.Column) -> F.Column:
+    return F.struct(F.struct(F.struct(lat.alias("lat"), lng.alias("lng")).alias("location")).alias("geometry"))
+
+
+def provider_responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One landed geocoder response per customer name (even keys from the first
+    provider, odd keys from the second), in five shapes per provider: no result,
+    several results, a malformed first result, a refused request and a plain one."""
+    c = T.read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    lat, lng = T.grid_lat(k), T.grid_lng(k)
+    v = (k / 2).cast("long") % 5
+    key = F.lower("c_name").alias("location_key")
+    loc_t = "struct<geometry:struct<location:struct<lat:double,lng:double>>>"
+    no_geo = F.struct(F.lit(None).cast("struct<location:struct<lat:double,lng:double>>").alias("geometry"))
+    results = (F.when(v == 0, F.array().cast(f"array<{loc_t}>"))
+               .when(v == 1, F.array(_loc(lat, lng), _loc(lat + 1, lng + 1)))
+               .when(v == 2, F.array(no_geo))
+               .otherwise(F.array(_loc(lat, lng))))
+    status = F.when(v == 0, "ZERO_RESULTS").when(v == 3, "OVER_QUERY_LIMIT").otherwise("OK")
+    google = c.where(k % 2 == 0).select(key, F.to_json(F.struct(status.alias("status"),
+                                                                results.alias("results"))).alias("value"))
+    s = lambda x: x.cast("string")
+    pt = lambda a, b: F.struct(a.alias("lat"), b.alias("lon"))
+    nomi_v = (F.when(v == 0, F.lit("[]"))
+              .when(v == 1, F.to_json(F.array(pt(s(lat), s(lng)), pt(F.lit("0"), F.lit("0")))))
+              .when(v == 2, F.to_json(F.array(pt(F.lit("x"), F.lit("1")), pt(s(lat), s(lng)))))
+              .when(v == 3, F.to_json(F.array(pt(F.concat(F.lit(" "), s(lat), F.lit("abc")),
+                                                 F.concat(s(lng), F.lit("e1"))))))
+              .otherwise(F.lit("<html>rate limited</html>")))
+    nominatim = c.where(k % 2 == 1).select(key, nomi_v.alias("value"))
+    return google, nominatim
+
+
+@register("geocode_provider", """WITH c AS (SELECT lower(c_name) AS location_key, c_custkey % 2 AS odd,
+        (c_custkey // 2) % 5 AS v, CAST((c_custkey * 37) % 161 AS DOUBLE) - 80.0 AS lat,
+        CAST((c_custkey * 73) % 359 AS DOUBLE) - 179.0 AS lng FROM customer)
+SELECT location_key, CASE WHEN odd = 0 AND v = 2 THEN 0.0 ELSE lat END AS lat,
+       CASE WHEN odd = 0 AND v = 2 THEN 0.0 WHEN odd = 1 AND v = 3 THEN lng * 10 ELSE lng END AS lng
+FROM c WHERE (odd = 0 AND v IN (1, 2, 4)) OR (odd = 1 AND v IN (1, 3))""")
+def q_geocode_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    google, nominatim = provider_responses(spark, sf_dir)
+    rows = G.provider_rows(google, "google").unionByName(G.provider_rows(nominatim, "nominatim"))
+    return G.first_result(rows)
+
+
+def _cache_frames(spark: SparkSession, sf_dir: str):
+    c = T.read_table(spark, sf_dir, "customer")
+    n = T.read_table(spark, sf_dir, "nation")
+    cn = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(
+        F.concat(F.lower("c_mktsegment"), F.lit("|"), F.lower("n_name")).alias("location_key"),
+        "n_nationkey", "c_custkey", "c_acctbal")
+    current = cn.where(F.col("c_acctbal") > 9000).select(
+        "location_key", F.col("n_nationkey").cast("double").alias("latitude"),
+        (-F.col("n_nationkey")).cast("double").alias("longitude"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at")).distinct()
+    batch = cn.where(F.col("c_acctbal") < 0).select(
+        "location_key", T.grid_lat(F.col("c_custkey")).alias("latitude"),
+        T.grid_lng(F.col("c_custkey")).alias("longitude"), F.col("c_custkey").alias("seq"))
+    return current, batch
+
+
+@register("upsert_cache", """WITH c AS (SELECT lower(c_mktsegment) || '|' || lower(n_name) AS location_key,
+        n_nationkey, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
+old AS (SELECT DISTINCT location_key, CAST(n_nationkey AS DOUBLE) AS latitude,
+        CAST(-n_nationkey AS DOUBLE) AS longitude FROM c WHERE c_acctbal > 9000),
+b AS (SELECT location_key, arg_max(CAST((c_custkey * 37) % 161 AS DOUBLE) - 80.0, c_custkey) AS latitude,
+        arg_max(CAST((c_custkey * 73) % 359 AS DOUBLE) - 179.0, c_custkey) AS longitude
+        FROM c WHERE c_acctbal < 0 GROUP BY location_key)
+SELECT coalesce(b.location_key, old.location_key) AS location_key,
+       CASE WHEN b.location_key IS NULL THEN old.latitude ELSE b.latitude END AS latitude,
+       CASE WHEN b.location_key IS NULL THEN old.longitude ELSE b.longitude END AS longitude,
+       old.location_key IS NULL AS is_new
+FROM old FULL JOIN b ON old.location_key = b.location_key""")
+def q_upsert_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current, batch = _cache_frames(spark, sf_dir)
+    out = M.upsert_cache(current, batch, RUN_TS(), "seq")
+    return out.select("location_key", "latitude", "longitude", (F.col("created_at") == RUN_TS()).alias("is_new"))
+
+
 # -- companies (K1) -------------------------------------------------------------------
 
 def _company_frames(spark: SparkSession, sf_dir: str):

@@ -62,3 +62,22 @@ def test_defaults_and_domain(spark):
     assert fixed[0].skills == [] and fixed[0].work_type == "onsite"
     v = {r.rule: r.n_violations for r in Q.domain_violations(jobs).collect()}
     assert v["work_type_domain"] == 2 and v["title_not_null"] == 1 and v["skills_not_null"] == 1
+
+
+def test_provider_rows_first_result_rules(spark):
+    """Only the first result counts; refused or malformed responses resolve nothing."""
+    ok2 = json.dumps({"status": "OK", "results": [{"geometry": {"location": {"lat": 1.5, "lng": 2.5}}},
+                                                  {"geometry": {"location": {"lat": 9.0, "lng": 9.0}}}]})
+    refused = json.dumps({"status": "OVER_QUERY_LIMIT", "results": [{"geometry": {"location": {"lat": 1, "lng": 1}}}]})
+    empty = json.dumps({"status": "ZERO_RESULTS", "results": []})
+    no_geo = json.dumps({"status": "OK", "results": [{}]})
+    g = G.provider_rows(spark.createDataFrame(
+        [("a", ok2), ("b", refused), ("c", empty), ("d", no_geo), ("e", "not json")],
+        "location_key string, value string"), "google")
+    assert {r.location_key: (r.lat, r.lng) for r in g.collect()} == {"a": (1.5, 2.5), "d": (0.0, 0.0)}
+    bad_first = json.dumps([{"lat": "x", "lon": "1"}, {"lat": "5", "lon": "6"}])
+    prefix = json.dumps([{"lat": " 12.5abc", "lon": "-7e1"}])
+    n = G.provider_rows(spark.createDataFrame(
+        [("f", bad_first), ("g", prefix), ("h", "[]"), ("i", "<html/>")],
+        "location_key string, value string"), "nominatim")
+    assert {r.location_key: (r.lat, r.lng) for r in n.collect()} == {"g": (12.5, -70.0)}
