@@ -83,14 +83,18 @@ def _loc(lat: F.Column, lng: F.Column) -> F.Column:
     return F.struct(F.struct(F.struct(lat.alias("lat"), lng.alias("lng")).alias("location")).alias("geometry"))
 
 
+GOOGLE_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE")
+
+
 def provider_responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One landed geocoder response per customer name (even keys from the first
-    provider, odd keys from the second), in five shapes per provider: no result,
-    several results, a malformed first result, a refused request and a plain one."""
+    """One landed geocoder response per customer name (three market segments asked
+    the first provider, the other two the second), in five shapes per provider: no
+    result, several results, a malformed first result, a refused request and a plain one."""
     c = T.read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     lat, lng = T.grid_lat(k), T.grid_lng(k)
-    v = (k / 2).cast("long") % 5
+    v = k % 5
+    first_provider = F.col("c_mktsegment").isin(*GOOGLE_SEGMENTS)
     key = F.lower("c_name").alias("location_key")
     loc_t = "struct<geometry:struct<location:struct<lat:double,lng:double>>>"
     no_geo = F.struct(F.lit(None).cast("struct<location:struct<lat:double,lng:double>>").alias("geometry"))
@@ -99,7 +103,7 @@ def provider_responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
                .when(v == 2, F.array(no_geo))
                .otherwise(F.array(_loc(lat, lng))))
     status = F.when(v == 0, "ZERO_RESULTS").when(v == 3, "OVER_QUERY_LIMIT").otherwise("OK")
-    google = c.where(k % 2 == 0).select(key, F.to_json(F.struct(status.alias("status"),
+    google = c.where(first_provider).select(key, F.to_json(F.struct(status.alias("status"),
                                                                 results.alias("results"))).alias("value"))
     s = lambda x: x.cast("string")
     pt = lambda a, b: F.struct(a.alias("lat"), b.alias("lon"))
@@ -109,16 +113,18 @@ def provider_responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
               .when(v == 3, F.to_json(F.array(pt(F.concat(F.lit(" "), s(lat), F.lit("abc")),
                                                  F.concat(s(lng), F.lit("e1"))))))
               .otherwise(F.lit("<html>rate limited</html>")))
-    nominatim = c.where(k % 2 == 1).select(key, nomi_v.alias("value"))
+    nominatim = c.where(~first_provider).select(key, nomi_v.alias("value"))
     return google, nominatim
 
 
-@register("geocode_provider", """WITH c AS (SELECT lower(c_name) AS location_key, c_custkey % 2 AS odd,
-        (c_custkey // 2) % 5 AS v, CAST((c_custkey * 37) % 161 AS DOUBLE) - 80.0 AS lat,
+@register("geocode_provider", """WITH c AS (SELECT lower(c_name) AS location_key,
+        CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') THEN 'google' ELSE 'nominatim' END AS provider,
+        c_custkey % 5 AS v, CAST((c_custkey * 37) % 161 AS DOUBLE) - 80.0 AS lat,
         CAST((c_custkey * 73) % 359 AS DOUBLE) - 179.0 AS lng FROM customer)
-SELECT location_key, CASE WHEN odd = 0 AND v = 2 THEN 0.0 ELSE lat END AS lat,
-       CASE WHEN odd = 0 AND v = 2 THEN 0.0 WHEN odd = 1 AND v = 3 THEN lng * 10 ELSE lng END AS lng
-FROM c WHERE (odd = 0 AND v IN (1, 2, 4)) OR (odd = 1 AND v IN (1, 3))""")
+SELECT location_key, CASE WHEN provider = 'google' AND v = 2 THEN 0.0 ELSE lat END AS lat,
+       CASE WHEN provider = 'google' AND v = 2 THEN 0.0 WHEN provider = 'nominatim' AND v = 3 THEN lng * 10
+            ELSE lng END AS lng
+FROM c WHERE (provider = 'google' AND v IN (1, 2, 4)) OR (provider = 'nominatim' AND v IN (1, 3))""")
 def q_geocode_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     google, nominatim = provider_responses(spark, sf_dir)
     rows = G.provider_rows(google, "google").unionByName(G.provider_rows(nominatim, "nominatim"))
