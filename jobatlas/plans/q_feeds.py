@@ -101,8 +101,7 @@ def _item(source: str) -> Column:
     raise ValueError(source)
 
 
-ENVELOPE = {"remoteok": None, "remotive": "jobs", "arbeitnow": "data", "jobicy": "jobs",
-            "adzuna": "results", "jooble": "jobs"}
+ENVELOPE = FD.ENVELOPES
 
 
 def landed_payloads(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
@@ -264,3 +263,50 @@ def q_feed_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs = FD.queries_frame(spark, SEARCH_TERMS, CAP)
     hits = FD.apply_queries(_doc_feed(spark, sf_dir), qs)
     return FD.cap_per_query(hits.drop("_per_page"), CAP).select("doc_id", "source", "query_ord")
+
+
+# -- rejected payloads (S12) ---------------------------------------------------------
+
+def event_payloads(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """Every event landed as a payload of ``source``: ``props`` (a JSON object) becomes
+    one item of a well-formed page, except that error events arrive as an HTTP error
+    text, view events put the object where the item list belongs, and click events
+    send a list that mixes a number with the object."""
+    e = T.read_table(spark, sf_dir, "events")
+    env = FD.ENVELOPES[source]
+
+    def page(items: Column) -> Column:
+        return items if env is None else F.concat(F.lit('{"' + env + '": '), items, F.lit("}"))
+    props, et = F.col("props"), F.col("event_type")
+    value = (F.when(et == "error", F.concat(F.lit("HTTP 500 "), props))
+             .when(et == "view", props if env is None else page(props))
+             .when(et == "click", page(F.concat(F.lit("[1, "), props, F.lit("]"))))
+             .otherwise(page(F.concat(F.lit("["), props, F.lit("]")))))
+    return e.select(value.alias("value"), F.concat(F.lit("events/"), F.col("event_id").cast("string")).alias("path"))
+
+
+def _payload_errors_sql(source: str) -> str:
+    env = FD.ENVELOPES[source]
+
+    def page(items: str) -> str:
+        return items if env is None else f"""'{{"{env}": ' || {items} || '}}'"""
+
+    def object_list(path: str) -> str:
+        t = f"json_type(doc, '{path}')"
+        return (f"({t} IS NULL OR {t} = 'NULL' OR ({t} = 'ARRAY' AND len(list_filter("
+                f"json_type(doc, '{path}[*]'), lambda x: x NOT IN ('OBJECT', 'NULL'))) = 0))")
+    shape = object_list("$") if env is None else \
+        f"(json_type(doc) IN ('OBJECT', 'NULL') AND {object_list('$.' + env)})"
+    return f"""SELECT '{source}' AS source, path, CASE WHEN doc IS NULL THEN '{FD.PAYLOAD_NOT_JSON}'
+        ELSE '{FD.PAYLOAD_WRONG_SHAPE.replace("'", "''")}' END AS reason
+FROM (SELECT path, TRY_CAST(value AS JSON) AS doc FROM (SELECT 'events/' || CAST(event_id AS VARCHAR) AS path,
+        CASE event_type WHEN 'error' THEN 'HTTP 500 ' || props WHEN 'view' THEN {page('props')}
+             WHEN 'click' THEN {page("'[1, ' || props || ']'")} ELSE {page("'[' || props || ']'")} END AS value
+        FROM events))
+WHERE doc IS NULL OR NOT {shape}"""
+
+
+@register("payload_errors", "\nUNION ALL\n".join(_payload_errors_sql(s) for s in FD.SOURCE_ORDER))
+def q_payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FD.union_sources({s: FD.payload_errors(event_payloads(spark, sf_dir, s), s)
+                             for s in FD.SOURCE_ORDER})

@@ -34,6 +34,9 @@ SOURCE_ORDER = ("remoteok", "remotive", "arbeitnow", "jobicy", "adzuna", "jooble
 ADZUNA_COUNTRIES = ("gb", "us", "in", "au", "ca", "de", "fr", "sg")
 ADZUNA_CURRENCY = {"gb": "GBP", "us": "USD", "ca": "USD", "in": "INR", "au": "AUD",
                    "de": "EUR", "fr": "EUR", "sg": "SGD"}
+# Field holding the item list of each feed's payload (remoteok: the payload is the list).
+ENVELOPES = {"remoteok": None, "remotive": "jobs", "arbeitnow": "data", "jobicy": "jobs",
+             "adzuna": "results", "jooble": "jobs"}
 # Feeds whose search runs client-side (the payload is the whole feed).
 CLIENT_FILTERED = ("remoteok", "arbeitnow", "jobicy")
 DEFAULT_PER_QUERY = 100
@@ -86,8 +89,7 @@ def _ctx(payloads: DataFrame, name: str) -> list[Column]:
 def _items(payloads: DataFrame, name: str) -> DataFrame:
     """posexplode the item list of every payload (pos = index within the payload)."""
     doc = F.from_json(F.col("value"), SCHEMAS[name])
-    envelope = {"remoteok": None, "remotive": "jobs", "arbeitnow": "data", "jobicy": "jobs",
-                "adzuna": "results", "jooble": "jobs"}[name]
+    envelope = ENVELOPES[name]
     arr = doc if envelope is None else doc.getField(envelope)
     items = payloads.select(*_ctx(payloads, name), F.posexplode_outer(arr).alias("pos", "it")) \
         .where(F.col("it").isNotNull())
@@ -251,12 +253,45 @@ ADAPTERS = {"remoteok": remoteok, "remotive": remotive, "arbeitnow": arbeitnow,
             "jobicy": jobicy, "adzuna": adzuna, "jooble": jooble}
 
 
+def _json_kind(v: Column) -> Column:
+    """Kind of a variant's top value: OBJECT, ARRAY, VOID (JSON null), STRING, BIGINT, ..."""
+    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+
+
+def _object_list(v: Column) -> Column:
+    """An item list a typed decoder accepts: absent, JSON null, or a list whose
+    elements are objects or nulls (``ARRAY<VOID>`` is the empty or all-null list)."""
+    s = F.schema_of_variant(v)
+    return v.isNull() | (s == "VOID") | s.rlike(r"^ARRAY<(OBJECT|VOID)")
+
+
+PAYLOAD_NOT_JSON = "payload is not valid JSON"
+PAYLOAD_WRONG_SHAPE = "payload does not have the feed's shape"
+
+
+def payload_reason(value: Column, source: str) -> Column:
+    """Why a whole payload is rejected, NULL if it is not.
+
+    A payload is rejected when it is not JSON, or when its envelope has the wrong
+    kind: a top value that is neither an object nor null (the list itself for
+    remoteok), or an item list that is not a list of objects.  Unknown fields and
+    a missing item list are accepted (an empty page), as by a struct decoder.
+    """
+    v = F.try_parse_json(value)
+    env = ENVELOPES[source]
+    if env is None:
+        shape_ok = _object_list(v)
+    else:
+        shape_ok = _json_kind(v).isin("OBJECT", "VOID") & _object_list(F.variant_get(v, f"$.{env}", "variant"))
+    return F.when(v.isNull(), F.lit(PAYLOAD_NOT_JSON)).when(~shape_ok, F.lit(PAYLOAD_WRONG_SHAPE))
+
+
 def payload_errors(payloads: DataFrame, source: str) -> DataFrame:
-    """Payloads that are not JSON at all (the rest of the run continues)."""
+    """Rejected payloads with their reason (the rest of the run continues)."""
     path = F.col("path") if "path" in payloads.columns else F.lit(None).cast("string")
-    return (payloads.where(F.try_parse_json(F.col("value")).isNull())
-            .select(F.lit(source).alias("source"), path.alias("path"),
-                    F.lit("payload is not valid JSON").alias("reason")))
+    out = payloads.select(F.lit(source).alias("source"), path.alias("path"),
+                          payload_reason(F.col("value"), source).alias("reason"))
+    return out.where(F.col("reason").isNotNull())
 
 
 # -- queries (J6, F10, L4) -------------------------------------------------------------

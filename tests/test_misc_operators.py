@@ -81,3 +81,23 @@ def test_provider_rows_first_result_rules(spark):
         [("f", bad_first), ("g", prefix), ("h", "[]"), ("i", "<html/>")],
         "location_key string, value string"), "nominatim")
     assert {r.location_key: (r.lat, r.lng) for r in n.collect()} == {"g": (12.5, -70.0)}
+
+
+def test_payload_reason_shapes(spark):
+    from jobatlas.sources import feeds as FD
+    cases = {  # value -> (remoteok reason, remotive reason)
+        "[]": (None, FD.PAYLOAD_WRONG_SHAPE),
+        '[{"id": "1"}, null]': (None, FD.PAYLOAD_WRONG_SHAPE),
+        '[1, {"id": "1"}]': (FD.PAYLOAD_WRONG_SHAPE, FD.PAYLOAD_WRONG_SHAPE),
+        "null": (None, None),
+        "{}": (FD.PAYLOAD_WRONG_SHAPE, None),
+        '{"jobs": null}': (FD.PAYLOAD_WRONG_SHAPE, None),
+        '{"jobs": [{"id": 1}]}': (FD.PAYLOAD_WRONG_SHAPE, None),
+        '{"jobs": {"id": 1}}': (FD.PAYLOAD_WRONG_SHAPE, FD.PAYLOAD_WRONG_SHAPE),
+        '{"jobs": [[1]]}': (FD.PAYLOAD_WRONG_SHAPE, FD.PAYLOAD_WRONG_SHAPE),
+        "<html>busy</html>": (FD.PAYLOAD_NOT_JSON, FD.PAYLOAD_NOT_JSON),
+    }
+    df = spark.createDataFrame([(v,) for v in cases], "value string")
+    got = df.select("value", FD.payload_reason(F.col("value"), "remoteok").alias("a"),
+                    FD.payload_reason(F.col("value"), "remotive").alias("b")).collect()
+    assert {r.value: (r.a, r.b) for r in got} == cases
