@@ -8,7 +8,8 @@
   inside each file (row-group pruning for office lookups).
 
 None of these shuffles a hot key into one task: the jobs and index writes only sort
-within partitions, and the offices range partitioning is over (band, longitude).
+within partitions, and the offices range partitioning is over (band, longitude, id),
+so even many offices at one point are spread over several range partitions.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ LAT_BANDS = 64
 
 
 def write_offices_clustered(offices: DataFrame, path: str, files: int | None = None,
-                            bands: int = LAT_BANDS) -> None:
+                            bands: int = LAT_BANDS, tie_break: str = "id") -> None:
     band = F.floor((F.col("lat") + 90.0) / (180.0 / bands)).cast("int").alias("_band")
     n = files or bands
-    (offices.select("*", band).repartitionByRange(n, "_band", "lng")
+    keys = ["_band", "lng"] + ([tie_break] if tie_break in offices.columns else [])
+    (offices.select("*", band).repartitionByRange(n, *keys)
      .sortWithinPartitions("_band", "lng").drop("_band")
      .write.mode("overwrite").parquet(path))
 

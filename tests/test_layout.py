@@ -40,3 +40,13 @@ def test_jobs_by_work_type(spark):
     back = spark.read.parquet(out)
     assert back.where(F.col("work_type") == "remote").count() == \
         T.jobs(spark, SMOKE).where(F.col("work_type") == "remote").count()
+
+
+def test_offices_at_one_point_spread_over_files(spark):
+    """A hot point (every office at the same coordinates) still fills several files."""
+    import glob
+    out = tempfile.mkdtemp(prefix="layout-") + "/offices"
+    offices = spark.range(4000).select(F.col("id"), F.lit(52.5).alias("lat"), F.lit(13.4).alias("lng"))
+    L.write_offices_clustered(offices, out, files=4, bands=8)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{out}/*.parquet")]
+    assert sum(sizes) == 4000 and len([n for n in sizes if n > 0]) >= 3
