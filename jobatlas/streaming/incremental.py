@@ -19,9 +19,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.dedup import first_per_key
 
+# Largest number of a micro-batch's keys that is broadcast to probe the snapshot.
+BROADCAST_BATCH_KEYS = 500_000
+
 
 def _ensure_table(spark: SparkSession, path: str, schema) -> None:
     try:
@@ -30,10 +34,28 @@ def _ensure_table(spark: SparkSession, path: str, schema) -> None:
         spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
 
+def unseen(firsts: DataFrame, seen: DataFrame, keys: Sequence[str],
+           broadcast_keys: int = BROADCAST_BATCH_KEYS) -> DataFrame:
+    """Rows of ``firsts`` (one per key) whose key is not in ``seen``.
+
+    ``seen`` is the whole history and keeps growing; a plain anti-join would
+    shuffle all of it for every micro-batch.  When the batch holds at most
+    ``broadcast_keys`` keys (checked by a count), the batch keys are broadcast
+    into a semi-join over the snapshot scan, so the snapshot is only read, and
+    the few keys found are anti-joined back.  Larger batches use the shuffle join.
+    """
+    keys = list(keys)
+    if firsts.count() <= broadcast_keys:
+        known = seen.join(F.broadcast(firsts.select(*keys)), keys, "left_semi")
+        return firsts.join(known, keys, "left_anti")
+    return firsts.join(seen, keys, "left_anti")
+
+
 def first_seen_stream(stream: DataFrame, key: str | Sequence[str], order: Sequence[str],
                       snapshot_path: str, checkpoint_path: str,
                       prepare: Callable[[DataFrame], DataFrame] | None = None,
-                      max_files_per_trigger: int | None = None) -> None:
+                      max_files_per_trigger: int | None = None,
+                      broadcast_keys: int = BROADCAST_BATCH_KEYS) -> None:
     """Run the stream to completion, appending first-ever rows per key to ``snapshot_path``."""
     spark = stream.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
@@ -41,9 +63,14 @@ def first_seen_stream(stream: DataFrame, key: str | Sequence[str], order: Sequen
     _ensure_table(spark, snapshot_path, shaped.schema)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        firsts = first_per_key(batch, keys, order)
-        seen = batch.sparkSession.read.parquet(snapshot_path).select(*keys)
-        firsts.join(seen, keys, "left_anti").write.mode("append").parquet(snapshot_path)
+        # kept for the size check and the write; a lost block is recomputed from the
+        # replayable micro-batch
+        firsts = first_per_key(batch, keys, order).persist()
+        try:
+            seen = batch.sparkSession.read.parquet(snapshot_path).select(*keys)
+            unseen(firsts, seen, keys, broadcast_keys).write.mode("append").parquet(snapshot_path)
+        finally:
+            firsts.unpersist()
 
     q = (shaped.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint_path)

@@ -67,3 +67,12 @@ def test_stateful_dedup_stream(spark):
     INC.first_seen_stream_stateful(INC.file_stream(spark, f"{land}/one", "k string, v int"), "k",
                                    f"{out}/r", f"{out}/ck")
     assert sorted(r.k for r in spark.read.parquet(f"{out}/r").collect()) == ["a", "b"]
+
+
+def test_unseen_paths_agree(spark):
+    """The broadcast probe and the shuffle anti-join return the same new keys."""
+    firsts = spark.range(0, 3000).select((F.col("id") * 2).alias("k"), F.col("id").alias("v"))
+    seen = spark.range(0, 5000).select((F.col("id") * 3).alias("k"))
+    small = {tuple(r) for r in INC.unseen(firsts, seen, ["k"], broadcast_keys=10_000).collect()}
+    big = {tuple(r) for r in INC.unseen(firsts, seen, ["k"], broadcast_keys=0).collect()}
+    assert small == big and len(small) == 3000 - 1000   # multiples of 6 below 6000 are known
