@@ -104,9 +104,10 @@ def _item(source: str) -> Column:
 ENVELOPE = FD.ENVELOPES
 
 
-def landed_payloads(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """JSON payload pages of one feed (columns: value, page_ord[, country])."""
-    items = _part_items(spark, sf_dir)
+def landed_payloads(spark: SparkSession, sf_dir: str, source: str, items: DataFrame | None = None) -> DataFrame:
+    """JSON payload pages of one feed (columns: value, page_ord[, country]).
+    ``items`` (from ``_part_items``) can be shared by several feeds of one plan."""
+    items = _part_items(spark, sf_dir) if items is None else items
     keys = ["page_ord", "cc"] if source == "adzuna" else ["page_ord"]
     g = items.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col("k"), _item(source).alias("v")))).alias("arr"))
@@ -226,7 +227,8 @@ for _s in FD.SOURCE_ORDER:
 @register("feeds_union", "WITH items AS (" + _ITEMS_SQL + ")\n" + "\nUNION ALL\n".join(
     _feed_body(s) for s in FD.SOURCE_ORDER))
 def q_feeds_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = {s: FD.ADAPTERS[s](landed_payloads(spark, sf_dir, s)) for s in FD.SOURCE_ORDER}
+    items = _part_items(spark, sf_dir)
+    frames = {s: FD.ADAPTERS[s](landed_payloads(spark, sf_dir, s, items)) for s in FD.SOURCE_ORDER}
     return _out(FD.union_sources(frames))
 
 

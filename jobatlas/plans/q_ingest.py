@@ -16,7 +16,7 @@ from ..sources import feeds as FD
 from ..sources import tables as T
 from . import ingest as I
 from . import sqltext as S
-from .q_feeds import _ITEMS_SQL, _feed_body, landed_payloads
+from .q_feeds import _ITEMS_SQL, _feed_body, _part_items, landed_payloads
 from .registry import register
 
 RUN1_SOURCES = ("remoteok", "remotive", "arbeitnow")
@@ -89,7 +89,8 @@ def q_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = FD.queries_frame(spark, SEARCH, FD.DEFAULT_PER_QUERY)
     gaz = part_gazetteer(spark, sf_dir)
     # land the payload pages once, as the feed pulls would have written them
-    payloads = {s: cut_lineage(landed_payloads(spark, sf_dir, s), f"landed-{s}") for s in FD.SOURCE_ORDER}
+    items = _part_items(spark, sf_dir)
+    payloads = {s: cut_lineage(landed_payloads(spark, sf_dir, s, items), f"landed-{s}") for s in FD.SOURCE_ORDER}
     ts1 = F.lit("2025-01-01 00:00:00").cast("timestamp")
     ts2 = F.lit("2025-01-01 06:00:00").cast("timestamp")
     raw1, err1 = I.fetch({s: payloads[s] for s in RUN1_SOURCES}, queries)
