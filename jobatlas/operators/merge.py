@@ -9,6 +9,12 @@ so it is pre-aggregated on the map side (a hot key costs one row per task), and
 the join sees at most one row per key on each side.  New surrogate ids are
 ``xxhash64`` of the key: deterministic, shuffle-free and replay-safe; the
 uniqueness check (Q1) reports any collision.
+
+The snapshot is the whole history and a run's batch is small next to it.  When
+the folded batch has at most ``broadcast_rows`` keys (counted first), it is
+broadcast: the snapshot is scanned (whole for the left outer join, keys only for
+the semi-join that finds which batch keys are known) but never shuffled.  Larger
+batches use the shuffled full outer join.
 """
 
 from __future__ import annotations
@@ -20,6 +26,26 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# Largest folded batch (rows, one per key) broadcast against the snapshot.
+BROADCAST_BATCH_ROWS = 200_000
+
+
+def keyed_full_join(cur: DataFrame, b: DataFrame, keys: Sequence[str],
+                    broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
+    """``cur FULL OUTER JOIN b USING (keys)`` for a ``b`` with one row per key.
+
+    Below the bound this is ``cur LEFT JOIN broadcast(b)`` plus the batch rows
+    whose key the snapshot lacks; both pieces probe a broadcast batch, so the
+    snapshot never moves.
+    """
+    keys = list(keys)
+    if broadcast_rows > 0 and b.count() <= broadcast_rows:
+        kept = cur.join(F.broadcast(b), keys, "left_outer")
+        known = cur.select(*keys).join(F.broadcast(b.select(*keys)), keys, "left_semi")
+        fresh = b.join(known, keys, "left_anti")
+        return kept.unionByName(fresh, allowMissingColumns=True)
+    return cur.join(b, keys, "full_outer")
+
 
 def _last_nonblank(c: str, seq: str) -> Column:
     """Latest non-blank value of ``c`` by ``seq`` (NULL if every value is blank)."""
@@ -35,7 +61,8 @@ def _first(cols: Sequence[str], seq: str) -> Column:
     return F.min(F.struct(F.col(seq).alias("_s"), *[F.col(c) for c in cols]))
 
 
-def upsert_companies(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str = "seq") -> DataFrame:
+def upsert_companies(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str = "seq",
+                     broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
     """K1: key ``name``; website/logo: latest non-blank from the batch, else kept.
 
     ``current``: id, name, website, logo_url, created_at.  ``batch``: name, website, logo_url, seq.
@@ -45,7 +72,7 @@ def upsert_companies(current: DataFrame, batch: DataFrame, run_ts: Column, seq:
                                   _last_nonblank("logo_url", seq).alias("b_logo"),
                                   F.count(F.lit(1)).alias("n_batch"))
     cur = current.select("id", "name", "website", "logo_url", "created_at", F.lit(True).alias("_cur"))
-    j = cur.join(b, "name", "full_outer")
+    j = keyed_full_join(cur, b, ["name"], broadcast_rows)
     return j.select(
         F.coalesce(F.col("id"), F.xxhash64("name")).alias("id"), "name",
         F.coalesce(F.col("b_website"), X.blank_to_null(F.col("website"))).alias("website"),
@@ -61,7 +88,8 @@ def office_country(city: Column, country: Column) -> Column:
         .otherwise(X.null_to_blank(country))
 
 
-def upsert_offices(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str = "seq") -> DataFrame:
+def upsert_offices(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str = "seq",
+                   broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
     """K2: key (company_id, city, country); address: latest non-blank else kept; location: latest."""
     keys = ["company_id", "city", "country"]
     bb = batch.withColumn("country", office_country(F.col("city"), F.col("country"))) \
@@ -70,7 +98,7 @@ def upsert_offices(current: DataFrame, batch: DataFrame, run_ts: Column, seq: st
                               _last(["lat", "lng"], seq).alias("_loc"),
                               F.count(F.lit(1)).alias("n_batch"))
     cur = current.select("id", *keys, "address", "lat", "lng", "created_at", F.lit(True).alias("_cur"))
-    j = cur.join(b, keys, "full_outer")
+    j = keyed_full_join(cur, b, keys, broadcast_rows)
     has_b = F.col("_loc").isNotNull()
     return j.select(
         F.coalesce(F.col("id"), F.xxhash64(*keys)).alias("id"), *keys,
@@ -89,7 +117,8 @@ JOB_UPDATE_COLUMNS = ("salary_min", "salary_max", "source_url")
 
 def upsert_jobs(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str = "seq",
                 insert_cols: Sequence[str] = JOB_INSERT_COLUMNS,
-                update_cols: Sequence[str] = JOB_UPDATE_COLUMNS) -> DataFrame:
+                update_cols: Sequence[str] = JOB_UPDATE_COLUMNS,
+                broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
     """K3: key ``dedup_hash``.
 
     A known key keeps every column from first sight except ``salary_min``,
@@ -103,7 +132,7 @@ def upsert_jobs(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str =
                                         F.count(F.lit(1)).alias("n_batch"))
     cur = current.select("id", "dedup_hash", *insert_cols, *update_cols, "created_at", "updated_at",
                          F.lit(True).alias("_cur"))
-    j = cur.join(b, "dedup_hash", "full_outer")
+    j = keyed_full_join(cur, b, ["dedup_hash"], broadcast_rows)
     is_cur = F.col("_cur").isNotNull()
     has_b = F.col("n_batch").isNotNull()
     cols = [F.coalesce(F.col("id"), F.xxhash64("dedup_hash")).alias("id"), F.col("dedup_hash")]
@@ -115,14 +144,15 @@ def upsert_jobs(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str =
     return j.select(*cols)
 
 
-def upsert_cache(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str | None = None) -> DataFrame:
+def upsert_cache(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str | None = None,
+                 broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
     """Key ``location_key``; latitude/longitude replaced (last write wins)."""
     if seq is None:
         b = batch.groupBy("location_key").agg(F.max(F.struct("latitude", "longitude")).alias("_c"))
     else:
         b = batch.groupBy("location_key").agg(_last(["latitude", "longitude"], seq).alias("_c"))
     cur = current.select("location_key", "latitude", "longitude", "created_at")
-    j = cur.join(b, "location_key", "full_outer")
+    j = keyed_full_join(cur, b, ["location_key"], broadcast_rows)
     has_b = F.col("_c").isNotNull()
     return j.select("location_key",
                     F.when(has_b, F.col("_c.latitude")).otherwise(F.col("latitude")).alias("latitude"),
