@@ -31,15 +31,16 @@ BROADCAST_BATCH_ROWS = 200_000
 
 
 def keyed_full_join(cur: DataFrame, b: DataFrame, keys: Sequence[str],
-                    broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
+                    broadcast_rows: int = BROADCAST_BATCH_ROWS, rows: DataFrame | None = None) -> DataFrame:
     """``cur FULL OUTER JOIN b USING (keys)`` for a ``b`` with one row per key.
 
     Below the bound this is ``cur LEFT JOIN broadcast(b)`` plus the batch rows
     whose key the snapshot lacks; both pieces probe a broadcast batch, so the
-    snapshot never moves.
+    snapshot never moves.  ``rows`` is the unfolded batch, if given: it has at
+    least as many rows as ``b``, and counting it needs no shuffle.
     """
     keys = list(keys)
-    if broadcast_rows > 0 and b.count() <= broadcast_rows:
+    if broadcast_rows > 0 and (b if rows is None else rows).count() <= broadcast_rows:
         kept = cur.join(F.broadcast(b), keys, "left_outer")
         known = cur.select(*keys).join(F.broadcast(b.select(*keys)), keys, "left_semi")
         fresh = b.join(known, keys, "left_anti")
@@ -72,7 +73,7 @@ def upsert_companies(current: DataFrame, batch: DataFrame, run_ts: Column, seq:
                                   _last_nonblank("logo_url", seq).alias("b_logo"),
                                   F.count(F.lit(1)).alias("n_batch"))
     cur = current.select("id", "name", "website", "logo_url", "created_at", F.lit(True).alias("_cur"))
-    j = keyed_full_join(cur, b, ["name"], broadcast_rows)
+    j = keyed_full_join(cur, b, ["name"], broadcast_rows, batch)
     return j.select(
         F.coalesce(F.col("id"), F.xxhash64("name")).alias("id"), "name",
         F.coalesce(F.col("b_website"), X.blank_to_null(F.col("website"))).alias("website"),
@@ -98,7 +99,7 @@ def upsert_offices(current: DataFrame, batch: DataFrame, run_ts: Column, seq: st
                               _last(["lat", "lng"], seq).alias("_loc"),
                               F.count(F.lit(1)).alias("n_batch"))
     cur = current.select("id", *keys, "address", "lat", "lng", "created_at", F.lit(True).alias("_cur"))
-    j = keyed_full_join(cur, b, keys, broadcast_rows)
+    j = keyed_full_join(cur, b, keys, broadcast_rows, batch)
     has_b = F.col("_loc").isNotNull()
     return j.select(
         F.coalesce(F.col("id"), F.xxhash64(*keys)).alias("id"), *keys,
@@ -132,7 +133,7 @@ def upsert_jobs(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str =
                                         F.count(F.lit(1)).alias("n_batch"))
     cur = current.select("id", "dedup_hash", *insert_cols, *update_cols, "created_at", "updated_at",
                          F.lit(True).alias("_cur"))
-    j = keyed_full_join(cur, b, ["dedup_hash"], broadcast_rows)
+    j = keyed_full_join(cur, b, ["dedup_hash"], broadcast_rows, batch)
     is_cur = F.col("_cur").isNotNull()
     has_b = F.col("n_batch").isNotNull()
     cols = [F.coalesce(F.col("id"), F.xxhash64("dedup_hash")).alias("id"), F.col("dedup_hash")]
@@ -152,7 +153,7 @@ def upsert_cache(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str
     else:
         b = batch.groupBy("location_key").agg(_last(["latitude", "longitude"], seq).alias("_c"))
     cur = current.select("location_key", "latitude", "longitude", "created_at")
-    j = keyed_full_join(cur, b, ["location_key"], broadcast_rows)
+    j = keyed_full_join(cur, b, ["location_key"], broadcast_rows, batch)
     has_b = F.col("_c").isNotNull()
     return j.select("location_key",
                     F.when(has_b, F.col("_c.latitude")).otherwise(F.col("latitude")).alias("latitude"),
