@@ -91,14 +91,16 @@ def run(raw: DataFrame, store: Store, gazetteer: DataFrame, run_ts: Column,
         placed.select(F.col("company_name").alias("name"), F.lit("").alias("website"),
                       F.col("company_logo").alias("logo_url"), "seq"),
         run_ts, "seq"), "companies")
-    with_company = placed.join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")),
-                               "company_name")
+    # id lookups only need the rows this batch touched (n_batch > 0), not the whole history
+    batch_companies = companies.where(F.col("n_batch") > 0)
+    with_company = placed.join(batch_companies.select(F.col("id").alias("company_id"),
+                                                      F.col("name").alias("company_name")), "company_name")
     offices = ck(M.upsert_offices(
         store.offices,
         with_company.select("company_id", "city", "country", F.lit("").alias("address"), "lat", "lng", "seq"),
         run_ts, "seq"), "offices")
-    office_ids = offices.select(F.col("id").alias("office_id"), "company_id", "city",
-                                F.col("country").alias("_office_country"))
+    office_ids = offices.where(F.col("n_batch") > 0).select(
+        F.col("id").alias("office_id"), "company_id", "city", F.col("country").alias("_office_country"))
     job_rows = (with_company.withColumn("_office_country", M.office_country(F.col("city"), F.col("country")))
                 .join(office_ids, ["company_id", "city", "_office_country"]))
     jobs = ck(M.upsert_jobs(store.jobs, job_rows, run_ts, "seq"), "jobs")
