@@ -6,7 +6,7 @@ rank)`` supplied by the caller (e.g. parsed provider responses, G3).  Plan:
     records --distinct keys (partial agg)--> keys
     keys  x cache        -> hits                 (equi join; AQE picks broadcast by runtime size)
     keys  anti cache     -> misses
-    misses x first(gazetteer per key) -> resolved, merged into the cache (K4)
+    misses x first(gazetteer rows of the missing keys) -> resolved, merged into the cache (K4)
     misses anti gazetteer -> unresolved work list (retried next run: never cached)
     records x coords     -> placed records; records without coords are counted as failures (G5)
 
@@ -87,7 +87,9 @@ def resolve(keys: DataFrame, cache: DataFrame, gazetteer: DataFrame,
     c = cache.select(key, F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
     hits = keys.join(c, key).withColumn("resolved_by", F.lit("cache"))
     misses = keys.join(c.select(key), key, "left_anti")
-    gz = first_result(gazetteer, key)
+    # only the run's missing keys are looked up: cut the gazetteer down to them before
+    # choosing each key's first result (the gazetteer may hold every place name there is)
+    gz = first_result(gazetteer.join(misses.select(key), key, "left_semi"), key)
     fresh = misses.join(gz, key).withColumn("resolved_by", F.lit("gazetteer"))
     unresolved = misses.join(gz.select(key), key, "left_anti")
     coords = hits.unionByName(fresh)
