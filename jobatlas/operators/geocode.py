@@ -4,8 +4,9 @@ The network geocoder is replaced by a gazetteer table ``(location_key, lat, lng,
 rank)`` supplied by the caller (e.g. parsed provider responses, G3).  Plan:
 
     records --distinct keys (partial agg)--> keys
-    keys  x cache        -> hits                 (equi join; AQE picks broadcast by runtime size)
-    keys  anti cache     -> misses
+    cache semi keys      -> the cache rows of this run's keys (keys broadcast below a counted bound)
+    keys  x those rows   -> hits
+    keys  anti those     -> misses
     misses x first(gazetteer rows of the missing keys) -> resolved, merged into the cache (K4)
     misses anti gazetteer -> unresolved work list (retried next run: never cached)
     records x coords     -> placed records; records without coords are counted as failures (G5)
@@ -77,19 +78,29 @@ def provider_rows(responses: DataFrame, provider: str) -> DataFrame:
     return out.where(F.col("lat").isNotNull())
 
 
-def resolve(keys: DataFrame, cache: DataFrame, gazetteer: DataFrame,
-            key: str = "location_key") -> tuple[DataFrame, DataFrame, DataFrame]:
+# Largest number of a run's distinct location keys broadcast to probe the cache and gazetteer.
+BROADCAST_KEYS = 500_000
+
+
+def resolve(keys: DataFrame, cache: DataFrame, gazetteer: DataFrame, key: str = "location_key",
+            broadcast_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(coords, unresolved, new_cache_rows) for a set of distinct keys.
 
     ``cache`` columns: (location_key, latitude, longitude).  Unresolved keys are
-    not cached, so the next run retries them.
+    not cached, so the next run retries them.  The cache and the gazetteer keep
+    growing while a run's keys are few: when there are at most ``broadcast_keys``
+    of them (counted first), the keys are broadcast into semi-joins that cut both
+    tables down to this run's keys while scanning them, so neither is shuffled.
     """
+    probe = (lambda k: F.broadcast(k)) if broadcast_keys > 0 and keys.count() <= broadcast_keys \
+        else (lambda k: k)
     c = cache.select(key, F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
+    c = c.join(probe(keys.select(key)), key, "left_semi")
     hits = keys.join(c, key).withColumn("resolved_by", F.lit("cache"))
     misses = keys.join(c.select(key), key, "left_anti")
     # only the run's missing keys are looked up: cut the gazetteer down to them before
     # choosing each key's first result (the gazetteer may hold every place name there is)
-    gz = first_result(gazetteer.join(misses.select(key), key, "left_semi"), key)
+    gz = first_result(gazetteer.join(probe(misses.select(key)), key, "left_semi"), key)
     fresh = misses.join(gz, key).withColumn("resolved_by", F.lit("gazetteer"))
     unresolved = misses.join(gz.select(key), key, "left_anti")
     coords = hits.unionByName(fresh)
