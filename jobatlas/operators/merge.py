@@ -162,18 +162,24 @@ def upsert_cache(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str
 
 
 def delete_jobs(jobs: DataFrame, offices: DataFrame, requests: DataFrame,
-                job_key: Sequence[str] = ("id",)) -> tuple[DataFrame, DataFrame]:
+                job_key: Sequence[str] = ("id",),
+                broadcast_rows: int = BROADCAST_BATCH_ROWS) -> tuple[DataFrame, DataFrame]:
     """Delete requested jobs whose office belongs to the requesting company.
 
     ``requests``: job key columns + ``company_id``.  Returns (remaining jobs,
-    requests that matched nothing -> "not found or not yours").
+    requests that matched nothing -> "not found or not yours").  The requested
+    jobs are picked out of the table first, so the ownership check only joins
+    them; with at most ``broadcast_rows`` requests (counted first) the request
+    keys and the owned keys are broadcast and the jobs table is only scanned.
     """
     keys = list(job_key)
-    owned = (jobs.select(*keys, "office_id")
-             .join(offices.select(F.col("id").alias("office_id"), F.col("company_id")), "office_id")
-             .join(requests.select(*keys, "company_id"), keys + ["company_id"], "left_semi")
+    req = requests.select(*keys, "company_id")
+    b = F.broadcast if broadcast_rows > 0 and req.count() <= broadcast_rows else (lambda d: d)
+    asked = jobs.select(*keys, "office_id").join(b(req.select(*keys).distinct()), keys, "left_semi")
+    owned = (asked.join(offices.select(F.col("id").alias("office_id"), F.col("company_id")), "office_id")
+             .join(req, keys + ["company_id"], "left_semi")
              .select(*keys).distinct())
-    remaining = jobs.join(owned, keys, "left_anti")
+    remaining = jobs.join(b(owned), keys, "left_anti")
     not_found = requests.join(owned, keys, "left_anti")
     return remaining, not_found
 

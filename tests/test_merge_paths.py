@@ -32,3 +32,14 @@ def test_broadcast_merge_does_not_shuffle_the_snapshot(spark):
     current, batch = QS._job_frames(spark, SMOKE)
     plan = M.upsert_jobs(current, batch, QS.RUN_TS(), "seq")._jdf.queryExecution().executedPlan().toString()
     assert "FullOuter" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_delete_jobs_ownership(spark, broadcast_rows):
+    """Only the owner's delete removes a job; foreign and unknown ids come back as not found."""
+    jobs = spark.createDataFrame([(1, 10, "a"), (2, 10, "b"), (3, 20, "c")], "id long, office_id long, title string")
+    offices = spark.createDataFrame([(10, 100), (20, 200)], "id long, company_id long")
+    requests = spark.createDataFrame([(1, 100), (3, 100), (9, 100)], "id long, company_id long")
+    remaining, not_found = M.delete_jobs(jobs, offices, requests, broadcast_rows=broadcast_rows)
+    assert sorted(r.id for r in remaining.collect()) == [2, 3]
+    assert sorted(r.id for r in not_found.collect()) == [3, 9]
