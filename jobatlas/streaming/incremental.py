@@ -9,13 +9,17 @@
 * :func:`facet_stream` -- incremental counts (T3) in ``complete`` mode, each batch
   overwriting the result table.
 
-Both run with ``trigger(availableNow=True)``: everything that has landed is
+* :func:`ingest_stream` -- the whole ingestion run (T1) per micro-batch of landed
+  payload files (:func:`landed_stream`), each batch committed as a new store version.
+
+All run with ``trigger(availableNow=True)``: everything that has landed is
 processed in bounded micro-batches and the query stops -- the cron-style run.
 Checkpoints and outputs go under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,3 +134,102 @@ def payload_stream(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import functions as F
     return (spark.readStream.format("text").option("wholetext", True).load(path)
             .select("value", F.input_file_name().alias("path")))
+
+
+# -- T1: the whole ingestion run per micro-batch ---------------------------------------
+
+def with_payload_context(payloads: DataFrame) -> DataFrame:
+    """Request context of landed payloads from their path:
+    ``.../source=<feed>/[query_ord=<n>/][page_ord=<n>/][country=<code>/]<file>``."""
+    p = F.col("path")
+
+    def part(name: str, pattern: str):
+        return F.nullif(F.regexp_extract(p, f"/{name}=({pattern})/", 1), F.lit(""))
+    return payloads.select(
+        "*", part("source", "[a-z]+").alias("source"), part("query_ord", "[0-9]+").cast("int").alias("query_ord"),
+        part("page_ord", "[0-9]+").cast("int").alias("page_ord"), part("country", "[a-z]+").alias("country"))
+
+
+def landed_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Landed payload files under ``root`` (see :func:`with_payload_context`), one whole
+    file per row, with its modification time (``landed_at``)."""
+    # the context comes from the path, so partition discovery (which would insist on
+    # the same key=value levels under every feed) is switched off
+    r = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    df = r.load(root).select("value", F.col("_metadata.file_path").alias("path"),
+                             F.col("_metadata.file_modification_time").alias("landed_at"))
+    return with_payload_context(df)
+
+
+COMMITS = "_commits"
+
+
+def committed_versions(spark: SparkSession, store_root: str) -> DataFrame | None:
+    """The commit table of an ingestion stream: (stream, batch_id, commit_no, version)."""
+    try:
+        return spark.read.parquet(f"{store_root}/{COMMITS}")
+    except Exception:  # noqa: BLE001 - no commit yet
+        return None
+
+
+def latest_version(spark: SparkSession, store_root: str) -> str | None:
+    done = committed_versions(spark, store_root)
+    if done is None:
+        return None
+    row = done.agg(F.max_by("version", "commit_no").alias("v")).first()
+    return row.v if row else None
+
+
+def ingest_stream(stream: DataFrame, store_root: str, gazetteer: DataFrame, queries: DataFrame,
+                  checkpoint_path: str, per_page: int | None = None) -> None:
+    """Run the batch ingestion (adapters, query search and caps, normalise, dedup,
+    geocode, upserts, metrics) on every micro-batch of landed payloads.
+
+    Each batch reads the latest committed store version, writes the next one as a
+    new folder ``<store_root>/v<stream>-<batch>`` (with its ``_metrics`` and
+    ``_unresolved`` keys) and then appends one row to the commit table.  A batch id
+    already committed by this stream is skipped, so a replayed batch is a no-op; a
+    batch that failed half way is simply redone.  The run's "now" is the latest
+    modification time of the batch's files, the same on every replay.
+    """
+    from ..plans import ingest as I
+    from ..sources import feeds as FD
+
+    spark = stream.sparkSession
+    FD.check_query_list(queries)
+    cap = FD.DEFAULT_PER_QUERY if per_page is None else per_page
+    stream_id = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint_path).hex[:12]
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        done = committed_versions(s, store_root)
+        if done is not None and done.where((F.col("stream") == stream_id)
+                                           & (F.col("batch_id") == batch_id)).limit(1).count():
+            return
+        run_at = batch.agg(F.max("landed_at").alias("t")).first().t
+        if run_at is None:
+            return  # nothing landed in this batch
+        prev = latest_version(s, store_root)
+        store = I.read_store(s, prev) if prev else I.empty_store(s)
+        batch = batch.persist()  # read by the six adapters; recomputed from the files if lost
+        try:
+            payloads = {src: batch.where(F.col("source") == src) for src in FD.SOURCE_ORDER}
+            raw, errors = I.fetch(payloads, queries, cap)
+            nxt, metrics, unresolved = I.run(raw, store, gazetteer, F.lit(run_at).cast("timestamp"), errors)
+            version = f"{store_root}/v{stream_id}-{batch_id:012d}"
+            I.write_store(nxt, version)
+            metrics.select(F.lit(batch_id).cast("long").alias("batch_id"), "*") \
+                .write.mode("overwrite").parquet(f"{version}/_metrics")
+            unresolved.write.mode("overwrite").parquet(f"{version}/_unresolved")
+        finally:
+            batch.unpersist()
+        n = 0 if done is None else done.count()
+        s.createDataFrame([(stream_id, batch_id, n + 1, version)],
+                          "stream string, batch_id long, commit_no long, version string") \
+            .write.mode("append").parquet(f"{store_root}/{COMMITS}")
+
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
