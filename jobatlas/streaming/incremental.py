@@ -8,7 +8,6 @@
   but not in memory.
 * :func:`facet_stream` -- incremental counts (T3) in ``complete`` mode, each batch
   overwriting the result table.
-
 * :func:`ingest_stream` -- the whole ingestion run (T1) per micro-batch of landed
   payload files (:func:`landed_stream`), each batch committed as a new store version.
 
