@@ -27,17 +27,28 @@ def _cells(points: DataFrame, zoom: Column, lat: str, lng: str, radius_px: int)
 
 def grid_pyramid(points: DataFrame, weight: str = "job_count", lat: str = "lat", lng: str = "lng",
                  min_zoom: int = GEO.MAP_MIN_ZOOM, max_zoom: int = GEO.CLUSTER_MAX_ZOOM,
-                 radius_px: int = GEO.CLUSTER_RADIUS_PX) -> DataFrame:
+                 radius_px: int = GEO.CLUSTER_RADIUS_PX, spans: bool = False) -> DataFrame:
     """G6+G8: (zoom, cx, cy, point_count, job_sum, x, y) for every occupied cell at every zoom.
 
-    x, y are the cell's mean pixel position (the cluster marker position).
+    x, y are the cell's mean pixel position (the cluster marker position).  With
+    ``spans``, also the smallest and largest finest-zoom cell of the cell's points
+    (``fx_lo, fx_hi, fy_lo, fy_hi``), which :func:`expansion_zoom` needs.
     """
     z = F.explode(F.sequence(F.lit(min_zoom), F.lit(max_zoom))).alias("zoom")
-    exploded = points.select(F.col(lat), F.col(lng), F.col(weight).alias("_w"), z)
-    cells = exploded.select("zoom", "_w", *_cells(exploded, F.col("zoom"), lat, lng, radius_px))
-    return cells.groupBy("zoom", "cx", "cy").agg(
-        F.count(F.lit(1)).alias("point_count"), F.sum("_w").alias("job_sum"),
-        F.avg("_x").alias("x"), F.avg("_y").alias("y"))
+    fine = []
+    if spans:
+        fz = F.lit(max_zoom)
+        fine = [GEO.grid_cell(GEO.mercator_x(F.col(lng), fz), radius_px).cast("long").alias("_fx"),
+                GEO.grid_cell(GEO.mercator_y(F.col(lat), fz), radius_px).cast("long").alias("_fy")]
+    exploded = points.select(F.col(lat), F.col(lng), F.col(weight).alias("_w"), *fine, z)
+    keep = ["_fx", "_fy"] if spans else []
+    cells = exploded.select("zoom", "_w", *keep, *_cells(exploded, F.col("zoom"), lat, lng, radius_px))
+    aggs = [F.count(F.lit(1)).alias("point_count"), F.sum("_w").alias("job_sum"),
+            F.avg("_x").alias("x"), F.avg("_y").alias("y")]
+    if spans:
+        aggs += [F.min("_fx").alias("fx_lo"), F.max("_fx").alias("fx_hi"),
+                 F.min("_fy").alias("fy_lo"), F.max("_fy").alias("fy_hi")]
+    return cells.groupBy("zoom", "cx", "cy").agg(*aggs)
 
 
 def grid_clusters(points: DataFrame, zoom: int, weight: str = "job_count", lat: str = "lat",
@@ -51,10 +62,24 @@ def expansion_zoom(pyramid: DataFrame, min_zoom: int = GEO.MAP_MIN_ZOOM,
     """For every cell holding >= 2 points, the first deeper zoom at which it splits
     into >= 2 cells; ``max_zoom + 1`` if it never splits while clustering is on.
 
-    Each occupied cell is exploded to its ancestors (at most ``max_zoom`` of them),
-    descendants are counted per (ancestor, depth) and the smallest depth with two
-    or more wins -- all partial aggregations, no pairing of points.
+    Needs a pyramid built with ``spans=True``.  Cells nest exactly, so a point's
+    cell at zoom z' is its finest cell shifted right by ``max_zoom - z'``, and the
+    cell's points share one cell at z' exactly when its smallest and largest finest
+    cells do.  With ``d = (fx_lo xor fx_hi) | (fy_lo xor fy_hi)`` that first fails at
+    ``z' = max_zoom - (highest set bit of d)``: one expression per cell, no join.
     """
+    d = (F.col("fx_lo").bitwiseXOR(F.col("fx_hi"))).bitwiseOR(F.col("fy_lo").bitwiseXOR(F.col("fy_hi")))
+    high_bit = F.length(F.bin(d)) - 1
+    split = F.when(d != 0, F.greatest(F.col("zoom") + 1, F.lit(max_zoom) - high_bit)).otherwise(max_zoom + 1)
+    return pyramid.where(F.col("point_count") >= 2).select(
+        "zoom", "cx", "cy", "point_count", split.alias("expansion_zoom"))
+
+
+def expansion_zoom_by_ancestors(pyramid: DataFrame, min_zoom: int = GEO.MAP_MIN_ZOOM,
+                                max_zoom: int = GEO.CLUSTER_MAX_ZOOM) -> DataFrame:
+    """G7 counted directly (a cross-check of :func:`expansion_zoom`): every occupied cell
+    is exploded to its ancestors, descendants are counted per (ancestor, depth), and
+    the smallest depth with two or more wins."""
     occ = pyramid.select(F.col("zoom").alias("dz"), F.col("cx").alias("dcx"), F.col("cy").alias("dcy"))
     anc = occ.where(F.col("dz") > min_zoom).select(
         "dz", F.explode(F.sequence(F.lit(min_zoom), F.col("dz") - 1)).alias("zoom"), "dcx", "dcy")

@@ -75,7 +75,7 @@ SELECT m.zoom, m.cx, m.cy, m.point_count, CAST(coalesce(s.split_zoom, 13) AS INT
 FROM cells m LEFT JOIN split s ON s.zoom = m.zoom AND s.cx = m.cx AND s.cy = m.cy
 WHERE m.point_count >= 2""")
 def q_cluster_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = C.expansion_zoom(C.grid_pyramid(_points(spark, sf_dir)))
+    e = C.expansion_zoom(C.grid_pyramid(_points(spark, sf_dir), spans=True))
     return e.select(F.col("zoom").cast("int").alias("zoom"), "cx", "cy", "point_count",
                     F.col("expansion_zoom").cast("int").alias("expansion_zoom"))
 

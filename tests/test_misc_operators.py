@@ -101,3 +101,15 @@ def test_payload_reason_shapes(spark):
     got = df.select("value", FD.payload_reason(F.col("value"), "remoteok").alias("a"),
                     FD.payload_reason(F.col("value"), "remotive").alias("b")).collect()
     assert {r.value: (r.a, r.b) for r in got} == cases
+
+
+def test_expansion_zoom_equals_ancestor_count(spark):
+    """The span formula gives the same expansion zooms as counting descendants,
+    including clusters beyond the Mercator latitude limit (negative cell rows)."""
+    pts = spark.range(0, 3000).select(
+        (F.col("id") * 37 % 181 - 90.0 + F.col("id") % 7 * 0.001).alias("lat"),
+        (F.col("id") * 73 % 359 - 179.0).alias("lng"), F.lit(1).alias("job_count"))
+    pyr = C.grid_pyramid(pts, spans=True)
+    fast = {tuple(r) for r in C.expansion_zoom(pyr).collect()}
+    slow = {tuple(r) for r in C.expansion_zoom_by_ancestors(pyr).collect()}
+    assert fast == slow and len(fast) > 100
