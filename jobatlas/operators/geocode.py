@@ -7,7 +7,7 @@ rank)`` supplied by the caller (e.g. parsed provider responses, G3).  Plan:
     cache semi keys      -> the cache rows of this run's keys (keys broadcast below a counted bound)
     keys  x those rows   -> hits
     keys  anti those     -> misses
-    misses x first(gazetteer rows of the missing keys) -> resolved, merged into the cache (K4)
+    misses x first(gazetteer rows of this run's keys) -> resolved, merged into the cache (K4)
     misses anti gazetteer -> unresolved work list (retried next run: never cached)
     records x coords     -> placed records; records without coords are counted as failures (G5)
 
@@ -94,13 +94,14 @@ def resolve(keys: DataFrame, cache: DataFrame, gazetteer: DataFrame, key: str =
     """
     probe = (lambda k: F.broadcast(k)) if broadcast_keys > 0 and keys.count() <= broadcast_keys \
         else (lambda k: k)
+    run_keys = probe(keys.select(key))
     c = cache.select(key, F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
-    c = c.join(probe(keys.select(key)), key, "left_semi")
+    c = c.join(run_keys, key, "left_semi")
+    # only this run's keys are looked up: cut the gazetteer down to them before choosing
+    # each key's first result (the gazetteer may hold every place name there is)
+    gz = first_result(gazetteer.join(run_keys, key, "left_semi"), key)
     hits = keys.join(c, key).withColumn("resolved_by", F.lit("cache"))
     misses = keys.join(c.select(key), key, "left_anti")
-    # only the run's missing keys are looked up: cut the gazetteer down to them before
-    # choosing each key's first result (the gazetteer may hold every place name there is)
-    gz = first_result(gazetteer.join(probe(misses.select(key)), key, "left_semi"), key)
     fresh = misses.join(gz, key).withColumn("resolved_by", F.lit("gazetteer"))
     unresolved = misses.join(gz.select(key), key, "left_anti")
     coords = hits.unionByName(fresh)
