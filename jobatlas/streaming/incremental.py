@@ -191,7 +191,9 @@ def ingest_stream(stream: DataFrame, store_root: str, gazetteer: DataFrame, quer
     ``_unresolved`` keys) and then appends one row to the commit table.  A batch id
     already committed by this stream is skipped, so a replayed batch is a no-op; a
     batch that failed half way is simply redone.  The run's "now" is the latest
-    modification time of the batch's files, the same on every replay.
+    modification time of the batch's files, the same on every replay.  One stream
+    writes a store root at a time (the commit number is the row count of the commit
+    table when the batch started).
     """
     from ..plans import ingest as I
     from ..sources import feeds as FD
@@ -207,13 +209,13 @@ def ingest_stream(stream: DataFrame, store_root: str, gazetteer: DataFrame, quer
         if done is not None and done.where((F.col("stream") == stream_id)
                                            & (F.col("batch_id") == batch_id)).limit(1).count():
             return
-        run_at = batch.agg(F.max("landed_at").alias("t")).first().t
-        if run_at is None:
-            return  # nothing landed in this batch
-        prev = latest_version(s, store_root)
-        store = I.read_store(s, prev) if prev else I.empty_store(s)
         batch = batch.persist()  # read by the six adapters; recomputed from the files if lost
         try:
+            run_at = batch.agg(F.max("landed_at").alias("t")).first().t
+            if run_at is None:
+                return  # nothing landed in this batch
+            prev = latest_version(s, store_root)
+            store = I.read_store(s, prev) if prev else I.empty_store(s)
             payloads = {src: batch.where(F.col("source") == src) for src in FD.SOURCE_ORDER}
             raw, errors = I.fetch(payloads, queries, cap)
             nxt, metrics, unresolved = I.run(raw, store, gazetteer, F.lit(run_at).cast("timestamp"), errors)
