@@ -43,17 +43,25 @@ def empty_store(spark: SparkSession) -> Store:
 
 def fetch(payloads: dict[str, DataFrame], queries: DataFrame,
           per_page: int = FD.DEFAULT_PER_QUERY) -> tuple[DataFrame, DataFrame]:
-    """All enabled sources -> (raw rows, payload errors)."""
+    """All enabled sources -> (raw rows, payload errors).
+
+    Feeds searched client-side run every query and keep the first rows per query up
+    to its cap; jooble's payloads (searched server-side) are capped by their own
+    query's cap.  A query's ``per_page`` of 0 means the run's ``per_page``; a
+    negative one means no cap."""
     frames, errors = {}, []
     FD.check_query_list(queries)
+    # each query's own cap, the run's default where it has none (0)
+    caps = FD.query_caps(queries, per_page)
+    bound = FD.largest_cap(caps)
     for s in FD.SOURCE_ORDER:
         if s not in payloads:
             continue
         raw = FD.ADAPTERS[s](payloads[s])
         if s in FD.CLIENT_FILTERED:
-            raw = FD.cap_per_query(FD.apply_queries(raw, queries, checked=True).drop("_per_page"), per_page)
+            raw = FD.cap_per_query(FD.apply_queries(raw, caps, checked=True), max_per_page=bound)
         elif s == "jooble":
-            raw = FD.cap_per_query(raw, per_page)
+            raw = FD.cap_per_query(FD.with_query_caps(raw, caps, per_page), max_per_page=bound)
         frames[s] = raw
         errors.append(FD.payload_errors(payloads[s], s))
     err = errors[0]

@@ -340,15 +340,46 @@ def apply_queries(raw: DataFrame, queries: DataFrame, max_queries: int = MAX_QUE
     return j.withColumn("query_ord", F.col("_q")).drop("_q", "_kw")
 
 
-def cap_per_query(raw: DataFrame, per_page: int | Column | None = None) -> DataFrame:
+def query_caps(queries: DataFrame, default: int = DEFAULT_PER_QUERY) -> DataFrame:
+    """The search list with each query's effective cap: its own ``per_page``, or the
+    run's default when that is 0 (or missing); a negative cap means no cap."""
+    pp = F.coalesce(F.col("per_page"), F.lit(0))
+    return queries.withColumn("per_page", F.when(pp == 0, F.lit(default)).otherwise(pp))
+
+
+def largest_cap(queries: DataFrame) -> int | None:
+    """The largest positive cap of a (size-checked) search list, read on the driver."""
+    return queries.agg(F.max(F.when(F.col("per_page") > 0, F.col("per_page"))).alias("m")).first().m
+
+
+def with_query_caps(raw: DataFrame, queries: DataFrame, default: int = DEFAULT_PER_QUERY) -> DataFrame:
+    """``_per_page`` of each feed row's query (server-side-searched feeds carry ``query_ord``
+    from their payload); rows of a query that is not in the list get the default."""
+    q = F.broadcast(queries.select(F.col("query_ord").alias("_qo"), F.col("per_page").alias("_pp")))
+    j = raw.join(q, raw.query_ord == q._qo, "left")
+    return j.withColumn("_per_page", F.coalesce(F.col("_pp"), F.lit(default))).drop("_qo", "_pp")
+
+
+def cap_per_query(raw: DataFrame, per_page: int | Column | None = None,
+                  max_per_page: int | None = None) -> DataFrame:
     """L4: first N accepted rows per (source, query) in feed order.
 
     ``row_number() <= N`` over a partitioned window lets Spark insert a
     WindowGroupLimit before the shuffle, so at most N rows per group and task move.
+    With ``per_page=None`` every row carries its query's cap in ``_per_page``
+    (<= 0: no cap); groups without a cap skip the window, and ``max_per_page``
+    (the largest cap) keeps a literal bound on the window so the limit still applies
+    before the shuffle.
     """
     w = Window.partitionBy("source", "query_ord").orderBy("page_ord", "pos")
-    n = F.col("_per_page") if per_page is None else (per_page if isinstance(per_page, Column)
-                                                     else F.lit(per_page))
+    if per_page is None:
+        capped = F.coalesce(F.col("_per_page"), F.lit(0)) > 0
+        out = raw.where(capped).withColumn("_rn", F.row_number().over(w))
+        if max_per_page is not None:
+            out = out.where(F.col("_rn") <= F.lit(max_per_page))
+        out = out.where(F.col("_rn") <= F.col("_per_page")).drop("_rn")
+        return out.unionByName(raw.where(~capped)).drop("_per_page")
+    n = per_page if isinstance(per_page, Column) else F.lit(per_page)
     out = raw.withColumn("_rn", F.row_number().over(w))
     out = out.where((n <= 0) | (F.col("_rn") <= n))
     return out.drop("_rn", "_per_page") if "_per_page" in raw.columns else out.drop("_rn")

@@ -75,3 +75,16 @@ def test_store_integrity_after_two_runs(spark):
     broken = store1.jobs.unionByName(store1.jobs.limit(1))
     bad = store_checks(store1.companies, store1.offices, broken, store1.cache).collect()
     assert {r.rule for r in bad} == {"jobs.dedup_hash unique", "jobs.id unique"}
+
+
+def test_per_query_caps(spark):
+    """A query's own cap wins; 0 means the run's default; a negative cap means none.
+    Jooble (searched server-side) is capped by the query its payload answered."""
+    payloads = {"remoteok": spark.createDataFrame([(REMOTEOK,)], "value string"),
+                "jooble": spark.createDataFrame([(JOOBLE, 0)], "value string, query_ord int")}
+    queries = spark.createDataFrame([(0, "", 1), (1, "", 0), (2, "", -1)],
+                                    "query_ord int, keywords string, per_page int")
+    raw, _ = I.fetch(payloads, queries, per_page=2)
+    got = {(r.source, r.query_ord): r.n for r in raw.groupBy("source", "query_ord").count()
+           .withColumnRenamed("count", "n").collect()}
+    assert got == {("remoteok", 0): 1, ("remoteok", 1): 2, ("remoteok", 2): 3, ("jooble", 0): 1}
