@@ -48,7 +48,8 @@ def fetch(payloads: dict[str, DataFrame], queries: DataFrame,
     Feeds searched client-side run every query and keep the first rows per query up
     to its cap; jooble's payloads (searched server-side) are capped by their own
     query's cap.  A query's ``per_page`` of 0 means the run's ``per_page``; a
-    negative one means no cap."""
+    negative one means no cap.  Rejected payloads count as run errors, except for
+    feeds whose failures are skipped silently (``FD.SILENT_FAILURES``)."""
     frames, errors = {}, []
     FD.check_query_list(queries)
     # each query's own cap, the run's default where it has none (0)
@@ -63,7 +64,10 @@ def fetch(payloads: dict[str, DataFrame], queries: DataFrame,
         elif s == "jooble":
             raw = FD.cap_per_query(FD.with_query_caps(raw, caps, per_page), max_per_page=bound)
         frames[s] = raw
-        errors.append(FD.payload_errors(payloads[s], s))
+        if s not in FD.SILENT_FAILURES:
+            errors.append(FD.payload_errors(payloads[s], s))
+    if not errors:
+        errors.append(FD.payload_errors(payloads[next(iter(payloads))].limit(0), "none"))
     err = errors[0]
     for e in errors[1:]:
         err = err.unionByName(e)

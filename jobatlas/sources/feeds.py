@@ -37,6 +37,9 @@ ADZUNA_CURRENCY = {"gb": "GBP", "us": "USD", "ca": "USD", "in": "INR", "au": "AU
 # Field holding the item list of each feed's payload (remoteok: the payload is the list).
 ENVELOPES = {"remoteok": None, "remotive": "jobs", "arbeitnow": "data", "jobicy": "jobs",
              "adzuna": "results", "jooble": "jobs"}
+# Feeds whose failed requests are skipped without counting as a run error
+# (one marketplace failing does not fail the worldwide pull).
+SILENT_FAILURES = ("adzuna",)
 # Feeds whose search runs client-side (the payload is the whole feed).
 CLIENT_FILTERED = ("remoteok", "arbeitnow", "jobicy")
 DEFAULT_PER_QUERY = 100

@@ -88,3 +88,11 @@ def test_per_query_caps(spark):
     got = {(r.source, r.query_ord): r.n for r in raw.groupBy("source", "query_ord").count()
            .withColumnRenamed("count", "n").collect()}
     assert got == {("remoteok", 0): 1, ("remoteok", 1): 2, ("remoteok", 2): 3, ("jooble", 0): 1}
+
+
+def test_failed_marketplace_is_not_a_run_error(spark):
+    """A bad adzuna payload is skipped silently; a bad jooble payload is a run error."""
+    payloads = {"adzuna": spark.createDataFrame([("not json", "gb")], "value string, country string"),
+                "jooble": spark.createDataFrame([("not json",)], "value string")}
+    _, err = I.fetch(payloads, FD.queries_frame(spark, [""], 100))
+    assert [r.source for r in err.collect()] == ["jooble"]
