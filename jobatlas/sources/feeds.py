@@ -103,13 +103,6 @@ def _items(payloads: DataFrame, name: str) -> DataFrame:
 
 def _raw(name: str, it: dict) -> list[Column]:
     """Project adapter fields into RawJob column order; missing ones are blank."""
-    defaults = {"source_id": F.lit(""), "source_url": F.lit(""), "company_name": F.lit(""),
-                "company_logo": F.lit(""), "location_raw": F.lit(""), "city": F.lit(""),
-                "country": F.lit(""), "title": F.lit(""), "description": F.lit(""),
-                "skills_raw": F.array().cast("array<string>"), "experience_raw": F.lit(""),
-                "work_type_raw": F.lit(""), "salary_min": F.lit(0), "salary_max": F.lit(0),
-                "salary_currency": F.lit(""), "posted_at": F.lit("")}
-    vals = {**defaults, **it}
     out = [F.lit(name).alias("source")]
     for c in RAW_JOB_COLUMNS[1:]:
         if c == "source_ord":
@@ -118,8 +111,12 @@ def _raw(name: str, it: dict) -> list[Column]:
             out.append(F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c))
         elif c == "pos":
             out.append(F.col("pos").cast("int").alias(c))
+        elif c not in it:  # a field this feed does not have: blank, 0 or []
+            blank = (F.lit(0) if c in ("salary_min", "salary_max")
+                     else F.array().cast("array<string>") if c == "skills_raw" else F.lit(""))
+            out.append(blank.alias(c))
         else:
-            v = vals[c]
+            v = it[c]
             if c in ("salary_min", "salary_max"):
                 v = F.coalesce(v.cast("int"), F.lit(0))
             elif c == "skills_raw":
