@@ -141,11 +141,20 @@ def run(raw: DataFrame, store: Store, gazetteer: DataFrame, run_ts: Column,
     return nxt, metrics, unresolved
 
 
-def write_store(store: Store, path: str) -> None:
-    """Write a store snapshot version (companies, offices, jobs, geocode_cache) as parquet."""
+def write_store(store: Store, path: str, layouts: bool = True) -> None:
+    """Write a store snapshot version (companies, offices, jobs, geocode_cache) as parquet.
+
+    With ``layouts`` the map tables get the layouts that stand in for the original's
+    indexes: offices clustered by latitude band and longitude (viewport filters prune
+    row groups), jobs partitioned by work type and sorted by office id."""
+    from . import layout as L
     store.companies.write.mode("overwrite").parquet(f"{path}/companies")
-    store.offices.write.mode("overwrite").parquet(f"{path}/offices")
-    store.jobs.write.mode("overwrite").parquet(f"{path}/jobs")
+    if layouts:
+        L.write_offices_clustered(store.offices, f"{path}/offices")
+        L.write_jobs_by_work_type(store.jobs, f"{path}/jobs")
+    else:
+        store.offices.write.mode("overwrite").parquet(f"{path}/offices")
+        store.jobs.write.mode("overwrite").parquet(f"{path}/jobs")
     store.cache.write.mode("overwrite").parquet(f"{path}/geocode_cache")
 
 

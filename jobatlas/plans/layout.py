@@ -24,10 +24,13 @@ LAT_BANDS = 64
 
 def write_offices_clustered(offices: DataFrame, path: str, files: int | None = None,
                             bands: int = LAT_BANDS, tie_break: str = "id") -> None:
+    """Offices range-partitioned by (latitude band, longitude, id) and sorted the same
+    way inside each file; ``files=None`` lets AQE size the range partitions."""
     band = F.floor((F.col("lat") + 90.0) / (180.0 / bands)).cast("int").alias("_band")
-    n = files or bands
     keys = ["_band", "lng"] + ([tie_break] if tie_break in offices.columns else [])
-    (offices.select("*", band).repartitionByRange(n, *keys)
+    staged = offices.select("*", band)
+    ranged = staged.repartitionByRange(files, *keys) if files else staged.repartitionByRange(*keys)
+    (ranged
      .sortWithinPartitions("_band", "lng").drop("_band")
      .write.mode("overwrite").parquet(path))
 

@@ -96,3 +96,16 @@ def test_failed_marketplace_is_not_a_run_error(spark):
                 "jooble": spark.createDataFrame([("not json",)], "value string")}
     _, err = I.fetch(payloads, FD.queries_frame(spark, [""], 100))
     assert [r.source for r in err.collect()] == ["jooble"]
+
+
+def test_written_store_uses_layouts_and_reads_back(spark):
+    import glob
+    import tempfile
+    store1, _, _, _ = _run_twice(spark)
+    path = tempfile.mkdtemp(prefix="store-") + "/v1"
+    I.write_store(store1, path)
+    back = I.read_store(spark, path)
+    assert glob.glob(f"{path}/jobs/work_type=*")
+    assert back.jobs.count() == store1.jobs.count() and back.offices.count() == store1.offices.count()
+    assert {r.title: r.work_type for r in back.jobs.collect()} == \
+        {r.title: r.work_type for r in store1.jobs.collect()}
