@@ -145,3 +145,13 @@ def test_keep_unicode_fingerprint(spark):
     uni = [r[0] for r in df.select(X.dedup_hash("a", "b", F.lit(""), F.lit(""), keep_unicode=True)).collect()]
     assert default[0] == default[1]          # non-Latin roles collide by default (original behaviour)
     assert uni[0] != uni[1] and uni[2] != uni[3]
+
+
+def test_strip_html_matches_plain_tag_regex(spark):
+    """strip_html equals replacing every <[^>]*> by a space, including '<' after the last '>'."""
+    from pyspark.sql import functions as F
+    from jobatlas.functions import text as X
+    cases = ["", None, "x<y", "<b>bold</b> tail < x", "<<a>>", "é<br>ü<", ">", "<a <b> c", "a < b " * 500]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = df.select(X.strip_html("t").alias("a"), F.regexp_replace("t", X.HTML_TAG, " ").alias("b")).collect()
+    assert all(r.a == r.b for r in got)
