@@ -131,6 +131,11 @@ def _s(f: str) -> Column:
     return F.col(f"it.{f}")
 
 
+def _int_id() -> Column:
+    """A numeric item id as text; an absent id decodes to 0, as in a typed decoder."""
+    return F.coalesce(_s("id"), F.lit(0)).cast("string")
+
+
 def remoteok(payloads: DataFrame) -> DataFrame:
     """Top-level array; the legal header element and blank positions are skipped."""
     it = _items(payloads, "remoteok")
@@ -155,7 +160,7 @@ def remotive(payloads: DataFrame) -> DataFrame:
     skills = F.when(X.null_to_blank(_s("category")) != "",
                     F.concat(tags, F.array(_s("category")))).otherwise(tags)
     return it.select(*_raw("remotive", {
-        "source_id": _s("id").cast("string"), "source_url": _s("url"),
+        "source_id": _int_id(), "source_url": _s("url"),
         "company_name": X.utrim(_s("company_name")), "company_logo": _s("company_logo"),
         "location_raw": loc_raw, "city": loc["city"], "country": loc["country"],
         "title": X.utrim(_s("title")), "description": _s("description"), "skills_raw": skills,
@@ -183,7 +188,7 @@ def jobicy(payloads: DataFrame) -> DataFrame:
     loc = X.split_location(geo)
     placeless = (geo == "") | (F.lower(geo) == "worldwide")
     return it.select(*_raw("jobicy", {
-        "source_id": _s("id").cast("string"), "source_url": _s("url"),
+        "source_id": _int_id(), "source_url": _s("url"),
         "company_name": X.utrim(_s("companyName")), "location_raw": geo,
         "city": F.when(placeless, "").otherwise(loc["city"]),
         "country": F.when(placeless, "Remote").otherwise(loc["country"]),
@@ -243,7 +248,7 @@ def jooble(payloads: DataFrame) -> DataFrame:
     it = _items(payloads, "jooble")
     loc = X.split_location(_s("location"))
     return it.select(*_raw("jooble", {
-        "source_id": _s("id").cast("string"), "source_url": _s("link"),
+        "source_id": _int_id(), "source_url": _s("link"),
         "company_name": X.utrim(_s("company")), "location_raw": _s("location"),
         "city": loc["city"], "country": loc["country"], "title": X.utrim(_s("title")),
         "description": _s("snippet"), "work_type_raw": _s("type"), "posted_at": _s("updated")}))

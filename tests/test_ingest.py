@@ -109,3 +109,10 @@ def test_written_store_uses_layouts_and_reads_back(spark):
     assert back.jobs.count() == store1.jobs.count() and back.offices.count() == store1.offices.count()
     assert {r.title: r.work_type for r in back.jobs.collect()} == \
         {r.title: r.work_type for r in store1.jobs.collect()}
+
+
+def test_missing_numeric_id_reads_as_zero(spark):
+    """Feeds with numeric ids (remotive, jobicy, jooble) give "0" for an item without one."""
+    payload = json.dumps({"jobs": [{"company": "Acme", "title": "Engineer"}]})
+    raw = FD.jooble(spark.createDataFrame([(payload,)], "value string"))
+    assert [r.source_id for r in raw.collect()] == ["0"]
