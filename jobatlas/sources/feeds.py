@@ -384,6 +384,9 @@ def cap_per_query(raw: DataFrame, per_page: int | Column | None = None,
             out = out.where(F.col("_rn") <= F.lit(max_per_page))
         out = out.where(F.col("_rn") <= F.col("_per_page")).drop("_rn")
         return out.unionByName(raw.where(~capped)).drop("_per_page")
+    if not isinstance(per_page, Column) and per_page <= 0:
+        # no cap: nothing to rank, so no window (and no group gathered in one task)
+        return raw.drop("_per_page") if "_per_page" in raw.columns else raw
     n = per_page if isinstance(per_page, Column) else F.lit(per_page)
     out = raw.withColumn("_rn", F.row_number().over(w))
     out = out.where((n <= 0) | (F.col("_rn") <= n))

@@ -116,3 +116,10 @@ def test_missing_numeric_id_reads_as_zero(spark):
     payload = json.dumps({"jobs": [{"company": "Acme", "title": "Engineer"}]})
     raw = FD.jooble(spark.createDataFrame([(payload,)], "value string"))
     assert [r.source_id for r in raw.collect()] == ["0"]
+
+
+def test_uncapped_feed_needs_no_window(spark):
+    raw = FD.remoteok(spark.createDataFrame([(REMOTEOK,)], "value string"))
+    out = FD.cap_per_query(raw, -1)
+    assert out.count() == raw.count() == 3
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
