@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, simhash, syncmers
+from . import chat, simhash, substring, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,13 @@ def op5_simhash_near_dedup(spark, sf_dir):
                       "component_id")
 
 
+@register("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    """Every document without the words of its repeated 50-word windows."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @register("op9_syncmer_fingerprints")
 def op9_syncmer_fingerprints(spark, sf_dir):
     """Closed-syncmer fingerprints of every document and its half-edited text."""
