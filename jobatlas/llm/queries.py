@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, simhash, substring, syncmers
+from . import chat, simhash, substring, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n FROM pages),
+d AS (
+  SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+    (CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(5 * (7 - i % 8) AS INTEGER)) & 31) AS BIGINT), 1)),
+    'string_agg', '') AS digest, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM d"""
+
+
+@register("op2_warc", OP2_SQL)
+def op2_warc(spark, sf_dir):
+    """Every page written to WARC archives, indexed, and read back by byte ranges."""
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark, sf_dir):
     """Every document's fingerprint and near-duplicate component (no SQL: XXH64 and bit votes)."""
