@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, simhash, substring, syncmers, warc
+from jobatlas.session import spread
+
+from . import chat, langid, quality, simhash, substring, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    """Predicted language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~out))
+    src = spread(docs.select("doc_id", "text")).withColumn("a", langid.predictor(docs, model)("text"))
+    return src.select("doc_id", out.alias("held_out"), "a.lang_pred", "a.score", "a.ambiguous")
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n FROM pages),
 d AS (
@@ -52,6 +64,16 @@ def op5_simhash_near_dedup(spark, sf_dir):
                       "component_id")
 
 
+@register("op6_quality")
+def op6_quality(spark, sf_dir):
+    """Quality score of every document, learned from labels outside the held-out fold."""
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                              lambda i: F.when(part != 0, part - 1))
+    return scored.select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @register("op8_substring_dedup")
 def op8_substring_dedup(spark, sf_dir):
     """Every document without the words of its repeated 50-word windows."""
