@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobatlas.session import spread
 
-from . import chat, langid, quality, simhash, substring, syncmers, warc
+from . import chat, decontaminate, langid, quality, simhash, substring, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,13 @@ def op2_warc(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register("op3_benchmark_decontamination")
+def op3_benchmark_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, with the share of its words that tiles cover."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "n_covered", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 @register("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark, sf_dir):
     """Every document's fingerprint and near-duplicate component (no SQL: XXH64 and bit votes)."""
