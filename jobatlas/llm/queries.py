@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobatlas.session import spread
 
-from . import chat, decontaminate, langid, quality, simhash, substring, syncmers, warc
+from . import chat, decontaminate, langid, mixing, quality, simhash, substring, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +81,13 @@ def op6_quality(spark, sf_dir):
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+@register("op7_mixing")
+def op7_mixing(spark, sf_dir):
+    """Documents drawn so that token shares meet the tempered source, language and topic shares."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "tokens", "probability")
+
+
 @register("op8_substring_dedup")
 def op8_substring_dedup(spark, sf_dir):
     """Every document without the words of its repeated 50-word windows."""

@@ -55,15 +55,18 @@ def simhash(text: bytes | None, k: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """``(id, fp bigint)`` of every row; ``fp`` holds the 64 bits as a signed long."""
+    """``(id, tag, fp bigint)`` of every row; ``fp`` holds the 64 bits as a signed long, ``tag`` tells rows apart
+    that repeat an id with another text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts = b.column(2).cast(pa.binary())
             fps = np.fromiter((simhash(t.as_py(), shingle_words) for t in texts), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))],
+                                             names=["id", "tag", "fp"])
 
-    src = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint")
+    src = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("tag"),
+                             F.col(text_col).cast("string").alias("text")))
+    return src.mapInArrow(run, "id long, tag int, fp bigint")
 
 
 def segments(max_bits: int, count: int) -> list[tuple[int, int, int, int]]:
@@ -123,7 +126,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, n_segments: int = 2,
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp, component_id)`` per row: the smallest id reachable over links, itself included."""
+    """``(id, tag, fp, root, component_id)`` per row: the smallest id reachable over links, itself included."""
     rows = cut_lineage(fingerprints(docs, shingle_words, id_col, text_col), "simhash-rows")
     # Copies collapse here, before any linking: one node per fingerprint.
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-nodes")
@@ -131,5 +134,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     rooted = nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(least, "root").drop("root"), "fp")
+    return rows.join(rooted.select("fp", "root").join(least, "root"), "fp")
 
+
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each near-duplicate component of ``docs (doc_id, text, ...)``: that with the smallest
+    ``doc_id`` (rows without any id come last); of rows that repeat it, that with the smallest
+    text hash, and of rows that repeat the text as well, any one."""
+    found = near_duplicates(docs, shingle_words, max_bits)
+    order = F.struct(F.col("id").isNull(), "id", "tag", "fp")
+    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root")).alias("r")).agg(
+        F.min(order).alias("first")).select(F.struct("first.id").alias("key"), F.col("first.tag").alias("tag")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ident, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    rows = docs.toDF(*names).withColumns({"key": F.struct(F.col(ident).cast("long").alias("id")), "tag": F.hash(text)})
+    # Partitioned alike by join and deduplication: the texts move once.
+    return rows.join(first, ["key", "tag"]).dropDuplicates(["key", "tag"]).select(*names).toDF(*docs.columns)
