@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobatlas.session import spread
 
-from . import chat, decontaminate, langid, mixing, quality, simhash, substring, syncmers, warc
+from . import chat, decontaminate, langid, mixing, quality, simhash, sitetree, substring, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,13 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "n_words", "n_covered", "coverage", F.size("tiles").alias("n_tiles"))
 
 
+@register("op4_html_main_text")
+def op4_html_main_text(spark, sf_dir):
+    """Main text of every page."""
+    out = sitetree.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @register("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark, sf_dir):
     """Every document's fingerprint and near-duplicate component (no SQL: XXH64 and bit votes)."""
