@@ -106,7 +106,7 @@ def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None)
     top, size = rates.agg(F.max("rate"), F.sum(sum(
         (F.coalesce(F.octet_length(F.col(m).cast("string")), F.lit(0)) for m in MARGINS), F.lit(64)))).first()
     rates = rates.select(*[F.col(m).alias(f"__{m}") for m in MARGINS],
-                         (F.col("rate") / (top or 1.0)).alias("probability"))
+                         F.round(F.col("rate") / (top or 1.0), 12).alias("probability"))  # sums differ in their last bits
     if (size or 0) <= BROADCAST_BYTES:  # measured; beyond it AQE splits a hot cell's side
         rates = F.broadcast(rates)
     met = " AND ".join(f"{m} <=> __{m}" for m in MARGINS)

@@ -78,17 +78,22 @@ def segments(max_bits: int, count: int) -> list[tuple[int, int, int, int]]:
     return [x for x in out if x[3] >= 0]
 
 
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
 def _ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
 def _value(seg: tuple[int, int, int, int], fp="fp"):
     _, first, width, _ = seg
-    return F.shiftrightunsigned(F.col(fp), first).bitwiseAND(F.lit((1 << width) - 1))
+    part = F.shiftrightunsigned(F.col(fp), first)
+    return part if width == BITS else part.bitwiseAND(F.lit((1 << width) - 1))
 
 
 def _probes(seg: tuple[int, int, int, int]):
-    balls = F.array(*[F.lit(m).cast("long") for m in _ball(seg[2], seg[3])])
+    balls = F.array(*[F.lit(_signed(m)).cast("long") for m in _ball(seg[2], seg[3])])
     return F.transform(balls, lambda m: F.struct(F.lit(seg[0]).alias("seg"), _value(seg).bitwiseXOR(m).alias("key")))
 
 
@@ -114,7 +119,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, n_segments: int = 2,
     near = near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
     # Fuller buckets: all that probe them, members and neighbours alike, filed under blanked values.
-    blanks = ",".join(f"{~sum(1 << b for b in bits) if BITS - 1 not in bits else (1 << BITS - 1) - 1 - sum(1 << b for b in bits if b < BITS - 1)}L"
+    blanks = ",".join(f"{_signed((1 << BITS) - 1 - sum(1 << b for b in bits))}L"
                       for bits in combinations(range(BITS), max_bits))
     filed = (probe.join(full, ["seg", "key"]).select("fp").distinct()
              .select("fp", F.posexplode(F.expr(f"array({blanks})")).alias("i", "mask"))
@@ -145,8 +150,9 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     text hash, and of rows that repeat the text as well, any one."""
     found = near_duplicates(docs, shingle_words, max_bits)
     order = F.struct(F.col("id").isNull(), "id", "tag", "fp")
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root")).alias("r")).agg(
-        F.min(order).alias("first")).select(F.struct("first.id").alias("key"), F.col("first.tag").alias("tag")).distinct()
+    # By root, not by component id: an id that two rows with other texts repeat may name two components.
+    first = found.groupBy("root").agg(F.min(order).alias("first"))
+    first = first.select(F.struct("first.id").alias("key"), F.col("first.tag").alias("tag")).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
     ident, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
     rows = docs.toDF(*names).withColumns({"key": F.struct(F.col(ident).cast("long").alias("id")), "tag": F.hash(text)})
