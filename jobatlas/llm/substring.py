@@ -4,10 +4,10 @@ A window is ``WINDOW`` consecutive words of one document.  A word goes if some w
 it also starts in a document with a smaller id.  The suffixes that matter are the windows
 themselves, a suffix tree cut off at depth ``WINDOW``.
 
-1. Filing.  Each window is filed under its rarest-ranked inner run of ``PREFIX`` words (the
-   one with the smallest hash, leftmost on ties).  Equal windows hold the same run at the
-   same place, so they meet under one prefix; neighbouring windows mostly share theirs and
-   travel together as one span (about one row per 19 words).
+1. Filing.  Each window is filed under the smallest hash of its inner runs of ``PREFIX`` words.
+   Equal windows hold the same runs, so they meet under one prefix; neighbouring windows
+   mostly share theirs and travel together as one span (about one row per 19 words, and of
+   text that repeats itself one row per ``SPAN_WINDOWS``).
 2. Equal spans collapse under a partial minimum of the document id, which settles the inside
    of every copy, however many copies there are.
 3. A prefix under which different spans of different documents remain is one suffix group.
@@ -39,6 +39,7 @@ WINDOW = 50
 #: Longer than usual one-line boilerplate, so that a common line does not bring its documents together.
 PREFIX = 14
 GROUP_SPANS = 2000
+SPAN_WINDOWS = 64
 #: Words looked at together; a longer text goes in parts that overlap by a window.
 PART = 1 << 19
 
@@ -90,22 +91,20 @@ def _spans(words: list[bytes], ends: np.ndarray, window: int, prefix: int):
         return (np.empty(0, np.int64),) * 5
     runs = Runs(words)
     at = np.arange(n - prefix + 1)
-    grams = runs.of(at, at + prefix)
-    order = np.argsort(grams, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    chosen = order[_sliding_min(rank, window - prefix + 1)]
-    p = np.arange(len(chosen))
+    filed = _sliding_min(runs.of(at, at + prefix), window - prefix + 1)
+    p = np.arange(len(filed))
     doc = np.searchsorted(ends, p, side="right")
     p = p[p + window <= ends[doc]]
     if not len(p):
         return (np.empty(0, np.int64),) * 5
-    doc, chosen = doc[p], chosen[p]
-    new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])]))
+    doc, filed = doc[p], filed[p]
+    turn = np.concatenate([[True], (filed[1:] != filed[:-1]) | (doc[1:] != doc[:-1])])
+    i = np.arange(len(p))
+    since = i - np.maximum.accumulate(np.where(turn, i, 0))
+    new = np.flatnonzero(since % SPAN_WINDOWS == 0)
     stop = np.concatenate([new[1:], [len(p)]]) - 1
     first, last = p[new], p[stop]
-    return (doc[new], first, last - first + 1, grams[chosen[new]].view(np.int64),
-            runs.of(first, last + window).view(np.int64))
+    return (doc[new], first, last - first + 1, filed[new].view(np.int64), runs.of(first, last + window).view(np.int64))
 
 
 def _file(window: int, prefix: int):
