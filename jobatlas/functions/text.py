@@ -32,9 +32,7 @@ KNOWN_SKILLS = (
 )
 # Characters stripped from both ends of a skill tag.
 SKILL_CUTSET = ".,;:"
-# Token splitter for skill mining (applied to lower-cased, tag-free text).
-SKILL_TOKEN_SPLIT = r"[^a-z0-9+#.]+"
-# The same tokens, spelled as what they are: maximal runs of the complement class.
+# Tokens of skill mining (applied to lower-cased, tag-free text): maximal runs of these characters.
 SKILL_TOKEN = r"[a-z0-9+#.]+"
 # Seniority markers; the leftmost match wins, alternatives tried in this order.
 SENIORITY_ALTERNATIVES = (r"principal|staff|lead|senior|sr\.?|mid[- ]?level|mid|junior|jr\.?"
@@ -93,9 +91,10 @@ def strip_html(c) -> Column:
 
 
 def fold_lower(c) -> Column:
-    """Lower-case with U+0130 folded to a plain 'i' (rune-wise lower-casing does that;
-    Java's String lower-casing yields two code points)."""
-    return F.lower(F.translate(_c(c), "İ", "i"))
+    """Lower-case every code point on its own.  Java's String lower-casing looks at the whole
+    string in two cases: U+0130 becomes two code points (here a plain 'i'), and a capital
+    sigma at the end of a word becomes the final form (here always the ordinary one)."""
+    return F.lower(F.translate(_c(c), "İΣ", "iσ"))
 
 
 def blank_to_null(c) -> Column:
@@ -126,7 +125,7 @@ def clean_skill_tag(c) -> Column:
 
 
 def desc_tokens(lowered_text) -> Column:
-    """The non-empty pieces of ``split(text, SKILL_TOKEN_SPLIT)``.
+    """The skill tokens of a text.
 
     Extracting the token runs gives the same tokens minus the empty strings a
     split leaves at the ends (no consumer keeps an empty token), and on long
@@ -176,7 +175,7 @@ def mine_skills(desc_text, dictionary=KNOWN_SKILLS) -> Column:
 
 def _clean_literal(k: str) -> str:
     """Python twin of :func:`clean_skill_tag` for literal dictionary entries."""
-    return k.strip().lower().strip(SKILL_CUTSET)
+    return k.strip().replace("İ", "i").replace("Σ", "σ").lower().strip(SKILL_CUTSET)
 
 
 def normalize_skills(tags, desc_text=None, dictionary=KNOWN_SKILLS, lowered=None) -> Column:
@@ -224,7 +223,7 @@ def seniority_marker(c, alternatives: str = SENIORITY_ALTERNATIVES) -> Column:
 
 def canonical_seniority(m) -> Column:
     """lower/trim, drop one trailing '.', map abbreviations."""
-    low = F.regexp_replace(F.lower(utrim(m)), r"\.$", "")
+    low = F.regexp_replace(fold_lower(utrim(m)), r"\.$", "")
     expr = None
     for k, v in SENIORITY_CANON.items():
         expr = (F.when(low == k, v) if expr is None else expr.when(low == k, v))
@@ -242,8 +241,8 @@ def classify_experience(title, experience_raw, desc_text,
 def classify_work_type(work_raw, location_raw, desc_text, hybrid_marker: str = HYBRID_MARKER,
                        remote_markers: tuple[str, ...] = REMOTE_MARKERS) -> Column:
     """Substring vote over lower(work || ' ' || location || ' ' || description)."""
-    hay = F.lower(F.concat_ws(" ", null_to_blank(work_raw), null_to_blank(location_raw),
-                              null_to_blank(desc_text)))
+    hay = fold_lower(F.concat_ws(" ", null_to_blank(work_raw), null_to_blank(location_raw),
+                                   null_to_blank(desc_text)))
     remote = None
     for m in remote_markers:
         p = F.contains(hay, F.lit(m))
@@ -275,9 +274,9 @@ def split_location(raw) -> Column:
     s = utrim(null_to_blank(raw))
     first = F.regexp_extract(s, FIRST_SEGMENT_RE, 1)
     last = F.regexp_extract(s, LAST_SEGMENT_RE, 1)
-    placeless = F.lower(s).isin(*PLACELESS_LOCATIONS)
+    placeless = fold_lower(s).isin(*PLACELESS_LOCATIONS)
     city = F.when(placeless, "").when(s.rlike(TWO_SEGMENTS_RE), first).otherwise("")
-    country = F.when(placeless, F.initcap(F.lower(s))).otherwise(last)
+    country = F.when(placeless, F.initcap(fold_lower(s))).otherwise(last)
     return F.struct(city.alias("city"), country.alias("country"))
 
 
@@ -365,7 +364,7 @@ def clean_currency(c) -> Column:
 def lenient_int(c) -> Column:
     """S8: '' -> 0, integer text, else float text truncated, else 0."""
     s = utrim(null_to_blank(c))
-    return F.coalesce(s.try_cast("int"), s.try_cast("double").try_cast("int"), F.lit(0))
+    return F.coalesce(s.try_cast("bigint"), s.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 # ---------------------------------------------------------------------------

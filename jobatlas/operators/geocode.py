@@ -4,12 +4,11 @@ The network geocoder is replaced by a gazetteer table ``(location_key, lat, lng,
 rank)`` supplied by the caller (e.g. parsed provider responses, G3).  Plan:
 
     records --distinct keys (partial agg)--> keys
-    cache semi keys      -> the cache rows of this run's keys (keys broadcast below a counted bound)
-    keys  x those rows   -> hits
-    keys  anti those     -> misses
-    misses x first(gazetteer rows of this run's keys) -> resolved, merged into the cache (K4)
-    misses anti gazetteer -> unresolved work list (retried next run: never cached)
-    records x coords     -> placed records; records without coords are counted as failures (G5)
+    cache and gazetteer semi keys -> the rows of this run's keys
+    keys left join both           -> one row per key with its coordinates and where they came from:
+                                     cache hits, gazetteer rows (merged into the cache, K4) and
+                                     unresolved keys (the work list; retried next run, never cached)
+    records left join coordinates -> placed records, and those without coordinates counted as failures (G5)
 
 The record-side join is on the key; a key that holds a third of all records
 (e.g. "remote") is a skewed partition that AQE's skew-join splitting handles,
@@ -78,48 +77,51 @@ def provider_rows(responses: DataFrame, provider: str) -> DataFrame:
     return out.where(F.col("lat").isNotNull())
 
 
-# Largest number of a run's distinct location keys broadcast to probe the cache and gazetteer.
-BROADCAST_KEYS = 500_000
+def resolve(keys: DataFrame, cache: DataFrame, gazetteer: DataFrame, key: str = "location_key") -> DataFrame:
+    """``keys`` (distinct) with lat, lng and ``resolved_by`` ('cache', 'gazetteer' or NULL).
 
+    ``cache`` columns: (location_key, latitude, longitude).  The cache and the gazetteer
+    keep growing while a run's keys are few: both are cut down to this run's keys while
+    they are scanned (the planner broadcasts the keys if they are small), so that the first
+    result is chosen among rows that are asked for.
+    """
+    asked = keys.select(key)
+    c = cache.join(asked, key, "left_semi").select(key, F.struct("latitude", "longitude").alias("_c"))
+    g = first_result(gazetteer.join(asked, key, "left_semi"), key).select(key, F.struct("lat", "lng").alias("_g"))
+    by = F.when(F.col("_c").isNotNull(), "cache").when(F.col("_g").isNotNull(), "gazetteer")
+    return keys.join(c, key, "left").join(g, key, "left").select(
+        *keys.columns, F.when(F.col("_c").isNotNull(), F.col("_c.latitude")).otherwise(F.col("_g.lat")).alias("lat"),
+        F.when(F.col("_c").isNotNull(), F.col("_c.longitude")).otherwise(F.col("_g.lng")).alias("lng"),
+        by.alias("resolved_by"))
 
-def resolve(keys: DataFrame, cache: DataFrame, gazetteer: DataFrame, key: str = "location_key",
-            broadcast_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(coords, unresolved, new_cache_rows) for a set of distinct keys.
 
-    ``cache`` columns: (location_key, latitude, longitude).  Unresolved keys are
-    not cached, so the next run retries them.  The cache and the gazetteer keep
-    growing while a run's keys are few: when there are at most ``broadcast_keys``
-    of them (counted first), the keys are broadcast into semi-joins that cut both
-    tables down to this run's keys while scanning them, so neither is shuffled.
-    """
-    probe = (lambda k: F.broadcast(k)) if broadcast_keys > 0 and keys.count() <= broadcast_keys \
-        else (lambda k: k)
-    run_keys = probe(keys.select(key))
-    c = cache.select(key, F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
-    c = c.join(run_keys, key, "left_semi")
-    # only this run's keys are looked up: cut the gazetteer down to them before choosing
-    # each key's first result (the gazetteer may hold every place name there is)
-    gz = first_result(gazetteer.join(run_keys, key, "left_semi"), key)
-    hits = keys.join(c, key).withColumn("resolved_by", F.lit("cache"))
-    misses = keys.join(c.select(key), key, "left_anti")
-    fresh = misses.join(gz, key).withColumn("resolved_by", F.lit("gazetteer"))
-    unresolved = misses.join(gz.select(key), key, "left_anti")
-    coords = hits.unionByName(fresh)
-    new_cache = fresh.select(key, F.col("lat").alias("latitude"), F.col("lng").alias("longitude"))
-    return coords, unresolved, new_cache
-
-
-def place(records: DataFrame, coords: DataFrame, key: str = "location_key") -> tuple[DataFrame, DataFrame]:
-    """(placed records with lat/lng, records that could not be placed)."""
-    cc = coords.select(key, "lat", "lng", *(["resolved_by"] if "resolved_by" in coords.columns else []))
-    return records.join(cc, key), records.join(cc.select(key), key, "left_anti")
+def coords_of(resolved: DataFrame) -> DataFrame:
+    return resolved.where(F.col("resolved_by").isNotNull())
+
+
+def unresolved_of(resolved: DataFrame) -> DataFrame:
+    return resolved.where(F.col("resolved_by").isNull()).drop("lat", "lng", "resolved_by")
+
+
+def new_cache_of(resolved: DataFrame, key: str = "location_key") -> DataFrame:
+    return resolved.where(F.col("resolved_by") == "gazetteer").select(
+        key, F.col("lat").alias("latitude"), F.col("lng").alias("longitude"))
+
+
+def locate(records: DataFrame, coords: DataFrame, key: str = "location_key") -> DataFrame:
+    """Every record with its key's lat, lng and ``resolved_by`` (NULL where the key has none)."""
+    return records.join(coords.select(key, "lat", "lng", "resolved_by"), key, "left")
+
+
+def placed_of(located: DataFrame) -> DataFrame:
+    return located.where(F.col("resolved_by").isNotNull())
+
+
+def failed_of(located: DataFrame) -> DataFrame:
+    return located.where(F.col("resolved_by").isNull()).drop("lat", "lng", "resolved_by")
 
 
 def with_location(df: DataFrame, city: str = "city", country: str = "country") -> DataFrame:
     """Add location_key (P10) and display."""
     return df.withColumn("location_key", X.location_key(city, country)) \
              .withColumn("display", X.geocode_display(city, country))
-
-
-def display_of(city: Column, country: Column) -> Column:
-    return X.geocode_display(city, country)

@@ -13,6 +13,7 @@ keyed step is a partial aggregation, so hot keys are collapsed per task first.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,30 +49,25 @@ def fetch(payloads: dict[str, DataFrame], queries: DataFrame,
     Feeds searched client-side run every query and keep the first rows per query up
     to its cap; jooble's payloads (searched server-side) are capped by their own
     query's cap.  A query's ``per_page`` of 0 means the run's ``per_page``; a
-    negative one means no cap.  Rejected payloads count as run errors, except for
-    feeds whose failures are skipped silently (``FD.SILENT_FAILURES``)."""
+    negative one means no cap.  Caps hold within one pull: the payloads must be of
+    one (:func:`jobatlas.streaming.incremental.ingest_stream` runs them one by one).
+    A rejected payload counts as ``times`` run errors (``FD.run_errors``)."""
     frames, errors = {}, []
-    FD.check_query_list(queries)
     # each query's own cap, the run's default where it has none (0)
     caps = FD.query_caps(queries, per_page)
-    bound = FD.largest_cap(caps)
+    bound, small = FD.largest_cap(caps), FD.small_query_list(queries)
+    n_queries = queries.count()
     for s in FD.SOURCE_ORDER:
         if s not in payloads:
             continue
         raw = FD.ADAPTERS[s](payloads[s])
         if s in FD.CLIENT_FILTERED:
-            raw = FD.cap_per_query(FD.apply_queries(raw, caps, checked=True), max_per_page=bound)
+            raw = FD.cap_per_query(FD.apply_queries(raw, caps, small), max_per_page=bound)
         elif s == "jooble":
             raw = FD.cap_per_query(FD.with_query_caps(raw, caps, per_page), max_per_page=bound)
         frames[s] = raw
-        if s not in FD.SILENT_FAILURES:
-            errors.append(FD.payload_errors(payloads[s], s))
-    if not errors:
-        errors.append(FD.payload_errors(payloads[next(iter(payloads))].limit(0), "none"))
-    err = errors[0]
-    for e in errors[1:]:
-        err = err.unionByName(e)
-    return FD.union_sources(frames), err
+        errors.append(FD.run_errors(payloads[s], s, n_queries))
+    return FD.union_sources(frames), reduce(DataFrame.unionByName, errors)
 
 
 def _seq() -> Column:
@@ -79,44 +75,44 @@ def _seq() -> Column:
 
 
 def run(raw: DataFrame, store: Store, gazetteer: DataFrame, run_ts: Column,
-        errors: DataFrame | None = None, dictionary=X.KNOWN_SKILLS,
-        checkpoint: bool = True) -> tuple[Store, DataFrame, DataFrame]:
-    """Returns (next store, one-row metrics, unresolved location keys).
-
-    With ``checkpoint`` (the default) every stage that several later stages read
-    -- raw rows, the deduplicated batch, placed records and each merged table --
-    is written once as a Parquet table in the shared checkpoint folder, so no
-    stage is recomputed and a lost executor only costs the current stage.
+        errors: DataFrame | None = None, dictionary=X.KNOWN_SKILLS) -> tuple[Store, DataFrame, DataFrame]:
+    """Returns (rows of each table that the run touches, one-row metrics, unresolved location keys).
+
+    The history is read to find what the batch meets and never written: :func:`apply`
+    puts the touched rows over it, :func:`write_delta` stores them alone.
+
+    Every stage that several later stages read -- raw rows, the deduplicated batch,
+    located records and each table's touched rows -- is written once as a Parquet
+    table in the shared checkpoint folder, so no stage is recomputed, new ids are fixed,
+    and a lost executor only costs the current stage.
     """
-    ck = (lambda d, name: cut_lineage(d, name)) if checkpoint else (lambda d, name: d)
+    ck = cut_lineage
     raw = ck(raw, "raw")
     norm = drop_incomplete(normalize(raw, dictionary)).withColumn("seq", _seq()).drop(*SEQ_COLUMNS)
     deduped = ck(dedup_batch(norm, "dedup_hash", ["seq"]), "deduped")
     recs = deduped.withColumn("display", X.geocode_display("city", "country"))
-    coords, unresolved, new_cache = G.resolve(G.unique_keys(recs), store.cache, gazetteer)
-    coords = ck(coords, "coords")
-    placed, failed = G.place(recs, coords)
-    placed = ck(placed, "placed")
+    resolved = ck(G.resolve(G.unique_keys(recs), store.cache, gazetteer), "resolved")
+    coords, unresolved, new_cache = G.coords_of(resolved), G.unresolved_of(resolved), G.new_cache_of(resolved)
+    located = ck(G.locate(recs, coords), "located")
+    placed, failed = G.placed_of(located), G.failed_of(located)
 
-    companies = ck(M.upsert_companies(
+    companies = ck(M.touched_companies(
         store.companies,
         placed.select(F.col("company_name").alias("name"), F.lit("").alias("website"),
                       F.col("company_logo").alias("logo_url"), "seq"),
         run_ts, "seq"), "companies")
-    # id lookups only need the rows this batch touched (n_batch > 0), not the whole history
-    batch_companies = companies.where(F.col("n_batch") > 0)
-    with_company = placed.join(batch_companies.select(F.col("id").alias("company_id"),
-                                                      F.col("name").alias("company_name")), "company_name")
-    offices = ck(M.upsert_offices(
+    with_company = placed.join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")),
+                               "company_name")
+    offices = ck(M.touched_offices(
         store.offices,
         with_company.select("company_id", "city", "country", F.lit("").alias("address"), "lat", "lng", "seq"),
         run_ts, "seq"), "offices")
-    office_ids = offices.where(F.col("n_batch") > 0).select(
+    office_ids = offices.select(
         F.col("id").alias("office_id"), "company_id", "city", F.col("country").alias("_office_country"))
     job_rows = (with_company.withColumn("_office_country", M.office_country(F.col("city"), F.col("country")))
                 .join(office_ids, ["company_id", "city", "_office_country"]))
-    jobs = ck(M.upsert_jobs(store.jobs, job_rows, run_ts, "seq"), "jobs")
-    cache = M.upsert_cache(store.cache, new_cache, run_ts)
+    jobs = ck(M.touched_jobs(store.jobs, job_rows, run_ts, "seq"), "jobs")
+    cache = ck(M.touched_cache(store.cache, new_cache, run_ts), "cache")
 
     z = F.lit(0).cast("long")
     one = F.lit(1).cast("long")
@@ -125,20 +121,28 @@ def run(raw: DataFrame, store: Store, gazetteer: DataFrame, run_ts: Column,
                    z.alias("geocode_fail"), z.alias("errors")),
         deduped.select(z, one, z, z, z, z),
         failed.select(z, z, z, z, one, z),
-        jobs.where(F.col("n_batch") > 0).select(
+        jobs.select(
             z, z, F.col("inserted").cast("long"),
             (F.col("n_batch") - F.col("inserted").cast("long")).cast("long"), z, z),
     ]
     if errors is not None:
-        parts.append(errors.select(z, z, z, z, z, one))
+        parts.append(errors.select(z, z, z, z, z, F.col("times")))
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.union(p)
-    metrics = stacked.agg(*[F.sum(c).cast("long").alias(c) for c in
+    metrics = stacked.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in
                             ("fetched", "after_dedup", "inserted", "skipped", "geocode_fail", "errors")])
-    nxt = Store(companies.drop("is_new", "n_batch"), offices.drop("is_new", "n_batch"),
-                jobs.drop("inserted", "n_batch"), cache)
-    return nxt, metrics, unresolved
+    touched = Store(companies.drop("is_new", "n_batch"), offices.drop("is_new", "n_batch"),
+                    jobs.drop("inserted", "n_batch"), cache)
+    return touched, metrics, unresolved
+
+
+KEYS = {"companies": M.COMPANY_KEY, "offices": M.OFFICE_KEY, "jobs": M.JOB_KEY, "cache": M.CACHE_KEY}
+
+
+def apply(store: Store, touched: Store) -> Store:
+    """The store after a run: every table's untouched rows and the rows that the run touched."""
+    return Store(**{t: M.apply_touched(getattr(store, t), getattr(touched, t), k) for t, k in KEYS.items()})
 
 
 def write_store(store: Store, path: str, layouts: bool = True) -> None:
@@ -158,5 +162,52 @@ def write_store(store: Store, path: str, layouts: bool = True) -> None:
     store.cache.write.mode("overwrite").parquet(f"{path}/geocode_cache")
 
 
+CHAIN_DDL = "base string, deltas array<string>"
+# A version whose deltas are this many is written whole again.
+COMPACT_AFTER = 16
+
+
+def _chain(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """The whole version that a version stands on, and the deltas over it, oldest first."""
+    row = spark.read.schema(CHAIN_DDL).parquet(f"{path}/_chain").first()
+    return row.base, list(row.deltas)
+
+
+def write_version(spark: SparkSession, touched: Store, prev: str | None, path: str,
+                  compact_after: int = COMPACT_AFTER) -> None:
+    """Write the store version after a run: only the touched rows, as a delta over ``prev``;
+    every ``compact_after`` versions the whole store (what a run writes does not grow with the history)."""
+    base, deltas = _chain(spark, prev) if prev else (path, [])
+    if prev is None:
+        write_store(touched, path)
+    elif len(deltas) >= compact_after:
+        write_store(apply(read_store(spark, prev), touched), path)
+        base, deltas = path, []
+    else:
+        write_store(touched, path, layouts=False)
+        deltas = [*deltas, path]
+    spark.createDataFrame([(base, deltas)], CHAIN_DDL).coalesce(1).write.mode("overwrite").parquet(f"{path}/_chain")
+
+
+def read_tables(spark: SparkSession, path: str) -> Store:
+    """The tables of one folder that :func:`write_store` wrote."""
+    return Store(*(spark.read.schema(ddl).parquet(f"{path}/{t}") for t, ddl in (
+        ("companies", COMPANIES_DDL), ("offices", OFFICES_DDL), ("jobs", JOBS_DDL), ("geocode_cache", GEOCODE_CACHE_DDL))))
+
+
 def read_store(spark: SparkSession, path: str) -> Store:
-    return Store(*(spark.read.parquet(f"{path}/{t}") for t in ("companies", "offices", "jobs", "geocode_cache")))
+    """A store version: its whole base with the newest delta row of every key over it."""
+    base, deltas = _chain(spark, path)
+    store = read_tables(spark, base)
+    if not deltas:
+        return store
+    parts = [read_tables(spark, d) for d in deltas]
+
+    def newest(table: str, keys) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, [getattr(p, table).withColumn("_at", F.lit(i)) for i, p in enumerate(parts)])
+        cols = [c for c in rows.columns if c != "_at"]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_at").alias("r")) if len(parts) > 1 \
+            else rows.select(F.struct(*cols).alias("r"))
+        return last.select("r.*")
+
+    return apply(store, Store(**{t: newest(t, k) for t, k in KEYS.items()}))

@@ -64,8 +64,7 @@ coords AS (SELECT location_key, lat, lng, 'cache' AS resolved_by FROM cache
 FROM r JOIN coords c ON r.location_key = c.location_key""")
 def q_geocode_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec, cache, gaz = _geo_inputs(spark, sf_dir)
-    coords, _, _ = G.resolve(G.unique_keys(rec), cache, gaz)
-    placed, _ = G.place(rec, coords)
+    placed = G.placed_of(G.locate(rec, G.coords_of(G.resolve(G.unique_keys(rec), cache, gaz))))
     return placed.select("c_custkey", "location_key", "lat", "lng", "resolved_by")
 
 
@@ -73,8 +72,7 @@ def q_geocode_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM r WHERE location_key NOT IN (SELECT location_key FROM coords) GROUP BY location_key""")
 def q_geocode_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec, cache, gaz = _geo_inputs(spark, sf_dir)
-    _, unresolved, _ = G.resolve(G.unique_keys(rec), cache, gaz)
-    return unresolved.select("location_key", "display", "n_records")
+    return G.unresolved_of(G.resolve(G.unique_keys(rec), cache, gaz)).select("location_key", "display", "n_records")
 
 
 # -- provider responses (G3) and cache merge (K4/G4) -----------------------------------
@@ -135,25 +133,26 @@ def _cache_frames(spark: SparkSession, sf_dir: str):
     c = T.read_table(spark, sf_dir, "customer")
     n = T.read_table(spark, sf_dir, "nation")
     cn = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(
-        F.concat(F.lower("c_mktsegment"), F.lit("|"), F.lower("n_name")).alias("location_key"),
+        F.concat(F.lower("c_mktsegment"), F.lit("|"), F.lower("n_name"), F.lit("|"),
+                 (F.col("c_custkey") % 20).cast("string")).alias("location_key"),
         "n_nationkey", "c_custkey", "c_acctbal")
-    current = cn.where(F.col("c_acctbal") > 9000).select(
+    current = cn.where(F.col("c_acctbal") <= 5000).select(
         "location_key", F.col("n_nationkey").cast("double").alias("latitude"),
         (-F.col("n_nationkey")).cast("double").alias("longitude"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at")).distinct()
-    batch = cn.where(F.col("c_acctbal") < 0).select(
+    batch = cn.where(F.col("c_acctbal") >= 2000).select(
         "location_key", T.grid_lat(F.col("c_custkey")).alias("latitude"),
         T.grid_lng(F.col("c_custkey")).alias("longitude"), F.col("c_custkey").alias("seq"))
     return current, batch
 
 
-@register("upsert_cache", """WITH c AS (SELECT lower(c_mktsegment) || '|' || lower(n_name) AS location_key,
+@register("upsert_cache", """WITH c AS (SELECT lower(c_mktsegment) || '|' || lower(n_name) || '|' || CAST(c_custkey % 20 AS VARCHAR) AS location_key,
         n_nationkey, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
 old AS (SELECT DISTINCT location_key, CAST(n_nationkey AS DOUBLE) AS latitude,
-        CAST(-n_nationkey AS DOUBLE) AS longitude FROM c WHERE c_acctbal > 9000),
+        CAST(-n_nationkey AS DOUBLE) AS longitude FROM c WHERE c_acctbal <= 5000),
 b AS (SELECT location_key, arg_max(CAST((c_custkey * 37) % 161 AS DOUBLE) - 80.0, c_custkey) AS latitude,
         arg_max(CAST((c_custkey * 73) % 359 AS DOUBLE) - 179.0, c_custkey) AS longitude
-        FROM c WHERE c_acctbal < 0 GROUP BY location_key)
+        FROM c WHERE c_acctbal >= 2000 GROUP BY location_key)
 SELECT coalesce(b.location_key, old.location_key) AS location_key,
        CASE WHEN b.location_key IS NULL THEN old.latitude ELSE b.latitude END AS latitude,
        CASE WHEN b.location_key IS NULL THEN old.longitude ELSE b.longitude END AS longitude,

@@ -52,10 +52,8 @@ def land_pull(spark: SparkSession, sf_dir: str, folder: str, sources) -> None:
     """Write one pull of feed payload pages as landed files: one file per page under
     ``<folder>/source=<feed>/page_ord=<n>/[country=<code>/]``."""
     from ..sources import feeds as FD
-    from .q_feeds import _part_items, landed_payloads
-    items = _part_items(spark, sf_dir)
     for src in sources:
-        pages = landed_payloads(spark, sf_dir, src, items)
+        pages = q_ingest.landed(spark, sf_dir, src)
         keys = ["page_ord", "country"] if src == "adzuna" else ["page_ord"]
         pages.repartition(*keys).write.partitionBy(*keys).text(f"{folder}/source={src}")
     assert set(sources) <= set(FD.SOURCE_ORDER)
@@ -63,21 +61,21 @@ def land_pull(spark: SparkSession, sf_dir: str, folder: str, sources) -> None:
 
 @register("stream_ingest", ORACLES["run_metrics"])
 def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two ingestion runs of ``run_metrics`` as two micro-batches of one stream:
-    the first pull lands the run-1 feeds, the second a full pull of all six."""
+    """The two ingestion runs of ``run_metrics`` as a backlog of two pulls that have both
+    landed before the stream runs once: the first with the run-1 feeds, the second with all six."""
     from ..sources import feeds as FD
     d = _run_dir(spark, "stream_ingest")
     queries = FD.queries_frame(spark, q_ingest.SEARCH, FD.DEFAULT_PER_QUERY)
     gaz = q_ingest.part_gazetteer(spark, sf_dir)
     store, ck = f"{d}/store", f"{d}/checkpoint"
-    land_pull(spark, sf_dir, f"{d}/landing/pull1", q_ingest.RUN1_SOURCES)
+    land_pull(spark, sf_dir, f"{d}/landing/pull=1", q_ingest.RUN1_SOURCES)
+    land_pull(spark, sf_dir, f"{d}/landing/pull=2", FD.SOURCE_ORDER)
     INC.ingest_stream(INC.landed_stream(spark, f"{d}/landing"), store, gaz, queries, ck)
-    land_pull(spark, sf_dir, f"{d}/landing/pull2", FD.SOURCE_ORDER)
-    INC.ingest_stream(INC.landed_stream(spark, f"{d}/landing"), store, gaz, queries, ck)
-    commits = INC.committed_versions(spark, store).select("version", "commit_no").collect()
-    runs = [spark.read.parquet(f"{r.version}/_metrics").drop("batch_id").withColumn("run", F.lit(int(r.commit_no)))
-            for r in sorted(commits, key=lambda r: r.commit_no)]
-    return runs[0].unionByName(runs[1])
+    runs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{store}/*/_metrics")
+    commits = INC.committed_versions(spark, store).select("version", F.col("commit_no").cast("int").alias("run"))
+    of = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/_metrics/", 1)
+    return runs.select(of.alias("v"), "*").join(
+        commits.select(F.substring_index("version", "/", -1).alias("v"), "run"), "v").drop("v", "batch_id")
 
 
 _ = q_text  # the dedup oracle is registered there

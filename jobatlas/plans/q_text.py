@@ -69,15 +69,14 @@ _TAGS_SQL = "[' .NET ', upper(lang), source, lang || ';']"
 
 
 @register("skill_lists", _skills_sql(_TAGS_SQL).replace(
-    "@EXTRA@", ", array_to_string(list_filter(list_transform(string_split(" + _FIRST_LINE_SQL + ", ','), "
+    "@EXTRA@", ", array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), ','), "
           "lambda x: " + S.utrim("x") + "), lambda x: x <> ''), '|') AS csv"))
 def q_skill_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(T.read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source")
     tags = F.array(F.lit(" .NET "), F.upper("lang"), F.col("source"), F.concat("lang", F.lit(";")))
     d = X.with_skills(d, "skills", tags, X.strip_html("text"), MINING_DICT)
-    first_line = F.substring_index("text", "\n", 1)
     return d.select("doc_id", F.array_join("skills", "|").alias("skills"),
-                    F.array_join(X.csv_list(first_line), "|").alias("csv"))
+                    F.array_join(X.csv_list("text"), "|").alias("csv"))
 
 
 @register("seniority", f"""WITH d AS (SELECT doc_id, {_FIRST_LINE_SQL} AS title, source AS exp,

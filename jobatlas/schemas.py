@@ -8,7 +8,7 @@ RAW_JOB_DDL = (
     "source string, source_id string, source_url string, company_name string, company_logo string, "
     "location_raw string, city string, country string, title string, description string, "
     "skills_raw array<string>, experience_raw string, work_type_raw string, "
-    "salary_min int, salary_max int, salary_currency string, posted_at string, "
+    "salary_min bigint, salary_max bigint, salary_currency string, posted_at string, "
     "source_ord int, query_ord int, page_ord int, pos int"
 )
 RAW_JOB_COLUMNS = tuple(f.split(" ")[0] for f in RAW_JOB_DDL.split(", "))
@@ -24,7 +24,7 @@ COMPANIES_DDL = "id bigint, name string, website string, logo_url string, create
 OFFICES_DDL = ("id bigint, company_id bigint, city string, country string, address string, "
                "lat double, lng double, created_at timestamp")
 JOBS_DDL = ("id bigint, office_id bigint, title string, skills array<string>, experience_level string, "
-            "work_type string, salary_min int, salary_max int, salary_currency string, posted_date date, "
+            "work_type string, salary_min bigint, salary_max bigint, salary_currency string, posted_date date, "
             "source string, source_url string, dedup_hash string, created_at timestamp, updated_at timestamp")
 GEOCODE_CACHE_DDL = "location_key string, latitude double, longitude double, created_at timestamp"
 

@@ -84,6 +84,12 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``; for a table just read back from :func:`cut_lineage` the
+    bytes of its files, so this is a measured bound for a broadcast."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition for CPU-heavy row-wise work when the input arrives in
     fewer partitions than the cluster can run at once (e.g. one big row group or a few

@@ -11,8 +11,7 @@ request.  Optional payload columns carry request context:
 
 Every adapter is ``from_json`` with an explicit schema + ``posexplode`` of the
 item list + one projection, i.e. native expressions only.  One payload is one
-row until the explode; the exploded items are rebalanced (AQE ``rebalance``
-hint), so a single oversized payload does not end up in one task.
+row until the explode (a feed bounds its payloads, at most 100 items a request).
 """
 
 from __future__ import annotations
@@ -43,7 +42,6 @@ SILENT_FAILURES = ("adzuna",)
 # Feeds whose search runs client-side (the payload is the whole feed).
 CLIENT_FILTERED = ("remoteok", "arbeitnow", "jobicy")
 DEFAULT_PER_QUERY = 100
-ADZUNA_PAGE_CAP = 50
 # adzuna rows are ordered by (marketplace, page): page_ord = marketplace index * span + page
 ADZUNA_PAGE_SPAN = 100_000
 # Search terms of a scheduled run when none are given.
@@ -90,15 +88,14 @@ def _ctx(payloads: DataFrame, name: str) -> list[Column]:
 
 
 def _items(payloads: DataFrame, name: str) -> DataFrame:
-    """posexplode the item list of every payload (pos = index within the payload)."""
-    doc = F.from_json(F.col("value"), SCHEMAS[name])
+    """posexplode the item list of every accepted payload (pos = index within the payload).
+
+    A payload with a :func:`payload_reason` gives no items.  A JSON null in the list is an
+    item without fields, as in a typed decoder; an absent list gives none."""
+    doc = F.from_json(F.when(payload_reason(F.col("value"), name).isNull(), F.col("value")), SCHEMAS[name])
     envelope = ENVELOPES[name]
     arr = doc if envelope is None else doc.getField(envelope)
-    items = payloads.select(*_ctx(payloads, name), F.posexplode_outer(arr).alias("pos", "it")) \
-        .where(F.col("it").isNotNull())
-    # One landed file may hold a large share of all items (one page, one source): rebalance
-    # after the explode so AQE splits big partitions and merges small ones at run time.
-    return items.hint("rebalance")
+    return payloads.select(*_ctx(payloads, name), F.posexplode(arr).alias("pos", "it"))
 
 
 def _raw(name: str, it: dict) -> list[Column]:
@@ -112,13 +109,13 @@ def _raw(name: str, it: dict) -> list[Column]:
         elif c == "pos":
             out.append(F.col("pos").cast("int").alias(c))
         elif c not in it:  # a field this feed does not have: blank, 0 or []
-            blank = (F.lit(0) if c in ("salary_min", "salary_max")
+            blank = (F.lit(0).cast("bigint") if c in ("salary_min", "salary_max")
                      else F.array().cast("array<string>") if c == "skills_raw" else F.lit(""))
             out.append(blank.alias(c))
         else:
             v = it[c]
             if c in ("salary_min", "salary_max"):
-                v = F.coalesce(v.cast("int"), F.lit(0))
+                v = F.coalesce(v.cast("bigint"), F.lit(0).cast("bigint"))
             elif c == "skills_raw":
                 v = F.coalesce(v, F.array().cast("array<string>"))
             else:
@@ -186,7 +183,7 @@ def jobicy(payloads: DataFrame) -> DataFrame:
     it = it.where(X.utrim(X.null_to_blank(_s("jobTitle"))) != "")
     geo = X.null_to_blank(_s("jobGeo"))
     loc = X.split_location(geo)
-    placeless = (geo == "") | (F.lower(geo) == "worldwide")
+    placeless = (geo == "") | (X.fold_lower(geo) == "worldwide")
     return it.select(*_raw("jobicy", {
         "source_id": _int_id(), "source_url": _s("url"),
         "company_name": X.utrim(_s("companyName")), "location_raw": geo,
@@ -220,7 +217,7 @@ def currency_for_country(code: Column) -> Column:
 
 
 def adzuna(payloads: DataFrame) -> DataFrame:
-    """One payload per marketplace (``country`` column); salary truncated to int.
+    """One payload per marketplace (``country`` column); salary truncated to an integer.
 
     Marketplaces are pulled in a fixed order, so the marketplace's position is
     folded into ``page_ord`` and "first occurrence" follows that order.
@@ -232,7 +229,7 @@ def adzuna(payloads: DataFrame) -> DataFrame:
     it = _items(payloads, "adzuna")
     loc = adzuna_location(_s("location.area"), _s("location.display_name"))
     trunc = lambda c: F.when(c.isNull(), F.lit(0.0)).otherwise(
-        F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c))).try_cast("int")
+        F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c))).try_cast("bigint")
     return it.select(*_raw("adzuna", {
         "source_id": _s("id"), "source_url": _s("redirect_url"),
         "company_name": X.utrim(_s("company.display_name")), "location_raw": _s("location.display_name"),
@@ -310,39 +307,41 @@ def queries_frame(spark: SparkSession, terms: Sequence[str] = DEFAULT_QUERY_TERM
 
 def matches_keyword(kw: Column, title: Column, desc: Column, tags: Column) -> Column:
     """lower-cased keyword is a substring of the title, description or any tag."""
-    k = F.lower(kw)
-    return ((k == "") | F.contains(F.lower(X.null_to_blank(title)), k)
-            | F.contains(F.lower(X.null_to_blank(desc)), k)
+    k = X.fold_lower(kw)
+    return ((k == "") | F.contains(X.fold_lower(X.null_to_blank(title)), k)
+            | F.contains(X.fold_lower(X.null_to_blank(desc)), k)
             | F.exists(F.coalesce(tags, F.array().cast("array<string>")),
-                       lambda t: F.contains(F.lower(t), k)))
+                       lambda t: F.contains(X.fold_lower(t), k)))
 
 
-MAX_QUERIES = 10_000
+# Bytes of search terms that are broadcast to the feed scan; a longer list is joined without a hint.
+BROADCAST_QUERY_BYTES = 8 << 20
 
 
-def check_query_list(queries: DataFrame, max_queries: int = MAX_QUERIES) -> None:
-    """Size bound of the search list that :func:`apply_queries` broadcasts."""
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"search list has {n} queries; at most {max_queries} are broadcast to the feed scan")
+def small_query_list(queries: DataFrame, max_bytes: int = BROADCAST_QUERY_BYTES) -> bool:
+    """Whether the search list's measured size allows a broadcast."""
+    size = queries.agg(F.sum(F.octet_length(X.null_to_blank("keywords")) + F.lit(64)).alias("n")).first().n
+    return (size or 0) <= max_bytes
 
 
-def apply_queries(raw: DataFrame, queries: DataFrame, max_queries: int = MAX_QUERIES,
-                  checked: bool = False) -> DataFrame:
+def apply_queries(raw: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
     """A client-side-filtered feed is searched once per query.
 
-    ``queries`` is the run's search list -- one entry per feed request, so a
-    handful of rows.  Its size is checked (``max_queries``) before it is
-    broadcast; the keyword predicate is then a nested-loop condition evaluated
-    where the feed rows already are, so the feed is scanned once and never shuffled.
+    ``queries`` is the run's search list -- one entry per feed request, so a handful of
+    rows.  Below a measured size it is broadcast and the keyword predicate is a nested-loop
+    condition evaluated where the feed rows already are: the feed is scanned once, its text is
+    lower-cased once per row, and nothing is shuffled.  A longer list is left to the planner.
     """
-    if not checked:
-        check_query_list(queries, max_queries)
-    q = F.broadcast(queries.select(F.col("query_ord").alias("_q"), F.col("keywords").alias("_kw"),
-                                   F.col("per_page").alias("_per_page")))
-    j = raw.join(q, matches_keyword(F.col("_kw"), F.col("title"), F.col("description"),
-                                    F.col("skills_raw")))
-    return j.withColumn("query_ord", F.col("_q")).drop("_q", "_kw")
+    small = small_query_list(queries) if small is None else small
+    q = queries.select(F.col("query_ord").alias("_q"), X.fold_lower(X.null_to_blank("keywords")).alias("_kw"),
+                       F.col("per_page").alias("_per_page"))
+    low = raw.withColumns({
+        "_title": X.fold_lower(X.null_to_blank("title")), "_desc": X.fold_lower(X.null_to_blank("description")),
+        "_tags": F.transform(F.coalesce("skills_raw", F.array().cast("array<string>")), X.fold_lower)})
+    met = ((F.col("_kw") == "") | F.contains("_title", "_kw") | F.contains("_desc", "_kw")
+           | F.exists("_tags", lambda t: F.contains(t, F.col("_kw"))))
+    j = low.join(F.broadcast(q) if small else q, met)
+    return j.withColumn("query_ord", F.col("_q")).drop("_q", "_kw", "_title", "_desc", "_tags")
 
 
 def query_caps(queries: DataFrame, default: int = DEFAULT_PER_QUERY) -> DataFrame:
@@ -353,15 +352,15 @@ def query_caps(queries: DataFrame, default: int = DEFAULT_PER_QUERY) -> DataFram
 
 
 def largest_cap(queries: DataFrame) -> int | None:
-    """The largest positive cap of a (size-checked) search list, read on the driver."""
+    """The largest positive cap of a search list, read on the driver."""
     return queries.agg(F.max(F.when(F.col("per_page") > 0, F.col("per_page"))).alias("m")).first().m
 
 
 def with_query_caps(raw: DataFrame, queries: DataFrame, default: int = DEFAULT_PER_QUERY) -> DataFrame:
     """``_per_page`` of each feed row's query (server-side-searched feeds carry ``query_ord``
     from their payload); rows of a query that is not in the list get the default."""
-    q = F.broadcast(queries.select(F.col("query_ord").alias("_qo"), F.col("per_page").alias("_pp")))
-    j = raw.join(q, raw.query_ord == q._qo, "left")
+    q = queries.select(F.col("query_ord").alias("_qo"), F.col("per_page").alias("_pp"))
+    j = raw.join(q, raw.query_ord == q._qo, "left")  # two integers a query: the planner broadcasts them by size
     return j.withColumn("_per_page", F.coalesce(F.col("_pp"), F.lit(default))).drop("_qo", "_pp")
 
 
@@ -397,3 +396,10 @@ def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
     """Bag union of the enabled sources (source_ord fixes their order)."""
     dfs = [frames[s] for s in SOURCE_ORDER if s in frames]
     return reduce(lambda a, b: a.unionByName(b), dfs)
+
+
+def run_errors(payloads: DataFrame, source: str, n_queries: int) -> DataFrame:
+    """S12 as a run counts it: ``times`` per rejected payload.  A feed searched client-side is pulled
+    once per query, so its broken payload fails every query; a feed in ``SILENT_FAILURES`` none."""
+    times = 0 if source in SILENT_FAILURES else n_queries if source in CLIENT_FILTERED else 1
+    return payload_errors(payloads, source).withColumn("times", F.lit(times).cast("long"))

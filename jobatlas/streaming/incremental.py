@@ -21,34 +21,45 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import first_per_key
+from ..session import cut_lineage, planned_bytes
 
-# Largest number of a micro-batch's keys that is broadcast to probe the snapshot.
-BROADCAST_BATCH_KEYS = 500_000
+# Largest micro-batch (bytes of its written first rows) whose keys are broadcast to probe the snapshot.
+BROADCAST_BATCH_BYTES = 16 << 20
 
 
-def _ensure_table(spark: SparkSession, path: str, schema) -> None:
+def _read_or_none(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table at ``path``, or None if there is no such path.  Any other failure is raised:
+    a table that cannot be read must not pass for an empty one."""
     try:
-        spark.read.schema(schema).parquet(path).limit(0).collect()
-    except Exception:  # noqa: BLE001 - absent table: create it empty
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _ensure_table(spark: SparkSession, path: str, schema) -> None:
+    if _read_or_none(spark, path, schema) is None:
         spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
 
 def unseen(firsts: DataFrame, seen: DataFrame, keys: Sequence[str],
-           broadcast_keys: int = BROADCAST_BATCH_KEYS) -> DataFrame:
+           limit: int = BROADCAST_BATCH_BYTES) -> DataFrame:
     """Rows of ``firsts`` (one per key) whose key is not in ``seen``.
 
     ``seen`` is the whole history and keeps growing; a plain anti-join would
-    shuffle all of it for every micro-batch.  When the batch holds at most
-    ``broadcast_keys`` keys (checked by a count), the batch keys are broadcast
-    into a semi-join over the snapshot scan, so the snapshot is only read, and
-    the few keys found are anti-joined back.  Larger batches use the shuffle join.
+    shuffle all of it for every micro-batch.  While the batch's files are small
+    (``firsts`` is written; measured bytes), its keys are broadcast into a semi-join over
+    the snapshot scan, so the snapshot is only read, and the few keys found are
+    anti-joined back.  Larger batches use the shuffle join.
     """
     keys = list(keys)
-    if firsts.count() <= broadcast_keys:
+    if limit > 0 and planned_bytes(firsts) <= limit:
         known = seen.join(F.broadcast(firsts.select(*keys)), keys, "left_semi")
         return firsts.join(known, keys, "left_anti")
     return firsts.join(seen, keys, "left_anti")
@@ -57,8 +68,7 @@ def unseen(firsts: DataFrame, seen: DataFrame, keys: Sequence[str],
 def first_seen_stream(stream: DataFrame, key: str | Sequence[str], order: Sequence[str],
                       snapshot_path: str, checkpoint_path: str,
                       prepare: Callable[[DataFrame], DataFrame] | None = None,
-                      max_files_per_trigger: int | None = None,
-                      broadcast_keys: int = BROADCAST_BATCH_KEYS) -> None:
+                      limit: int = BROADCAST_BATCH_BYTES) -> None:
     """Run the stream to completion, appending first-ever rows per key to ``snapshot_path``."""
     spark = stream.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
@@ -66,14 +76,9 @@ def first_seen_stream(stream: DataFrame, key: str | Sequence[str], order: Sequen
     _ensure_table(spark, snapshot_path, shaped.schema)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        # kept for the size check and the write; a lost block is recomputed from the
-        # replayable micro-batch
-        firsts = first_per_key(batch, keys, order).persist()
-        try:
-            seen = batch.sparkSession.read.parquet(snapshot_path).select(*keys)
-            unseen(firsts, seen, keys, broadcast_keys).write.mode("append").parquet(snapshot_path)
-        finally:
-            firsts.unpersist()
+        firsts = cut_lineage(first_per_key(batch, keys, order), "firsts")
+        seen = batch.sparkSession.read.schema(shaped.schema).parquet(snapshot_path).select(*keys)
+        unseen(firsts, seen, keys, limit).write.mode("append").parquet(snapshot_path)
 
     q = (shaped.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint_path)
@@ -139,38 +144,41 @@ def payload_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def with_payload_context(payloads: DataFrame) -> DataFrame:
     """Request context of landed payloads from their path:
-    ``.../source=<feed>/[query_ord=<n>/][page_ord=<n>/][country=<code>/]<file>``."""
+    ``.../pull=<n>/source=<feed>/[query_ord=<n>/][page_ord=<n>/][country=<code>/]<file>``.
+    A path without a pull number belongs to pull 0."""
     p = F.col("path")
 
     def part(name: str, pattern: str):
         return F.nullif(F.regexp_extract(p, f"/{name}=({pattern})/", 1), F.lit(""))
     return payloads.select(
-        "*", part("source", "[a-z]+").alias("source"), part("query_ord", "[0-9]+").cast("int").alias("query_ord"),
+        "*", F.coalesce(part("pull", "[0-9]+").cast("long"), F.lit(0).cast("long")).alias("pull"),
+        part("source", "[a-z]+").alias("source"), part("query_ord", "[0-9]+").cast("int").alias("query_ord"),
         part("page_ord", "[0-9]+").cast("int").alias("page_ord"), part("country", "[a-z]+").alias("country"))
 
 
-def landed_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def landed_stream(spark: SparkSession, root: str) -> DataFrame:
     """Landed payload files under ``root`` (see :func:`with_payload_context`), one whole
-    file per row, with its modification time (``landed_at``)."""
+    file per row, with its modification time (``landed_at``).
+
+    A trigger takes every file that has landed: a pull's caps and first-of-fingerprint rule
+    need the whole pull, so a bound on files per trigger is not offered.  A pull is to land
+    whole (written elsewhere and moved, or complete before the stream starts)."""
     # the context comes from the path, so partition discovery (which would insist on
     # the same key=value levels under every feed) is switched off
     r = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.load(root).select("value", F.col("_metadata.file_path").alias("path"),
                              F.col("_metadata.file_modification_time").alias("landed_at"))
     return with_payload_context(df)
 
 
 COMMITS = "_commits"
+COMMITS_DDL = "stream string, batch_id long, pull long, commit_no long, version string"
 
 
 def committed_versions(spark: SparkSession, store_root: str) -> DataFrame | None:
-    """The commit table of an ingestion stream: (stream, batch_id, commit_no, version)."""
-    try:
-        return spark.read.parquet(f"{store_root}/{COMMITS}")
-    except Exception:  # noqa: BLE001 - no commit yet
-        return None
+    """The commit table of an ingestion stream, or None if nothing was ever committed.
+    A commit table that exists and cannot be read stops the run."""
+    return _read_or_none(spark, f"{store_root}/{COMMITS}", COMMITS_DDL)
 
 
 def latest_version(spark: SparkSession, store_root: str) -> str | None:
@@ -184,52 +192,58 @@ def latest_version(spark: SparkSession, store_root: str) -> str | None:
 def ingest_stream(stream: DataFrame, store_root: str, gazetteer: DataFrame, queries: DataFrame,
                   checkpoint_path: str, per_page: int | None = None) -> None:
     """Run the batch ingestion (adapters, query search and caps, normalise, dedup,
-    geocode, upserts, metrics) on every micro-batch of landed payloads.
-
-    Each batch reads the latest committed store version, writes the next one as a
-    new folder ``<store_root>/v<stream>-<batch>`` (with its ``_metrics`` and
-    ``_unresolved`` keys) and then appends one row to the commit table.  A batch id
-    already committed by this stream is skipped, so a replayed batch is a no-op; a
-    batch that failed half way is simply redone.  The run's "now" is the latest
-    modification time of the batch's files, the same on every replay.  One stream
-    writes a store root at a time (the commit number is the row count of the commit
-    table when the batch started).
+    geocode, upserts, metrics) on the pulls of every micro-batch of landed payloads.
+
+    The pulls of a batch run one after the other in order of their number, each on the
+    store that the one before left, so a backlog of pulls in one batch gives what the
+    pulls give in batches of their own.  Each run writes the rows it touched as a new folder
+    ``<store_root>/v<stream>-<batch>-<pull>`` (with its ``_metrics`` and ``_unresolved`` keys), a
+    delta over the versions before it (``ingest.write_version``), and then appends one row to the commit table.  A pull already committed for a batch id
+    is skipped, so a replayed batch is a no-op, and a batch that failed half way goes
+    on with the pulls that are missing.  A run's "now" is the latest modification time of
+    the pull's files, the same on every replay.  One stream writes a store root at a time
+    (the commit number is one more than the largest in the commit table).
     """
     from ..plans import ingest as I
     from ..sources import feeds as FD
 
     spark = stream.sparkSession
-    FD.check_query_list(queries)
     cap = FD.DEFAULT_PER_QUERY if per_page is None else per_page
     stream_id = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint_path).hex[:12]
 
+    def run_pull(s: SparkSession, landed: DataFrame, run_at, batch_id: int, pull: int, commit_no: int,
+                 prev: str | None) -> str:
+        store = I.read_store(s, prev) if prev else I.empty_store(s)
+        payloads = {src: landed.where(F.col("source") == src) for src in FD.SOURCE_ORDER}
+        raw, errors = I.fetch(payloads, queries, cap)
+        touched, metrics, unresolved = I.run(raw, store, gazetteer, F.lit(run_at).cast("timestamp"), errors)
+        version = f"{store_root}/v{stream_id}-{batch_id:012d}-{pull:012d}"
+        I.write_version(s, touched, prev, version)
+        metrics.select(F.lit(batch_id).cast("long").alias("batch_id"), "*") \
+            .write.mode("overwrite").parquet(f"{version}/_metrics")
+        unresolved.write.mode("overwrite").parquet(f"{version}/_unresolved")
+        s.createDataFrame([(stream_id, batch_id, pull, commit_no, version)], COMMITS_DDL) \
+            .write.mode("append").parquet(f"{store_root}/{COMMITS}")
+        return version
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        done = committed_versions(s, store_root)
-        if done is not None and done.where((F.col("stream") == stream_id)
-                                           & (F.col("batch_id") == batch_id)).limit(1).count():
-            return
-        batch = batch.persist()  # read by the six adapters; recomputed from the files if lost
+        # read by six adapters per pull; a lost block is read again from the landed files
+        batch = batch.persist()
         try:
-            run_at = batch.agg(F.max("landed_at").alias("t")).first().t
-            if run_at is None:
-                return  # nothing landed in this batch
-            prev = latest_version(s, store_root)
-            store = I.read_store(s, prev) if prev else I.empty_store(s)
-            payloads = {src: batch.where(F.col("source") == src) for src in FD.SOURCE_ORDER}
-            raw, errors = I.fetch(payloads, queries, cap)
-            nxt, metrics, unresolved = I.run(raw, store, gazetteer, F.lit(run_at).cast("timestamp"), errors)
-            version = f"{store_root}/v{stream_id}-{batch_id:012d}"
-            I.write_store(nxt, version)
-            metrics.select(F.lit(batch_id).cast("long").alias("batch_id"), "*") \
-                .write.mode("overwrite").parquet(f"{version}/_metrics")
-            unresolved.write.mode("overwrite").parquet(f"{version}/_unresolved")
+            pulls = batch.groupBy("pull").agg(F.max("landed_at").alias("t")).orderBy("pull").collect()
+            done = committed_versions(s, store_root)
+            mine = [] if done is None else [r.pull for r in done.where(
+                (F.col("stream") == stream_id) & (F.col("batch_id") == batch_id)).select("pull").collect()]
+            last = None if done is None else done.agg(
+                F.max("commit_no").alias("n"), F.max_by("version", "commit_no").alias("v")).first()
+            n, prev = (last.n or 0, last.v) if last else (0, None)
+            for p in pulls:
+                if p.pull not in mine:
+                    n += 1
+                    prev = run_pull(s, batch.where(F.col("pull") == p.pull), p.t, batch_id, p.pull, n, prev)
         finally:
             batch.unpersist()
-        n = 0 if done is None else done.count()
-        s.createDataFrame([(stream_id, batch_id, n + 1, version)],
-                          "stream string, batch_id long, commit_no long, version string") \
-            .write.mode("append").parquet(f"{store_root}/{COMMITS}")
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())
