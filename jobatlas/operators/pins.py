@@ -14,18 +14,24 @@ count collapses it on the map side.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geo import in_viewport, in_viewport_geodesic
-from ..functions.text import parse_csv_list
+from ..functions.text import null_to_blank, parse_csv_list
 
 DEFAULT_PIN_LIMIT = 2000
 
+# Number grammar of request parameters.
+INT = re.compile(r"[+-]?[0-9]+")
+FLOAT = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+
 
 @dataclass(frozen=True)
 class PinFilter:
@@ -98,16 +104,16 @@ class PinFilter:
         """Lenient coercion of request-style string parameters.
 
         Unparsable numbers count as absent; ``bbox`` must hold exactly four
-        floats ``minLng,minLat,maxLng,maxLat`` or it is ignored.
+        numbers ``minLng,minLat,maxLng,maxLat`` or it is ignored.  Numbers are plain
+        ASCII decimals (an integer fits in 64 bits); a request's viewport has
+        great-circle edges, as a geography test has.
         """
         def s(k: str) -> str:
             return (params.get(k) or "").strip()
 
         def as_int(k: str) -> int | None:
-            try:
-                return int(s(k)) if s(k) else None
-            except ValueError:
-                return None
+            n = int(s(k)) if INT.fullmatch(s(k)) else None
+            return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
         kw: dict = dict(keyword=s("keyword"), experience_level=s("experience"),
                         source=s("source"), company=s("company"),
@@ -116,13 +122,10 @@ class PinFilter:
                         salary_min=as_int("salary_min"), salary_max=as_int("salary_max"),
                         limit=as_int("limit") or 0)
         box = parse_csv_list(s("bbox"))
-        if len(box) == 4:
-            try:
-                mn_lng, mn_lat, mx_lng, mx_lat = (float(x) for x in box)
-                kw.update(min_lng=mn_lng, min_lat=mn_lat, max_lng=mx_lng, max_lat=mx_lat,
-                          has_viewport=True)
-            except ValueError:
-                pass
+        if len(box) == 4 and all(FLOAT.fullmatch(x) for x in box):
+            mn_lng, mn_lat, mx_lng, mx_lat = (float(x) for x in box)
+            kw.update(min_lng=mn_lng, min_lat=mn_lat, max_lng=mx_lng, max_lat=mx_lat,
+                      has_viewport=True, edges="geodesic")
         return cls(**kw)
 
 
@@ -135,6 +138,17 @@ def _where(df: DataFrame, pred: Column | None) -> DataFrame:
     return df if pred is None else df.where(pred)
 
 
+def _head_columns(o: DataFrame, c: DataFrame) -> list[Column]:
+    """Office and company columns of a pin; absent addresses and logos read as ''."""
+    return [o.id.alias("office_id"), o.lat, o.lng, o.city, o.country, null_to_blank(o.address).alias("address"),
+            c.id.alias("company_id"), c.name.alias("company_name"), null_to_blank(c.logo_url).alias("company_logo")]
+
+
+def result_count(result: DataFrame) -> DataFrame:
+    """One row with the number of result rows."""
+    return result.agg(F.count(F.lit(1)).alias("count"))
+
+
 def pins(companies: DataFrame, offices: DataFrame, jobs: DataFrame, flt: PinFilter = PinFilter(),
          limit: bool = True) -> DataFrame:
     """Offices with at least one matching job, with the matching-job count."""
@@ -144,45 +158,52 @@ def pins(companies: DataFrame, offices: DataFrame, jobs: DataFrame, flt: PinFilt
     c = _where(companies, flt.company_predicate(companies["name"]))
     out = (counts.join(o, counts.office_id == o.id)
            .join(c, o.company_id == c.id)
-           .select(o.id.alias("office_id"), o.lat, o.lng, o.city, o.country,
-                   c.id.alias("company_id"), c.name.alias("company_name"), counts.job_count))
+           .select(*_head_columns(o, c), counts.job_count))
     if limit:
         out = out.orderBy(F.col("job_count").desc(), F.col("office_id")).limit(flt.effective_limit())
     return out
 
 
-DETAIL_JOB_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "title", "skills", "work_type",
-                      "experience_level", "salary_min", "salary_max", "salary_currency",
-                      "posted_date", "source", "created_at")
+JOB_COLUMNS = ("id", "title", "skills", "experience_level", "work_type", "salary_min", "salary_max",
+               "salary_currency", "posted_date", "source", "source_url", "created_at", "updated_at")
+# Absent values of these read as ''.
+JOB_BLANK_COLUMNS = ("experience_level", "salary_currency", "source_url")
 
 
 def office_detail(companies: DataFrame, offices: DataFrame, jobs: DataFrame,
                   flt: PinFilter = PinFilter(), office_ids: list[int] | None = None,
-                  job_columns: tuple[str, ...] = DETAIL_JOB_COLUMNS) -> DataFrame:
-    """Office header + its matching jobs as flat rows; an office with no match keeps one
-    row with NULL job columns (J2, J3, L5).
+                  job_columns: tuple[str, ...] = JOB_COLUMNS) -> DataFrame:
+    """Office header with its number of matching jobs, and those jobs as flat rows; an office
+    with no match keeps one row with NULL job columns (J2, J3, L5).
 
     Flat rows rather than a nested ``collect_list`` so no office's job list is ever
-    gathered into one row.  The left-outer join is split into an inner join (which
-    AQE can split when one office is hot) plus an anti-join over distinct office ids.
+    gathered into one row.  One partial count per office gives ``job_count`` and tells the
+    offices without a match, so the left-outer join becomes an inner join, which AQE can
+    split when one office is hot, and the rows with a count of 0.
     """
     o = offices if office_ids is None else offices.where(offices.id.isin(office_ids))
-    head = (o.join(companies, o.company_id == companies.id)
-            .select(o.id.alias("office_id"), o.lat, o.lng, o.city, o.country,
-                    companies.id.alias("company_id"), companies.name.alias("company_name")))
-    cpred = flt.company_predicate(F.col("company_name"))
-    head = _where(head, cpred)
+    head = o.join(companies, o.company_id == companies.id).select(*_head_columns(o, companies))
+    head = _where(head, flt.company_predicate(F.col("company_name")))
     j = _where(jobs, _and_all(flt.job_predicates(jobs)))
     if office_ids is not None:
         j = j.where(j.office_id.isin(office_ids))
-    j = j.select("office_id", *job_columns)
-    matched = head.join(j, "office_id")
-    empty = head.join(j.select("office_id").distinct(), "office_id", "left_anti")
-    return matched.unionByName(empty, allowMissingColumns=True)
+    counts = j.groupBy("office_id").agg(F.count(F.lit(1)).alias("job_count"))
+    head = head.join(counts, "office_id", "left").withColumn("job_count", F.coalesce("job_count", F.lit(0).cast("long")))
+    read = [null_to_blank(c).alias(c) if c in JOB_BLANK_COLUMNS else F.col(c) for c in job_columns]
+    matched = head.where("job_count > 0").join(j.select("office_id", *read), "office_id")
+    return matched.unionByName(head.where("job_count = 0"), allowMissingColumns=True)
+
+
+def _newest_first(ties: Iterable[str]) -> list[Column]:
+    return [F.col("posted_date").desc_nulls_last(), F.col("created_at").desc_nulls_last(), *[F.col(t) for t in ties]]
+
+
+def order_detail(detail: DataFrame, ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """L5 ordering: office, newest posting first (NULL dates last), newest creation, then the job's key."""
+    return detail.orderBy(F.col("office_id"), *_newest_first(ties))
 
 
-def order_detail(detail: DataFrame) -> DataFrame:
-    """L5 ordering: office, newest posting first (NULL dates last), newest creation, then key."""
-    return detail.orderBy(F.col("office_id"), F.col("posted_date").desc_nulls_last(),
-                          F.col("created_at").desc_nulls_last(), F.col("l_orderkey"),
-                          F.col("l_linenumber"), F.col("l_partkey"))
+def rank_detail(detail: DataFrame, ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """L5 as a column: the place of each job in its office's list, from 1."""
+    w = Window.partitionBy("office_id").orderBy(*_newest_first(ties))
+    return detail.withColumn("place", F.row_number().over(w))

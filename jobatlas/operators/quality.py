@@ -32,7 +32,6 @@ def job_domain_checks(jobs: DataFrame) -> dict[str, Column]:
         "title_not_null": F.col("title").isNull(),
         "skills_not_null": F.col("skills").isNull(),
         "office_not_null": F.col("office_id").isNull(),
-        "salary_order": F.coalesce(F.col("salary_min") > F.col("salary_max"), F.lit(False)),
     }
 
 

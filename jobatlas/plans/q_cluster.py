@@ -23,6 +23,10 @@ _V3 = ("companies", "offices", "jobs")
 def _points(spark: SparkSession, sf_dir: str, weight: str = "count") -> DataFrame:
     c = T.read_table(spark, sf_dir, "customer")
     o = T.read_table(spark, sf_dir, "orders")
+    if weight == "lines":
+        li, k = T.read_table(spark, sf_dir, "lineitem"), F.col("l_orderkey") * 7 + F.col("l_linenumber")
+        return li.select(k.alias("c_custkey"), T.grid_lat(k).alias("lat"), T.grid_lng(k).alias("lng"),
+                         F.floor("l_extendedprice").cast("long").alias("job_count"))
     if weight == "count":
         w = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("w"))
     else:
@@ -35,9 +39,11 @@ def _points(spark: SparkSession, sf_dir: str, weight: str = "count") -> DataFram
 
 def _points_sql(weight: str = "count") -> str:
     agg = "count(*)" if weight == "count" else "CAST(floor(sum(o_totalprice)) AS BIGINT)"
+    rows = ("(SELECT l_orderkey * 7 + l_linenumber AS c_custkey, floor(l_extendedprice) AS w FROM lineitem)" if weight == "lines" else
+            f"customer LEFT JOIN (SELECT o_custkey, {agg} AS w FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")
     return f"""pts AS (SELECT c_custkey, CAST((c_custkey * 37) % 161 AS DOUBLE) - 80.0 AS lat,
         CAST((c_custkey * 73) % 359 AS DOUBLE) - 179.0 AS lng, CAST(coalesce(w, 0) AS BIGINT) AS w
-    FROM customer LEFT JOIN (SELECT o_custkey, {agg} AS w FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey),
+    FROM {rows}),
 px AS (SELECT c_custkey, CAST(zoom AS INTEGER) AS zoom, w,
         (lng + 180.0) / 360.0 * (512.0 * pow(2.0, zoom)) AS x,
         (1.0 - asinh(tan(radians(lat))) / pi()) / 2.0 * (512.0 * pow(2.0, zoom)) AS y
@@ -88,12 +94,13 @@ def _badge_sql(s: str) -> str:
             f"ELSE CAST({s} AS VARCHAR) END")
 
 
-@register("cluster_labels", f"""WITH {_psql('price', 1, 12)}
+@register("cluster_labels", f"""WITH {_psql('lines', 1, 12)}
 SELECT zoom, cx, cy, point_count, job_sum, {_badge_sql('job_sum')} AS badge,
     CASE WHEN point_count >= 100 THEN 2 WHEN point_count >= 25 THEN 1 ELSE 0 END AS tier,
     point_count >= 2 AS is_cluster, point_count = 1 AND job_sum > 1 AS show_badge FROM cells""")
 def q_cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = C.grid_pyramid(_points(spark, sf_dir, "price"))
+    # lineitem rows as points: enough of them for every tier
+    g = C.grid_pyramid(_points(spark, sf_dir, "lines"))
     return C.cluster_labels(g).select(F.col("zoom").cast("int").alias("zoom"), "cx", "cy", "point_count",
                                       "job_sum", "badge", "tier", "is_cluster", "show_badge")
 

@@ -235,7 +235,7 @@ def q_feeds_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- search and per-query cap over documents as a client-side feed ----------------------
 
 SEARCH_TERMS = ("the", "und", "que", "", "ment", "src1", "EN")
-CAP = 100
+CAP = 7
 
 
 def _doc_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

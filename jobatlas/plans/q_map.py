@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facets
-from ..operators.pins import PinFilter, office_detail, pins
+from ..operators.pins import JOB_COLUMNS, PinFilter, office_detail, pins, rank_detail, result_count
 from ..sources import tables as T
 from .registry import register
 
@@ -17,11 +20,11 @@ def _views(spark: SparkSession, sf_dir: str):
     return T.companies(spark, sf_dir), T.offices(spark, sf_dir), T.jobs(spark, sf_dir)
 
 
-_PIN_SELECT = """SELECT o.id AS office_id, o.lat, o.lng, o.city, o.country,
-       c.id AS company_id, c.name AS company_name, COUNT(*) AS job_count
+_PIN_SELECT = """SELECT o.id AS office_id, o.lat, o.lng, o.city, o.country, coalesce(o.address, '') AS address,
+       c.id AS company_id, c.name AS company_name, coalesce(c.logo_url, '') AS company_logo, COUNT(*) AS job_count
 FROM offices o JOIN companies c ON c.id = o.company_id JOIN jobs j ON j.office_id = o.id
 WHERE {where}
-GROUP BY o.id, o.lat, o.lng, o.city, o.country, c.id, c.name
+GROUP BY ALL
 ORDER BY job_count DESC, office_id
 LIMIT {limit}"""
 
@@ -70,19 +73,23 @@ for _name, (_flt, _where, _limit) in PIN_FILTERS.items():
 
 # -- office detail (flat rows) ---------------------------------------------------
 
+# The driver's lineitem rows have no key of their own: these columns and the office name a row.
+_JOB_KEY = ("l_orderkey", "l_linenumber", "l_partkey")
+_JOB_COLUMNS = (*_JOB_KEY, *JOB_COLUMNS[1:])
+
+
 def _detail_out(df: DataFrame) -> DataFrame:
-    return df.select("office_id", "lat", "lng", "city", "country", "company_id", "company_name",
-                     "l_orderkey", "l_linenumber", "l_partkey", "title",
-                     F.array_join("skills", "|").alias("skills"), "work_type", "experience_level",
-                     "salary_min", "salary_max", "salary_currency",
-                     F.col("posted_date").cast("string").alias("posted_date"), "source")
-
-
-_DETAIL_SQL = """SELECT o.id AS office_id, o.lat, o.lng, o.city, o.country, c.id AS company_id,
-       c.name AS company_name, j.l_orderkey, j.l_linenumber, j.l_partkey, j.title,
-       array_to_string(j.skills, '|') AS skills, j.work_type, j.experience_level,
-       j.salary_min, j.salary_max, j.salary_currency, CAST(j.posted_date AS VARCHAR) AS posted_date,
-       j.source
+    return df.withColumns({"skills": F.array_join("skills", "|"), "posted_date": F.col("posted_date").cast("string")})
+
+
+_DETAIL_SQL = """SELECT o.id AS office_id, o.lat, o.lng, o.city, o.country, coalesce(o.address, '') AS address, c.id AS company_id,
+       c.name AS company_name, coalesce(c.logo_url, '') AS company_logo,
+       count(j.l_orderkey) OVER (PARTITION BY o.id) AS job_count, j.l_orderkey, j.l_linenumber, j.l_partkey, j.title,
+       array_to_string(j.skills, '|') AS skills, j.work_type,
+       CASE WHEN j.l_orderkey IS NOT NULL THEN coalesce(j.experience_level, '') END AS experience_level,
+       j.salary_min, j.salary_max, CASE WHEN j.l_orderkey IS NOT NULL THEN coalesce(j.salary_currency, '') END AS salary_currency,
+       CAST(j.posted_date AS VARCHAR) AS posted_date, j.source,
+       CASE WHEN j.l_orderkey IS NOT NULL THEN coalesce(j.source_url, '') END AS source_url, j.created_at, j.updated_at
 FROM offices o JOIN companies c ON c.id = o.company_id
 LEFT JOIN (SELECT * FROM jobs WHERE {where}) j ON j.office_id = o.id"""
 
@@ -94,12 +101,26 @@ EMPTY_WHERE = "title ILIKE '%red bolt%' AND source = 'adzuna' AND experience_lev
 
 @register("office_detail", T.with_views(_DETAIL_SQL.format(where=DETAIL_WHERE), *V3))
 def q_office_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detail_out(office_detail(*_views(spark, sf_dir), DETAIL_FILTER))
+    return _detail_out(office_detail(*_views(spark, sf_dir), DETAIL_FILTER, job_columns=_JOB_COLUMNS))
+
+
+@register("office_detail_ranked", T.with_views(
+    "SELECT *, row_number() OVER (PARTITION BY office_id ORDER BY posted_date DESC NULLS LAST, created_at DESC NULLS LAST, "
+    "l_orderkey, l_linenumber, l_partkey) AS place FROM (" + _DETAIL_SQL.format(where=DETAIL_WHERE) + ")", *V3))
+def q_office_detail_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    detail = office_detail(*_views(spark, sf_dir), DETAIL_FILTER, job_columns=_JOB_COLUMNS)
+    return _detail_out(rank_detail(detail, _JOB_KEY))
+
+
+@register("pins_count", T.with_views("SELECT count(*) AS count FROM (" + _PIN_SELECT.format(
+    where=PIN_FILTERS["pins_viewport"][1], limit=10) + ")", *V3))
+def q_pins_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return result_count(pins(*_views(spark, sf_dir), replace(PIN_FILTERS["pins_viewport"][0], limit=10)))
 
 
 @register("office_detail_empty", T.with_views(_DETAIL_SQL.format(where=EMPTY_WHERE), *V3))
 def q_office_detail_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detail_out(office_detail(*_views(spark, sf_dir), EMPTY_FILTER))
+    return _detail_out(office_detail(*_views(spark, sf_dir), EMPTY_FILTER, job_columns=_JOB_COLUMNS))
 
 
 # -- stats and facets -------------------------------------------------------------
@@ -114,29 +135,31 @@ def q_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SKILL_COUNTS = "SELECT skill, count(*) AS n FROM (SELECT unnest(skills) AS skill FROM jobs) GROUP BY skill"
 
 
-@register("skill_facets", T.with_views(_SKILL_COUNTS + " ORDER BY n DESC, skill LIMIT 50", "jobs"))
+@register("skill_facets", T.with_views(_SKILL_COUNTS + " ORDER BY n DESC, skill LIMIT 12", "jobs"))
 def q_skill_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.skill_facets(T.jobs(spark, sf_dir), 50)
+    return facets.skill_facets(T.jobs(spark, sf_dir), 12)
 
 
 @register("skill_suggest", T.with_views(
-    f"SELECT skill, n FROM ({_SKILL_COUNTS} ORDER BY n DESC, skill LIMIT 60) t "
+    f"SELECT skill, n FROM ({_SKILL_COUNTS} ORDER BY n DESC, skill LIMIT 10) t "
     "WHERE skill NOT IN ('red') AND contains(skill, 'e') ORDER BY n DESC, skill LIMIT 8", "jobs"))
 def q_skill_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.skill_suggestions(T.jobs(spark, sf_dir), " E ", ["red"])
+    return facets.skill_suggestions(T.jobs(spark, sf_dir), " E ", ["red"], pool=10)
 
 
 @register("company_list", T.with_views(
-    "SELECT id, name, region FROM companies ORDER BY name, id LIMIT 100", "companies"))
+    "SELECT id, name, region FROM companies ORDER BY name, id LIMIT 10", "companies"))
 def q_company_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.company_list(T.companies(spark, sf_dir), 100)
+    return facets.company_list(T.companies(spark, sf_dir), 10).select("id", "name", "region")
 
 
 @register("company_lookup", T.with_views(
-    "SELECT id, name, region FROM companies WHERE id IN (SELECT company_id FROM offices)",
+    "SELECT id, name, region FROM companies WHERE id IN (SELECT company_id + 7 FROM offices WHERE id % 5 = 0)",
     "companies", "offices"))
 def q_company_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.company_lookup(T.companies(spark, sf_dir), T.offices(spark, sf_dir))
+    # some of the ids asked for belong to no company
+    asked = T.offices(spark, sf_dir).where(F.col("id") % 5 == 0).select((F.col("company_id") + 7).alias("company_id"))
+    return facets.company_lookup(T.companies(spark, sf_dir), asked).select("id", "name", "region")
 
 
 JOB_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "office_id")
@@ -144,8 +167,11 @@ JOB_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "office_id")
 
 @register("pins_skills_index", _pin_sql(PIN_FILTERS["pins_skills_all"][1]))
 def q_pins_skills_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 through the exploded skill index (semi-join) instead of array_contains on every job."""
-    from .layout import jobs_with_all_skills, skill_index
+    """F2 through the written skill index (semi-join) instead of array_contains on every job."""
+    from ..session import shared_path
+    from .layout import jobs_with_all_skills, skill_index, write_skill_index
     jobs = T.jobs(spark, sf_dir)
-    filtered = jobs_with_all_skills(jobs, skill_index(jobs, JOB_KEY), [" Small ", "ECONOMY"], JOB_KEY)
+    path = shared_path(spark, "indexes", uuid.uuid4().hex)
+    write_skill_index(skill_index(jobs, JOB_KEY), path)
+    filtered = jobs_with_all_skills(jobs, spark.read.parquet(path), [" Small ", "ECONOMY"], JOB_KEY)
     return pins(T.companies(spark, sf_dir), T.offices(spark, sf_dir), filtered)

@@ -92,6 +92,48 @@ def q_seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", lvl.alias("experience_level"))
 
 
+# Title prefixes that reach every canonical form, and some that only look like one.
+LEVELS = ("Sr. ", "sr ", "JR ", "Jr. ", "Mid-Level ", "mid level ", "midlevel ", "Entry-level ", "entry level ", "EntryLevel ",
+          "Principal ", "staff ", "Lead ", "Interning ", "intern ", "Graduate ", "Seniority ", "mid ", "")
+_LEVEL_CANON = {"sr.": "senior", "sr": "senior", "jr": "junior", "jr.": "junior", "mid-level": "mid", "mid level": "mid",
+                "midlevel": "mid", "entry-level": "entry", "entry level": "entry", "interning": "", "seniority": ""}
+
+
+@register("seniority_titles", "SELECT p_partkey, CASE p_partkey % " + str(len(LEVELS)) + " " + " ".join(
+    f"WHEN {i} THEN {S.q(_LEVEL_CANON.get(t.strip().lower(), t.strip().lower()))}" for i, t in enumerate(LEVELS))
+    + " END AS experience_level FROM part")
+def q_seniority_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6/P7 over titles with a marker in front; the expected level is written out per prefix."""
+    p = T.read_table(spark, sf_dir, "part")
+    level = F.get(F.array(*[F.lit(t) for t in LEVELS]), (F.col("p_partkey") % len(LEVELS)).cast("int"))
+    title = F.concat(level, F.lit("#"), F.col("p_brand"))
+    return p.select("p_partkey", X.classify_experience(title, F.lit(""), F.lit("")).alias("experience_level"))
+
+
+# Words whose lower-casing depends on more than one code point in Java: a final sigma, a dotted capital i.
+_CASED = ("ΑΘΗΝΑΣ", "İSTANBUL", "HYBRİD Büro", "ΟΔΟΣ Σ", "Straße")
+_CASED_LOW = ("αθηνασ", "istanbul", "hybrid büro", "οδοσ σ", "straße")
+
+
+def _case_of(words, key: str) -> str:
+    return f"CASE {key} % {len(words)} " + " ".join(f"WHEN {i} THEN {S.q(w)}" for i, w in enumerate(words)) + " END"
+
+
+@register("unicode_lower", f"""SELECT c_custkey, low || '|' || lower(c_name) AS location_key, [low] AS tags,
+    CASE WHEN low LIKE '%hybrid%' THEN 'hybrid' ELSE 'onsite' END AS work_type, low = 'istanbul' AS found
+FROM (SELECT c_custkey, c_name, {_case_of(_CASED_LOW, 'c_custkey')} AS low FROM customer)""")
+def q_unicode_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4, P8, P10 and F10 over capitals that lower-case rune by rune; the expected forms are written out."""
+    from ..sources.feeds import matches_keyword
+    c = T.read_table(spark, sf_dir, "customer")
+    word = F.get(F.array(*[F.lit(w) for w in _CASED]), (F.col("c_custkey") % len(_CASED)).cast("int"))
+    w = c.select("c_custkey", "c_name", word.alias("w"))
+    return w.select("c_custkey", X.location_key(F.col("w"), F.col("c_name")).alias("location_key"),
+                    X.normalize_skills(F.array("w"), F.lit("")).alias("tags"),
+                    X.classify_work_type(F.col("w"), F.lit(""), F.lit("")).alias("work_type"),
+                    matches_keyword(F.lit("istanbul"), F.col("w"), F.lit(""), F.array("w")).alias("found"))
+
+
 @register("work_type", f"""WITH d AS (SELECT doc_id, lower(coalesce(source, '') || ' ' || coalesce(lang, '')
     || ' ' || {S.strip_html("coalesce(text, '')")}) AS hay FROM documents)
 SELECT doc_id, CASE WHEN contains(hay, {S.q(WORK_HYBRID)}) THEN 'hybrid'

@@ -41,7 +41,8 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation")
     r = read_table(spark, sf_dir, "region")
     return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-            .select(n.n_nationkey.alias("id"), n.n_name.alias("name"), r.r_name.alias("region")))
+            .select(n.n_nationkey.alias("id"), n.n_name.alias("name"), r.r_name.alias("region"),
+                    F.when(n.n_nationkey % 3 != 0, F.concat(F.lit("logo-"), F.lower(n.n_name))).alias("logo_url")))
 
 
 def grid_lat(key: Column) -> Column:
@@ -60,6 +61,7 @@ def offices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
             .select(s.s_suppkey.alias("id"), s.s_nationkey.alias("company_id"),
                     s.s_name.alias("city"), n.n_name.alias("country"),
+                    F.when(s.s_acctbal >= 0, F.concat(F.lit("street "), s.s_suppkey.cast("string"))).alias("address"),
                     grid_lat(s.s_suppkey).alias("lat"), grid_lng(s.s_suppkey).alias("lng")))
 
 
@@ -88,15 +90,20 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.when(li.l_returnflag != "R", F.lit("USD")).alias("salary_currency"),
                 F.when(li.l_linestatus == "F", "adzuna").otherwise("remotive").alias("source"),
                 li.l_shipdate.cast("date").alias("posted_date"),
+                F.when(li.l_quantity > 10, F.concat(F.lit("https://jobs.example/"), li.l_orderkey.cast("string")))
+                 .alias("source_url"),
                 li.l_shipdate.cast("timestamp").alias("created_at"),
+                (li.l_shipdate + F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("updated_at"),
             ))
 
 
 # DuckDB text of the same three views, used as CTEs by the oracle SQL.
 ORACLE_VIEWS = {
-    "companies": """SELECT n_nationkey AS id, n_name AS name, r_name AS region
+    "companies": """SELECT n_nationkey AS id, n_name AS name, r_name AS region,
+        CASE WHEN n_nationkey % 3 <> 0 THEN 'logo-' || lower(n_name) END AS logo_url
         FROM nation JOIN region ON r_regionkey = n_regionkey""",
     "offices": """SELECT s_suppkey AS id, s_nationkey AS company_id, s_name AS city, n_name AS country,
+        CASE WHEN s_acctbal >= 0 THEN 'street ' || CAST(s_suppkey AS VARCHAR) END AS address,
         CAST((s_suppkey*37)%161 AS DOUBLE)-80.0 AS lat, CAST((s_suppkey*73)%359 AS DOUBLE)-179.0 AS lng
         FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
     "jobs": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS office_id, p_name AS title,
@@ -109,7 +116,9 @@ ORACLE_VIEWS = {
         CASE WHEN l_tax = 0 THEN NULL ELSE CAST(floor(l_extendedprice) AS INT) + 5000 END AS salary_max,
         CASE WHEN l_returnflag <> 'R' THEN 'USD' END AS salary_currency,
         CASE l_linestatus WHEN 'F' THEN 'adzuna' ELSE 'remotive' END AS source,
-        CAST(l_shipdate AS DATE) AS posted_date, CAST(l_shipdate AS TIMESTAMP) AS created_at
+        CAST(l_shipdate AS DATE) AS posted_date, CAST(l_shipdate AS TIMESTAMP) AS created_at,
+        CASE WHEN l_quantity > 10 THEN 'https://jobs.example/' || CAST(l_orderkey AS VARCHAR) END AS source_url,
+        CAST(l_shipdate AS TIMESTAMP) + INTERVAL 1 DAY AS updated_at
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
 }
 
