@@ -28,9 +28,10 @@ def _run_twice(spark):
                                 "location_key string, lat double, lng double, rank int")
     queries = FD.queries_frame(spark, [""], 100)
     raw, err = I.fetch(payloads, queries)
-    store1, m1, unresolved = I.run(raw, I.empty_store(spark), gaz, F.lit("2025-01-01").cast("timestamp"), err)
+    touched, m1, unresolved = I.run(raw, I.empty_store(spark), gaz, F.lit("2025-01-01").cast("timestamp"), err)
+    store1 = I.apply(I.empty_store(spark), touched)
     raw2, err2 = I.fetch(payloads, queries)
-    store2, m2, _ = I.run(raw2, store1, gaz, F.lit("2025-01-02").cast("timestamp"), err2)
+    _, m2, _ = I.run(raw2, store1, gaz, F.lit("2025-01-02").cast("timestamp"), err2)
     return store1, m1.first(), m2.first(), unresolved
 
 
@@ -52,7 +53,7 @@ def test_two_runs(spark):
 
 def test_map_queries_over_ingested_store(spark):
     from jobatlas.operators import facets
-    from jobatlas.operators.pins import PinFilter, office_detail, pins
+    from jobatlas.operators.pins import PinFilter, office_detail, order_detail, pins
     store1, _, _, _ = _run_twice(spark)
     p = {r.company_name: r.job_count for r in pins(store1.companies, store1.offices, store1.jobs).collect()}
     assert p == {"Acme": 1, "Initech": 1}
@@ -63,9 +64,11 @@ def test_map_queries_over_ingested_store(spark):
     assert (st.companies, st.offices, st.jobs, st.remote_jobs) == (2, 2, 2, 1)
     sk = {r.skill: r.n for r in facets.skill_facets(store1.jobs).collect()}
     assert sk == {"go": 1, "docker": 1}
-    d = office_detail(store1.companies, store1.offices, store1.jobs, PinFilter(keyword="analyst"),
-                      job_columns=("title", "work_type", "posted_date", "created_at"))
-    assert sorted((r.company_name, r.title) for r in d.collect()) == [("Acme", None), ("Initech", "Analyst")]
+    d = office_detail(store1.companies, store1.offices, store1.jobs, PinFilter(keyword="analyst"))
+    got = order_detail(d).collect()
+    assert sorted((r.company_name, r.title, r.job_count, r.address) for r in got) == [
+        ("Acme", None, 0, ""), ("Initech", "Analyst", 1, "")]
+    assert {"id", "source_url", "created_at", "updated_at", "company_logo"} <= set(d.columns)
 
 
 def test_store_integrity_after_two_runs(spark):
@@ -95,7 +98,21 @@ def test_failed_marketplace_is_not_a_run_error(spark):
     payloads = {"adzuna": spark.createDataFrame([("not json", "gb")], "value string, country string"),
                 "jooble": spark.createDataFrame([("not json",)], "value string")}
     _, err = I.fetch(payloads, FD.queries_frame(spark, [""], 100))
-    assert [r.source for r in err.collect()] == ["jooble"]
+    assert {r.source: r.times for r in err.collect()} == {"adzuna": 0, "jooble": 1}
+
+
+def test_a_rejected_payload_gives_no_items_and_an_error_per_query(spark):
+    """One object in place of a list of them: nothing is read from it, and every query of the feed fails."""
+    one = json.dumps({"id": "1", "company": "Acme", "position": "Engineer", "location": "Berlin"})
+    raw, err = I.fetch({"remoteok": spark.createDataFrame([(one,), (REMOTEOK,)], "value string")},
+                       FD.queries_frame(spark, ["", "x", "y"], 100))
+    assert {r.source_id for r in raw.collect()} == {"1", "2", "4"} and raw.where("company_name = 'Acme'").count() == 1
+    assert [(r.reason, r.times) for r in err.collect()] == [(FD.PAYLOAD_WRONG_SHAPE, 3)]
+
+
+def test_null_items_are_rows_without_fields(spark):
+    raw = FD.jooble(spark.createDataFrame([('{"jobs": [null, {"company": "A", "title": "B", "id": 1}]}',)], "value string"))
+    assert sorted((r.pos, r.title) for r in raw.collect()) == [(0, ""), (1, "B")]
 
 
 def test_written_store_uses_layouts_and_reads_back(spark):
@@ -103,7 +120,7 @@ def test_written_store_uses_layouts_and_reads_back(spark):
     import tempfile
     store1, _, _, _ = _run_twice(spark)
     path = tempfile.mkdtemp(prefix="store-") + "/v1"
-    I.write_store(store1, path)
+    I.write_version(spark, store1, None, path)
     back = I.read_store(spark, path)
     assert glob.glob(f"{path}/jobs/work_type=*")
     assert back.jobs.count() == store1.jobs.count() and back.offices.count() == store1.offices.count()

@@ -24,7 +24,10 @@ def test_salary_floor_and_skills_filters(spark):
 def test_pin_filter_from_params():
     f = PinFilter.from_params({"bbox": "1,2,3,4", "skills": " go, ,sql ", "salary_min": "x", "limit": "10"})
     assert f.has_viewport and (f.min_lng, f.min_lat, f.max_lng, f.max_lat) == (1.0, 2.0, 3.0, 4.0)
-    assert f.skills == ("go", "sql") and f.salary_min is None and f.limit == 10
+    assert f.skills == ("go", "sql") and f.salary_min is None and f.limit == 10 and f.edges == "geodesic"
+    loose = PinFilter.from_params({"bbox": "1_0,2,3,4", "salary_min": "1_000", "limit": "٣", "salary_max": "+7"})
+    assert (loose.has_viewport, loose.salary_min, loose.limit, loose.salary_max) == (False, None, 0, 7)
+    assert PinFilter.from_params({"bbox": "1e1,-.5,3.,4", "limit": "9" * 30}).min_lng == 10.0
     assert not PinFilter.from_params({"bbox": "1,2,3"}).has_viewport
     assert PinFilter(keyword="a", salary_max=5).active_count() == 1
     assert PinFilter().effective_limit() == 2000

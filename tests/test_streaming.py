@@ -71,10 +71,11 @@ def test_stateful_dedup_stream(spark):
 
 def test_unseen_paths_agree(spark):
     """The broadcast probe and the shuffle anti-join return the same new keys."""
-    firsts = spark.range(0, 3000).select((F.col("id") * 2).alias("k"), F.col("id").alias("v"))
+    from jobatlas.session import cut_lineage
+    firsts = cut_lineage(spark.range(0, 3000).select((F.col("id") * 2).alias("k"), F.col("id").alias("v")))
     seen = spark.range(0, 5000).select((F.col("id") * 3).alias("k"))
-    small = {tuple(r) for r in INC.unseen(firsts, seen, ["k"], broadcast_keys=10_000).collect()}
-    big = {tuple(r) for r in INC.unseen(firsts, seen, ["k"], broadcast_keys=0).collect()}
+    small = {tuple(r) for r in INC.unseen(firsts, seen, ["k"], limit=1 << 30).collect()}
+    big = {tuple(r) for r in INC.unseen(firsts, seen, ["k"], limit=0).collect()}
     assert small == big and len(small) == 3000 - 1000   # multiples of 6 below 6000 are known
 
 
@@ -120,3 +121,68 @@ def test_ingest_stream_matches_batch_run_and_replays_cleanly(spark):
     v3 = INC.latest_version(spark, root)
     assert spark.read.parquet(f"{v3}/_metrics").first().inserted == 0
     assert I.read_store(spark, v3).jobs.count() == 3
+
+
+def _land_pull(root, n, pages):
+    folder = f"{root}/pull={n}/source=remoteok/page_ord=0"
+    os.makedirs(folder)
+    with open(f"{folder}/a.json", "w") as fh:
+        json.dump(pages, fh)
+
+
+def test_a_backlog_of_pulls_equals_pulls_of_their_own(spark):
+    """Caps hold per pull, and a later pull updates what an earlier one inserted."""
+    from jobatlas.plans import ingest as I
+
+    def items(n, price):
+        return [{"id": str(i), "company": f"C{i}", "position": "Engineer", "location": "Berlin, Germany", "url": f"u{n}",
+                 "salary_min": str(price)} for i in range(6 * n, 6 * n + 8)]
+    gaz = spark.createDataFrame([("berlin|germany", 52.5, 13.4, 0)], "location_key string, lat double, lng double, rank int")
+    queries = FD.queries_frame(spark, [""], 7)
+
+    def jobs(together):
+        land, root = tempfile.mkdtemp(prefix="land-"), tempfile.mkdtemp(prefix="store-") + "/store"
+        ck = tempfile.mkdtemp(prefix="ck-")
+        for n in (0, 1, 2):
+            _land_pull(land, n, items(n, 3_000_000_000 + n))
+            if not together:
+                INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, queries, ck)
+        INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, queries, ck)
+        store = I.read_store(spark, INC.latest_version(spark, root))
+        names = store.companies.select(F.col("id").alias("company_id"), "name")
+        places = store.offices.join(names, "company_id").select(F.col("id").alias("office_id"), "name")
+        return {(r.name, r.source_url, r.salary_min) for r in store.jobs.join(places, "office_id").collect()}
+
+    alone = jobs(False)
+    assert jobs(True) == alone
+    # pull n brings companies 6n .. 6n + 6 (a cap of 7); the shared one has the later pull's fields
+    assert alone == {(f"C{i}", f"u{min(i // 6, 2)}", 3_000_000_000 + min(i // 6, 2)) for i in range(19)}
+
+
+def test_an_unreadable_commit_table_stops_the_run(spark):
+    import pytest
+    land, root = tempfile.mkdtemp(prefix="land-"), tempfile.mkdtemp(prefix="store-") + "/store"
+    _land_pull(land, 0, [{"id": "1", "company": "A", "position": "B", "location": "Berlin, Germany"}])
+    os.makedirs(f"{root}/{INC.COMMITS}")
+    with open(f"{root}/{INC.COMMITS}/part-0.parquet", "w") as fh:
+        fh.write("not a parquet file")
+    gaz = spark.createDataFrame([("berlin|germany", 52.5, 13.4, 0)], "location_key string, lat double, lng double, rank int")
+    with pytest.raises(Exception):
+        INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, FD.queries_frame(spark, [""], 7), tempfile.mkdtemp(prefix="ck-"))
+    assert os.listdir(f"{root}/{INC.COMMITS}") == ["part-0.parquet"]
+
+
+def test_versions_hold_only_touched_rows_until_they_are_compacted(spark):
+    from jobatlas.plans import ingest as I
+    from jobatlas.schemas import COMPANIES_DDL, GEOCODE_CACHE_DDL, JOBS_DDL, OFFICES_DDL
+    root, prev = tempfile.mkdtemp(prefix="store-"), None
+
+    def store(cache):
+        none = [spark.createDataFrame([], d) for d in (COMPANIES_DDL, OFFICES_DDL, JOBS_DDL)]
+        return I.Store(*none, spark.createDataFrame([(k, float(v), 0.0, None) for k, v in cache], GEOCODE_CACHE_DDL))
+    for n in range(6):
+        I.write_version(spark, store([("k", n), (f"k{n}", n)]), prev, f"{root}/v{n}", compact_after=3)
+        prev = f"{root}/v{n}"
+        got = {r.location_key: r.latitude for r in I.read_store(spark, prev).cache.collect()}
+        assert got == {"k": n, **{f"k{i}": i for i in range(n + 1)}}
+        assert spark.read.parquet(f"{prev}/geocode_cache").count() == (6 if n == 4 else 2)
