@@ -136,8 +136,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, check_rows: int = CHECK_R
 
     sums = np.zeros((len(langs), BUCKETS))
     counted = some(1, {k: float(fit_rows) for k in langs}).mapInArrow(_rates(langs), "lang long, bucket long, n long")
-    for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # languages x BUCKETS at most
-        sums[r["lang"], r["bucket"]] = r["n"]
+    found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS rows at most
+    sums[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     rates = sums / np.maximum(1, sums.sum(axis=1, keepdims=True)) + SMOOTHING
     sides = [(rates[code[:, b] > 0].mean(axis=0), rates[code[:, b] < 0].mean(axis=0)) for b in range(code.shape[1])]
     weights = np.stack([np.log(yes / no) for yes, no in sides], axis=1).astype(np.float32)

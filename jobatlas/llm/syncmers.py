@@ -176,7 +176,7 @@ def fingerprint_pairs(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     src = src.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = src.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n).alias("m")).first()["m"] if n > 1 else []
+    marks = src.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n).alias("m")).first()["m"] if n > 1 else []
     splits = np.array(sorted(set(marks or [])), np.int64)
 
     @F.pandas_udf("int")
