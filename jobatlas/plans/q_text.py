@@ -295,13 +295,18 @@ def q_dedup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("mine_skills_dict", f"""WITH dict AS (SELECT DISTINCT trim(t, '.,;:') AS skill FROM (
         SELECT unnest(string_split_regex({S.lower("coalesce(text, '')")}, '[^a-z0-9+#.]+')) AS t FROM benchmark)
-        WHERE trim(t, '.,;:') <> ''),
-dt AS (SELECT doc_id, unnest(list_distinct(string_split_regex({S.lower(S.strip_html("coalesce(text, '')"))},
-        '[^a-z0-9+#.]+'))) AS tok FROM documents)
-SELECT doc_id, string_agg(skill, '|' ORDER BY skill) AS skills FROM dt JOIN dict ON tok = skill GROUP BY doc_id""")
+        WHERE trim(t, '.,;:') <> ''
+    UNION SELECT n || ' the' FROM (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS n FROM benchmark)),
+low AS (SELECT doc_id, {S.lower(S.strip_html("coalesce(text, '')"))} AS low FROM documents),
+dt AS (SELECT doc_id, unnest(list_distinct(string_split_regex(low, '[^a-z0-9+#.]+'))) AS tok FROM low),
+hit AS (SELECT doc_id, skill FROM dt JOIN dict ON tok = skill
+    UNION SELECT doc_id, skill FROM low JOIN dict ON contains(skill, ' ') AND contains(low, skill))
+SELECT doc_id, string_agg(skill, '|' ORDER BY skill) AS skills FROM hit GROUP BY doc_id""")
 def q_mine_skills_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's words, and phrases made of its items' first words, as a dictionary table."""
     from ..operators.skills import dictionary_from_tokens, mine_skills_with_table
-    dictionary = dictionary_from_tokens(T.read_table(spark, sf_dir, "benchmark"), "text")
+    b = T.read_table(spark, sf_dir, "benchmark")
+    phrases = b.select(F.concat(F.lower(F.substring_index("text", " ", 1)), F.lit(" the")).alias("skill")).distinct()
     d = spread(T.read_table(spark, sf_dir, "documents")).select("doc_id", "text")
-    out = mine_skills_with_table(d, "doc_id", X.strip_html("text"), dictionary)
+    out = mine_skills_with_table(d, "doc_id", X.strip_html("text"), dictionary_from_tokens(b, "text").union(phrases))
     return out.select("doc_id", F.array_join("skills", "|").alias("skills"))
