@@ -1,8 +1,8 @@
 """Operator 3: benchmark decontamination by greedy string tiling.
 
 Words are runs of letters, digits and underscores, lower-cased.  A seed is the hash of ``MIN_MATCH`` words in
-a row.  Documents and benchmark items are joined on shared seeds; pairs whose shared seeds touch
-too few words of the item cannot reach the threshold and go.  Each remaining pair is tiled:
+a row.  Documents and benchmark items are joined on shared seeds, the item's rarest ones first; pairs whose
+shared seeds touch too few words of the item cannot reach the threshold and go.  Each remaining pair is tiled:
 the longest match that overlaps no marked word, found by running the seed hashes side by
 side (Karp-Rabin, seed by seed), is marked, again and again, while matches of ``MIN_MATCH`` words are left.
 An item is leaked in a document if its tiles cover at least ``COVERAGE`` of its words, in
@@ -127,8 +127,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, coverage: f
         hits = hits.join(distinct, "seed", "left_semi").select("doc", "part", "p", "seed")
     hits = cut_lineage(hits, "tiling-hits")
 
+    # A leak shares at least ``need`` of its item's distinct seeds, so it shares one of the rarest when the need - 1
+    # most frequent are set aside: phrases that many items and documents have bring no pair about.
+    own = hits.select("doc", "seed").distinct()
+    spread_of = own.groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
+    distinct_seeds = item_seeds.groupBy("item", "n", "seed").agg(F.count(F.lit(1)).alias("times"))
+    ranked = distinct_seeds.join(spread_of, "seed", "left").groupBy("item", "n").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "seed"))).alias("seeds"),
+        F.max("times").alias("times"))
+    need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * coverage - 1e-9) / (k * F.col("times")))).cast("int")
+    rare = ranked.select("item", F.explode(F.slice("seeds", F.lit(1), F.size("seeds") - need + 1)).alias("s"))
+    rare = rare.where("s.docs > 0").select("item", "s.seed")
+    candidates = cut_lineage(own.join(rare, "seed").select("doc", "item").distinct(), "tiling-candidates")
+
     # How much of the item shared seeds touch bounds what tiles can cover.
-    touched = hits.select("doc", "seed").distinct().join(item_seeds, "seed")
+    touched = candidates.join(item_seeds, "item").join(own.withColumnRenamed("doc", "d").withColumnRenamed("seed", "s"),
+                                                       F.expr("doc <=> d AND seed = s"))
     words = F.flatten(F.transform(F.collect_set("q"), lambda q: F.sequence(q, q + k - 1)))
     pairs = touched.groupBy("doc", "item", "n").agg(F.size(F.array_distinct(words)).alias("bound"))
     pairs = pairs.where(F.col("bound") >= F.ceil(F.col("n") * coverage - 1e-9)).select("doc", "item")
