@@ -57,8 +57,7 @@ def grid_clusters(points: DataFrame, zoom: int, weight: str = "job_count", lat:
     return grid_pyramid(points, weight, lat, lng, zoom, zoom, radius_px)
 
 
-def expansion_zoom(pyramid: DataFrame, min_zoom: int = GEO.MAP_MIN_ZOOM,
-                   max_zoom: int = GEO.CLUSTER_MAX_ZOOM) -> DataFrame:
+def expansion_zoom(pyramid: DataFrame, max_zoom: int = GEO.CLUSTER_MAX_ZOOM) -> DataFrame:
     """For every cell holding >= 2 points, the first deeper zoom at which it splits
     into >= 2 cells; ``max_zoom + 1`` if it never splits while clustering is on.
 

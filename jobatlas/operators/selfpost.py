@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schemas import WORK_TYPES
 
+# The source name of self-posted jobs and the reject messages.
 SELF_SOURCE = "self-posted"
 REJECT_REQUIRED = "title and office_id are required"
 REJECT_OWNER = "office does not belong to your company"
 REJECT_LOCATION = "city or country is required"
+REJECT_GEOCODE = "could not geocode that location"
 
 
 def job_fields(s: DataFrame) -> list[Column]:
-    wt = F.lower(X.utrim(X.null_to_blank(F.col("work_type"))))
+    wt = X.fold_lower(X.utrim(X.null_to_blank(F.col("work_type"))))
     skills = F.filter(F.transform(F.coalesce(F.col("skills"), F.array().cast("array<string>")),
-                                  lambda x: F.lower(X.utrim(x))), lambda x: x != "")
+                                  lambda x: X.fold_lower(X.utrim(x))), lambda x: x != "")
     return [X.utrim(X.null_to_blank(F.col("title"))).alias("clean_title"),
             skills.alias("clean_skills"),
             X.utrim(X.null_to_blank(F.col("experience_level"))).alias("clean_experience"),
@@ -72,7 +74,7 @@ def dashboard_offices(requests: DataFrame, coords: DataFrame | None = None) -> D
     ok_loc = (F.col("_city") != "") | (F.col("_country") != "")
     lat = F.when(explicit, F.col("lat")).otherwise(F.col("_glat"))
     lng = F.when(explicit, F.col("lng")).otherwise(F.col("_glng"))
-    reason = F.when(~ok_loc, REJECT_LOCATION).when(lat.isNull(), "could not geocode that location")
+    reason = F.when(~ok_loc, REJECT_LOCATION).when(lat.isNull(), REJECT_GEOCODE)
     keep = [c for c in requests.columns if c not in ("city", "country", "lat", "lng")]
     return r.select(*keep, "location_key", F.col("_city").alias("city"), F.col("_country").alias("country"),
                     F.when(ok_loc, lat).alias("lat"), F.when(ok_loc, lng).alias("lng"), reason.alias("reason"))

@@ -52,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
          or _LOCAL_CKPT)
     if not d:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):  # not local-cluster[...]
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder on shared storage "
                                "(stage tables and stream checkpoints are written there)")
         d = _LOCAL_CKPT = tempfile.mkdtemp(prefix="jobatlas-ckpt-")
