@@ -41,7 +41,7 @@ PREFIX = 14
 GROUP_SPANS = 2000
 SPAN_WINDOWS = 64
 #: Words looked at together; a longer text goes in parts that overlap by a window.
-PART = 1 << 19
+PART = 1 << 18
 
 _B = 0x9E3779B97F4A7C15
 _BINV = pow(_B, -1, 1 << 64)
@@ -142,32 +142,53 @@ def _file(window: int, prefix: int):
     return run
 
 
-def _cut_out(window: int):
-    """Words of the spans asked for, as one string, and of crowded groups each window's hash."""
+_PIECE = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("first", pa.int64()), ("key", pa.int64()),
+                    ("words", pa.binary()), ("high", pa.int64()), ("low", pa.int64())])
+
+
+def _cut_out(window: int, batch_bytes: int = 4 << 20):
+    """Words of the spans asked for, as one string, and of crowded groups each window's hash; given out every
+    few MB, however many spans a batch of documents has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans: list[tuple] = []
+        windows: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def flush():
+            nonlocal held
+            held = 0
+            if spans:
+                cols = [pa.array(c, f.type) for c, f in zip(zip(*spans), _PIECE)]
+                none = pa.nulls(len(spans), pa.int64())
+                spans.clear()
+                yield pa.RecordBatch.from_arrays([*cols, none, none], schema=_PIECE)
+            if windows:
+                ids, tags, firsts, keys, high, low = (np.concatenate(c) for c in zip(*windows))
+                windows.clear()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), pa.array(tags), pa.array(firsts), pa.array(keys), pa.nulls(len(ids), pa.binary()),
+                     pa.array(high), pa.array(low)], schema=_PIECE)
+
         for b in batches:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts, asked = b.column(2).cast(pa.binary()), b.column(3)
-            out: dict[str, list] = {c: [] for c in ("id", "tag", "first", "key", "words", "high", "low")}
             for r in range(b.num_rows):
                 words = texts[r].as_py().split()
                 for a in asked[r].as_py():
-                    first, n, key = a["first"], a["n"], a["key"]
+                    first, n = a["first"], a["n"]
                     part = words[first:first + n - 1 + window]
                     if a["crowded"]:
                         p = np.arange(n)
-                        high = Runs(part).of(p, p + window).view(np.int64).tolist()
-                        low = Runs(part, _B2, _B2INV, 1).of(p, p + window).view(np.int64).tolist()
-                        rows = [(ids[r], tags[r], first + i, key, None, high[i], low[i]) for i in range(n)]
+                        windows.append((np.full(n, ids[r]), np.full(n, tags[r], np.int32), first + p, np.full(n, a["key"]),
+                                        Runs(part).of(p, p + window).view(np.int64),
+                                        Runs(part, _B2, _B2INV, 1).of(p, p + window).view(np.int64)))
+                        held += 64 * n
                     else:
-                        rows = [(ids[r], tags[r], first, key, b" ".join(part), None, None)]
-                    for row in rows:
-                        for c, v in zip(out, row):
-                            out[c].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["id"], pa.int64()), pa.array(out["tag"], pa.int32()), pa.array(out["first"], pa.int64()),
-                 pa.array(out["key"], pa.int64()), pa.array(out["words"], pa.binary()), pa.array(out["high"], pa.int64()),
-                 pa.array(out["low"], pa.int64())], names=list(out))
+                        spans.append((ids[r], tags[r], first, a["key"], b" ".join(part)))
+                        held += len(spans[-1][4]) + 200
+                    if held >= batch_bytes:
+                        yield from flush()
+        yield from flush()
     return run
 
 
