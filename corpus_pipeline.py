@@ -9,7 +9,7 @@
    are joined by one space; other documents stay as they are); documents left without a word go;
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. mixing: documents are drawn so that token shares meet the target marginals; the result
-   also has ``tokens``, ``topic`` and ``probability``.
+   also has ``tokens``, ``topic``, ``probability``, ``weight`` (repeats) and ``gap`` (distance from the targets).
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS, "tokens", "topic", "probability")
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS, "tokens", "topic", "probability", "weight", "gap")
 
 
 STAGES = [("language_id", language_stage), ("simhash_near_dedup", near_dedup_stage),

@@ -3,19 +3,23 @@
 Documents fall into cells (source, language, topic) that carry word tokens.  Raking scales
 the cells' rates to one marginal after the other until the token shares of all marginals meet
 their targets; a document is then drawn with its cell's rate, scaled so that the highest rate
-is one.  The draw is a hash of id and text: the same rows are drawn on every run, whatever the
-partitioning.
+is one, but never below a mix of ``TOKEN_SHARE`` of the input's tokens: a rare cell must not decide
+how much of the others stays.  Where that takes a rate above one the document is drawn for certain
+and its ``weight`` is the rate (how often it is to be repeated); all other weights are one, and the
+targets hold for tokens x weight.  ``gap`` is the largest distance of a level's share of the rates'
+tokens from its target.  The draw is a hash of id and text: the same rows are drawn on every run,
+whatever the partitioning.
 
 A table without a ``topic`` column gets one from its words: the leading bits of a similarity
 hash over the distinct longer words, so that like vocabularies share a topic.
 
-Targets are tables ``(level, share)``; levels not in the data are left out and the rest
+Targets are tables ``(level, share)``; levels without tokens in the data are left out and the rest
 scaled to one, and levels without a target are not drawn.  Without a table a marginal's target is its
 own share to the power ``TEMPER``: large levels are toned down, small ones raised.
 
 Defined cases: null levels form a level of their own; null text has no tokens; cells
-without tokens follow their levels' rates; rows that repeat id and text are drawn together; if
-the targets contradict each other the last sweep's rates hold; an empty table gives an empty
+without tokens follow their levels' rates up to one and have no part in the scale; rows that repeat id and text are drawn together; if
+the targets contradict each other the last sweep's rates hold and ``gap`` tells; an empty table gives an empty
 result; extra columns come back untouched.
 """
 
@@ -31,6 +35,8 @@ from jobatlas.session import cut_lineage, spread
 
 MARGINS = ("source", "lang", "topic")
 TEMPER = 0.5
+#: Least size of the mix (tokens x weight) as a share of the input's tokens.
+TOKEN_SHARE = 0.4
 TOLERANCE = 1e-6
 SWEEPS = 50
 TOPIC_BITS = 3
@@ -55,10 +61,10 @@ def tempered(cells: DataFrame, margin: str, power: float = TEMPER) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (levels, tokens) with a ``rate`` that brings tokens x rate to the targets' shares."""
+    """``cells`` (levels, tokens) with a ``rate`` that brings tokens x rate to the targets' shares, and the ``gap`` left."""
     goals = {}
     for m, t in targets.items():
-        goal = cells.select(F.col(m).alias("level")).distinct().alias("a").join(
+        goal = cells.where("tokens > 0").select(F.col(m).alias("level")).distinct().alias("a").join(
             t.alias("b"), F.expr("a.level <=> b.level")).select("a.level", "b.share")
         goals[m] = cut_lineage(goal, "rake-goal")
         total = goals[m].agg(F.sum("share")).first()[0] or 1.0
@@ -83,7 +89,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         cells = cells.select(*names)
         if max((x or 0.0 for x in worst), default=0.0) <= tolerance:
             break
-    return cells
+    return cells.withColumn("gap", F.lit(_gap(cells, goals)))
+
+
+def _gap(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """Largest distance of a level's share of tokens x rate from its target."""
+    mass = F.sum(F.col("tokens") * F.col("rate"))
+    total = cells.agg(mass).first()[0] or 1.0
+    far = [cells.groupBy(F.col(m).alias("at")).agg((mass / total).alias("now")).join(goal, F.expr("at <=> level"), "left").agg(
+        F.max(F.abs(F.col("now") - F.coalesce("share", F.lit(0.0))))).first()[0] for m, goal in goals.items()]
+    return max((x or 0.0 for x in far), default=0.0)
 
 
 def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -98,15 +113,20 @@ def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return (d if "topic" in docs.columns else d.withColumn("topic", F.col("__about")["topic"])).drop("__about")
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """``docs`` with tokens and topic, with the ``probability`` to draw each row."""
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, token_share: float = TOKEN_SHARE) -> DataFrame:
+    """``docs`` with tokens and topic, with the ``probability`` to draw each row, its ``weight`` and the marginals' ``gap``."""
     cells = docs.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
     cells = cut_lineage(cells, "mixing-cells")
     rates = rake(cells, {m: (targets or {}).get(m) or tempered(cells, m) for m in MARGINS})
-    top, size = rates.agg(F.max("rate"), F.sum(sum(
-        (F.coalesce(F.octet_length(F.col(m).cast("string")), F.lit(0)) for m in MARGINS), F.lit(64)))).first()
-    rates = rates.select(*[F.col(m).alias(f"__{m}") for m in MARGINS],
-                         F.round(F.col("rate") / (top or 1.0), 12).alias("probability"))  # sums differ in their last bits
+    top, mass, tokens, size = rates.agg(
+        F.max(F.when(F.col("tokens") > 0, F.col("rate"))), F.sum(F.col("tokens") * F.col("rate")), F.sum("tokens"),
+        F.sum(sum((F.coalesce(F.octet_length(F.col(m).cast("string")), F.lit(0)) for m in MARGINS), F.lit(64)))).first()
+    least = token_share * tokens / mass if mass else 0.0
+    rate = F.col("rate") * least if top and least * top > 1 else F.col("rate") / (top or 1.0)
+    rates = rates.select(*[F.col(m).alias(f"__{m}") for m in MARGINS],  # sums differ in their last bits
+                         F.round(F.least(rate, F.lit(1.0)), 12).alias("probability"),
+                         F.when(F.col("tokens") > 0, F.round(F.greatest(rate, F.lit(1.0)), 6)).otherwise(1.0).alias("weight"),
+                         F.round("gap", 9).alias("gap"))
     if (size or 0) <= BROADCAST_BYTES:  # measured; beyond it AQE splits a hot cell's side
         rates = F.broadcast(rates)
     met = " AND ".join(f"{m} <=> __{m}" for m in MARGINS)
@@ -119,6 +139,6 @@ def drawn(ident: Column, text: Column, probability: Column, seed: int = SEED) ->
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = SEED) -> DataFrame:
-    """The drawn rows of ``docs (doc_id, text, source, lang, ...)`` with ``tokens``, ``topic``, ``probability``."""
+    """The drawn rows of ``docs (doc_id, text, source, lang, ...)`` with ``tokens``, ``topic``, ``probability``, ``weight``, ``gap``."""
     described = with_cells(spread(docs))
     return probabilities(described, targets).where(drawn(F.col("doc_id"), F.col("text"), F.col("probability"), seed))

@@ -92,7 +92,7 @@ def op6_quality(spark, sf_dir):
 def op7_mixing(spark, sf_dir):
     """Documents drawn so that token shares meet the tempered source, language and topic shares."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "tokens", "probability")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "tokens", "probability", "weight", "gap")
 
 
 @register("op8_substring_dedup")

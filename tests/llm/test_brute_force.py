@@ -297,6 +297,35 @@ def test_mix_draws_by_the_rates(spark, corpus):
         assert mass[lang] / sum(mass.values()) == pytest.approx(want, abs=1e-4)
 
 
+def test_a_rare_cell_does_not_decide_the_size_of_the_mix(spark):
+    cells = [(i, "w " * 200, "web" if i % 2 else "wiki", "en" if i // 2 % 2 else "de", f"t{i // 4 % 2}") for i in range(600)]
+    given = cells + [(1000, "w " * 40, "web", "xx", "t0"), (1001, "", "none", "yy", "t1")]
+    docs = mixing.with_cells(spark.createDataFrame(given, "doc_id long, text string, source string, lang string, topic string"))
+    got = mixing.probabilities(docs).collect()
+    total = sum(r.tokens for r in got)
+    mass = {m: defaultdict(float) for m in mixing.MARGINS}
+    given = {m: defaultdict(int) for m in mixing.MARGINS}
+    for r in got:
+        assert 0 <= r.probability <= 1 and r.weight >= 1 and (r.weight == 1 or r.probability == 1)
+        for m in mixing.MARGINS:
+            mass[m][r[m]] += r.tokens * r.probability * r.weight
+            given[m][r[m]] += r.tokens
+    assert sum(r.tokens * r.probability for r in got) > 0.3 * total
+    assert sum(mass["lang"].values()) == pytest.approx(mixing.TOKEN_SHARE * total, rel=1e-4)
+    for m in mixing.MARGINS:
+        for level in mass[m]:
+            want = given[m][level] ** 0.5 / sum(x ** 0.5 for x in given[m].values())
+            assert mass[m][level] / sum(mass[m].values()) == pytest.approx(want, abs=2e-4 + got[0].gap)
+    assert got[0].gap < 1e-5 and [r.weight for r in got if r.doc_id == 1001] == [1]
+
+
+def test_raking_tells_the_gap_of_targets_that_contradict_each_other(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 10), ("b", "de", "x", 10)], "source string, lang string, topic string, tokens long")
+    goals = {"source": [("a", 0.9), ("b", 0.1)], "lang": [("en", 0.5), ("de", 0.5)]}
+    tables = {m: spark.createDataFrame(g, "level string, share double") for m, g in goals.items()}
+    assert {round(r.gap, 6) for r in mixing.rake(cells, tables, sweeps=3).collect()} == {0.4}
+
+
 # -- 8 ------------------------------------------------------------------------------------
 
 def slow_kept(texts, window):
