@@ -6,8 +6,10 @@ any text that contains it, at shifted places.  A fingerprint is the anchors' has
 text order, eight hex digits each; two fingerprints are matched by position: the longest
 run of common anchors in the same order in both, over their mean number.
 
-Defined cases: null text counts as empty; a text without any anchor (shorter than ``K``, or
-by chance a little longer) has its whole-text hash as its one anchor; rows that repeat an id
+Any ``2 * K - S - 1`` code points in a row hold an anchor.  Texts under ``SHORT``, whose halves may hold
+none, also have all their runs of ``GRAM`` code points as anchors, and under twice ``GRAM`` each code point.
+
+Defined cases: null text counts as empty; an empty text has its hash as its one anchor; rows that repeat an id
 follow each other in text order; a null id sorts first; a single row is its own successor;
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -25,8 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K = 40
-S = 10
+K = 16
+S = 8
+SHORT = 2 * (2 * K - S - 1)
+GRAM = 3
 #: Code points hashed at once; longer texts go in blocks that overlap by K - 1.
 BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -111,9 +115,16 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray,
 
 
 def _or_whole(hashes: np.ndarray, text: str) -> np.ndarray:
-    if len(hashes):
+    """The anchors of a text with the syncmers ``hashes``; a short one has its runs of code points before them."""
+    if len(text) >= SHORT and len(hashes):
         return hashes
-    return np.array([xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint32)
+    found = [hashes]
+    if len(text) < SHORT:
+        for n in (GRAM, 1) if len(text) < 2 * GRAM else (GRAM,):
+            found.insert(0, np.array([xxhash.xxh32_intdigest(text[i:i + n].encode("utf-8", "surrogatepass"))
+                                      for i in range(len(text) - n + 1)], np.uint32))
+    whole = np.concatenate(found)
+    return whole if len(whole) else np.array([xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint32)
 
 
 def to_hex(hashes: np.ndarray) -> str:

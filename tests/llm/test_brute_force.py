@@ -432,6 +432,19 @@ def test_fingerprints_of_the_documents(spark, corpus):
     assert np.mean([r.near_edited for r in got.values()]) > 0.4 and np.mean([r.near_next for r in got.values()]) < 0.05
 
 
+def test_every_edited_text_is_nearer_than_the_next_one(spark, corpus):
+    texts = [r.text for _, r in sorted(corpus.items())]
+    cuts = [t[:n] for n, t in zip(range(2, 200), texts)]
+    for text, nxt in zip(cuts, texts[7:] + texts[:7]):
+        own, other = syncmers.anchors([text, nxt])
+        changed, hashes = syncmers.edited(text, nxt, own, other)
+        a, b, c = (syncmers._or_whole(h, t) for h, t in ((own[1], text), (hashes, changed), (other[1], nxt)))
+        assert syncmers.likeness(a, b) > syncmers.likeness(a, c), text
+    after = dict(zip(sorted(corpus), sorted(corpus)[1:] + sorted(corpus)[:1]))
+    for r in rows(spark, "op9_syncmer_fingerprints"):
+        assert r.near_edited > r.near_next or corpus[r.doc_id].text == corpus[after[r.doc_id]].text
+
+
 # -- 10 -----------------------------------------------------------------------------------
 
 @settings(max_examples=15, deadline=None)
