@@ -6,11 +6,12 @@ pages give it, its content importance one minus the entropy of each text's sprea
 pages: what stands on all pages alike says nothing.  A branch whose composite importance over
 at least ``MIN_PAGES`` pages is below ``KEEP_FROM`` is noise on that host and is cut from each page.
 
-Two kinds of markup are facts rather than evidence and are not put to the tree: elements that
-say what they are (menus, footers, adverts, forms, comments ... by element, role or class) always
-go, and what stands inside ``article`` or ``main`` always stays, so that an article which is
-published twice is not taken for a template.  If a page has such an element its text is that
-element's; else it is what the tree leaves, or all unnamed branches if the tree would leave nothing.
+Elements that say what they are (menus, footers, adverts, forms, comments ... by element, role or a
+whole class or id) go without being put to the tree.  All other text is, inside ``article`` and
+``main`` and beside them; there a branch is noise only below ``OWN_KEEP_FROM``.  Pages of a host with
+the same main texts count as one page, so that an article which is published many times is not
+taken for a template.  A page's text is what the tree leaves, or all unnamed branches if it would
+leave nothing.
 
 Defined cases: null html is empty and gives an empty text; a null or unparsable URL puts the page on
 the host ``""``; broken markup is read like a browser would (unclosed elements end with
@@ -34,6 +35,8 @@ from jobatlas.session import cut_lineage, spread
 
 MIN_PAGES = 5
 KEEP_FROM = 0.3
+#: For branches inside article or main.
+OWN_KEEP_FROM = 0.1
 DECAY = 0.9
 BROADCAST_BYTES = 32 << 20
 
@@ -172,14 +175,22 @@ def _node(path: tuple[str, ...]) -> str:
     return ">".join(path)
 
 
+def _digest(found: list[tuple[tuple[str, ...], bool, str]]) -> int:
+    """Hash of a page's main texts: those inside article or main if they are most of its text, else all."""
+    own = [b[2] for b in found if b[1]]
+    texts = own if 2 * sum(map(len, own)) > sum(len(b[2]) for b in found) else [b[2] for b in found]
+    return xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What pages show of their host's nodes, counted per batch: ``(host, node, kind, value, pages)``; kind 0: pages with
+    """What pages show of their host's nodes: ``(host, node, kind, value, digest)``, each once a batch; kind 0: pages with
     the node, 1: child layouts, 2: texts in the branch."""
     for b in batches:
-        seen: Counter = Counter()
+        seen: dict = {}
         for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            host, layout, texts = host_of(url), {}, set()
-            for path, _, words in blocks(html):
+            host, found, layout, texts = host_of(url), blocks(html), {}, set()
+            digest = _digest(found)
+            for path, _, words in found:
                 value = xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass")) - (1 << 63)
                 for i in range(1, len(path) + 1):
                     node = _node(path[:i])
@@ -189,22 +200,23 @@ def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         kids.append(child)
                     texts.add((node, value))
             for node, kids in layout.items():
-                seen[host, node, 0, 0] += 1
-                seen[host, node, 1, xxhash.xxh64_intdigest("|".join(kids).encode("utf-8", "surrogatepass")) - (1 << 63)] += 1
+                seen[host, node, 0, 0, digest] = None
+                seen[host, node, 1, xxhash.xxh64_intdigest("|".join(kids).encode("utf-8", "surrogatepass")) - (1 << 63), digest] = None
             for node, value in texts:
-                seen[host, node, 2, value] += 1
+                seen[host, node, 2, value, digest] = None
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
              pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int64()),
-             pa.array(list(seen.values()), pa.int64())], names=["host", "node", "kind", "value", "pages"])
+             pa.array([k[4] for k in keys], pa.int64())], names=["host", "node", "kind", "value", "digest"])
 
 
 def importance(pages: DataFrame, decay: float = DECAY) -> DataFrame:
     """``(host, node, pages, presentation, content, importance)`` of every style node of every host."""
     src = spread(pages.select("url", "html"))
-    seen = src.mapInArrow(_observations, "host string, node string, kind int, value long, pages long")
-    seen = seen.groupBy("host", "node", "kind", "value").agg(F.sum("pages").alias("pages"))
+    seen = src.mapInArrow(_observations, "host string, node string, kind int, value long, digest long")
+    # Pages with the same main texts are one page.
+    seen = seen.distinct().groupBy("host", "node", "kind", "value").agg(F.count("*").alias("pages"))
     n = F.sum(F.when(F.col("kind") == 0, F.col("pages")))
     # With n pages: sum p log p over layouts, and log c of texts on c pages, each to base n.
     nodes = seen.groupBy("host", "node").agg(
@@ -223,19 +235,24 @@ def importance(pages: DataFrame, decay: float = DECAY) -> DataFrame:
 
 def main_text(html: str | None, noise: list[str] | None) -> str:
     found = blocks(html)
-    own = [b for b in found if b[1]]
-    if own:
-        return "\n\n".join(b[2] for b in own)
     cut = set(noise or ())
-    kept = [b for b in found if not any(_node(b[0][:i]) in cut for i in range(1, len(b[0]) + 1))]
+
+    def stays(path: tuple[str, ...], own: bool) -> bool:
+        nodes = [_node(path[:i]) for i in range(1, len(path) + 1)]
+        return not any("!" + n in cut or not own and n in cut for n in nodes)
+
+    kept = [b for b in found if stays(b[0], b[1])]
     return "\n\n".join(b[2] for b in kept or found)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, keep_from: float = KEEP_FROM) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, keep_from: float = KEEP_FROM,
+            own_keep_from: float = OWN_KEEP_FROM) -> DataFrame:
     """``(page_id, url, text)`` of every row of ``pages (page_id, url, html)``."""
     src = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     nodes = importance(src)
     low = nodes.where((F.col("pages") >= min_pages) & (F.col("importance") < keep_from))
+    # "!" marks the nodes that are noise inside article and main as well.
+    low = low.withColumn("node", F.when(F.col("importance") < own_keep_from, F.concat(F.lit("!"), "node")).otherwise(F.col("node")))
     # The names of style nodes, not of pages: a list per host as long as its page styles are many.
     low = cut_lineage(low.groupBy("host").agg(F.collect_list("node").alias("noise")), "sitetree-noise")
     size = low.agg(F.sum(F.octet_length(F.array_join("noise", " ")) + F.octet_length("host") + 32)).first()[0] or 0

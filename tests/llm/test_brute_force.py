@@ -157,6 +157,18 @@ def test_template_branches_without_a_telling_name_are_cut_by_the_site_tree(spark
     assert got[100] == "Site name"  # one page says nothing about its site
 
 
+def test_the_site_tree_judges_inside_and_beside_article(spark):
+    def page(i, body):
+        return (i, f"http://one.example/{i}", f"<body><div class=lead><p>Lead {body}</p></div><div class=low><p>Made by us</p></div>"
+                f"<article><p>Body {body}</p><div class=box><p>Read on in our app</p></div></article></body>")
+    pages_ = [page(i, f"text {i}") for i in range(9)] + [page(i, "copied") for i in range(100, 140)]
+    df = spark.createDataFrame(pages_ + [(200, "http://two.example/", "<div><p>All of it</p></div><article><p>Teaser</p></article>")],
+                               "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitetree.extract(df).collect()}
+    want = {i: f"Lead text {i}\n\nBody text {i}" for i in range(9)} | {i: "Lead copied\n\nBody copied" for i in range(100, 140)}
+    assert got == want | {200: "All of it\n\nTeaser"}
+
+
 @pytest.mark.parametrize("html, text", [
     ("<nav>menu</nav><article><h1>T &amp; t</h1><p>one <b>two</b>\n three<p>four<br>five</article><footer>f</footer>",
      "T & t\n\none two three\n\nfour five"),
