@@ -7,7 +7,8 @@ pages: what stands on all pages alike says nothing.  A branch whose composite im
 at least ``MIN_PAGES`` pages is below ``KEEP_FROM`` is noise on that host and is cut from each page.
 
 Elements that say what they are (menus, footers, adverts, forms, comments ... by element, role or a
-whole class or id) go without being put to the tree.  All other text is, inside ``article`` and
+whole class or id) go without being put to the tree; but a form or a name on an element that holds
+``main``, or most of the page's text with no ``article`` or ``main`` beside it, is a wrapper's and goes unheeded.  All other text is, inside ``article`` and
 ``main`` and beside them; there a branch is noise only below ``OWN_KEEP_FROM``.  Pages of a host with
 the same main texts count as one page, so that an article which is published many times is not
 taken for a template.  A page's text is what the tree leaves, or all unnamed branches if it would
@@ -37,6 +38,8 @@ MIN_PAGES = 5
 KEEP_FROM = 0.3
 #: For branches inside article or main.
 OWN_KEEP_FROM = 0.1
+#: Named elements in each other that are looked at.
+NAMED_DEEP = 16
 DECAY = 0.9
 BROADCAST_BYTES = 32 << 20
 
@@ -53,41 +56,56 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"
          "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody"}, {"table"})}
 _SHUTS_P = _BLOCK - {"head", "html", "body", "option", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 _P_SCOPE = _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-_NOISE_TAG = frozenset("nav footer aside form script style noscript template button select textarea iframe svg canvas dialog menu head "
+_NOISE_TAG = frozenset("nav footer aside script style noscript template button select textarea iframe svg canvas dialog menu head "
                        "object audio video search".split())
-_NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+_NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 _NOISE_WORD = frozenset(
     "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
     "cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination "
     "popup promo promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe toolbar widget widgets".split())
 _OWN = frozenset(("article", "main"))
-_WORDS = re.compile(r"[a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 
 
 class Block:
-    __slots__ = ("path", "own", "parts")
+    __slots__ = ("path", "own", "named", "parts")
 
-    def __init__(self, path: tuple[str, ...], own: bool):
-        self.path, self.own, self.parts = path, own, []
+    def __init__(self, path: tuple[str, ...], own: bool, named: tuple[int, ...]):
+        self.path, self.own, self.named, self.parts = path, own, named, []
 
 
-def _noisy(tag: str, attrs: str, inside_own: bool) -> bool:
+def _noisy(tag: str, attrs: str, inside_own: bool) -> tuple[bool, bool]:
+    """Whether an element is noise whatever it holds, and whether it is unless it is a wrapper."""
     if tag in _NOISE_TAG or (tag == "header" and not inside_own):
-        return True
+        return True, False
+    named = tag == "form"
     if len(attrs) < 4 or tag in ("html", "body", "main"):
-        return False
+        return False, named
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words = set(_WORDS.findall(value)) & _NOISE_WORD
-            if words - ({"header"} if inside_own else set()):
-                return True
+            words = set(value.split()) & _NOISE_WORD
+            named = named or bool(words - ({"header"} if inside_own else set()))
         elif (name == "role" and value in _NOISE_ROLE or name == "hidden" or name == "aria-hidden" and value == "true"
               or name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            return True, False
+        elif name == "role" and value == "form":
+            named = True
+    return False, named
+
+
+def _wrappers(found: list[tuple[Block, str]], mains: set[int]) -> set[int]:
+    """Named elements, outer ones first, that hold ``main``, or most of the text with no article beside them."""
+    out = set(mains)
+    total = sum(len(t) for _, t in found)
+    size: Counter = Counter()
+    for b, t in found:
+        size.update(dict.fromkeys(b.named, len(t)))
+    for i in sorted(size):
+        if i not in out and 2 * size[i] > total and not any(b.own and i not in b.named and out.issuperset(b.named) for b, _ in found):
+            out.add(i)
+    return out
 
 
 def _style(tag: str, attrs: str) -> str:
@@ -99,8 +117,9 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
     """``(path of styles, inside article or main, text)`` of every block outside named noise, in page order."""
     html = html or ""
     out: list[Block] = []
-    # Open elements: tag, style path of the blocks down to it, named noise, inside article or main.
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]
+    # Open elements: tag, style path of the blocks down to it, noise, inside article or main, named elements around it.
+    stack: list[tuple[str, tuple[str, ...], bool, bool, tuple[int, ...]]] = [("", (), False, False, ())]
+    n_named, mains = 0, set()
     current: Block | None = None
     end, at = html.rfind(">") + 1, 0
 
@@ -109,7 +128,7 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
         if not piece or stack[-1][2]:
             return
         if current is None:
-            current = Block(stack[-1][1], stack[-1][3])
+            current = Block(stack[-1][1], stack[-1][3], stack[-1][4])
             out.append(current)
         current.parts.append(piece)
 
@@ -154,16 +173,24 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
             continue
         if tag in _VOID or attrs.endswith("/"):
             continue
-        _, path, noise, own = stack[-1]
+        _, path, noise, own, named = stack[-1]
         if tag in _BLOCK:
             path = path + (_style(tag, attrs),)
-        noise = noise or _noisy(tag, attrs, own)
-        stack.append((tag, path, noise, own or tag in _OWN))
+        if not noise:
+            noise, is_named = _noisy(tag, attrs, own)
+            if tag == "main":
+                mains.update(named)
+            # Beyond a few levels the outer elements' names decide.
+            if is_named and len(named) < NAMED_DEEP:
+                n_named += 1
+                named = named + (n_named,)
+        stack.append((tag, path, noise, own or tag in _OWN, named))
     tail = html[at:]
     cut = re.search(r"<[a-zA-Z/!?]", tail)  # a tag that the page breaks off in
     text(tail[:cut.start()] if cut else tail)
-    found = ((b.path, b.own, " ".join(unescape("".join(b.parts)).split())) for b in out)
-    return [b for b in found if b[2]]
+    found = [(b, t) for b in out if (t := " ".join(unescape("".join(b.parts)).split()))]
+    wrappers = _wrappers(found, mains) if n_named else set()
+    return [(b.path, b.own, t) for b, t in found if wrappers.issuperset(b.named)]
 
 
 def host_of(url: str | None) -> str:

@@ -183,6 +183,19 @@ def test_markup(html, text):
     assert sitetree.main_text(html, None) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div class='content no-sidebar'><p>body</p></div>", "body"),
+    ("<div id=page-with-menu><article><p>body</p></article></div>", "body"),
+    ("<article class='post comments-open'><p>body</p></article><nav>n</nav>", "body"),
+    ("<article class='post comments'><p>long body</p><div class=comments><p>c</p></div></article>", "long body"),
+    ("<form action=x><div class=menu>m</div><p>whole body of the page</p></form>", "whole body of the page"),
+    ("<div class=widget><main><p>b</p></main></div><div class=comments><p>much longer remarks</p></div>", "b"),
+    ("<div class='related work'><article><p>body</p></article><div class=ad>a longer advert</div></div>", "body"),
+    ("<article><p>b</p></article><div class=comments><article>much longer remarks</article></div>", "b")])
+def test_names_of_wrappers_do_not_take_the_body(html, text):
+    assert sitetree.main_text(html, None) == text
+
+
 def test_many_open_brackets_stay_quick():
     assert sitetree.main_text("<a " * 50_000 + "x", None) == ""
     sitetree.main_text('<a "' * 20_000 + ">", None)
