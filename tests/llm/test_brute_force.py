@@ -283,13 +283,14 @@ def test_sums_over_partitions_are_whole(spark):
 
 # -- 7 ------------------------------------------------------------------------------------
 
-def test_raking_meets_the_targets(spark):
+@pytest.mark.parametrize("local_bytes", [mixing.BROADCAST_BYTES, 0])
+def test_raking_meets_the_targets(spark, local_bytes):
     rng = random.Random(5)
     cells = [(s, lang, t, rng.randint(1, 1000)) for s in "abc" for lang in ("en", None) for t in "xyz"]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     goals = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.7, None: 0.3}, "topic": {"x": 1.0, "y": 1.0, "z": 2.0}}
     tables = {m: spark.createDataFrame(list(g.items()), "level string, share double") for m, g in goals.items()}
-    got = mixing.rake(df, tables, tolerance=1e-9).collect()
+    got = mixing.rake(df, tables, tolerance=1e-9, local_bytes=local_bytes).collect()
     w = np.array([c[3] for c in cells], float)
     place = {c[:3]: i for i, c in enumerate(cells)}
     for _ in range(200):
@@ -313,7 +314,7 @@ def test_mix_draws_by_the_rates(spark, corpus):
     assert abs(len(got) - expected) < 5 * np.sqrt(sum(r.probability * (1 - r.probability) for r in everything)) + 1
     mass = defaultdict(float)
     for r in everything:
-        mass[r.lang] += r.tokens * r.probability
+        mass[r.lang] += r.tokens * r.probability * r.weight
     share = defaultdict(int)
     for r in everything:
         share[r.lang] += r.tokens
@@ -348,7 +349,20 @@ def test_raking_tells_the_gap_of_targets_that_contradict_each_other(spark):
     cells = spark.createDataFrame([("a", "en", "x", 10), ("b", "de", "x", 10)], "source string, lang string, topic string, tokens long")
     goals = {"source": [("a", 0.9), ("b", 0.1)], "lang": [("en", 0.5), ("de", 0.5)]}
     tables = {m: spark.createDataFrame(g, "level string, share double") for m, g in goals.items()}
-    assert {round(r.gap, 6) for r in mixing.rake(cells, tables, sweeps=3).collect()} == {0.4}
+    both = [mixing.rake(cells, tables, sweeps=30, local_bytes=b).collect() for b in (mixing.BROADCAST_BYTES, 0)]
+    assert [{round(r.gap, 6) for r in got} for got in both] == [{0.4}] * 2
+    assert [sorted((r.source, round(r.rate, 9)) for r in got) for got in both] == [[("a", 0.05), ("b", 0.05)]] * 2
+
+
+def test_mixing_takes_few_jobs_whatever_the_sweeps(spark):
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    sc = spark.sparkContext
+    sc.setJobGroup("mixing-jobs", "")
+    try:
+        first = sorted((r.doc_id, r.probability, r.weight) for r in mixing.mix(docs).collect())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert first and len(sc.statusTracker().getJobIdsForGroup("mixing-jobs")) < 30
 
 
 # -- 8 ------------------------------------------------------------------------------------

@@ -79,6 +79,16 @@ def test_mixing(table, spark):
     assert all(0 <= r.probability <= 1 for r in out.collect())
 
 
+def test_mixing_with_columns_named_like_its_own(spark):
+    ddl = DOCS + ", Probability double, weight double, gap double, tokens long, __source string, rate double"
+    rows = [(i, "some words here", "en", "ab"[i % 2], 15, 7.0, 8.0, 9.0, 99, "kept", 5.0) for i in range(4)]
+    out = mixing.mix(spark.createDataFrame(rows, ddl))
+    assert sorted(c.lower() for c in out.columns) == sorted(
+        ["__source", "rate", "doc_id", "text", "lang", "source", "n_chars", "tokens", "topic", "probability", "weight", "gap"])
+    assert [(r.doc_id, r.tokens, r.probability, r.weight, r.gap, r["__source"], r.rate) for r in out.orderBy("doc_id").collect()] == [
+        (i, 3, 1.0, 1.0, 0.0, "kept", 5.0) for i in range(4)]
+
+
 def test_quality(table, spark):
     from pyspark.sql import functions as F
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (5, None, 0), (None, 1, 1), (99, 1, 0)],
