@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobatlas.session import spread
 
-from . import chat, decontaminate, langid, mixing, quality, simhash, sitetree, substring, syncmers, warc
+from . import chat, decontaminate, langid, mixing, prefixes, quality, simhash, sitetree, substring, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,47 @@ def op10_chat_format(spark, sf_dir):
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP11_SQL = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+          substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')), 1, 32) AS id
+        FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, x: xor(crc >> 8, steps[1 + (xor(crc, x) & 255)]))) % 6 AS h FROM t, crc_table),
+joined AS (
+  SELECT c.conv_id, t.pos, 0 AS part, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+  UNION ALL SELECT c.conv_id, t.pos, 1, t.role, t.text FROM c JOIN t USING (conv_id) WHERE t.pos >= c.h),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM joined),
+paths AS (
+  SELECT conv_id, depth, length(text) AS chars, sha256(string_agg(sha256(length(role) || ':' || role || ':' || text), ',') OVER (
+    PARTITION BY conv_id ORDER BY depth)) AS node FROM placed
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+linked AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up,
+                  depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM paths),
+nodes AS (
+  SELECT node, any_value(up) AS up, any_value(depth) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    bool_and(ends) AS leaf, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM linked GROUP BY node),
+below AS (
+  SELECT l.node, sum(CAST(n.leaf AS BIGINT)) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+  FROM nodes n JOIN linked l ON l.conv_id = n.conv_id AND l.depth <= n.depth GROUP BY l.node),
+children AS (SELECT up AS node, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+  CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (node) LEFT JOIN nodes p ON p.node = n.up LEFT JOIN children k ON k.node = n.node"""
+
+
+@register("op11_conversation_trie", OP11_SQL)
+def op11_conversation_trie(spark, sf_dir):
+    """Every prefix of all conversations, each rebuilt on the start of its hundred's first one."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    nodes = prefixes.trie(*prefixes.grafted(prefixes.ordered(turns)))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
