@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobatlas.session import spread
 
-from . import chat, decontaminate, langid, mixing, prefixes, quality, simhash, sitetree, substring, syncmers, warc
+from . import chat, decontaminate, langid, mixing, pii, prefixes, quality, simhash, sitetree, substring, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,13 @@ def op11_conversation_trie(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     nodes = prefixes.trie(*prefixes.grafted(prefixes.ordered(turns)))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@register("op12_pii")
+def op12_pii(spark, sf_dir):
+    """Personal data in every document: base spans, and those the span classifier adds (no SQL: it is learned)."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+                        F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"))
