@@ -27,8 +27,6 @@ Defined cases: null or empty text has no span; places count code points; repeate
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +38,8 @@ BUCKETS = 1024
 SWEEPS = 25
 #: Pseudo-counts: before any data a labeler is right this often, and wrong or silent once each.
 TRUST = 4.0
+#: So many spans, shared out like all others, are added to what is seen of each feature.
+DRAWN = 2.0
 #: Code points of context kept on either side of a span.
 CONTEXT = 48
 #: Matches of a text are summed up in blocks of this many.
@@ -81,188 +81,148 @@ ISSUERS = r"^(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|3[689
 CALLING_CODES = r"^(?:[17]|2[0-79]|3[0-469]|35|37|38|4[0-9]|5[0-9]|6[0-9]|8[124568]|9[0-689])"
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(x)`` with ``x`` computed once."""
-    return F.transform(F.array(x), f)[0]
+def _raw(text: str) -> str:
+    return f"r'{text}'"
 
 
-def running(lengths: Column) -> Column:
-    """The sum of what stands before each number of an array, in time n * BLOCK + (n / BLOCK)^2."""
-    none = F.array().cast("array<bigint>")
+def let(x: str, name: str, then: str) -> str:
+    """SQL for ``then`` with ``name`` standing for ``x``, computed once."""
+    return f"transform(array({x}), {name} -> {then})[0]"
 
-    def scan(xs: Column) -> Column:
-        return F.aggregate(xs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), lambda acc, x: F.struct(
-            (acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
 
-    def whole(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + x))
-        return let(scan(totals), lambda firsts: F.flatten(F.transform(
-            blocks, lambda b, k: F.transform(scan(b), lambda x: x + F.get(firsts, k)))))
+def running(lengths: str) -> str:
+    """SQL for the sums of what stands before each number of a non-empty array, in time n * BLOCK + (n / BLOCK)^2."""
+    def scan(xs: str) -> str:
+        return (f"aggregate({xs}, named_struct('at', 0L, 'out', CAST(array() AS array<bigint>)), "
+                "(acc, x) -> named_struct('at', acc.at + x, 'out', array_append(acc.out, acc.at)), acc -> acc.out)")
 
-    starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
-    blocks = F.transform(starts, lambda k: F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK)))
-    return F.when(F.size(lengths) > 0, let(blocks, whole)).otherwise(none)
+    blocks = f"transform(sequence(0, CAST((size({lengths}) - 1) div {BLOCK} AS int)), k -> slice({lengths}, k * {BLOCK} + 1, {BLOCK}))"
+    totals = "transform(blocks, b -> aggregate(b, 0L, (acc, x) -> acc + x))"
+    sums = f"flatten(transform(blocks, (b, k) -> transform({scan('b')}, y -> y + get(firsts, k))))"
+    return let(blocks, "blocks", let(scan(totals), "firsts", sums))
 
 
-def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the checksum of card numbers."""
-    def worth(c: Column, i: Column) -> Column:
-        twice = c.cast("int") * 2
-        return F.when(i % 2 == 0, c.cast("int")).when(twice > 9, twice - 9).otherwise(twice)
-    return F.aggregate(F.transform(F.split(F.reverse(digits), "(?!$)"), worth), F.lit(0), lambda acc, x: acc + x) % 10 == 0
+def digits(span: str) -> str:
+    return f"regexp_replace({span}, '[^0-9]', '')"
 
 
-def _digits(span: Column) -> Column:
-    return F.regexp_replace(span, "[^0-9]", "")
+def luhn(number: str) -> str:
+    """SQL for whether a string of digits passes the checksum of card numbers."""
+    worth = "CASE WHEN i % 2 = 0 THEN INT(c) WHEN INT(c) > 4 THEN 2 * INT(c) - 9 ELSE 2 * INT(c) END"
+    return f"aggregate(transform(split(reverse({number}), '(?!$)'), (c, i) -> {worth}), 0, (acc, x) -> acc + x) % 10 = 0"
 
 
-def holds(kind: str, span: Column) -> Column:
-    """Whether a match of the base pattern passes the kind's check."""
+def holds(kind: str, span: str) -> str:
+    """SQL for whether a match of the base pattern passes the kind's check."""
     if kind == "ip":
         # Long parts are no numbers below 256 unless they are zeros in front.
-        return F.forall(F.split(span, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "").rlike("^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
-    if kind == "card":
-        return luhn(_digits(span))
-    if kind == "phone":
-        return F.length(_digits(span)).between(8, 15)
-    return F.lit(True)
-
-
-def _located(df: DataFrame, text: str, pattern: str, out: str, keep: Callable[[Column], Column], needs: str = "") -> DataFrame:
-    """``df`` with array ``out`` of the kept matches: ``(span, start, end, before, after)``; and ``out``_blank, the text with
-    those replaced by as many NULs."""
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    if needs:
-        found = F.when(F.contains(F.col(text), F.lit(needs)), found).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("__m", found)
-    some = F.size("__m") > 0
-    df = df.withColumn("__g", F.when(some, F.split(F.col(text), pattern, -1)))
-    lengths = F.transform("__m", lambda m, i: (F.length(m) + F.length(F.get("__g", i))).cast("long"))
-    df = df.withColumn("__at", F.when(some, running(lengths)))
-
-    def span(m: Column, i: Column) -> Column:
-        gap, nxt = F.get("__g", i), F.get("__g", i + 1)
-        start = F.get("__at", i) + F.length(gap)
-        return F.struct(m.alias("span"), start.alias("start"), (start + F.length(m)).alias("end"),
-                        F.substring(gap, -CONTEXT, CONTEXT).alias("before"), F.substring(nxt, 1, CONTEXT).alias("after"),
-                        keep(m).alias("kept"))
-
-    kind = "array<struct<span: string, start: bigint, end: bigint, before: string, after: string, kept: boolean>>"
-    df = df.withColumn("__s", F.when(some, F.transform("__m", span)).otherwise(F.array().cast(kind)))
-    blank = F.concat(F.array_join(F.transform("__s", lambda s, i: F.concat(
-        F.get("__g", i), F.when(s["kept"], F.repeat(F.lit("\0"), F.length(s["span"]))).otherwise(s["span"]))), ""), F.element_at("__g", -1))
-    df = df.withColumn(f"{out}_blank", F.when(F.exists("__s", lambda s: s["kept"]), blank).otherwise(F.col(text)))
-    return df.withColumn(out, F.filter("__s", lambda s: s["kept"])).drop("__m", "__g", "__at", "__s")
-
-
-def _near(kind: str, words: Column) -> Column:
-    own, other = (rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{w})(?![\p{{L}}\p{{N}}])" for w in (WORDS[kind], OTHER_WORDS))
-    return F.when(words.rlike(own), 1).when(words.rlike(other), -1).otherwise(0)
-
-
-def _shape(kind: str, span: Column) -> Column:
-    if kind == "email":
-        spelled = span.rlike(r"(?i)[\])}]|\sdot\s")
-        return F.when(span.rlike(r"\.\.|\.@|^\."), -1).when(span.contains("@") & ~span.rlike(r"\s") | spelled, 1).otherwise(0)
-    if kind == "ip":
-        return F.when(span.rlike(r"(?:^|\.)0[0-9]"), -1).when(span.contains(":") & ~span.rlike(r"(?::[^:]+){2}|::[^:]*$"), -1).otherwise(1)
-    if kind == "card":
-        return F.when(span.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{5})$"), 1).otherwise(-1)
-    open_, close = (F.length(F.regexp_replace(span, rf"[^{c}]", "")) for c in (r"\(", r"\)"))
-    return F.when((open_ != close) | span.rlike(r"[.-]{2}|\x20{2}"), -1).when(F.length(_digits(span)).between(9, 13), 1).otherwise(0)
+        return (f"forall(split({span}, r'\\.'), p -> regexp_replace(p, '^0+(?=.)', '') "
+                "RLIKE '^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$')")
+    return {"email": "true", "card": luhn(digits(span)), "phone": f"length({digits(span)}) BETWEEN 8 AND 15"}[kind]
 
 
-def _gazetteer(kind: str, span: Column) -> Column:
-    if kind == "email":
-        return F.when(span.rlike(rf"(?i)[^a-z0-9](?:{DOMAINS})$"), 1).otherwise(-1)
-    if kind == "ip":
-        first = F.regexp_extract(span, "^0*([0-9]{1,3})(?=[.\\[])", 1)
-        routable = first.rlike("^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])$") & (first != "127")
-        return F.when(first == "", 0).when(routable, 1).otherwise(-1)
-    if kind == "card":
-        return F.when(_digits(span).rlike(ISSUERS), 1).otherwise(-1)
-    code = F.regexp_replace(_digits(span), "^00", "")
-    abroad = span.rlike(r"^(?:\+|00)")
-    return F.when(abroad & code.rlike(CALLING_CODES), 1).when(~abroad & code.rlike("^(?:[2-9][0-9]{2}[2-9]|0[1-9])"), 1).otherwise(-1)
-
-
-def _judged(kind: str, s: Column, base: bool) -> Column:
-    """One span with its votes and its features' slots in the classifier's weights."""
-    rule = F.lit(1) if base else F.when(s["span"].rlike(f"^(?:{BASE[kind]})$"), -1).otherwise(0)
-    votes = F.array(rule, _shape(kind, s["span"]), _gazetteer(kind, s["span"]), _near(kind, s["before"]), _near(kind, s["after"]))
-    before, after = (F.regexp_extract_all(F.lower(s[c]), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)) for c in ("before", "after"))
-    form = F.regexp_replace(F.regexp_replace(F.regexp_replace(s["span"], r"\p{L}+", "a"), "[0-9]", "9"), r"\s", " ")
-    k = KINDS.index(kind)
+def _matches(text: str, pattern: str, needs: str) -> str:
+    found = f"regexp_extract_all({text}, {_raw(pattern)}, 0)"
+    return f"if(contains({text}, '{needs}'), {found}, NULL)" if needs else found
+
+
+def located(text: str, pattern: str, needs: str = "") -> str:
+    """SQL for the pattern's matches in a text: array of (span, start, end, before, after), or null if there is none."""
+    lengths = "transform(found, (m, i) -> length(m) + length(get(gaps, i)) + 0L)"
+    one = ("named_struct('span', m, 'start', get(at, i) + length(get(gaps, i)), 'end', get(at, i) + length(get(gaps, i)) + length(m), "
+           f"'before', substring(get(gaps, i), -{CONTEXT}, {CONTEXT}), 'after', substring(get(gaps, i + 1), 1, {CONTEXT}))")
+    places = let(lengths, "lengths", let(running("lengths"), "at", f"transform(found, (m, i) -> {one})"))
+    return let(_matches(text, pattern, needs), "found",
+               f"if(size(found) > 0, {let(f'split({text}, {_raw(pattern)}, -1)', 'gaps', places)}, NULL)")
+
+
+def blanked(text: str, pattern: str, test: str = "true") -> str:
+    """SQL for the text with those matches ``m`` that pass a test replaced by as many NULs."""
+    filled = f"concat(get(gaps, i), if({test}, repeat(char(0), length(m)), m))"
+    parts = f"concat(array_join(transform(found, (m, i) -> {filled}), ''), element_at(gaps, -1))"
+    return let(_matches(text, pattern, ""), "found", let(f"split({text}, {_raw(pattern)}, -1)", "gaps", parts))
 
-    def with_votes(v: Column) -> Column:
-        said = [F.concat(F.lit(f"{name}="), F.get(v, F.lit(i))) for i, name in enumerate(LABELERS)]
-        seen = [F.concat(F.lit("form="), F.substring(form, 1, 40)), F.concat(F.lit("length="), F.least(F.length(s["span"]), F.lit(40))),
-                F.concat(F.lit("word-1="), F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit(""))),
-                F.concat(F.lit("word-2="), F.coalesce(F.try_element_at(before, F.lit(-2)), F.lit(""))),
-                F.concat(F.lit("word+1="), F.coalesce(F.try_element_at(after, F.lit(1)), F.lit(""))),
-                F.concat(F.lit("left="), F.substring(s["before"], -1, 1)), F.concat(F.lit("right="), F.substring(s["after"], 1, 1))]
-        slots = F.transform(F.array(*said, *seen), lambda x: (F.pmod(F.xxhash64(x), F.lit(BUCKETS)) + k * BUCKETS).cast("int"))
-        signs = (F.get(v, F.lit(3)) > 0) | (F.get(v, F.lit(4)) > 0)
-        if kind == "email":
-            signs = signs | (F.get(v, F.lit(1)) > 0) & (F.get(v, F.lit(2)) > 0)
-        return F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"),
-                        v.alias("votes"), slots.alias("slots"), signs.alias("signs"))
 
-    return let(votes, with_votes)
+def _near(kind: str, words: str) -> str:
+    own, other = (_raw(rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{w})(?![\p{{L}}\p{{N}}])") for w in (WORDS[kind], OTHER_WORDS))
+    return f"CASE WHEN {words} RLIKE {own} THEN 1 WHEN {words} RLIKE {other} THEN -1 ELSE 0 END"
+
+
+#: Per kind: what speaks for and against a span's form, then for and against its parts (gazetteers).  ``s`` is the span.
+_SHAPE = {
+    "email": (r"s NOT RLIKE r'\s' AND contains(s, '@') OR s RLIKE r'(?i)[\])}]|\sdot\s'", r"s RLIKE r'\.\.|\.@|^\.'"),
+    "ip": ("true", r"s RLIKE r'(?:^|\.)0[0-9]' OR contains(s, ':') AND NOT s RLIKE r'(?::[^:]+){2}|::[^:]*$'"),
+    "card": (r"s RLIKE r'^(?:[0-9]{13,19}|[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{5})$'", "true"),
+    "phone": ("length(regexp_replace(s, '[^0-9]', '')) BETWEEN 9 AND 13",
+              r"length(replace(s, '(', '')) <> length(replace(s, ')', '')) OR s RLIKE r'[.-]{2}|\x20{2}'"),
+}
+_GAZETTEER = {
+    "email": (rf"s RLIKE r'(?i)[^a-z0-9](?:{DOMAINS})$'", "true"),
+    "ip": (r"s RLIKE r'^0*(?!127[.\[])(?:[1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])(?:\.|\[)'", r"s RLIKE r'^[0-9]+[.\[]'"),
+    "card": (f"{digits('s')} RLIKE {_raw(ISSUERS)}", "true"),
+    "phone": (rf"if(s RLIKE r'^(?:\+|00)', regexp_replace({digits('s')}, '^00', '') RLIKE {_raw(CALLING_CODES)}, "
+              f"{digits('s')} RLIKE '^(?:[2-9][0-9]{{2}}[2-9]|0[1-9])')", "true"),
+}
+
+
+def _judged(kind: str, base: bool) -> str:
+    """SQL for one located span ``c`` with its votes and its features' slots in the classifier's weights."""
+    k = KINDS.index(kind)
+    # A pattern that speaks against an address or an odd form comes before what speaks for it.
+    order = {"email": (1, 0), "ip": (1, 0), "phone": (1, 0), "card": (0, 1)}[kind]
+    shape = " ".join(f"WHEN {_SHAPE[kind][i]} THEN {(1, -1)[i]}" for i in order)
+    gazetteer = f"WHEN {_GAZETTEER[kind][0]} THEN 1 WHEN {_GAZETTEER[kind][1]} THEN -1"
+    rule = "1" if base else f"if(s RLIKE {_raw(f'^(?:{BASE[kind]})$')}, -1, 0)"
+    votes = (f"array({rule}, CASE {shape} ELSE 0 END, CASE {gazetteer} ELSE 0 END, {_near(kind, 'c.before')}, {_near(kind, 'c.after')})")
+    form = r"regexp_replace(regexp_replace(regexp_replace(s, r'\p{L}+', 'a'), '[0-9]', '9'), r'\s', ' ')"
+    said = [f"concat('{name}=', v[{i}])" for i, name in enumerate(LABELERS)]
+    word = r"regexp_extract_all(lower(c.{}), r'[\p{{L}}\p{{N}}]+', 0)"
+    seen = [f"concat('form=', substring({form}, 1, 40))", "concat('length=', least(length(s), 40))",
+            "concat('word-1=', coalesce(try_element_at(b, -1), ''))", "concat('word-2=', coalesce(try_element_at(b, -2), ''))",
+            "concat('word+1=', coalesce(try_element_at(a, 1), ''))", "concat('left=', substring(c.before, -1, 1))",
+            "concat('right=', substring(c.after, 1, 1))"]
+    slots = f"transform(array({', '.join(said + seen)}), x -> CAST(pmod(xxhash64(x), {BUCKETS}) + {k * BUCKETS} AS int))"
+    signs = "v[3] > 0 OR v[4] > 0" + (" OR v[1] > 0 AND v[2] > 0" if kind == "email" else "")
+    out = (f"named_struct('kind', {k}, 'start', c.start, 'end', c.end, 'base', {str(base).lower()}, 'votes', v, 'slots', {slots}, "
+           f"'signs', {signs})")
+    return let("c.span", "s", let(votes, "v", let(word.format("before"), "b", let(word.format("after"), "a", out))))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, base, loose)`` per row: its base spans and candidates, each with kind, places, votes and feature slots."""
     df = spread(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
-    for kind in KINDS:
-        df = _located(df, "text", BASE[kind], f"base_{kind}", lambda m, kind=kind: holds(kind, m), _NEEDS.get(kind, "")).drop(f"base_{kind}_blank")
+    none = "CAST(array() AS array<struct<span: string, start: bigint, end: bigint, before: string, after: string>>)"
+    df = df.selectExpr("*", *[f"coalesce(filter({located('text', BASE[k], _NEEDS.get(k, ''))}, c -> {holds(k, 'c.span')}), {none}) AS base_{k}"
+                              for k in KINDS])
     # Base spans are blanked kind by kind, then candidates one kind after the other.
-    df = df.withColumn("left", F.col("text"))
-    for kind in KINDS:
-        df = _located(df.withColumnRenamed("left", "was"), "was", BASE[kind], "gone", lambda m, kind=kind: holds(kind, m),
-                      _NEEDS.get(kind, "")).drop("was", "gone").withColumnRenamed("gone_blank", "left")
-    for kind in KINDS:
-        df = _located(df.withColumnRenamed("left", "was"), "was", LOOSE[kind], f"loose_{kind}",
-                      lambda m: F.lit(True)).drop("was").withColumnRenamed(f"loose_{kind}_blank", "left")
-    def judge(kind: str, base: bool) -> Callable[[Column], Column]:
-        return lambda s: _judged(kind, s, base)
-
-    judged = {p: F.concat(*[F.transform(f"{p}_{kind}", judge(kind, p == "base")) for kind in KINDS]) for p in ("base", "loose")}
-    return df.select("doc_id", *[x.alias(p) for p, x in judged.items()])
+    for k in KINDS:
+        df = df.withColumn("text", F.expr(f"if(size(base_{k}) > 0, {blanked('text', BASE[k], holds(k, 'm'))}, text)"))
+    for k in KINDS:
+        df = df.withColumn(f"loose_{k}", F.expr(f"coalesce({located('text', LOOSE[k])}, {none})"))
+        df = df.withColumn("text", F.expr(f"if(size(loose_{k}) > 0, {blanked('text', LOOSE[k])}, text)"))
+    return df.selectExpr("doc_id", *[
+        f"concat({', '.join(f'transform({p}_{k}, c -> {_judged(k, p == 'base')})' for k in KINDS)}) AS {p}" for p in ("base", "loose")])
 
 
 def estimate(patterns: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """``patterns (kind, votes, n)`` with ``truth``, the likelihood that a span with these votes is true, by expectation-
     maximisation over labelers that err independently of each other.  The table has at most 3^labelers rows a kind."""
     per_kind = patterns.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("seen"))
-    width = len(LABELERS)
     # Before any data: the majority of the votes.
-    first = F.transform("seen", lambda p: 1 / (1 + F.exp(-F.aggregate(p["votes"], F.lit(0.0), lambda acc, v: acc + v))))
-
-    def sweep(truth: Column, _: Column) -> Column:
-        rows = F.arrays_zip(F.col("seen"), truth.alias("truth"))
-
-        def mass(side: int, labeler: Column | None = None, vote: Column | None = None) -> Column:
-            part = lambda r: r["seen"]["n"] * (r["truth"] if side else 1 - r["truth"])
-            hit = (lambda r: F.when(F.get(r["seen"]["votes"], labeler) == vote, part(r)).otherwise(0.0)) if labeler is not None else part
-            return F.aggregate(rows_of, F.lit(0.0), lambda acc, r: acc + hit(r))
-
-        rows_of = rows
-        # Log of how much likelier each vote of each labeler is on true spans than on false ones.
-        def weight(j: Column) -> Column:
-            labeler, vote = F.floor(j / 3).cast("int"), (j % 3 - 1).cast("int")
-            for_true = F.when(vote == 1, TRUST).otherwise(1.0)
-            for_false = F.when(vote == -1, TRUST).otherwise(1.0)
-            return F.log((mass(1, labeler, vote) + for_true) / (mass(1) + TRUST + 2)) - F.log(
-                (mass(0, labeler, vote) + for_false) / (mass(0) + TRUST + 2))
-
-        weights = F.transform(F.sequence(F.lit(0), F.lit(3 * width - 1)), weight)
-        prior = F.log((mass(1) + 1) / (mass(0) + 1))
-        return let(F.struct(weights.alias("w"), prior.alias("p")), lambda m: F.transform("seen", lambda s: 1 / (1 + F.exp(-F.greatest(
-            F.lit(-30.0), F.least(F.lit(30.0), m["p"] + F.aggregate(
-                F.transform(s["votes"], lambda v, i: F.get(m["w"], i * 3 + v + 1)), F.lit(0.0), lambda acc, x: acc + x)))))))
-
-    truth = F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), first, sweep)
+    first = "transform(seen, p -> 1 / (1 + exp(-aggregate(p.votes, 0D, (acc, v) -> acc + v))))"
+
+    def mass(part: str, hit: str = "true") -> str:
+        return f"aggregate(rows, 0D, (acc, r) -> acc + if({hit}, r.seen.n * {part}, 0D))"
+
+    vote = "get(r.seen.votes, j div 3) = j % 3 - 1"
+    # Log of how much likelier each vote of each labeler is on true spans than on false ones; j = 3 * labeler + vote + 1.
+    weight = (f"ln(({mass('r.truth', vote)} + if(j % 3 = 2, {TRUST}D, 1D)) / ({mass('r.truth')} + {TRUST + 2}D)) - "
+              f"ln(({mass('(1 - r.truth)', vote)} + if(j % 3 = 0, {TRUST}D, 1D)) / ({mass('(1 - r.truth)')} + {TRUST + 2}D))")
+    model = (f"named_struct('w', transform(sequence(0, {3 * len(LABELERS) - 1}), j -> {weight}), "
+             f"'p', ln(({mass('r.truth')} + 1) / ({mass('(1 - r.truth)')} + 1)))")
+    odds = "m.p + aggregate(transform(s.votes, (v, i) -> get(m.w, i * 3 + v + 1)), 0D, (acc, x) -> acc + x)"
+    sweep = let("arrays_zip(seen, truth)", "rows", let(model, "m", f"transform(seen, s -> 1 / (1 + exp(-greatest(-30D, least(30D, {odds})))))"))
+    truth = F.expr(f"aggregate(sequence(1, {sweeps}), {first}, (truth, k) -> {sweep})")
     zipped = per_kind.select("kind", F.explode(F.arrays_zip(F.col("seen"), truth.alias("truth"))).alias("r"))
     return zipped.select("kind", "r.seen.votes", F.col("r.seen.n").cast("long").alias("n"), "r.truth")
 
@@ -277,10 +237,13 @@ def train(found: DataFrame, truths: DataFrame) -> DataFrame:
     sides = truths.groupBy("kind").agg(F.sum(F.col("n") * F.col("truth")).alias("all_yes"), F.sum(F.col("n") * (1 - F.col("truth"))).alias("all_no"))
     spark = found.sparkSession
     slots = spark.range(len(KINDS) * BUCKETS).select(F.col("id").cast("int").alias("slot"), F.floor(F.col("id") / BUCKETS).cast("int").alias("kind"))
-    odds = F.log((F.coalesce("yes", F.lit(0.0)) + 1) / (F.coalesce("all_yes", F.lit(0.0)) + 2)) - F.log(
-        (F.coalesce("no", F.lit(0.0)) + 1) / (F.coalesce("all_no", F.lit(0.0)) + 2))
+    # How a feature moves a kind's odds, drawn towards no move at all: a feature that was never seen says nothing.
+    all_yes, all_no = (F.coalesce(c, F.lit(0.0)) + 1 for c in ("all_yes", "all_no"))
+    share = all_yes / (all_yes + all_no)
+    odds = (F.log((F.coalesce("yes", F.lit(0.0)) + DRAWN * share) / (F.coalesce("no", F.lit(0.0)) + DRAWN * (1 - share)))
+            - F.log(all_yes / all_no))
     weights = slots.join(F.broadcast(sides), "kind", "left").join(seen, "slot", "left").select("slot", odds.alias("w"))
-    prior = F.log((F.coalesce("all_yes", F.lit(0.0)) + 1) / (F.coalesce("all_no", F.lit(0.0)) + 1))
+    prior = F.log(all_yes / all_no)
     priors = spark.range(len(KINDS)).select(F.col("id").cast("int").alias("kind")).join(F.broadcast(sides), "kind", "left")
     rows = weights.select("slot", "w").unionByName(priors.select((F.col("kind") - len(KINDS)).alias("slot"), prior.alias("w")))
     model = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "w"))), lambda r: r["w"]).alias("all"))
@@ -299,12 +262,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     weights, priors = (model.select(c).scalar() for c in ("weights", "priors"))
 
     def scored(s: Column) -> Column:
-        odds = F.aggregate(s["slots"], F.get(F.col("priors"), s["kind"]), lambda acc, i: acc + F.get(F.col("weights"), i))
+        odds = F.aggregate(s["slots"], F.get("priors", s["kind"]), lambda acc, i: acc + F.get("weights", i))
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), odds.alias("score"),
                         s["base"].alias("is_base"), s["signs"].alias("signs"))
 
-    some = F.size(F.concat("base", "loose")) > 0
-    rows = found.withColumns({"weights": F.when(some, weights), "priors": F.when(some, priors)})
+    rows = found.withColumns({"weights": weights, "priors": priors})
     rows = rows.select("doc_id", F.transform(F.concat("base", "loose"), scored).alias("all"))
     plain = lambda s: F.struct(s["kind"], s["start"], s["end"], s["score"])
     kept = F.filter("all", lambda s: s["is_base"] | s["signs"] & (s["score"] > 0))
