@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobatlas.session import spread
 
-from . import chat, decontaminate, langid, mixing, pii, prefixes, quality, simhash, sitetree, substring, syncmers, warc
+from . import chat, decontaminate, langid, mixing, periodic, pii, prefixes, quality, simhash, sitetree, substring, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +203,30 @@ def op12_pii(spark, sf_dir):
     return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
                         F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         pii.joined(F.col("spans")).alias("spans"))
+
+
+#: Words of a text, and for every tenth document the words from the a-th on as a repetition of p of them.
+REPEATED = r"""transform(array(named_struct('w', filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> ''))), s ->
+  transform(array(named_struct('w', s.w, 'a', CAST(g % size(s.w) AS int))), s ->
+    transform(array(named_struct('w', s.w, 'a', s.a, 'p', 1 + CAST((size(s.w) - s.a) div (3 + g % 8) AS int))), s ->
+      array_join(transform(s.w, (x, i) -> if(i >= s.a, s.w[s.a + (i - s.a) % s.p], x)), ' '))[0])[0])[0]"""
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every document, a tenth of them made periodic (no SQL: suffix arrays)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumns({"h": h, "g": F.floor(h / 10)})
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    docs = docs.withColumn("text", F.when((F.col("h") % 10 == 0) & worded, F.expr(REPEATED)).otherwise(F.col("text")))
+    found = periodic.find(docs).withColumn("best", F.when(F.size("runs") > 0, F.expr(
+        """array_sort(runs, (x, y) -> CASE WHEN x.length * y.period <> y.length * x.period
+             THEN INT(sign(y.length * x.period - x.length * y.period))
+             WHEN x.start <> y.start THEN INT(sign(x.start - y.start)) ELSE INT(sign(x.period - y.period)) END)[0]""")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
