@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut_lineage, planned_bytes
+from ..session import planned_bytes, staged
 
 # Largest folded batch (bytes of its written files) whose keys are broadcast against the snapshot.
 BROADCAST_BATCH_BYTES = 16 << 20
@@ -57,7 +57,7 @@ def _new_id(current: DataFrame) -> Column:
 
 
 def _snapshot(current: DataFrame, touched: DataFrame, keys: Sequence[str], flag: str, limit: int) -> DataFrame:
-    touched = cut_lineage(touched, "touched")
+    touched = staged(touched, "touched")
     rest = current.select(*[c for c in touched.columns if c not in (flag, "n_batch")],
                           F.lit(False).alias(flag), F.lit(0).cast("long").alias("n_batch"))
     return apply_touched(rest, touched, keys, limit)
@@ -90,7 +90,7 @@ def touched_companies(current: DataFrame, batch: DataFrame, run_ts: Column, seq:
     ``current``: id, name, website, logo_url, created_at.  ``batch``: name, website, logo_url, seq.
     Result: the rows touched, with ``is_new`` and ``n_batch`` (batch rows for the key).
     """
-    b = cut_lineage(batch.groupBy("name").agg(_last_nonblank("website", seq).alias("b_website"),
+    b = staged(batch.groupBy("name").agg(_last_nonblank("website", seq).alias("b_website"),
                                               _last_nonblank("logo_url", seq).alias("b_logo"),
                                               F.count(F.lit(1)).alias("n_batch")), "batch")
     j = with_touched(current.select("id", "name", "website", "logo_url", "created_at"), b, COMPANY_KEY, limit)
@@ -119,7 +119,7 @@ def touched_offices(current: DataFrame, batch: DataFrame, run_ts: Column, seq: s
     """K2: key (company_id, city, country); address: latest non-blank else kept; location: latest."""
     bb = batch.withColumn("country", office_country(F.col("city"), F.col("country"))) \
               .withColumn("city", X.null_to_blank(F.col("city")))
-    b = cut_lineage(bb.groupBy(*OFFICE_KEY).agg(
+    b = staged(bb.groupBy(*OFFICE_KEY).agg(
         _last_nonblank("address", seq).alias("b_address"), _last(["lat", "lng"], seq).alias("_loc"),
         F.count(F.lit(1)).alias("n_batch")), "batch")
     j = with_touched(current.select("id", *OFFICE_KEY, "address", "created_at"), b, OFFICE_KEY, limit)
@@ -158,7 +158,7 @@ def touched_jobs(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str
     ``n_batch`` - 1 (or ``n_batch`` for known keys) counts the "already seen" rows.
     """
     blank = [c for c in JOB_NULL_COLUMNS if c in (*insert_cols, *update_cols)]
-    b = cut_lineage(batch.withColumns({c: X.blank_to_null(c) for c in blank}).groupBy("dedup_hash").agg(
+    b = staged(batch.withColumns({c: X.blank_to_null(c) for c in blank}).groupBy("dedup_hash").agg(
         _first(insert_cols, seq).alias("_ins"), _last(update_cols, seq).alias("_upd"),
         F.count(F.lit(1)).alias("n_batch")), "batch")
     j = with_touched(current.select("id", "dedup_hash", *insert_cols, "created_at"), b, JOB_KEY, limit)
@@ -183,7 +183,7 @@ def touched_cache(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str
                   limit: int = BROADCAST_BATCH_BYTES) -> DataFrame:
     """Key ``location_key``; latitude/longitude replaced (last write wins)."""
     last = F.max(F.struct("latitude", "longitude")) if seq is None else _last(["latitude", "longitude"], seq)
-    b = cut_lineage(batch.groupBy("location_key").agg(last.alias("_c")), "batch")
+    b = staged(batch.groupBy("location_key").agg(last.alias("_c")), "batch")
     j = with_touched(current.select("location_key", "created_at"), b, CACHE_KEY, limit)
     return j.select("location_key", F.col("_c.latitude").alias("latitude"), F.col("_c.longitude").alias("longitude"),
                     F.coalesce(F.col("created_at"), run_ts).alias("created_at"))
@@ -192,7 +192,7 @@ def touched_cache(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str
 def upsert_cache(current: DataFrame, batch: DataFrame, run_ts: Column, seq: str | None = None,
                  limit: int = BROADCAST_BATCH_BYTES) -> DataFrame:
     """K4, the whole next snapshot (see :func:`touched_cache`)."""
-    touched = cut_lineage(touched_cache(current, batch, run_ts, seq, limit), "touched")
+    touched = staged(touched_cache(current, batch, run_ts, seq, limit), "touched")
     return apply_touched(current.select(*touched.columns), touched, CACHE_KEY, limit)
 
 
@@ -208,9 +208,9 @@ def delete_jobs(jobs: DataFrame, offices: DataFrame, requests: DataFrame,
     keys are broadcast and the jobs table is only scanned.
     """
     keys = list(job_key)
-    req = cut_lineage(requests, "delete-requests")
+    req = staged(requests, "delete-requests")
     asked = jobs.select(*keys, "office_id").join(_probe(req, keys, limit), keys, "left_semi")
-    owned = cut_lineage(
+    owned = staged(
         asked.join(offices.select(F.col("id").alias("office_id"), F.col("company_id")), "office_id")
         .join(req.select(*keys, "company_id"), keys + ["company_id"], "left_semi").select(*keys).distinct(), "deleted")
     return jobs.join(_probe(owned, keys, limit), keys, "left_anti"), req.join(owned, keys, "left_anti")

@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,13 @@ from ..operators import merge as M
 from ..operators.dedup import dedup_batch
 from ..operators.normalize import drop_incomplete, normalize
 from ..schemas import COMPANIES_DDL, GEOCODE_CACHE_DDL, JOBS_DDL, OFFICES_DDL, SEQ_COLUMNS
-from ..session import cut_lineage
+from ..session import observed_stage, staged
 from ..sources import feeds as FD
 
 
+METRICS = ("fetched", "after_dedup", "inserted", "skipped", "geocode_fail", "errors")
+
+
 @dataclass
 class Store:
     companies: DataFrame
@@ -79,22 +83,23 @@ def run(raw: DataFrame, store: Store, gazetteer: DataFrame, run_ts: Column,
     """Returns (rows of each table that the run touches, one-row metrics, unresolved location keys).
 
     The history is read to find what the batch meets and never written: :func:`apply`
-    puts the touched rows over it, :func:`write_delta` stores them alone.
+    puts the touched rows over it, :func:`write_run` stores them alone.
 
     Every stage that several later stages read -- raw rows, the deduplicated batch,
     located records and each table's touched rows -- is written once as a Parquet
     table in the shared checkpoint folder, so no stage is recomputed, new ids are fixed,
-    and a lost executor only costs the current stage.
+    and a lost executor only costs the current stage.  The metrics are observed while these
+    tables are written: no job scans a table to count it.
     """
-    ck = cut_lineage
-    raw = ck(raw, "raw")
+    ck, one = staged, F.lit(1)
+    raw, n_raw = observed_stage(raw, "raw", fetched=one)
     norm = drop_incomplete(normalize(raw, dictionary)).withColumn("seq", _seq()).drop(*SEQ_COLUMNS)
-    deduped = ck(dedup_batch(norm, "dedup_hash", ["seq"]), "deduped")
+    deduped, n_deduped = observed_stage(dedup_batch(norm, "dedup_hash", ["seq"]), "deduped", after_dedup=one)
     recs = deduped.withColumn("display", X.geocode_display("city", "country"))
     resolved = ck(G.resolve(G.unique_keys(recs), store.cache, gazetteer), "resolved")
     coords, unresolved, new_cache = G.coords_of(resolved), G.unresolved_of(resolved), G.new_cache_of(resolved)
-    located = ck(G.locate(recs, coords), "located")
-    placed, failed = G.placed_of(located), G.failed_of(located)
+    located, n_located = observed_stage(G.locate(recs, coords), "located", geocode_fail=F.col("resolved_by").isNull().cast("int"))
+    placed = G.placed_of(located)
 
     companies = ck(M.touched_companies(
         store.companies,
@@ -111,38 +116,21 @@ def run(raw: DataFrame, store: Store, gazetteer: DataFrame, run_ts: Column,
         F.col("id").alias("office_id"), "company_id", "city", F.col("country").alias("_office_country"))
     job_rows = (with_company.withColumn("_office_country", M.office_country(F.col("city"), F.col("country")))
                 .join(office_ids, ["company_id", "city", "_office_country"]))
-    jobs = ck(M.touched_jobs(store.jobs, job_rows, run_ts, "seq"), "jobs")
+    new = F.col("inserted").cast("long")
+    jobs, n_jobs = observed_stage(M.touched_jobs(store.jobs, job_rows, run_ts, "seq"), "jobs",
+                                  inserted=new, skipped=F.col("n_batch") - new)
     cache = ck(M.touched_cache(store.cache, new_cache, run_ts), "cache")
-
-    z = F.lit(0).cast("long")
-    one = F.lit(1).cast("long")
-    parts = [
-        raw.select(one.alias("fetched"), z.alias("after_dedup"), z.alias("inserted"), z.alias("skipped"),
-                   z.alias("geocode_fail"), z.alias("errors")),
-        deduped.select(z, one, z, z, z, z),
-        failed.select(z, z, z, z, one, z),
-        jobs.select(
-            z, z, F.col("inserted").cast("long"),
-            (F.col("n_batch") - F.col("inserted").cast("long")).cast("long"), z, z),
-    ]
-    if errors is not None:
-        parts.append(errors.select(z, z, z, z, z, F.col("times")))
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.union(p)
-    metrics = stacked.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in
-                            ("fetched", "after_dedup", "inserted", "skipped", "geocode_fail", "errors")])
+    n_errors = {"errors": 0} if errors is None else observed_stage(errors, "errors", errors=F.col("times"))[1]
+    counted = {**n_raw, **n_deduped, **n_jobs, **n_located, **n_errors}
+    metrics = raw.sparkSession.createDataFrame([tuple(counted[c] for c in METRICS)], ", ".join(f"{c} long" for c in METRICS))
     touched = Store(companies.drop("is_new", "n_batch"), offices.drop("is_new", "n_batch"),
                     jobs.drop("inserted", "n_batch"), cache)
     return touched, metrics, unresolved
 
 
-KEYS = {"companies": M.COMPANY_KEY, "offices": M.OFFICE_KEY, "jobs": M.JOB_KEY, "cache": M.CACHE_KEY}
-
-
 def apply(store: Store, touched: Store) -> Store:
     """The store after a run: every table's untouched rows and the rows that the run touched."""
-    return Store(**{t: M.apply_touched(getattr(store, t), getattr(touched, t), k) for t, k in KEYS.items()})
+    return Store(**{t: M.apply_touched(getattr(store, t), getattr(touched, t), k) for t, (_, k) in TABLES.items()})
 
 
 def write_store(store: Store, path: str, layouts: bool = True) -> None:
@@ -162,52 +150,62 @@ def write_store(store: Store, path: str, layouts: bool = True) -> None:
     store.cache.write.mode("overwrite").parquet(f"{path}/geocode_cache")
 
 
-CHAIN_DDL = "base string, deltas array<string>"
-# A version whose deltas are this many is written whole again.
-COMPACT_AFTER = 16
+def read_tables(spark: SparkSession, path: str) -> Store:
+    """The tables of one folder that :func:`write_store` wrote."""
+    return Store(*(spark.read.schema(ddl).parquet(f"{path}/{t}") for t, ddl in (
+        ("companies", COMPANIES_DDL), ("offices", OFFICES_DDL), ("jobs", JOBS_DDL), ("geocode_cache", GEOCODE_CACHE_DDL))))
 
 
-def _chain(spark: SparkSession, path: str) -> tuple[str, list[str]]:
-    """The whole version that a version stands on, and the deltas over it, oldest first."""
-    row = spark.read.schema(CHAIN_DDL).parquet(f"{path}/_chain").first()
-    return row.base, list(row.deltas)
+# -- the store: append-only tables, one folder per run ---------------------------------------
 
+#: ``<root>/<table>/run=<n>``: the rows that run n touched.
+TABLES = {"companies": (COMPANIES_DDL, M.COMPANY_KEY), "offices": (OFFICES_DDL, M.OFFICE_KEY), "jobs": (JOBS_DDL, M.JOB_KEY),
+          "cache": (GEOCODE_CACHE_DDL, M.CACHE_KEY)}
+RUNS_DDL = "stream string, batch_id long, pull long, " + ", ".join(f"{c} long" for c in METRICS)
 
-def write_version(spark: SparkSession, touched: Store, prev: str | None, path: str,
-                  compact_after: int = COMPACT_AFTER) -> None:
-    """Write the store version after a run: only the touched rows, as a delta over ``prev``;
-    every ``compact_after`` versions the whole store (what a run writes does not grow with the history)."""
-    base, deltas = _chain(spark, prev) if prev else (path, [])
-    if prev is None:
-        write_store(touched, path)
-    elif len(deltas) >= compact_after:
-        write_store(apply(read_store(spark, prev), touched), path)
-        base, deltas = path, []
-    else:
-        write_store(touched, path, layouts=False)
-        deltas = [*deltas, path]
-    spark.createDataFrame([(base, deltas)], CHAIN_DDL).coalesce(1).write.mode("overwrite").parquet(f"{path}/_chain")
 
+def _runs_of(spark: SparkSession, root: str, table: str, ddl: str) -> DataFrame:
+    """A table's rows with their run; empty if no run wrote it yet.  Any other failure is raised: a folder that
+    cannot be read must not pass for an empty one."""
+    ddl += ", run long"
+    try:
+        return spark.read.schema(ddl).parquet(f"{root}/{table}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], ddl)
+        raise
+
+
+def finished_runs(spark: SparkSession, root: str) -> DataFrame:
+    """One row per finished run: where it came from and its metrics."""
+    return _runs_of(spark, root, "runs", RUNS_DDL)
+
+
+def last_run(spark: SparkSession, root: str) -> int:
+    return finished_runs(spark, root).agg(F.max("run")).first()[0] or 0
+
+
+def write_run(touched: Store, metrics: DataFrame, root: str, run: int, stream: str = "", batch_id: int = 0, pull: int = 0) -> None:
+    """Append a run's touched rows, then its row among the finished runs.  A run that stopped before that row is not read
+    by anyone, and is written anew, over what it left, when it is tried again."""
+    for t in TABLES:
+        getattr(touched, t).write.mode("overwrite").parquet(f"{root}/{t}/run={run}")
+    metrics.select(F.lit(stream).alias("stream"), F.lit(batch_id).cast("long").alias("batch_id"), F.lit(pull).cast("long").alias("pull"),
+                   *METRICS).coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/run={run}")
 
-def read_tables(spark: SparkSession, path: str) -> Store:
-    """The tables of one folder that :func:`write_store` wrote."""
-    return Store(*(spark.read.schema(ddl).parquet(f"{path}/{t}") for t, ddl in (
-        ("companies", COMPANIES_DDL), ("offices", OFFICES_DDL), ("jobs", JOBS_DDL), ("geocode_cache", GEOCODE_CACHE_DDL))))
 
+def read_store(spark: SparkSession, root: str, run: int | None = None) -> Store:
+    """The store after a run (default: the last finished one): of every key the row that the newest run wrote.
 
-def read_store(spark: SparkSession, path: str) -> Store:
-    """A store version: its whole base with the newest delta row of every key over it."""
-    base, deltas = _chain(spark, path)
-    store = read_tables(spark, base)
-    if not deltas:
-        return store
-    parts = [read_tables(spark, d) for d in deltas]
+    The fold is a partial aggregate per key; later filters and semi-joins on the key go below it."""
+    run = last_run(spark, root) if run is None else run
 
-    def newest(table: str, keys) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, [getattr(p, table).withColumn("_at", F.lit(i)) for i, p in enumerate(parts)])
-        cols = [c for c in rows.columns if c != "_at"]
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_at").alias("r")) if len(parts) > 1 \
-            else rows.select(F.struct(*cols).alias("r"))
-        return last.select("r.*")
+    def newest(table: str) -> DataFrame:
+        ddl, keys = TABLES[table]
+        rows = _runs_of(spark, root, table, ddl).where(F.col("run") <= run)
+        names = [c for c in rows.columns if c != "run"]
+        rest = [c for c in names if c not in keys]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "run").alias("_row"))
+        return last.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in names])
 
-    return apply(store, Store(**{t: newest(t, k) for t, k in KEYS.items()}))
+    return Store(**{t: newest(t) for t in TABLES})

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut_lineage, shared_path
+from ..session import shared_path, staged
 from ..sources import feeds as FD
 from ..sources import tables as T
 from . import ingest as I
@@ -132,21 +132,18 @@ TS1, TS2 = "2025-01-01 00:00:00", "2025-01-01 06:00:00"
 
 
 def two_runs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """Run both pulls; the final store version and the metrics of each run."""
+    """Run both pulls; the store's folder and the metrics of each run."""
     queries = FD.queries_frame(spark, SEARCH, FD.DEFAULT_PER_QUERY)
     gaz = part_gazetteer(spark, sf_dir)
     # land the payload pages once, as the feed pulls would have written them
-    payloads = {s: cut_lineage(landed(spark, sf_dir, s), f"landed-{s}") for s in FD.SOURCE_ORDER}
+    payloads = {s: staged(landed(spark, sf_dir, s), f"landed-{s}") for s in FD.SOURCE_ORDER}
     root = shared_path(spark, "stores", uuid.uuid4().hex)
-    prev, metrics = None, []
     for n, (sources, ts) in enumerate(((RUN1_SOURCES, TS1), (FD.SOURCE_ORDER, TS2)), 1):
         raw, err = I.fetch({s: payloads[s] for s in sources}, queries)
-        store = I.read_store(spark, prev) if prev else I.empty_store(spark)
-        touched, m, _ = I.run(raw, store, gaz, F.lit(ts).cast("timestamp"), err)
-        I.write_version(spark, touched, prev, f"{root}/v{n}")
-        prev = f"{root}/v{n}"
-        metrics.append(m.withColumn("run", F.lit(n)))
-    return prev, metrics[0].unionByName(metrics[1])
+        store = I.read_store(spark, root, n - 1) if n > 1 else I.empty_store(spark)
+        touched, metrics, _ = I.run(raw, store, gaz, F.lit(ts).cast("timestamp"), err)
+        I.write_run(touched, metrics, root, n, pull=n)
+    return root, I.finished_runs(spark, root).select(*I.METRICS, F.col("run").cast("int").alias("run"))
 
 
 @register("run_metrics", METRICS_SQL)
@@ -188,15 +185,8 @@ SELECT g.lk AS location_key, g.lat AS latitude, g.lng AS longitude, {_when('min(
 FROM (SELECT lk, 1 AS run FROM d1 UNION ALL SELECT lk, 2 FROM d2) d JOIN gaz g ON g.lk = d.lk GROUP BY g.lk, g.lat, g.lng"""
 
 
-# The store queries below look at one and the same store: it is made once per session and input.
-_MADE: dict[tuple[str, str], str] = {}
-
-
 def _store(spark: SparkSession, sf_dir: str) -> I.Store:
-    made = (spark.sparkContext.applicationId, sf_dir)
-    if made not in _MADE:
-        _MADE[made] = two_runs(spark, sf_dir)[0]
-    return I.read_store(spark, _MADE[made])
+    return I.read_store(spark, two_runs(spark, sf_dir)[0])
 
 
 @register("store_companies", COMPANIES_SQL)

@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..session import shared_path
 from ..sources import tables as T
 from ..streaming import incremental as INC
-from . import q_ingest, q_text
+from . import ingest, q_ingest, q_text
 from .registry import ORACLES, register
 
 
@@ -71,11 +71,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     land_pull(spark, sf_dir, f"{d}/landing/pull=1", q_ingest.RUN1_SOURCES)
     land_pull(spark, sf_dir, f"{d}/landing/pull=2", FD.SOURCE_ORDER)
     INC.ingest_stream(INC.landed_stream(spark, f"{d}/landing"), store, gaz, queries, ck)
-    runs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{store}/*/_metrics")
-    commits = INC.committed_versions(spark, store).select("version", F.col("commit_no").cast("int").alias("run"))
-    of = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/_metrics/", 1)
-    return runs.select(of.alias("v"), "*").join(
-        commits.select(F.substring_index("version", "/", -1).alias("v"), "run"), "v").drop("v", "batch_id")
+    return ingest.finished_runs(spark, store).select(*ingest.METRICS, F.col("run").cast("int").alias("run"))
 
 
 _ = q_text  # the dedup oracle is registered there

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every plan in this package is written against.  They are applied only
 # when the session does not already carry a value, so a cluster's own settings win.
@@ -84,6 +85,22 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """:func:`cut_lineage` for plans of many stages: the schema is known, so no job reads it back from the files."""
+    return observed_stage(df, name)[0]
+
+
+def observed_stage(df: DataFrame, name: str = "stage", **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`staged`, and ``sums`` added up by an ``Observation`` while the table is written, so no job
+    scans it for them.  The observed rows are those of the write's own tasks, which count once
+    each however often an executor is lost."""
+    spark = df.sparkSession
+    path = shared_path(spark, "tables", f"{name}-{uuid.uuid4().hex}")
+    seen = Observation() if sums else None
+    (df.observe(seen, *[F.sum(c).alias(k) for k, c in sums.items()]) if seen else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), {k: int(v or 0) for k, v in seen.get.items()} if seen else {}
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The planner's size of ``df``; for a table just read back from :func:`cut_lineage` the
     bytes of its files, so this is a measured bound for a broadcast."""

@@ -9,7 +9,7 @@
 * :func:`facet_stream` -- incremental counts (T3) in ``complete`` mode, each batch
   overwriting the result table.
 * :func:`ingest_stream` -- the whole ingestion run (T1) per micro-batch of landed
-  payload files (:func:`landed_stream`), each batch committed as a new store version.
+  payload files (:func:`landed_stream`), each pull a run of an append-only store.
 
 All run with ``trigger(availableNow=True)``: everything that has landed is
 processed in bounded micro-batches and the query stops -- the cron-style run.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import first_per_key
-from ..session import cut_lineage, planned_bytes
+from ..session import cut_lineage, planned_bytes, staged
 
 # Largest micro-batch (bytes of its written first rows) whose keys are broadcast to probe the snapshot.
 BROADCAST_BATCH_BYTES = 16 << 20
@@ -171,24 +171,6 @@ def landed_stream(spark: SparkSession, root: str) -> DataFrame:
     return with_payload_context(df)
 
 
-COMMITS = "_commits"
-COMMITS_DDL = "stream string, batch_id long, pull long, commit_no long, version string"
-
-
-def committed_versions(spark: SparkSession, store_root: str) -> DataFrame | None:
-    """The commit table of an ingestion stream, or None if nothing was ever committed.
-    A commit table that exists and cannot be read stops the run."""
-    return _read_or_none(spark, f"{store_root}/{COMMITS}", COMMITS_DDL)
-
-
-def latest_version(spark: SparkSession, store_root: str) -> str | None:
-    done = committed_versions(spark, store_root)
-    if done is None:
-        return None
-    row = done.agg(F.max_by("version", "commit_no").alias("v")).first()
-    return row.v if row else None
-
-
 def ingest_stream(stream: DataFrame, store_root: str, gazetteer: DataFrame, queries: DataFrame,
                   checkpoint_path: str, per_page: int | None = None) -> None:
     """Run the batch ingestion (adapters, query search and caps, normalise, dedup,
@@ -196,13 +178,12 @@ def ingest_stream(stream: DataFrame, store_root: str, gazetteer: DataFrame, quer
 
     The pulls of a batch run one after the other in order of their number, each on the
     store that the one before left, so a backlog of pulls in one batch gives what the
-    pulls give in batches of their own.  Each run writes the rows it touched as a new folder
-    ``<store_root>/v<stream>-<batch>-<pull>`` (with its ``_metrics`` and ``_unresolved`` keys), a
-    delta over the versions before it (``ingest.write_version``), and then appends one row to the commit table.  A pull already committed for a batch id
-    is skipped, so a replayed batch is a no-op, and a batch that failed half way goes
-    on with the pulls that are missing.  A run's "now" is the latest modification time of
-    the pull's files, the same on every replay.  One stream writes a store root at a time
-    (the commit number is one more than the largest in the commit table).
+    pulls give in batches of their own.  Each run appends the rows it touched under its run number, one
+    more than the last finished run's, and then its row in ``<store_root>/runs`` (``ingest.write_run``).  A pull
+    with a row for its stream and batch is skipped, so a replayed batch is a no-op, and a batch that
+    failed half way goes on with the pulls that are missing.  A run's "now" is the latest modification
+    time of the pull's files, the same on every replay; location keys without a place are in
+    ``<store_root>/unresolved/run=<n>``.  One stream writes a store root at a time.
     """
     from ..plans import ingest as I
     from ..sources import feeds as FD
@@ -211,39 +192,26 @@ def ingest_stream(stream: DataFrame, store_root: str, gazetteer: DataFrame, quer
     cap = FD.DEFAULT_PER_QUERY if per_page is None else per_page
     stream_id = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint_path).hex[:12]
 
-    def run_pull(s: SparkSession, landed: DataFrame, run_at, batch_id: int, pull: int, commit_no: int,
-                 prev: str | None) -> str:
-        store = I.read_store(s, prev) if prev else I.empty_store(s)
+    def run_pull(s: SparkSession, landed: DataFrame, run_at, batch_id: int, pull: int, run: int) -> None:
         payloads = {src: landed.where(F.col("source") == src) for src in FD.SOURCE_ORDER}
         raw, errors = I.fetch(payloads, queries, cap)
+        store = I.read_store(s, store_root, run - 1)
         touched, metrics, unresolved = I.run(raw, store, gazetteer, F.lit(run_at).cast("timestamp"), errors)
-        version = f"{store_root}/v{stream_id}-{batch_id:012d}-{pull:012d}"
-        I.write_version(s, touched, prev, version)
-        metrics.select(F.lit(batch_id).cast("long").alias("batch_id"), "*") \
-            .write.mode("overwrite").parquet(f"{version}/_metrics")
-        unresolved.write.mode("overwrite").parquet(f"{version}/_unresolved")
-        s.createDataFrame([(stream_id, batch_id, pull, commit_no, version)], COMMITS_DDL) \
-            .write.mode("append").parquet(f"{store_root}/{COMMITS}")
-        return version
+        unresolved.write.mode("overwrite").parquet(f"{store_root}/unresolved/run={run}")
+        I.write_run(touched, metrics, store_root, run, stream_id, batch_id, pull)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        # read by six adapters per pull; a lost block is read again from the landed files
-        batch = batch.persist()
-        try:
-            pulls = batch.groupBy("pull").agg(F.max("landed_at").alias("t")).orderBy("pull").collect()
-            done = committed_versions(s, store_root)
-            mine = [] if done is None else [r.pull for r in done.where(
-                (F.col("stream") == stream_id) & (F.col("batch_id") == batch_id)).select("pull").collect()]
-            last = None if done is None else done.agg(
-                F.max("commit_no").alias("n"), F.max_by("version", "commit_no").alias("v")).first()
-            n, prev = (last.n or 0, last.v) if last else (0, None)
-            for p in pulls:
-                if p.pull not in mine:
-                    n += 1
-                    prev = run_pull(s, batch.where(F.col("pull") == p.pull), p.t, batch_id, p.pull, n, prev)
-        finally:
-            batch.unpersist()
+        # The landed files are read once, into the shared folder, for the adapters of all pulls.
+        batch = staged(batch, "landed-batch")
+        pulls = batch.groupBy("pull").agg(F.max("landed_at").alias("t")).orderBy("pull").collect()
+        done = I.finished_runs(s, store_root).where((F.col("stream") == stream_id) & (F.col("batch_id") == batch_id))
+        mine = {r.pull for r in done.select("pull").collect()}
+        run = I.last_run(s, store_root)
+        for p in pulls:
+            if p.pull not in mine:
+                run += 1
+                run_pull(s, batch.where(F.col("pull") == p.pull), p.t, batch_id, p.pull, run)
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())

@@ -120,8 +120,8 @@ def test_written_store_uses_layouts_and_reads_back(spark):
     import tempfile
     store1, _, _, _ = _run_twice(spark)
     path = tempfile.mkdtemp(prefix="store-") + "/v1"
-    I.write_version(spark, store1, None, path)
-    back = I.read_store(spark, path)
+    I.write_store(store1, path)
+    back = I.read_tables(spark, path)
     assert glob.glob(f"{path}/jobs/work_type=*")
     assert back.jobs.count() == store1.jobs.count() and back.offices.count() == store1.offices.count()
     assert {r.title: r.work_type for r in back.jobs.collect()} == \

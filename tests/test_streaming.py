@@ -99,28 +99,30 @@ def test_ingest_stream_matches_batch_run_and_replays_cleanly(spark):
     ck = tempfile.mkdtemp(prefix="ck-")
 
     INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, queries, ck)
-    v1 = INC.latest_version(spark, root)
-    m1 = spark.read.parquet(f"{v1}/_metrics").first()
+    def metrics(run):
+        return I.finished_runs(spark, root).where(F.col("run") == run).first()
+
+    m1 = metrics(1)
     assert (m1.fetched, m1.after_dedup, m1.inserted, m1.skipped, m1.geocode_fail, m1.errors) == (5, 3, 2, 0, 1, 1)
-    assert {r.title for r in I.read_store(spark, v1).jobs.collect()} == {"Engineer", "Analyst"}
+    assert {r.title for r in I.read_store(spark, root).jobs.collect()} == {"Engineer", "Analyst"}
+    assert [r.location_key for r in spark.read.parquet(f"{root}/unresolved/run=1").collect()] == ["remote"]
 
     _land(f"{land}/source=jooble/query_ord=0", "c.json", {"jobs": [
         {"id": 12, "company": "Initech", "title": "Analyst", "location": "Paris, France"},
         {"id": 13, "company": "Hooli", "title": "Dev", "location": "Paris, France"}]})
     INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, queries, ck)
-    v2 = INC.latest_version(spark, root)
-    m2 = spark.read.parquet(f"{v2}/_metrics").first()
+    m2 = metrics(2)
     assert (m2.fetched, m2.inserted, m2.skipped, m2.errors) == (2, 1, 1, 0)
-    assert I.read_store(spark, v2).jobs.count() == 3
+    assert I.read_store(spark, root).jobs.count() == 3 and I.read_store(spark, root, 1).jobs.count() == 2
+    assert spark.read.parquet(f"{root}/jobs/run=2").count() == 2  # the touched rows alone
 
-    # same checkpoint, nothing new: no batch, no commit
+    # same checkpoint, nothing new: no batch, no run
     INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, queries, ck)
-    assert INC.committed_versions(spark, root).count() == 2
+    assert I.last_run(spark, root) == 2
     # a lost checkpoint re-pulls everything: known postings only update, nothing is inserted
     INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, queries, tempfile.mkdtemp(prefix="ck-"))
-    v3 = INC.latest_version(spark, root)
-    assert spark.read.parquet(f"{v3}/_metrics").first().inserted == 0
-    assert I.read_store(spark, v3).jobs.count() == 3
+    assert I.last_run(spark, root) == 3 and metrics(3).inserted == 0
+    assert I.read_store(spark, root).jobs.count() == 3
 
 
 def _land_pull(root, n, pages):
@@ -148,7 +150,7 @@ def test_a_backlog_of_pulls_equals_pulls_of_their_own(spark):
             if not together:
                 INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, queries, ck)
         INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, queries, ck)
-        store = I.read_store(spark, INC.latest_version(spark, root))
+        store = I.read_store(spark, root)
         names = store.companies.select(F.col("id").alias("company_id"), "name")
         places = store.offices.join(names, "company_id").select(F.col("id").alias("office_id"), "name")
         return {(r.name, r.source_url, r.salary_min) for r in store.jobs.join(places, "office_id").collect()}
@@ -159,30 +161,77 @@ def test_a_backlog_of_pulls_equals_pulls_of_their_own(spark):
     assert alone == {(f"C{i}", f"u{min(i // 6, 2)}", 3_000_000_000 + min(i // 6, 2)) for i in range(19)}
 
 
-def test_an_unreadable_commit_table_stops_the_run(spark):
+def test_a_replayed_batch_and_a_run_that_stopped_half_way(spark):
+    """A batch whose runs are all there adds nothing; a run without its last row is written anew."""
+    import shutil
+    from jobatlas.plans import ingest as I
+    land, root, ck = tempfile.mkdtemp(prefix="land-"), tempfile.mkdtemp(prefix="store-") + "/store", tempfile.mkdtemp(prefix="ck-")
+    gaz = spark.createDataFrame([("berlin|germany", 52.5, 13.4, 0)], "location_key string, lat double, lng double, rank int")
+    queries = FD.queries_frame(spark, [""], 7)
+    for n in (1, 2):
+        _land_pull(land, n, [{"id": str(i), "company": f"C{i}", "position": "Dev", "location": "Berlin, Germany"} for i in range(n, n + 2)])
+
+    def go():
+        INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, queries, ck)
+        store = I.read_store(spark, root)
+        return sorted(r.name for r in store.companies.collect()), store.jobs.count(), sorted(
+            (r.run, r.pull, r.inserted) for r in I.finished_runs(spark, root).collect())
+
+    want = (["C1", "C2", "C3"], 3, [(1, 1, 2), (2, 2, 1)])
+    assert go() == want
+    # The stream forgets that it ended its batch, so the batch is given out again.
+    for f in os.listdir(f"{ck}/commits"):
+        os.remove(f"{ck}/commits/{f}")
+    assert go() == want
+    # The second pull's run stopped before its last row, with other rows left behind in one of its tables.
+    for f in os.listdir(f"{ck}/commits"):
+        os.remove(f"{ck}/commits/{f}")
+    shutil.rmtree(f"{root}/runs/run=2")
+    spark.read.parquet(f"{root}/companies/run=1").write.mode("overwrite").parquet(f"{root}/companies/run=2")
+    assert sorted(r.name for r in I.read_store(spark, root).companies.collect()) == ["C1", "C2"]
+    assert go() == want
+
+
+def test_an_unreadable_run_folder_stops_the_run(spark):
     import pytest
     land, root = tempfile.mkdtemp(prefix="land-"), tempfile.mkdtemp(prefix="store-") + "/store"
     _land_pull(land, 0, [{"id": "1", "company": "A", "position": "B", "location": "Berlin, Germany"}])
-    os.makedirs(f"{root}/{INC.COMMITS}")
-    with open(f"{root}/{INC.COMMITS}/part-0.parquet", "w") as fh:
+    os.makedirs(f"{root}/runs/run=1")
+    with open(f"{root}/runs/run=1/part-0.parquet", "w") as fh:
         fh.write("not a parquet file")
     gaz = spark.createDataFrame([("berlin|germany", 52.5, 13.4, 0)], "location_key string, lat double, lng double, rank int")
     with pytest.raises(Exception):
         INC.ingest_stream(INC.landed_stream(spark, land), root, gaz, FD.queries_frame(spark, [""], 7), tempfile.mkdtemp(prefix="ck-"))
-    assert os.listdir(f"{root}/{INC.COMMITS}") == ["part-0.parquet"]
+    assert os.listdir(root) == ["runs"] and os.listdir(f"{root}/runs") == ["run=1"]
 
 
-def test_versions_hold_only_touched_rows_until_they_are_compacted(spark):
+def test_runs_hold_only_touched_rows(spark):
     from jobatlas.plans import ingest as I
-    from jobatlas.schemas import COMPANIES_DDL, GEOCODE_CACHE_DDL, JOBS_DDL, OFFICES_DDL
-    root, prev = tempfile.mkdtemp(prefix="store-"), None
-
-    def store(cache):
+    from jobatlas.schemas import COMPANIES_DDL, JOBS_DDL, OFFICES_DDL
+    root = tempfile.mkdtemp(prefix="store-")
+    metrics = spark.createDataFrame([(0,) * len(I.METRICS)], ", ".join(f"{c} long" for c in I.METRICS))
+    assert I.last_run(spark, root) == 0 and I.read_store(spark, root).cache.collect() == []
+    for n in range(1, 5):
         none = [spark.createDataFrame([], d) for d in (COMPANIES_DDL, OFFICES_DDL, JOBS_DDL)]
-        return I.Store(*none, spark.createDataFrame([(k, float(v), 0.0, None) for k, v in cache], GEOCODE_CACHE_DDL))
-    for n in range(6):
-        I.write_version(spark, store([("k", n), (f"k{n}", n)]), prev, f"{root}/v{n}", compact_after=3)
-        prev = f"{root}/v{n}"
-        got = {r.location_key: r.latitude for r in I.read_store(spark, prev).cache.collect()}
-        assert got == {"k": n, **{f"k{i}": i for i in range(n + 1)}}
-        assert spark.read.parquet(f"{prev}/geocode_cache").count() == (6 if n == 4 else 2)
+        cache = spark.createDataFrame([(k, float(n), 0.0, None) for k in ("k", f"k{n}")], I.GEOCODE_CACHE_DDL)
+        I.write_run(I.Store(*none, cache), metrics, root, n)
+        for back in range(1, n + 1):
+            got = {r.location_key: r.latitude for r in I.read_store(spark, root, back).cache.collect()}
+            assert got == {"k": back, **{f"k{i}": i for i in range(1, back + 1)}}
+        assert spark.read.parquet(f"{root}/cache/run={n}").count() == 2
+    # A filter on the key reaches the scan below the fold.
+    plan = I.read_store(spark, root).cache.where("location_key = 'k2'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(location_key,k2)" in plan
+
+
+def test_a_run_counts_while_it_writes(spark):
+    """No Spark job scans a stage table for the metrics: two runs took 167 with such scans."""
+    from jobatlas.plans.registry import QUERIES
+    import jobatlas.plans.q_ingest  # noqa: F401 - registers the query
+    sc = spark.sparkContext
+    sc.setJobGroup("run-metrics", "")
+    try:
+        assert len(QUERIES["run_metrics"](spark, "/root/testdata/sf0.001").collect()) == 2
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("run-metrics")) <= 150
