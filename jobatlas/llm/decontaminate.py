@@ -1,6 +1,7 @@
 """Operator 3: benchmark decontamination by greedy string tiling.
 
-Words are runs of letters, digits and underscores, lower-cased.  A seed is the hash of ``MIN_MATCH`` words in
+Words are runs of letters, digits and underscores, lower-cased; scripts that are written without spaces
+(``UNSPACED``) count by the character.  A seed is the hash of ``MIN_MATCH`` words in
 a row.  Documents and benchmark items are joined on shared seeds, the item's rarest ones first; pairs whose
 shared seeds touch too few words of the item cannot reach the threshold and go.  Each remaining pair is tiled:
 the longest match that overlaps no marked word, found by running the seed hashes side by
@@ -13,8 +14,10 @@ and no text is shuffled.  Document seeds that no item has are dropped at the sca
 benchmark's distinct seeds are at most ``LOCAL_SEEDS`` (16 bytes each, counted first); beyond that
 the seed join does it.
 
-Defined cases: null text has no words; items of fewer than ``MIN_MATCH`` words are too common to be
-evidence and match nothing; rows that repeat a document id count as parts of one document,
+An item of fewer than ``MIN_MATCH`` words is one seed, its whole sequence, and is leaked wherever that occurs: a
+benchmark with very short items flags every text that quotes one.
+
+Defined cases: null text has no words; items without a word match nothing; rows that repeat a document id count as parts of one document,
 and rows that repeat an item id as items of their own (the best covered one is reported); a null id is an id; empty
 tables give an empty result; extra columns are ignored.
 """
@@ -38,13 +41,31 @@ MIN_MATCH = 5
 COVERAGE = 0.8
 LOCAL_SEEDS = 1_000_000
 
-_WORD = re.compile(r"\w+")
+# Kana, Han, Thai, Lao, Tibetan, Myanmar, Khmer.
+UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff"
+
+_WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+
+
+def words(text: str | None) -> list[bytes]:
+    return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall((text or "").lower())]
+
+
+def grams(found: list[bytes], k: int) -> list[int]:
+    """The hash of every k words in a row."""
+    return [xxhash.xxh64_intdigest(b" ".join(x)) - (1 << 63) for x in zip(*(found[i:] for i in range(k)))]
 
 
 def seeds(text: str | None, k: int = MIN_MATCH) -> tuple[int, list[int]]:
     """Number of words and the seed at each place."""
-    words = [w.encode("utf-8", "surrogatepass") for w in _WORD.findall((text or "").lower())]
-    return len(words), [xxhash.xxh64_intdigest(b" ".join(x)) - (1 << 63) for x in zip(*(words[i:] for i in range(k)))]
+    found = words(text)
+    return len(found), grams(found, k)
+
+
+def item_seeds_of(text: str | None, k: int = MIN_MATCH) -> tuple[int, list[int]]:
+    """Number of words and seeds of an item; a short one is a single seed."""
+    found = words(text)
+    return len(found), grams(found, min(k, len(found))) if found else []
 
 
 def tiles(doc: dict[int, int], item: list[int], k: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -103,17 +124,51 @@ def _doc_seeds(kept: np.ndarray | None, k: int):
     return run
 
 
+def _short_leaks(docs: DataFrame, short: DataFrame, k: int, local_seeds: int) -> DataFrame:
+    """Leaks of items of fewer than ``k`` words: the documents that hold their whole sequence."""
+    sizes = sorted(r["n"] for r in short.select("n").distinct().collect())  # less than k numbers
+    seeds_ = short.select(F.col("seeds")[0].alias("seed")).distinct()
+    kept = None
+    if seeds_.count() <= local_seeds:
+        kept = {r["seed"] for r in seeds_.collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, places, found = [], [], []
+            for r, t in enumerate(b.column(1).to_pylist()):
+                own = words(t)
+                for size in sizes:
+                    first = {}  # the first place of each sequence
+                    for p, s in enumerate(grams(own, size)):
+                        if kept is None or s in kept:
+                            first.setdefault(s, p)
+                    rows += [r] * len(first)
+                    places += first.values()
+                    found += first
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(places, pa.int64()),
+                                              pa.array(found, pa.int64())], names=["doc", "part", "p", "seed"])
+
+    hits = spread(docs).select("doc", "t", F.hash("t").alias("part")).mapInArrow(run, "doc long, part int, p long, seed long")
+    first = hits.groupBy("doc", "seed").agg(F.min(F.struct("part", "p")).alias("at"))
+    met = first.join(short.select("item_id", "n", F.col("seeds")[0].alias("seed")), "seed")
+    tile = F.struct(F.col("at.part").alias("part"), F.col("at.p").alias("doc_start"), F.lit(0).alias("item_start"), F.col("n").alias("length"))
+    return met.select(F.col("doc").alias("doc_id"), "item_id", F.col("n").alias("n_words"), F.col("n").alias("n_covered"),
+                      F.lit(1.0).alias("coverage"), F.array(tile).alias("tiles"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, coverage: float = COVERAGE,
           local_seeds: int = LOCAL_SEEDS) -> DataFrame:
     """``(doc_id, item_id, n_words, n_covered, coverage, tiles)`` of every leaked item."""
     @F.pandas_udf("n int, seeds array<long>")
     def of_item(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([seeds(t, k) for t in texts], columns=["n", "seeds"])
+        return pd.DataFrame([item_seeds_of(t, k) for t in texts], columns=["n", "seeds"])
 
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("t")).distinct()
     items = items.withColumn("s", of_item("t")).select(
         "item_id", F.xxhash64("item_id", "t").alias("item"), "s.n", "s.seeds").where("size(seeds) > 0")
     items = cut_lineage(items, "tiling-items")
+    short, items = items.where(F.col("n") < k), items.where(F.col("n") >= k)
     item_seeds = items.select("item", "n", F.posexplode("seeds").alias("q", "seed"))
 
     distinct = item_seeds.select("seed").distinct()
@@ -169,6 +224,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, coverage: f
     tiled = tiled.where(F.col("n_covered") >= F.ceil(F.col("n") * coverage - 1e-9)).select(
         F.col("doc").alias("doc_id"), "item_id", F.col("n").alias("n_words"), "n_covered",
         (F.col("n_covered") / F.col("n")).alias("coverage"), "tiles")
+    if not short.isEmpty():
+        tiled = tiled.unionByName(_short_leaks(src, short, k, local_seeds))
     best = F.max_by(F.struct("n_words", "n_covered", "coverage", "tiles"), F.struct("coverage", "n_words", "n_covered"))
     return tiled.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 

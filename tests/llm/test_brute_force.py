@@ -135,6 +135,20 @@ def test_reordered_leaks_are_found_and_others_left(spark, local_seeds):
     assert {(r.doc_id, r.item_id, r.n_covered) for r in found} == want and len(want) >= 20
 
 
+@pytest.mark.parametrize("local_seeds", [decontaminate.LOCAL_SEEDS, 0])
+def test_short_and_unspaced_items(spark, local_seeds):
+    docs = spark.createDataFrame([
+        (1, "So: Two plus, two? is four"), (2, "two and plus two"), (3, "他说，猫坐在垫子上。狗在睡觉。然后"), (4, "猫在"), (5, None),
+        (6, "plus two plus two plus two"), (7, "答案是四")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "two plus two ?"), (2, "猫坐在垫子上。狗在睡觉。"), (3, ""), (4, None), (5, "答案是"), (6, "?!")],
+                                  "item_id long, text string")
+    found = decontaminate.leaks(docs, bench, local_seeds=local_seeds).collect()
+    assert {(r.doc_id, r.item_id, r.n_words, r.n_covered, r.coverage) for r in found} == {
+        (1, 1, 3, 3, 1.0), (6, 1, 3, 3, 1.0), (3, 2, 10, 10, 1.0), (7, 5, 3, 3, 1.0)}
+    assert len(found) == 4 and {r.tiles[0].doc_start for r in found if r.doc_id == 6} == {1}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [2, 4, 5]
+
+
 def test_benchmark_leaks_of_the_documents(spark, corpus):
     bench = spark.read.parquet(f"{SMOKE}/benchmark.parquet").collect()
     whole = {(d, b.item_id) for d, r in corpus.items() for b in bench
