@@ -14,6 +14,7 @@ count collapses it on the map side.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -25,6 +26,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import in_viewport, in_viewport_geodesic
 from ..functions.text import null_to_blank, parse_csv_list
+from ..session import staged
 
 DEFAULT_PIN_LIMIT = 2000
 
@@ -122,7 +124,8 @@ class PinFilter:
                         salary_min=as_int("salary_min"), salary_max=as_int("salary_max"),
                         limit=as_int("limit") or 0)
         box = parse_csv_list(s("bbox"))
-        if len(box) == 4 and all(FLOAT.fullmatch(x) for x in box):
+        # A number that overflows a double is no number: the whole box is ignored.
+        if len(box) == 4 and all(FLOAT.fullmatch(x) and math.isfinite(float(x)) for x in box):
             mn_lng, mn_lat, mx_lng, mx_lat = (float(x) for x in box)
             kw.update(min_lng=mn_lng, min_lat=mn_lat, max_lng=mx_lng, max_lat=mx_lat,
                       has_viewport=True, edges="geodesic")
@@ -204,6 +207,21 @@ def order_detail(detail: DataFrame, ties: tuple[str, ...] = ("id",)) -> DataFram
 
 
 def rank_detail(detail: DataFrame, ties: tuple[str, ...] = ("id",)) -> DataFrame:
-    """L5 as a column: the place of each job in its office's list, from 1."""
-    w = Window.partitionBy("office_id").orderBy(*_newest_first(ties))
-    return detail.withColumn("place", F.row_number().over(w))
+    """L5 as a column: the place of each job in its office's list, from 1.
+
+    A window over the office would put a hot office's jobs into one task.  Instead the rows are
+    range-partitioned by office and list order and written; a row's place is its place among its office's
+    rows of the same range, plus the office's rows in the ranges before.  Those counts are one row per
+    office and range that meet.  ``ties`` must end in the job's key, or equal rows stay in one range.
+    """
+    order = [F.col("office_id"), *_newest_first(ties)]
+    ranged = detail.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = staged(ranged, "detail-ranges")
+    counts = ranged.groupBy("office_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("office_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("office_id").alias("_office"), F.col("_range").alias("_at"),
+                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("office_id", "_range").orderBy(*_newest_first(ties))
+    placed = ranged.withColumn("_inside", F.row_number().over(inside)).join(
+        before, F.expr("office_id <=> _office AND _range = _at"))
+    return placed.select(*detail.columns, (F.col("_before") + F.col("_inside")).cast("int").alias("place"))

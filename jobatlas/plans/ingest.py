@@ -59,14 +59,14 @@ def fetch(payloads: dict[str, DataFrame], queries: DataFrame,
     frames, errors = {}, []
     # each query's own cap, the run's default where it has none (0)
     caps = FD.query_caps(queries, per_page)
-    bound, small = FD.largest_cap(caps), FD.small_query_list(queries)
+    bound, asked = FD.largest_cap(caps), FD.search(caps)
     n_queries = queries.count()
     for s in FD.SOURCE_ORDER:
         if s not in payloads:
             continue
         raw = FD.ADAPTERS[s](payloads[s])
         if s in FD.CLIENT_FILTERED:
-            raw = FD.cap_per_query(FD.apply_queries(raw, caps, small), max_per_page=bound)
+            raw = FD.cap_per_query(FD.apply_queries(raw, asked), max_per_page=bound)
         elif s == "jooble":
             raw = FD.cap_per_query(FD.with_query_caps(raw, caps, per_page), max_per_page=bound)
         frames[s] = raw

@@ -16,7 +16,9 @@ row until the explode (a feed bounds its payloads, at most 100 items a request).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +27,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..schemas import RAW_JOB_COLUMNS
+from ..session import staged
 
 # Fixed values ---------------------------------------------------------------
 # Source order of one ingestion run.
@@ -324,24 +327,70 @@ def small_query_list(queries: DataFrame, max_bytes: int = BROADCAST_QUERY_BYTES)
     return (size or 0) <= max_bytes
 
 
-def apply_queries(raw: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
-    """A client-side-filtered feed is searched once per query.
+GRAM = 3
 
-    ``queries`` is the run's search list -- one entry per feed request, so a handful of
-    rows.  Below a measured size it is broadcast and the keyword predicate is a nested-loop
-    condition evaluated where the feed rows already are: the feed is scanned once, its text is
-    lower-cased once per row, and nothing is shuffled.  A longer list is left to the planner.
-    """
+
+@dataclass(frozen=True)
+class Search:
+    """A search list ready to be joined: (_q, _kw, _per_page, _gram), the pieces' lengths, and whether it is small."""
+
+    queries: DataFrame
+    lengths: tuple[int, ...]
+    small: bool
+
+
+def search(queries: DataFrame, small: bool | None = None) -> Search:
+    """The search list with ``_gram``, a piece of the keyword that every text it is found in must hold: the keyword itself
+    up to ``GRAM`` characters (blank ones included), else that of its pieces of three which the fewest keywords have.
+    A small list (measured) is worked out in the driver, a longer one is written as a table."""
     small = small_query_list(queries) if small is None else small
     q = queries.select(F.col("query_ord").alias("_q"), X.fold_lower(X.null_to_blank("keywords")).alias("_kw"),
                        F.col("per_page").alias("_per_page"))
+    if small:
+        rows = q.collect()
+        times = Counter(kw[i:i + GRAM] for kw in {r["_kw"] for r in rows} for i in range(len(kw) - GRAM + 1))
+
+        def gram(kw: str) -> str:
+            return kw if len(kw) <= GRAM else min((kw[i:i + GRAM] for i in range(len(kw) - GRAM + 1)), key=lambda g: (times[g], g))
+
+        table = q.sparkSession.createDataFrame([(*r, gram(r["_kw"])) for r in rows], q.schema.add("_gram", "string"))
+        return Search(table, tuple(sorted({min(len(r["_kw"]), GRAM) for r in rows})), True)
+    pieces = q.select("_kw").distinct().select("_kw", F.explode(_grams(F.col("_kw"), GRAM)).alias("_gram"))
+    times = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = pieces.join(times, "_gram").groupBy("_kw").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_rarest"))
+    table = staged(q.join(rarest, "_kw", "left").select(
+        "_q", "_kw", "_per_page", F.when(F.length("_kw") <= GRAM, F.col("_kw")).otherwise(F.col("_rarest")).alias("_gram")), "search")
+    lengths = table.select(F.least(F.length("_kw"), F.lit(GRAM))).distinct().collect()  # 0 to GRAM
+    return Search(table, tuple(sorted(r[0] for r in lengths)), False)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct pieces of ``n`` characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def apply_queries(raw: DataFrame, queries: DataFrame | Search) -> DataFrame:
+    """A client-side-filtered feed is searched once per query.
+
+    A keyword is contained in a text only if its pieces are.  So each row is cut into its distinct pieces
+    of three characters (and of two, one and none, if there are keywords that short), which meet the
+    keywords' rarest pieces in an equi-join; what is found is verified by ``contains`` on each field.
+    A row meets a keyword by one piece only, so no pair comes twice.  The search list is broadcast below a
+    measured size, so the feed is scanned once and not shuffled; beyond it the join shuffles.
+    """
+    asked = queries if isinstance(queries, Search) else search(queries)
     low = raw.withColumns({
         "_title": X.fold_lower(X.null_to_blank("title")), "_desc": X.fold_lower(X.null_to_blank("description")),
         "_tags": F.transform(F.coalesce("skills_raw", F.array().cast("array<string>")), X.fold_lower)})
+    # NULs keep pieces from reaching over two fields; those that do are refused below.
+    whole = F.concat_ws("\0", "_title", "_desc", F.array_join("_tags", "\0", ""))
+    low = low.withColumn("_text", whole)
+    pieces = [F.array(F.lit("")) if n == 0 else _grams(F.col("_text"), n) for n in asked.lengths] or [F.array().cast("array<string>")]
+    cut = low.withColumn("_gram", F.explode(F.concat(*pieces))).drop("_text")
     met = ((F.col("_kw") == "") | F.contains("_title", "_kw") | F.contains("_desc", "_kw")
            | F.exists("_tags", lambda t: F.contains(t, F.col("_kw"))))
-    j = low.join(F.broadcast(q) if small else q, met)
-    return j.withColumn("query_ord", F.col("_q")).drop("_q", "_kw", "_title", "_desc", "_tags")
+    j = cut.join(F.broadcast(asked.queries) if asked.small else asked.queries, "_gram").where(met)
+    return j.withColumn("query_ord", F.col("_q")).drop("_q", "_kw", "_gram", "_title", "_desc", "_tags")
 
 
 def query_caps(queries: DataFrame, default: int = DEFAULT_PER_QUERY) -> DataFrame:
