@@ -35,6 +35,8 @@ from jobatlas.session import cut_lineage, shared_path
 GAP = 64 << 10
 #: ... of at most about this many bytes.
 READ_BYTES = 16 << 20
+#: Bytes of records that one task reads.
+TASK_BYTES = 64 << 20
 DATE = "2020-01-01T00:00:00Z"
 
 INDEX_DDL = ("archive string, offset long, length long, url string, digest string, record_type string, "
@@ -149,11 +151,17 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_typ
                      ("refers_to", pa.int64()), ("digest", pa.string()), ("payload", pa.binary())])
 
 
-def read_records(index: DataFrame, gap: int = GAP, read_bytes: int = READ_BYTES) -> DataFrame:
+def reading_tasks(index: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks that read the records of the index rows, by the bytes of the records and not of the rows."""
+    return max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+
+
+def read_records(index: DataFrame, gap: int = GAP, read_bytes: int = READ_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """The records of the index rows: ``(page_id, url, record_type, refers_to, digest, payload)``.
-    Index rows are dealt by stripes of an archive, so a long archive is read by many tasks."""
+    Index rows are dealt by stripes of an archive, so a long archive is read by many tasks; how
+    many follows from the records' bytes (``index`` is read twice: give a written table)."""
     dealt = index.select("archive", "offset", "length", (F.col("offset") / read_bytes).cast("long").alias("stripe"))
-    dealt = dealt.repartition("archive", "stripe").sortWithinPartitions("archive", "offset")
+    dealt = dealt.repartition(reading_tasks(index, task_bytes), "archive", "stripe").sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fetch(archive: str, ranges: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -68,6 +68,12 @@ def test_warc_round_trip(spark):
     assert any(r.record_type == "revisit" for r in small)
 
 
+def test_warc_reading_tasks_follow_the_records_bytes(spark):
+    index = spark.createDataFrame([("a", 0, 100), ("a", 100, 60), ("b", 0, 41)], "archive string, offset long, length long")
+    assert [warc.reading_tasks(index, b) for b in (10_000, 201, 200, 67, 66)] == [1, 1, 2, 3, 4]
+    assert warc.reading_tasks(index.limit(0)) == 1
+
+
 def test_warc_selected_records_by_joined_ranges(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"u{i}", "é" * i) for i in range(200)], "page_id long, url string, html string").coalesce(2)
     path = warc.write_archives(pages, str(tmp_path / "w"))
