@@ -8,7 +8,10 @@ at least ``MIN_PAGES`` pages is below ``KEEP_FROM`` is noise on that host and is
 
 Elements that say what they are (menus, footers, adverts, forms, comments ... by element, role or a
 whole class or id) go without being put to the tree; but a form or a name on an element that holds
-``main``, or most of the page's text with no ``article`` or ``main`` beside it, is a wrapper's and goes unheeded.  All other text is, inside ``article`` and
+``main``, or most of the page's text with no ``article`` or ``main`` beside it, is a wrapper's and goes unheeded.
+A name that stands in a part of a class or id only (``related-posts``, ``site-footer``, ``commentsArea``) is weaker evidence: it counts on
+block elements, not beside a word that turns it round (``no-sidebar``, ``comments-open``), for everyday words only among
+words of layout (``share-buttons``, but not ``share-price``), and not on what holds the page's article.  All other text is put to the tree, inside ``article`` and
 ``main`` and beside them; there a branch is noise only below ``OWN_KEEP_FROM``.  Pages of a host with
 the same main texts count as one page, so that an article which is published many times is not
 taken for a template.  A page's text is what the tree leaves, or all unnamed branches if it would
@@ -25,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -64,8 +68,36 @@ _NOISE_WORD = frozenset(
     "cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination "
     "popup promo promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe toolbar widget widgets".split())
+#: Words that name a page part within a longer name too ...
+_HINT = frozenset(
+    "ad ads adsense advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus "
+    "footer gdpr masthead menu modal nav navbar navigation newsletter pager pagination popup sidebar signup sponsor sponsored "
+    "subscribe toolbar".split())
+#: ... and those that do if all words beside them are of layout, or such words themselves.
+_WEAK_HINT = frozenset(
+    "alert banner consent copyright header login notice promo promotion recommended related replies respond share sharing skip social "
+    "widget widgets".split())
+_LAYOUT = frozenset(
+    "area articles bar block blocks bottom box buttons cards container content global group icons inner items left links list news "
+    "panel posts reading right section site stories strip top wrap wrapper".split())
+_TURNED = frozenset("no non not without with has have hide hidden off on open opened closed enabled disabled none".split())
 _OWN = frozenset(("article", "main"))
 _DIGITS = re.compile(r"\d+")
+_NAME_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+
+
+@lru_cache(maxsize=1 << 14)
+def _names(value: str) -> tuple[bool, bool, bool, bool]:
+    """Of a class or id: whether a whole word of it names a page part, and whether a part of a word hints at one; then both
+    but for the word ``header``, which is an article's own inside it."""
+    whole = set(value.lower().split()) & _NOISE_WORD
+    hints = set()
+    for name in value.split():
+        parts = {p.lower() for p in _NAME_PART.findall(name)}
+        if len(parts) > 1 and not parts & _TURNED:
+            weak = parts & _WEAK_HINT
+            hints |= parts & _HINT | (weak if parts <= _WEAK_HINT | _HINT | _LAYOUT else set())
+    return bool(whole), bool(hints), bool(whole - {"header"}), bool(hints - {"header"})
 
 
 class Block:
@@ -75,30 +107,41 @@ class Block:
         self.path, self.own, self.named, self.parts = path, own, named, []
 
 
-def _noisy(tag: str, attrs: str, inside_own: bool) -> tuple[bool, bool]:
-    """Whether an element is noise whatever it holds, and whether it is unless it is a wrapper."""
+def _noisy(tag: str, attrs: str, inside_own: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is noise whatever it holds, whether it is unless it is a wrapper, and whether a part of a name hints at it."""
     if tag in _NOISE_TAG or (tag == "header" and not inside_own):
-        return True, False
-    named = tag == "form"
+        return True, False, False
+    named, hinted = tag == "form", False
     if len(attrs) < 4 or tag in ("html", "body", "main"):
-        return False, named
+        return False, named, False
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = set(value.split()) & _NOISE_WORD
-            named = named or bool(words - ({"header"} if inside_own else set()))
-        elif (name == "role" and value in _NOISE_ROLE or name == "hidden" or name == "aria-hidden" and value == "true"
-              or name == "style" and "display:none" in value.replace(" ", "")):
-            return True, False
-        elif name == "role" and value == "form":
+            is_named, is_hinted = _names(value)[2:] if inside_own else _names(value)[:2]
+            named, hinted = named or is_named, hinted or is_hinted and tag in _BLOCK
+            continue
+        value = value.lower()
+        if (name == "role" and value in _NOISE_ROLE or name == "hidden" or name == "aria-hidden" and value == "true"
+                or name == "style" and "display:none" in value.replace(" ", "")):
+            return True, False, False
+        if name == "role" and value == "form":
             named = True
-    return False, named
+    return False, named, hinted
 
 
-def _wrappers(found: list[tuple[Block, str]], mains: set[int]) -> set[int]:
-    """Named elements, outer ones first, that hold ``main``, or most of the text with no article beside them."""
+def _wrappers(found: list[tuple[Block, str]], mains: set[int], hints: set[int]) -> set[int]:
+    """Named elements, outer ones first, that hold ``main``, or most of the text with no article beside them; and
+    of ``hints`` those around most of the articles' text, if no more text stands in no named element."""
     out = set(mains)
     total = sum(len(t) for _, t in found)
+    if hints:
+        own = sum(len(t) for b, t in found if b.own)
+        held: Counter = Counter()
+        for b, t in found:
+            if b.own and hints.issuperset(b.named):  # not through comments or the like
+                held.update(dict.fromkeys(b.named, len(t)))
+        free = sum(len(t) for b, t in found if not b.named)
+        out.update(i for i, n in held.items() if 2 * n >= own and n >= free)
     size: Counter = Counter()
     for b, t in found:
         size.update(dict.fromkeys(b.named, len(t)))
@@ -119,7 +162,7 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
     out: list[Block] = []
     # Open elements: tag, style path of the blocks down to it, noise, inside article or main, named elements around it.
     stack: list[tuple[str, tuple[str, ...], bool, bool, tuple[int, ...]]] = [("", (), False, False, ())]
-    n_named, mains = 0, set()
+    n_named, mains, hints = 0, set(), set()
     current: Block | None = None
     end, at = html.rfind(">") + 1, 0
 
@@ -177,19 +220,22 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
         if tag in _BLOCK:
             path = path + (_style(tag, attrs),)
         if not noise:
-            noise, is_named = _noisy(tag, attrs, own)
+            noise, is_named, is_hinted = _noisy(tag, attrs, own)
+            is_hinted = is_hinted and not is_named and (tag != "article" or own or bool(named))
             if tag == "main":
                 mains.update(named)
             # Beyond a few levels the outer elements' names decide.
-            if is_named and len(named) < NAMED_DEEP:
+            if (is_named or is_hinted) and len(named) < NAMED_DEEP:
                 n_named += 1
+                if is_hinted and not own and tag != "article":
+                    hints.add(n_named)
                 named = named + (n_named,)
         stack.append((tag, path, noise, own or tag in _OWN, named))
     tail = html[at:]
     cut = re.search(r"<[a-zA-Z/!?]", tail)  # a tag that the page breaks off in
     text(tail[:cut.start()] if cut else tail)
     found = [(b, t) for b in out if (t := " ".join(unescape("".join(b.parts)).split()))]
-    wrappers = _wrappers(found, mains) if n_named else set()
+    wrappers = _wrappers(found, mains, hints) if n_named else set()
     return [(b.path, b.own, t) for b, t in found if wrappers.issuperset(b.named)]
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -211,11 +212,66 @@ def test_markup(html, text):
     ("<form action=x><div class=menu>m</div><p>whole body of the page</p></form>", "whole body of the page"),
     ("<div class=widget><main><p>b</p></main></div><div class=comments><p>much longer remarks</p></div>", "b"),
     ("<div class='related work'><article><p>body</p></article><div class=ad>a longer advert</div></div>", "body"),
-    ("<article><p>b</p></article><div class=comments><article>much longer remarks</article></div>", "b")])
+    ("<article><p>b</p></article><div class=comments><article>much longer remarks</article></div>", "b"),
+    ("<div class=sidebar-layout><article><p>body</p></article></div><div class=site-footer>a much, much longer imprint</div>", "body"),
+    ("<p>the body of it</p><div class=related-posts><article>a card</article></div>", "the body of it"),
+    ("<div class=page-sidebar-left><p>whole body</p><div class=menu>m</div></div>", "whole body"),
+    ("<p>more than that</p><div class='share-price has-menu'><p>price</p></div><p class=related-work>work</p>",
+     "more than that\n\nprice\n\nwork"),
+    ("<article class='post comments-list'><pre>x <span class=hl-comment>y</span></pre></article>", "x y")])
 def test_names_of_wrappers_do_not_take_the_body(html, text):
     assert sitetree.main_text(html, None) == text
 
 
+@pytest.mark.parametrize("n", [1, 12])
+def test_page_parts_of_hyphenated_names_go_on_any_host(spark, n):
+    def page(i):
+        return (i, f"http://h{n}.example/{i}", "<div class=site-header><p>Site of all</p></div><div class=cookie-notice>We set cookies</div>"
+                f"<article><h1>Story {i}</h1><p>Body of the story {i} as told</p><div class=relatedPosts><p>See also story {i + 1}</p></div></article>"
+                f"<section id=comments-area><article class=comment-body><p>user{i} says: so many more words than all of the story has, "
+                f"and {i} more</p></article></section><div class=related-posts><article><p>Card {i}</p></article></div>"
+                "<div class='l-share-buttons share-buttons'>Tell a friend</div><div class=site-footer>Imprint</div>")
+    df = spark.createDataFrame([page(i) for i in range(n)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in sitetree.extract(df).collect()} == {
+        i: f"Story {i}\n\nBody of the story {i} as told" for i in range(n)}
+
+
+def test_importance_is_the_entropy_over_a_host(spark):
+    rng = random.Random(5)
+    htmls = [f"<div class=top><p>Site</p></div><div class=text>{'<p>a %d</p>' % rng.randrange(4) * rng.randrange(1, 4)}"
+             f"{'<ul><li>x</ul>' * rng.randrange(2)}</div>" for _ in range(30)]
+    # Pages with the same texts are one page.
+    pages_ = {tuple(t for _, _, t in sitetree.blocks(h)): sitetree.blocks(h) for h in htmls}.values()
+    layouts, texts = {}, {}
+    for found in pages_:
+        seen = {}
+        for path, _, words_ in found:
+            for i in range(1, len(path) + 1):
+                kids = seen.setdefault(path[:i], ([], set()))
+                child = path[i] if i < len(path) else "#text"
+                if kids[0][-1:] != [child]:
+                    kids[0].append(child)
+                kids[1].add(words_)
+        for node, (kids, words_) in seen.items():
+            layouts.setdefault(node, []).append(tuple(kids))
+            texts.setdefault(node, []).append(words_)
+    want = {}
+    for node, kids in layouts.items():
+        n = len(kids)
+        if n < 2:
+            want[">".join(node)] = 1.0
+            continue
+        shares = [kids.count(k) / n for k in set(kids)]
+        form = -sum(p * math.log(p, n) for p in shares)
+        on = [sum(t in w for w in texts[node]) for t in set().union(*texts[node])]
+        content = 1 - sum(math.log(c, n) for c in on) / len(on)
+        share = sitetree.DECAY ** len(shares)
+        want[">".join(node)] = (1 - share) * form + share * max(0.0, content)
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    got = {r.node: r.importance for r in sitetree.importance(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_many_open_brackets_stay_quick():
     assert sitetree.main_text("<a " * 50_000 + "x", None) == ""
     sitetree.main_text('<a "' * 20_000 + ">", None)
