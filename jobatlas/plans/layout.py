@@ -2,20 +2,17 @@
 
 * location index  -> offices written clustered by latitude band then longitude, so
   Parquet row-group min/max statistics prune viewport range filters;
-* skills index    -> an exploded (skill, job key) table written sorted by skill, and a
-  semi-join that keeps jobs holding every requested skill;
+* skills index    -> none: a filter over the skill arrays reads one column (F2);
 * b-tree indexes  -> jobs partitioned by work type (3 values) and sorted by office id
   inside each file (row-group pruning for office lookups).
 
-None of these shuffles a hot key into one task: the jobs and index writes only sort
+None of these shuffles a hot key into one task: the jobs writes only sort
 within partitions, and the offices range partitioning is over (band, longitude, id),
 so even many offices at one point are spread over several range partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +35,3 @@ def write_offices_clustered(offices: DataFrame, path: str, files: int | None = N
 def write_jobs_by_work_type(jobs: DataFrame, path: str) -> None:
     (jobs.sortWithinPartitions("work_type", "office_id")
      .write.mode("overwrite").partitionBy("work_type").parquet(path))
-
-
-def skill_index(jobs: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(skill, *key) for every distinct skill of every job."""
-    return jobs.select(*key, F.explode(F.array_distinct("skills")).alias("skill"))
-
-
-def write_skill_index(index: DataFrame, path: str) -> None:
-    index.sortWithinPartitions("skill").write.mode("overwrite").parquet(path)
-
-
-def jobs_with_all_skills(jobs: DataFrame, index: DataFrame, skills: Sequence[str],
-                         key: Sequence[str]) -> DataFrame:
-    """Jobs whose skills contain every requested skill (lower-cased, trimmed), via the index."""
-    want = sorted({s.strip().lower() for s in skills})
-    if not want:
-        return jobs
-    hits = (index.where(F.col("skill").isin(want)).groupBy(*key)
-            .agg(F.countDistinct("skill").alias("_n")).where(F.col("_n") == len(want)).select(*key))
-    return jobs.join(hits, list(key), "left_semi")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,6 +139,11 @@ def q_skill_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.skill_facets(T.jobs(spark, sf_dir), 12)
 
 
+@register("skill_counts", T.with_views(_SKILL_COUNTS, "jobs"))
+def q_skill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.skill_counts(T.jobs(spark, sf_dir))
+
+
 @register("skill_suggest", T.with_views(
     f"SELECT skill, n FROM ({_SKILL_COUNTS} ORDER BY n DESC, skill LIMIT 10) t "
     "WHERE skill NOT IN ('red') AND contains(skill, 'e') ORDER BY n DESC, skill LIMIT 8", "jobs"))
@@ -162,16 +166,7 @@ def q_company_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.company_lookup(T.companies(spark, sf_dir), asked).select("id", "name", "region")
 
 
-JOB_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "office_id")
-
-
 @register("pins_skills_index", _pin_sql(PIN_FILTERS["pins_skills_all"][1]))
 def q_pins_skills_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 through the written skill index (semi-join) instead of array_contains on every job."""
-    from ..session import shared_path
-    from .layout import jobs_with_all_skills, skill_index, write_skill_index
-    jobs = T.jobs(spark, sf_dir)
-    path = shared_path(spark, "indexes", uuid.uuid4().hex)
-    write_skill_index(skill_index(jobs, JOB_KEY), path)
-    filtered = jobs_with_all_skills(jobs, spark.read.parquet(path), [" Small ", "ECONOMY"], JOB_KEY)
-    return pins(T.companies(spark, sf_dir), T.offices(spark, sf_dir), filtered)
+    """F2 for what the original's skill index answers: one filter over the jobs' skill arrays, no index."""
+    return pins(*_views(spark, sf_dir), PinFilter(skills=("ECONOMY", "small ")))

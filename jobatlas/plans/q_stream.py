@@ -48,6 +48,33 @@ def q_stream_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{d}/result")
 
 
+def _landed_parts(df: DataFrame, path: str, files: int = 6) -> str:
+    """``df`` as a folder of landed files, for streams of several micro-batches."""
+    df.repartition(files).write.parquet(path)
+    return path
+
+
+@register("stream_skill_counts", ORACLES["skill_counts"])
+def q_stream_skill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skill counts kept up to date over micro-batches of two landed files, in update mode."""
+    d = _run_dir(spark, "stream_skills")
+    jobs = T.jobs(spark, sf_dir).select("skills")
+    landed = INC.file_stream(spark, _landed_parts(jobs, f"{d}/landed"), jobs.schema, max_files_per_trigger=2)
+    INC.count_updates_stream(landed.select(F.explode("skills").alias("skill")), ["skill"], f"{d}/result", f"{d}/checkpoint")
+    return INC.latest_counts(spark, f"{d}/result", "skill string")
+
+
+@register("stream_seen_keys", f"SELECT DISTINCT dedup_hash FROM ({ORACLES['dedup_batch']})")
+def q_stream_seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 with the state store: the fingerprints that come through, over several micro-batches.  Which of a
+    batch's equal rows comes through is not defined, so only the key is returned."""
+    d = _run_dir(spark, "stream_seen")
+    parts = T.read_table(spark, sf_dir, "part").select(X.dedup_hash("p_brand", "p_name", "p_type", F.lit("")).alias("dedup_hash"))
+    landed = INC.file_stream(spark, _landed_parts(parts, f"{d}/landed"), parts.schema, max_files_per_trigger=2)
+    INC.first_seen_stream_stateful(landed, "dedup_hash", f"{d}/result", f"{d}/checkpoint")
+    return spark.read.schema(parts.schema).parquet(f"{d}/result")
+
+
 def land_pull(spark: SparkSession, sf_dir: str, folder: str, sources) -> None:
     """Write one pull of feed payload pages as landed files: one file per page under
     ``<folder>/source=<feed>/page_ord=<n>/[country=<code>/]``."""

@@ -7,7 +7,8 @@
   snapshot table, not in the streaming state store, so it is unbounded in size
   but not in memory.
 * :func:`facet_stream` -- incremental counts (T3) in ``complete`` mode, each batch
-  overwriting the result table.
+  overwriting the result table; :func:`count_updates_stream` -- the same in ``update``
+  mode: a batch writes only the groups that it changed, with state in RocksDB.
 * :func:`ingest_stream` -- the whole ingestion run (T1) per micro-batch of landed
   payload files (:func:`landed_stream`), each pull a run of an append-only store.
 
@@ -19,11 +20,13 @@ Checkpoints and outputs go under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.dedup import first_per_key
 from ..session import cut_lineage, planned_bytes, staged
@@ -91,7 +94,7 @@ def first_seen_stream_stateful(stream: DataFrame, key: str | Sequence[str], out_
     """T2 with the streaming state store instead of a snapshot table.
 
     Without ``watermark`` this is ``dropDuplicates(key)``: the same "seen before, ever"
-    rule with state that grows with the number of keys (which row of a key wins
+    rule with state (in RocksDB) that grows with the number of keys (which row of a key wins
     inside one micro-batch is not defined; :func:`first_seen_stream` keeps the first
     by sequence).  With ``watermark=(event_time_col, delay)`` it is
     ``dropDuplicatesWithinWatermark``: bounded state, but a key seen again after the
@@ -102,10 +105,11 @@ def first_seen_stream_stateful(stream: DataFrame, key: str | Sequence[str], out_
         deduped = stream.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
     else:
         deduped = stream.dropDuplicates(keys)
-    q = (deduped.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint_path).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with rocksdb_state(stream.sparkSession):
+        q = (deduped.writeStream.format("parquet").option("path", out_path)
+             .option("checkpointLocation", checkpoint_path).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def facet_stream(stream: DataFrame, group_cols: Sequence[str], result_path: str, checkpoint_path: str) -> None:
@@ -121,6 +125,49 @@ def facet_stream(stream: DataFrame, group_cols: Sequence[str], result_path: str,
     q.awaitTermination()
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB: on the executors' disks, uploaded to the
+    checkpoint location, so it is bounded neither by the heap nor lost with an executor."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def count_updates_stream(stream: DataFrame, group_cols: Sequence[str], result_path: str, checkpoint_path: str) -> None:
+    """T3 in update mode: every batch writes the groups whose count it changed, with their new count, to
+    ``batch=<id>`` of the result.  A replayed batch overwrites its own folder.  Read the
+    result with :func:`latest_counts`."""
+    counts = stream.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{result_path}/batch={batch_id}")
+
+    with rocksdb_state(stream.sparkSession):
+        q = (counts.writeStream.outputMode("update").foreachBatch(per_batch)
+             .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+
+def latest_counts(spark: SparkSession, result_path: str, group_schema: str) -> DataFrame:
+    """The newest count of every group written by :func:`count_updates_stream`; ``group_schema`` is the DDL of its
+    group columns.  Counts only grow, but the newest batch decides: a partial aggregate per group."""
+    schema = T.StructType.fromDDL(group_schema)
+    keys = schema.names
+    full = T.StructType([*schema, T.StructField("n", T.LongType()), T.StructField("batch", T.LongType())])
+    written = _read_or_none(spark, result_path, full)
+    if written is None:  # no batch yet
+        written = spark.createDataFrame([], full)
+    return written.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+
+
 def file_stream(spark: SparkSession, folder: str, schema, name_glob: str | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     """T1 source: landed parquet files in ``folder`` (optionally only names matching

@@ -60,6 +60,31 @@ def test_facet_stream_complete_mode(spark):
     assert got == {"remote": 2, "onsite": 1}
 
 
+def test_count_updates_over_several_batches_and_a_replay(spark):
+    land, out = tempfile.mkdtemp(prefix="land-"), tempfile.mkdtemp(prefix="out-")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def add(*skills):
+        spark.createDataFrame([(k,) for k in skills], "skill string").coalesce(1).write.mode("append").parquet(land)
+
+    def run(checkpoint, result):
+        stream = INC.file_stream(spark, land, "skill string", max_files_per_trigger=1)
+        INC.count_updates_stream(stream, ["skill"], result, checkpoint)
+        return {r.skill: r.n for r in INC.latest_counts(spark, result, "skill string").collect()}
+
+    assert INC.latest_counts(spark, f"{out}/none", "skill string").count() == 0
+    add("a", "b", "a", None)
+    assert run(f"{out}/ck", f"{out}/r") == {"a": 2, "b": 1, None: 1}
+    add("b", "c")
+    add("b")
+    assert run(f"{out}/ck", f"{out}/r") == {"a": 2, "b": 3, "c": 1, None: 1}
+    third = spark.read.parquet(f"{out}/r").where("batch = 2").collect()
+    assert len(third) == 1  # only what the batch changed
+    # the same batches once more, over the folders they have written
+    assert run(f"{out}/ck2", f"{out}/r") == {"a": 2, "b": 3, "c": 1, None: 1}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
 def test_stateful_dedup_stream(spark):
     land = tempfile.mkdtemp(prefix="land-")
     out = tempfile.mkdtemp(prefix="out-")
