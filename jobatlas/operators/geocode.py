@@ -83,7 +83,8 @@ def resolve(keys: DataFrame, cache: DataFrame, gazetteer: DataFrame, key: str =
     ``cache`` columns: (location_key, latitude, longitude).  The cache and the gazetteer
     keep growing while a run's keys are few: both are cut down to this run's keys while
     they are scanned (the planner broadcasts the keys if they are small), so that the first
-    result is chosen among rows that are asked for.
+    result is chosen among rows that are asked for.  ``keys`` is read in every branch: give a
+    written table (``session.staged``) where it comes from a scan of records.
     """
     asked = keys.select(key)
     c = cache.join(asked, key, "left_semi").select(key, F.struct("latitude", "longitude").alias("_c"))

@@ -182,7 +182,8 @@ def office_detail(companies: DataFrame, offices: DataFrame, jobs: DataFrame,
     Flat rows rather than a nested ``collect_list`` so no office's job list is ever
     gathered into one row.  One partial count per office gives ``job_count`` and tells the
     offices without a match, so the left-outer join becomes an inner join, which AQE can
-    split when one office is hot, and the rows with a count of 0.
+    split when one office is hot, and the rows with a count of 0.  The matching jobs and the
+    header rows are written once and read by both.
     """
     o = offices if office_ids is None else offices.where(offices.id.isin(office_ids))
     head = o.join(companies, o.company_id == companies.id).select(*_head_columns(o, companies))
@@ -190,10 +191,12 @@ def office_detail(companies: DataFrame, offices: DataFrame, jobs: DataFrame,
     j = _where(jobs, _and_all(flt.job_predicates(jobs)))
     if office_ids is not None:
         j = j.where(j.office_id.isin(office_ids))
+    read = [null_to_blank(c).alias(c) if c in JOB_BLANK_COLUMNS else F.col(c) for c in job_columns]
+    j = staged(j.select("office_id", *read), "detail-jobs")
     counts = j.groupBy("office_id").agg(F.count(F.lit(1)).alias("job_count"))
     head = head.join(counts, "office_id", "left").withColumn("job_count", F.coalesce("job_count", F.lit(0).cast("long")))
-    read = [null_to_blank(c).alias(c) if c in JOB_BLANK_COLUMNS else F.col(c) for c in job_columns]
-    matched = head.where("job_count > 0").join(j.select("office_id", *read), "office_id")
+    head = staged(head, "detail-head")
+    matched = head.where("job_count > 0").join(j, "office_id")
     return matched.unionByName(head.where("job_count = 0"), allowMissingColumns=True)
 
 

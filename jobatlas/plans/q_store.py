@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..operators import geocode as G
 from ..operators import merge as M
 from ..operators.dedup import first_per_key
+from ..session import staged
 from ..sources import tables as T
 from . import sqltext as S
 from .registry import register
@@ -64,7 +65,8 @@ coords AS (SELECT location_key, lat, lng, 'cache' AS resolved_by FROM cache
 FROM r JOIN coords c ON r.location_key = c.location_key""")
 def q_geocode_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec, cache, gaz = _geo_inputs(spark, sf_dir)
-    placed = G.placed_of(G.locate(rec, G.coords_of(G.resolve(G.unique_keys(rec), cache, gaz))))
+    keys = staged(G.unique_keys(rec), "geocode-keys")
+    placed = G.placed_of(G.locate(rec, G.coords_of(G.resolve(keys, cache, gaz))))
     return placed.select("c_custkey", "location_key", "lat", "lng", "resolved_by")
 
 
@@ -72,7 +74,8 @@ def q_geocode_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM r WHERE location_key NOT IN (SELECT location_key FROM coords) GROUP BY location_key""")
 def q_geocode_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec, cache, gaz = _geo_inputs(spark, sf_dir)
-    return G.unresolved_of(G.resolve(G.unique_keys(rec), cache, gaz)).select("location_key", "display", "n_records")
+    keys = staged(G.unique_keys(rec), "geocode-keys")
+    return G.unresolved_of(G.resolve(keys, cache, gaz)).select("location_key", "display", "n_records")
 
 
 # -- provider responses (G3) and cache merge (K4/G4) -----------------------------------
