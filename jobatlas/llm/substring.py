@@ -1,4 +1,4 @@
-"""Operator 8: exact substring dedup over prefix-partitioned suffix groups.
+"""Operator 8: exact substring dedup over prefix-partitioned suffix trees.
 
 A window is ``WINDOW`` consecutive words of one document.  A word goes if some window over
 it also starts in a document with a smaller id.  The suffixes that matter are the windows
@@ -10,11 +10,15 @@ themselves, a suffix tree cut off at depth ``WINDOW``.
    text that repeats itself one row per ``SPAN_WINDOWS``).
 2. Equal spans collapse under a partial minimum of the document id, which settles the inside
    of every copy, however many copies there are.
-3. A prefix under which different spans of different documents remain is one suffix group.
-   Groups of up to ``GROUP_SPANS`` spans fit in memory: their suffixes are sorted, and runs of
-   neighbours with ``WINDOW`` common words are the deep internal nodes; every member of a node
-   with a larger id than the node's smallest is a repeat.  A larger group is split by longer
-   prefixes, the full ``WINDOW`` words (as a 128-bit hash), and folded by a partial minimum.
+3. A prefix under which different spans of different documents remain is one group.  With up to
+   ``GROUP_SPANS`` different spans it fits in memory; the spans of a larger group are filed anew under
+   prefixes longer by ``PREFIX`` words, and so on up to the whole window, where a group is one node.
+4. Each group's suffix tree (suffix array and common prefixes, all words compared) gives the
+   internal nodes of at least ``WINDOW`` words.  A suffix takes the deepest such node that a document
+   with a smaller id has too, and of these only the maximal repeats, which do not extend to the left.
+
+Of rows with the same span and id one enters the tree, and its repeats hold for all of them, so a
+group is never larger than its number of different spans, however often a text repeats itself.
 
 Defined cases: null text has no words; a null id is larger than every id (its words go if
 any document has them, and it takes none away); rows that repeat an id are judged each on
@@ -25,6 +29,7 @@ empty table gives an empty result; columns of the input come back beside the new
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +45,13 @@ WINDOW = 50
 PREFIX = 14
 GROUP_SPANS = 2000
 SPAN_WINDOWS = 64
+#: Words of groups whose trees are built together.
+TREE_WORDS = 1 << 18
 #: Words looked at together; a longer text goes in parts that overlap by a window.
 PART = 1 << 18
 
 _B = 0x9E3779B97F4A7C15
 _BINV = pow(_B, -1, 1 << 64)
-_B2 = 0xC2B2AE3D27D4EB4F
-_B2INV = pow(_B2, -1, 1 << 64)
 _M = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,10 +69,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Runs:
     """Hashes of runs of words: ``of(starts, ends)`` in constant time each."""
 
-    def __init__(self, words: list[bytes], base: int = _B, inverse: int = _BINV, seed: int = 0):
-        w = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in words), np.uint64, len(words))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * _powers(base, max(1, len(w)))[:len(w)])])
-        self.back = _powers(inverse, len(w) + 1)
+    def __init__(self, words: list[bytes]):
+        w = np.fromiter((xxhash.xxh64_intdigest(x) for x in words), np.uint64, len(words))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * _powers(_B, max(1, len(w)))[:len(w)])])
+        self.back = _powers(_BINV, len(w) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[ends] - self.sums[starts]) * self.back[starts])
@@ -107,132 +112,190 @@ def _spans(words: list[bytes], ends: np.ndarray, window: int, prefix: int):
     return (doc[new], first, last - first + 1, filed[new].view(np.int64), runs.of(first, last + window).view(np.int64))
 
 
+_SPAN = "id long, tag int, first long, n int, key long, sig long"
+
+
+class _Filing:
+    """Parts of texts, laid end to end and filed together every ``PART`` words."""
+
+    def __init__(self, window: int, prefix: int):
+        self.window, self.prefix, self.parts, self.held = window, prefix, [], 0
+
+    def add(self, ident: int, tag: int, offset: int, words: list[bytes]) -> None:
+        if len(words) >= self.window:
+            self.parts.append((ident, tag, offset, words))
+            self.held += len(words)
+
+    def flush(self) -> list[pa.Array]:
+        words = [w for *_, part in self.parts for w in part]
+        ids, tags, offsets, sizes = (np.array(c, np.int64) for c in zip(*((i, t, o, len(p)) for i, t, o, p in self.parts)))
+        ends = np.cumsum(sizes)
+        doc, first, n, key, sig = _spans(words, ends, self.window, self.prefix)
+        self.parts, self.held = [], 0
+        return [pa.array(ids[doc]), pa.array(tags[doc].astype(np.int32)),
+                pa.array((first + (offsets - (ends - sizes))[doc]).astype(np.int64)),
+                pa.array(n.astype(np.int32)), pa.array(key), pa.array(sig)]
+
+
 def _file(window: int, prefix: int):
+    names = ["id", "tag", "first", "n", "key", "sig"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tags, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary())
-            group: list[tuple[int, int, list[bytes]]] = []  # row, offset of the part, its words
-
-            def flush():
-                words = [w for _, _, part in group for w in part]
-                sizes = np.array([len(part) for _, _, part in group])
-                ends = np.cumsum(sizes)
-                doc, first, n, key, sig = _spans(words, ends, window, prefix)
-                row = np.array([r for r, _, _ in group])[doc]
-                shift = (np.array([o for _, o, _ in group]) - (ends - sizes))[doc]
-                group.clear()
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row]), pa.array(tags[row]), pa.array((first + shift).astype(np.int64)),
-                     pa.array(n.astype(np.int32)), pa.array(key), pa.array(sig)],
-                    names=["id", "tag", "first", "n", "key", "sig"])
-
-            held = 0
+            ids, tags, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())
+            filing = _Filing(window, prefix)
             for r in range(b.num_rows):
                 words = texts[r].as_py().split()
                 for o in range(0, max(1, len(words) - window + 1), PART):
-                    part = words[o:o + PART + window - 1] if len(words) > PART else words
-                    if len(part) >= window:
-                        group.append((r, o, part))
-                        held += len(part)
-                    if held >= PART:
-                        yield flush()
-                        held = 0
-            if group:
-                yield flush()
+                    filing.add(ids[r], tags[r], o, words[o:o + PART + window - 1] if len(words) > PART else words)
+                    if filing.held >= PART:
+                        yield pa.RecordBatch.from_arrays(filing.flush(), names=names)
+            if filing.parts:
+                yield pa.RecordBatch.from_arrays(filing.flush(), names=names)
     return run
 
 
-_PIECE = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("first", pa.int64()), ("key", pa.int64()),
-                    ("words", pa.binary()), ("high", pa.int64()), ("low", pa.int64())])
+_PIECE = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("first", pa.int64()), ("n", pa.int32()),
+                    ("key", pa.int64()), ("sig", pa.int64()), ("words", pa.binary())])
 
 
-def _cut_out(window: int, batch_bytes: int = 4 << 20):
-    """Words of the spans asked for, as one string, and of crowded groups each window's hash; given out every
-    few MB, however many spans a batch of documents has."""
+def _cut_out(window: int, longer: int, batch_bytes: int = 4 << 20):
+    """Words of the spans asked for, as one string, and the spans of crowded groups filed under prefixes of
+    ``longer`` words; given out every few MB, however many spans a batch of documents has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans: list[tuple] = []
-        windows: list[tuple[np.ndarray, ...]] = []
-        held = 0
-
-        def flush():
-            nonlocal held
-            held = 0
-            if spans:
-                cols = [pa.array(c, f.type) for c, f in zip(zip(*spans), _PIECE)]
-                none = pa.nulls(len(spans), pa.int64())
-                spans.clear()
-                yield pa.RecordBatch.from_arrays([*cols, none, none], schema=_PIECE)
-            if windows:
-                ids, tags, firsts, keys, high, low = (np.concatenate(c) for c in zip(*windows))
-                windows.clear()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(tags), pa.array(firsts), pa.array(keys), pa.nulls(len(ids), pa.binary()),
-                     pa.array(high), pa.array(low)], schema=_PIECE)
+        held, filing = 0, _Filing(window, longer)
+
+        def refiled():
+            cols = filing.flush()
+            return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.binary())], schema=_PIECE)
+
+        def cut():
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*spans), _PIECE)]
+            spans.clear()
+            return pa.RecordBatch.from_arrays(cols, schema=_PIECE)
 
         for b in batches:
-            ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ids, tags = b.column(0).to_pylist(), b.column(1).to_pylist()
             texts, asked = b.column(2).cast(pa.binary()), b.column(3)
             for r in range(b.num_rows):
                 words = texts[r].as_py().split()
                 for a in asked[r].as_py():
-                    first, n = a["first"], a["n"]
-                    part = words[first:first + n - 1 + window]
+                    part = words[a["first"]:a["first"] + a["n"] - 1 + window]
                     if a["crowded"]:
-                        p = np.arange(n)
-                        windows.append((np.full(n, ids[r]), np.full(n, tags[r], np.int32), first + p, np.full(n, a["key"]),
-                                        Runs(part).of(p, p + window).view(np.int64),
-                                        Runs(part, _B2, _B2INV, 1).of(p, p + window).view(np.int64)))
-                        held += 64 * n
+                        filing.add(ids[r], tags[r], a["first"], part)
                     else:
-                        spans.append((ids[r], tags[r], first, a["key"], b" ".join(part)))
-                        held += len(spans[-1][4]) + 200
+                        spans.append((ids[r], tags[r], a["first"], a["n"], a["key"], a["sig"], b" ".join(part)))
+                        held += len(spans[-1][-1]) + 200
+                    if filing.held >= PART:
+                        yield refiled()
                     if held >= batch_bytes:
-                        yield from flush()
-        yield from flush()
+                        held = 0
+                        yield cut()
+        if filing.parts:
+            yield refiled()
+        if spans:
+            yield cut()
     return run
 
 
-def _repeats(group: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int]]:
-    """Suffixes of one group, sorted; members of a node ``window`` words deep that a smaller id also has."""
-    suffixes = []
-    for i, (_, _, _, blob) in enumerate(group):
-        words = blob.split(b" ")
-        at = [0]
-        for w in words:
-            at.append(at[-1] + len(w) + 1)
-        suffixes += [(blob[at[p]:at[p + window] - 1], i, p) for p in range(len(words) - window + 1)]
-    suffixes.sort()
-    i = 0
-    while i < len(suffixes):
-        j = i + 1
-        while j < len(suffixes) and suffixes[j][0] == suffixes[i][0]:
-            j += 1
-        if j > i + 1:
-            least = min(group[x][0] for _, x, _ in suffixes[i:j])
-            for _, x, p in suffixes[i:j]:
-                if group[x][0] > least:
-                    yield group[x][0], group[x][1], group[x][2] + p
-        i = j
+def _suffix_tree(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of ``symbols`` and the common prefix of each suffix with the one before it.  No symbol
+    run of over ``longest`` may repeat (every text ends in a symbol of its own)."""
+    n = len(symbols)
+    order = np.argsort(symbols, kind="stable")
+    turn = np.concatenate([[True], symbols[order][1:] != symbols[order][:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(turn, np.arange(n), 0))
+    ranks = [rank]
+    while 1 << (len(ranks) - 1) <= longest:  # doubling; only suffixes with equal ranks are sorted on
+        h = 1 << (len(ranks) - 1)
+        tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+        if not len(tied):
+            break
+        after = rank[np.minimum(tied + h, n - 1)]
+        s = np.lexsort((after, rank[tied]))
+        old, after, i = rank[tied][s], after[s], np.arange(len(tied))
+        whole = np.concatenate([[True], old[1:] != old[:-1]])
+        part = whole | np.concatenate([[True], after[1:] != after[:-1]])
+        rank = rank.copy()
+        rank[tied[s]] = old + np.maximum.accumulate(np.where(part, i, 0)) - np.maximum.accumulate(np.where(whole, i, 0))
+        ranks.append(rank)
+    array = np.empty(n, np.int64)
+    array[rank] = np.arange(n)
+    common = np.zeros(n, np.int64)
+    one, two = array[:-1].copy(), array[1:].copy()
+    for k in range(len(ranks) - 1, -1, -1):
+        equal = ranks[k][np.minimum(one, n - 1)] == ranks[k][np.minimum(two, n - 1)]
+        equal &= (one < n) & (two < n)
+        common[1:] += equal.astype(np.int64) << k
+        one += equal.astype(np.int64) << k
+        two += equal.astype(np.int64) << k
+    return array, common
+
+
+def _maximal_repeats(groups: list[list[tuple[int, int, bytes]]], window: int) -> list[tuple[int, int, int, int]]:
+    """(group, span, place in the span, windows) of the repeats that a smaller id also has: every group
+    is a list of (id, sig, words); the groups' trees are built side by side."""
+    numbers: dict[tuple[int, bytes], int] = {}
+    symbols: list[int] = []
+    spans: list[tuple[int, int, int]] = []  # group, span, id
+    sizes: list[int] = []
+    for g, group in enumerate(groups):
+        for i, (ident, _, blob) in enumerate(group):
+            words = blob.split(b" ")
+            symbols += [numbers.setdefault((g, w), len(numbers)) for w in words]
+            symbols.append(-1 - len(spans))
+            spans.append((g, i, ident))
+            sizes.append(len(words) + 1)
+    array, common = _suffix_tree(np.array(symbols, np.int64), max(sizes))
+    of = np.repeat(np.arange(len(spans)), sizes)
+    deep = np.flatnonzero(common >= window)
+    if not len(deep):
+        return []
+    inside = np.union1d(deep, deep - 1)  # suffixes below nodes at least a window deep
+    suffix, depth = array[inside], np.where(np.concatenate([[False], np.diff(inside) == 1]), common[inside], 0)
+    ids = np.array([x for *_, x in spans], np.int64)[of[suffix]]
+    best = np.zeros(len(suffix), np.int64)
+    for d in np.unique(depth[depth >= window])[::-1]:
+        starts = np.flatnonzero(depth < d)
+        least = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.concatenate([starts, [len(ids)]])))
+        best[(best == 0) & (ids > least)] = d
+    length = np.zeros(len(symbols) + 1, np.int64)  # by place; [-1] stays 0
+    length[suffix] = best
+    at = np.flatnonzero((length[:-1] > 0) & (np.roll(length, 1)[:-1] <= length[:-1]))
+    begins = np.cumsum(sizes) - sizes
+    return [(*spans[of[p]][:2], int(p - begins[of[p]]), int(length[p] - window + 1)) for p in at]
 
 
 def _trees(window: int):
+    """Rows of whole groups, sorted by key, sig and id, to the groups' repeats."""
+    schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(groups):
-            rows = [row for g in groups for row in _repeats(g, window)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
-                + [pa.array([1] * len(rows), pa.int32())], names=["id", "tag", "first", "n"])
+        def answer():
+            rows = [(ready[g][0], ready[g][1][i][1], ready[g][1][i][0], at, n)
+                    for g, i, at, n in _maximal_repeats([group for _, group in ready], window)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else
+                                              [pa.array([], f.type) for f in schema], schema=schema)
 
-        key, group, ready = None, [], []
+        key, group, ready, held = None, [], [], 0
         for b in batches:
-            for k, i, t, f, w in zip(*(b.column(c).to_pylist() for c in range(5))):
+            for k, sig, ident, words in zip(*(b.column(c).to_pylist() for c in range(4))):
                 if k != key:
-                    ready += [group] if len(group) > 1 else []
+                    if len(group) > 1:
+                        ready.append((key, group))
+                        held += sum(w.count(b" ") + 2 for *_, w in group)
                     key, group = k, []
-                group.append((i, t, f, w))
-            yield answer(ready)
-            ready = []
-        yield answer([group] if len(group) > 1 else [])
+                    if held >= TREE_WORDS:
+                        yield answer()
+                        ready, held = [], 0
+                if not group or group[-1][:2] != (ident, sig):  # a table may hold the same row often
+                    group.append((ident, sig, words))
+        if len(group) > 1:
+            ready.append((key, group))
+        if ready:
+            yield answer()
     return run
 
 
@@ -259,16 +322,9 @@ def _keep(schema: pa.Schema, n_columns: int, text_at: int, window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_spans: int = GROUP_SPANS,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by a space)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    # Rows that repeat an id with another text are told apart by the tag.
-    keyed = docs.select(ident.alias("id"), F.hash(text).alias("tag"), text.alias("text"))
-
-    spans = cut_lineage(spread(keyed).mapInArrow(
-        _file(window, prefix), "id long, tag int, first long, n int, key long, sig long"), "substring-spans")
+def _met(spans: DataFrame) -> DataFrame:
+    """Spans that some other document may repeat: ``settled`` if one with a smaller id has the same span,
+    else with the number of different ``spans`` of their prefix."""
     # Most prefixes stand in one document only: they go before anything wider moves.
     common = spans.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     spans = cut_lineage(spans.join(common.select("key"), "key", "left_semi"), "substring-common")
@@ -277,24 +333,46 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                                       F.max("least").alias("hi")).where("lo < hi")
     shared = least.join(groups.select("key", "spans"), "key", "left").where("least < most OR spans IS NOT NULL")
     shared = shared.select("key", "sig", "least", "spans")
-    met = cut_lineage(spans.join(shared, ["key", "sig"]).select(
-        "id", "tag", "first", "n", "key", "spans", (F.col("id") > F.col("least")).alias("settled"))
+    return cut_lineage(spans.join(shared, ["key", "sig"]).select(
+        "id", "tag", "first", "n", "key", "sig", "spans", (F.col("id") > F.col("least")).alias("settled"))
         .where("settled OR spans IS NOT NULL"), "substring-met")
-    settled = met.where("settled").select("id", "tag", "first", "n")
-
-    asked = met.where("NOT settled").groupBy("id", "tag").agg(F.collect_list(F.struct(
-        "first", "n", "key", (F.col("spans") > group_spans).alias("crowded"))).alias("asked"))
-    pieces = keyed.join(asked, ["id", "tag"]).select("id", "tag", "text", "asked").mapInArrow(
-        _cut_out(window), "id long, tag int, first long, key long, words binary, high long, low long")
-    pieces = cut_lineage(pieces, "substring-pieces")
-    trees = (pieces.where("words IS NOT NULL").select("key", "id", "tag", "first", "words").repartition("key")
-             .sortWithinPartitions("key").mapInArrow(_trees(window), "id long, tag int, first long, n int"))
-    crowded = pieces.where("words IS NULL").select("key", "high", "low", "id", "tag", "first")
-    nodes = crowded.groupBy("key", "high", "low").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    long_prefix = crowded.join(nodes.drop("hi"), ["key", "high", "low"]).where("id > lo").select(
-        "id", "tag", "first", F.lit(1).alias("n"))
-
-    repeats = settled.unionByName(trees).unionByName(long_prefix).groupBy("id", "tag").agg(
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_spans: int = GROUP_SPANS,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by a space)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    # Rows that repeat an id with another text are told apart by the tag.
+    keyed = docs.select(ident.alias("id"), F.hash(text).alias("tag"), text.alias("text"))
+
+    spans = cut_lineage(spread(keyed).mapInArrow(_file(window, prefix), _SPAN), "substring-spans")
+    found = []
+    lengths = [*range(prefix, window, prefix), window]
+    for longer in [*lengths[1:], None]:
+        met = _met(spans)
+        # The whole window is the longest prefix: its groups hold equal windows only.
+        crowded = F.lit(False) if longer is None else F.col("spans") > group_spans
+        found.append(met.where("settled").select("id", "tag", "first", "n"))
+        left = met.where("NOT settled").withColumn("crowded", crowded)
+        split = longer is not None and not left.where("crowded").isEmpty()
+        members = left.where("NOT crowded").groupBy("key", "sig", "id").agg(F.min(F.struct("tag", "first", "n")).alias("m"))
+        wanted = members.select("id", "m.tag", "m.first", "m.n", "key", "sig", F.lit(False).alias("crowded"))
+        if split:
+            wanted = wanted.unionByName(left.where("crowded").select(wanted.columns))
+        asked = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "n", "key", "sig", "crowded")).alias("asked"))
+        pieces = cut_lineage(keyed.join(asked, ["id", "tag"]).select("id", "tag", "text", "asked").mapInArrow(
+            _cut_out(window, longer or window), _SPAN + ", words binary"), "substring-pieces")
+        trees = (pieces.where("words IS NOT NULL").select("key", "sig", "id", "words").repartition("key")
+                 .sortWithinPartitions("key", "sig", "id")
+                 .mapInArrow(_trees(window), "key long, sig long, id long, at long, n int"))
+        rows = left.where("NOT crowded").select("key", "sig", "id", "tag", "first")
+        found.append(rows.join(trees, ["key", "sig", "id"]).select("id", "tag", (F.col("first") + F.col("at")).alias("first"), "n"))
+        if not split:
+            break
+        spans = pieces.where("words IS NULL").drop("words")
+
+    repeats = reduce(DataFrame.unionByName, found).groupBy("id", "tag").agg(
         F.collect_list(F.struct("first", "n")).alias("repeats"))
     names = [f"c{i}" for i in range(len(docs.columns))]  # by place: input names may clash with ours
     text_at = docs.columns.index(text_col)

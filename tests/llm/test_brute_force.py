@@ -484,6 +484,39 @@ def test_texts_in_parts(spark, monkeypatch):
     assert sorted(p for r in spans for p in range(r["first"], r["first"] + r["n"])) == list(range(96))
 
 
+def test_suffix_trees_hold_every_common_prefix():
+    rng = random.Random(8)
+    for _ in range(50):
+        symbols = []
+        for t in range(rng.randint(1, 8)):
+            symbols += [rng.randint(0, 2) for _ in range(rng.randint(0, 30))] + [-1 - t]
+        array, common = substring._suffix_tree(np.array(symbols, np.int64), 31)
+        slow = sorted(range(len(symbols)), key=lambda i: symbols[i:])
+        assert array.tolist() == slow
+        for i in range(1, len(slow)):
+            a, b = symbols[slow[i - 1]:], symbols[slow[i]:]
+            assert common[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_deep_nodes_give_maximal_repeats():
+    a, b = b"x a b c d e f y".split(), b"p a b c d e f q b c d e".split()
+    got = substring._maximal_repeats([[(1, 0, b" ".join(a)), (2, 0, b" ".join(b))], [(3, 0, b" ".join(a))]], 4)
+    # The six common words once, not again from their second word on; the later four on their own; no group sees another's.
+    assert sorted(got) == [(0, 1, 1, 3), (0, 1, 8, 1)]
+
+
+def test_a_text_that_repeats_itself_loads_no_group(spark):
+    line = [f"w{i}" for i in range(30)]
+    texts = {1: " ".join(line * 3), 2: " ".join(line * 33_000), 3: " ".join(["z", *line * 2, "z"])}
+    split, kept = slow_kept({1: texts[1], 3: texts[3]}, 20)
+    out = {r.doc_id: r for r in substring.remove_repeats(
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 20, 6, 50).collect()}
+    assert (out[1].n_removed, out[2].n_removed, out[2].kept_text) == (0, 990_000, "")
+    assert out[3].kept_text == " ".join(kept[3]) == "z z"
+    spans = spark.createDataFrame([(i, 7, 64 * i, 64, 5, 9) for i in [2] * 40 + [1]], substring._SPAN)
+    assert {(r.id, r.spans, r.settled) for r in substring._met(spans).collect()} == {(2, None, True)}
+
+
 def test_substring_of_the_documents(spark, corpus):
     split, kept = slow_kept({d: r.text for d, r in corpus.items()}, 50)
     got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows(spark, "op8_substring_dedup")}
