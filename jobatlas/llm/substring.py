@@ -325,13 +325,16 @@ def _keep(schema: pa.Schema, n_columns: int, text_at: int, window: int):
 def _met(spans: DataFrame) -> DataFrame:
     """Spans that some other document may repeat: ``settled`` if one with a smaller id has the same span,
     else with the number of different ``spans`` of their prefix."""
-    # Most prefixes stand in one document only: they go before anything wider moves.
+    # Most prefixes stand in one document only: they go before anything wider moves.  The prefixes are written
+    # first: a join that reads them back can be split at a common one, a join on the aggregation's own rows cannot.
     common = spans.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    spans = cut_lineage(spans.join(common.select("key"), "key", "left_semi"), "substring-common")
+    common = cut_lineage(common.select("key"), "substring-prefixes")
+    spans = cut_lineage(spans.join(common, "key", "left_semi"), "substring-common")
     least = spans.groupBy("key", "sig").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     groups = least.groupBy("key").agg(F.count(F.lit(1)).alias("spans"), F.min("least").alias("lo"),
                                       F.max("least").alias("hi")).where("lo < hi")
-    shared = least.join(groups.select("key", "spans"), "key", "left").where("least < most OR spans IS NOT NULL")
+    groups = cut_lineage(groups.select("key", "spans"), "substring-groups")
+    shared = least.join(groups, "key", "left").where("least < most OR spans IS NOT NULL")
     shared = shared.select("key", "sig", "least", "spans")
     return cut_lineage(spans.join(shared, ["key", "sig"]).select(
         "id", "tag", "first", "n", "key", "sig", "spans", (F.col("id") > F.col("least")).alias("settled"))
