@@ -328,15 +328,19 @@ def small_query_list(queries: DataFrame, max_bytes: int = BROADCAST_QUERY_BYTES)
 
 
 GRAM = 3
+# Distinct pieces of a search list up to which each text is asked for every one; beyond, the text is cut into its own.
+FEW_GRAMS = 64
 
 
 @dataclass(frozen=True)
 class Search:
-    """A search list ready to be joined: (_q, _kw, _per_page, _gram), the pieces' lengths, and whether it is small."""
+    """A search list ready to be joined: (_q, _kw, _per_page, _gram), the pieces' lengths, whether it is small, and
+    the distinct pieces themselves if there are few."""
 
     queries: DataFrame
     lengths: tuple[int, ...]
     small: bool
+    grams: tuple[str, ...] | None = None
 
 
 def search(queries: DataFrame, small: bool | None = None) -> Search:
@@ -354,7 +358,9 @@ def search(queries: DataFrame, small: bool | None = None) -> Search:
             return kw if len(kw) <= GRAM else min((kw[i:i + GRAM] for i in range(len(kw) - GRAM + 1)), key=lambda g: (times[g], g))
 
         table = q.sparkSession.createDataFrame([(*r, gram(r["_kw"])) for r in rows], q.schema.add("_gram", "string"))
-        return Search(table, tuple(sorted({min(len(r["_kw"]), GRAM) for r in rows})), True)
+        grams = tuple(sorted({gram(r["_kw"]) for r in rows}))
+        return Search(table, tuple(sorted({min(len(r["_kw"]), GRAM) for r in rows})), True,
+                      grams if len(grams) <= FEW_GRAMS else None)
     pieces = q.select("_kw").distinct().select("_kw", F.explode(_grams(F.col("_kw"), GRAM)).alias("_gram"))
     times = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = pieces.join(times, "_gram").groupBy("_kw").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_rarest"))
@@ -376,19 +382,28 @@ def apply_queries(raw: DataFrame, queries: DataFrame | Search) -> DataFrame:
     of three characters (and of two, one and none, if there are keywords that short), which meet the
     keywords' rarest pieces in an equi-join; what is found is verified by ``contains`` on each field.
     A row meets a keyword by one piece only, so no pair comes twice.  The search list is broadcast below a
-    measured size, so the feed is scanned once and not shuffled; beyond it the join shuffles.
+    measured size, so the feed is scanned once and not shuffled; beyond it the join shuffles.  While the
+    list has few pieces (``FEW_GRAMS``), a row is asked for each by ``contains`` instead of being cut: a
+    long text has thousands of pieces, and cutting them out costs far more than so many scans.
     """
     asked = queries if isinstance(queries, Search) else search(queries)
     low = raw.withColumns({
         "_title": X.fold_lower(X.null_to_blank("title")), "_desc": X.fold_lower(X.null_to_blank("description")),
         "_tags": F.transform(F.coalesce("skills_raw", F.array().cast("array<string>")), X.fold_lower)})
-    # NULs keep pieces from reaching over two fields; those that do are refused below.
-    whole = F.concat_ws("\0", "_title", "_desc", F.array_join("_tags", "\0", ""))
-    low = low.withColumn("_text", whole)
-    pieces = [F.array(F.lit("")) if n == 0 else _grams(F.col("_text"), n) for n in asked.lengths] or [F.array().cast("array<string>")]
-    cut = low.withColumn("_gram", F.explode(F.concat(*pieces))).drop("_text")
-    met = ((F.col("_kw") == "") | F.contains("_title", "_kw") | F.contains("_desc", "_kw")
-           | F.exists("_tags", lambda t: F.contains(t, F.col("_kw"))))
+
+    def holds(piece: Column) -> Column:
+        return ((piece == "") | F.contains("_title", piece) | F.contains("_desc", piece)
+                | F.exists("_tags", lambda t: F.contains(t, piece)))
+
+    if asked.grams:
+        cut = low.withColumn("_gram", F.explode(F.filter(F.array(*[F.lit(g) for g in asked.grams]), holds)))
+    else:
+        # NULs keep pieces from reaching over two fields; those that do are refused below.
+        whole = F.concat_ws("\0", "_title", "_desc", F.array_join("_tags", "\0", ""))
+        low = low.withColumn("_text", whole)
+        pieces = [F.array(F.lit("")) if n == 0 else _grams(F.col("_text"), n) for n in asked.lengths] or [F.array().cast("array<string>")]
+        cut = low.withColumn("_gram", F.explode(F.concat(*pieces))).drop("_text")
+    met = holds(F.col("_kw"))
     j = cut.join(F.broadcast(asked.queries) if asked.small else asked.queries, "_gram").where(met)
     return j.withColumn("query_ord", F.col("_q")).drop("_q", "_kw", "_gram", "_title", "_desc", "_tags")
 
