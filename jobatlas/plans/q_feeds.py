@@ -20,14 +20,17 @@ from .registry import register
 PAGE = 50
 
 
-def _part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.read_table(spark, sf_dir, "part")
+def _part_items(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """The feed items of ``part``; ``parts`` deals whole pages out to that many partitions first."""
+    p = T.read_table(spark, sf_dir, "part").withColumn("page_ord", (F.col("p_partkey") / PAGE).cast("long").cast("int"))
+    if parts:
+        p = p.repartition(parts, "page_ord")
     ps = F.col("p_size")
     sal = F.floor(F.col("p_retailprice") * 100).cast("long")
     pad = lambda c: F.lpad(c.cast("string"), 2, "0")
     return p.select(
         F.col("p_partkey").alias("k"), "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
-        (F.col("p_partkey") / PAGE).cast("long").cast("int").alias("page_ord"),
+        "page_ord",
         F.when(ps <= 2, " ").otherwise(F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))).alias("title_raw"),
         F.when(ps == 3, "").otherwise(F.concat(F.col("p_brand"), F.lit("  "))).alias("company_raw"),
         F.concat(F.lit("<p>Build "), F.col("p_name"), F.lit(" with "), F.lower("p_type"),

@@ -38,8 +38,12 @@ def part_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """The payload pages of one feed, one page of some broken."""
-    pages = landed_payloads(spark, sf_dir, source)
+    """The payload pages of one feed, one page of some broken.
+
+    Pages are dealt out to as many partitions as the session shuffles into (one per core at least): by its
+    bytes a feed is small and would be written as one file, which a single task then parses and normalises."""
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pages = landed_payloads(spark, sf_dir, source, _part_items(spark, sf_dir, parts))
     bad = F.col("page_ord") == F.lit(BROKEN_PAGE.get(source))
     return pages.withColumn("value", F.when(bad, F.lit("HTTP 502 Bad Gateway")).otherwise(F.col("value")))
 

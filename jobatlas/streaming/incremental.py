@@ -192,29 +192,38 @@ def payload_stream(spark: SparkSession, path: str) -> DataFrame:
 def with_payload_context(payloads: DataFrame) -> DataFrame:
     """Request context of landed payloads from their path:
     ``.../pull=<n>/source=<feed>/[query_ord=<n>/][page_ord=<n>/][country=<code>/]<file>``.
-    A path without a pull number belongs to pull 0."""
+    A path without a pull number belongs to pull 0.  Context that a packed file has as a column is kept where
+    it is given; the path fills the rest."""
     p = F.col("path")
 
     def part(name: str, pattern: str):
         return F.nullif(F.regexp_extract(p, f"/{name}=({pattern})/", 1), F.lit(""))
-    return payloads.select(
-        "*", F.coalesce(part("pull", "[0-9]+").cast("long"), F.lit(0).cast("long")).alias("pull"),
-        part("source", "[a-z]+").alias("source"), part("query_ord", "[0-9]+").cast("int").alias("query_ord"),
-        part("page_ord", "[0-9]+").cast("int").alias("page_ord"), part("country", "[a-z]+").alias("country"))
+    context = {"pull": F.coalesce(part("pull", "[0-9]+").cast("long"), F.lit(0).cast("long")), "source": part("source", "[a-z]+"),
+               "query_ord": part("query_ord", "[0-9]+").cast("int"), "page_ord": part("page_ord", "[0-9]+").cast("int"),
+               "country": part("country", "[a-z]+")}
+    return payloads.withColumns({n: F.coalesce(F.col(n), c) if n in payloads.columns else c for n, c in context.items()})
 
 
-def landed_stream(spark: SparkSession, root: str) -> DataFrame:
+#: Rows of a packed landed file: a payload and its request context (what is NULL comes from the path).
+PACKED_DDL = "value string, query_ord int, page_ord int, country string"
+
+
+def landed_stream(spark: SparkSession, root: str, packed: bool = False) -> DataFrame:
     """Landed payload files under ``root`` (see :func:`with_payload_context`), one whole
     file per row, with its modification time (``landed_at``).
 
+    ``packed`` reads Parquet files of many payloads, a row each (``PACKED_DDL``).  A pull of many pages is to
+    land packed: with a file per page, listing, opening and logging the files costs far more than their content.
+
     A trigger takes every file that has landed: a pull's caps and first-of-fingerprint rule
     need the whole pull, so a bound on files per trigger is not offered.  A pull is to land
     whole (written elsewhere and moved, or complete before the stream starts)."""
     # the context comes from the path, so partition discovery (which would insist on
     # the same key=value levels under every feed) is switched off
-    r = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-    df = r.load(root).select("value", F.col("_metadata.file_path").alias("path"),
-                             F.col("_metadata.file_modification_time").alias("landed_at"))
+    r = spark.readStream.option("recursiveFileLookup", True)
+    df = r.schema(PACKED_DDL).parquet(root) if packed else r.format("text").option("wholetext", True).load(root)
+    df = df.select("*", F.col("_metadata.file_path").alias("path"),
+                   F.col("_metadata.file_modification_time").alias("landed_at"))
     return with_payload_context(df)
 
 
