@@ -3,8 +3,9 @@
 A box is covered by cells of a quadtree level that suits its size (at most about a hundred of them),
 and a point is filed under its cell of every level in ``LEVELS``, so boxes and points meet in an
 equi-join on (level, cell): no pair of a box and a far point is ever formed.  Cells on a box's edge
-are verified point by point.  Cells that lie wholly inside need no test, and for the top of a list
-only each cell's own top, which is made once for all boxes.
+are verified point by point.  Cells that lie wholly inside need no test.  For the top of a list a box
+meets only each cell's own top, which is made once for all boxes; a cell on the edge is opened, one level
+finer at a time, only where points below its top could still be among the box's first.
 
 A box with ``min_lng > max_lng`` wraps the antimeridian.  A box with a NULL or NaN edge, or with its
 edges the wrong way round, holds nothing; nor does any hold a point off the map (beyond 180 or 90 degrees).
@@ -14,12 +15,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km
+from ..session import staged
 
 LEVELS = tuple(range(2, 15, 2))
 BOX = ("min_lng", "min_lat", "max_lng", "max_lat")
@@ -49,13 +52,31 @@ def covering(boxes: DataFrame) -> DataFrame:
     at = F.col("_level")
     b = b.withColumn("_cx", F.explode(F.sequence(_cell_of(F.col("_lo"), 180.0, at), _cell_of(F.col("_hi"), 180.0, at))))
     b = b.withColumn("_cy", F.explode(F.sequence(_cell_of(F.col("_s"), 90.0, at), _cell_of(F.col("_n"), 90.0, at))))
-    size = F.lit(360.0) / F.pow(F.lit(2.0), at)
+    return _flagged(b)
+
+
+def _flagged(b: DataFrame) -> DataFrame:
+    """``_whole`` of boxes (``_lo``, ``_hi``, ``_s``, ``_n``) beside a cell."""
+    size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("_level"))
     x, y = F.col("_cx") * size - 180.0, F.col("_cy") * size - 90.0
     whole = (((x >= F.col("_lo") + _MARGIN) | (F.col("_lo") <= -180)) & ((x + size <= F.col("_hi") - _MARGIN) | (F.col("_hi") >= 180))
              & ((y >= F.col("_s") + _MARGIN) | (F.col("_s") <= -90)) & ((y + size <= F.col("_n") - _MARGIN) | (F.col("_n") >= 90)))
     return b.withColumn("_whole", whole).drop("_s", "_n")
 
 
+def _opened(cells: DataFrame) -> DataFrame:
+    """Boxes beside a cell, as the cells one step of ``LEVELS`` finer that meet them.  Cell sizes are exact in
+    binary, so a finer cell lies in one coarser cell."""
+    step = LEVELS[1] - LEVELS[0]
+    n = 2 ** step
+    b = cells.withColumns({"_level": F.col("_level") + step, "_s": F.greatest("min_lat", F.lit(-90.0)), "_n": F.least("max_lat", F.lit(90.0))})
+    for c, lo, hi, origin in (("_cx", "_lo", "_hi", 180.0), ("_cy", "_s", "_n", 90.0)):
+        first = F.greatest(F.col(c) * n, _cell_of(F.col(lo), origin, F.col("_level")))
+        last = F.least(F.col(c) * n + (n - 1), _cell_of(F.col(hi), origin, F.col("_level")))
+        b = b.withColumn(c, F.explode(F.sequence(first, last)))
+    return _flagged(b)
+
+
 def filed(points: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """``points`` on the map, once per level, with their cell."""
     on_map = F.col(lat).between(-90.0, 90.0) & F.col(lng).between(-180.0, 180.0)
@@ -77,18 +98,48 @@ def top_in_boxes(boxes: DataFrame, points: DataFrame, key: Sequence[str], order:
                  lat: str = "lat", lng: str = "lng") -> DataFrame:
     """The first ``k`` points by ``order`` of every box (``key`` names a box), with their ``place`` from 1.
 
-    ``order`` must tell all points apart.  A cell inside a box gives its own first ``k`` points only, so a
-    box over a city or the whole world meets that many rows per cell; both windows are cut
-    per task before the shuffle (for k up to ``spark.sql.optimizer.windowGroupLimitThreshold``).
+    ``order`` must tell all points apart.  Points get a rank by one sort, equal boxes are answered once, and a
+    cell lists its first few points.  A box takes the first ``k`` of those listed in its cells that it holds.
+    A cell on its edge that has more points than it lists is opened into finer cells, unless the last one
+    listed already comes after the box's ``k``-th.  In a cell of the finest level the points behind the
+    listed ones, and before the ``k``-th, are tested one by one.  So a box meets about as many points as it has cells,
+    not as many as lie along its edge.
     """
     _disjoint(boxes, points)
-    cells, at = covering(boxes), filed(points, lat, lng)
-    first = lambda df, by: df.withColumn(
-        "place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
-    inner = cells.where("_whole").join(first(at, _CELL).drop("place"), _CELL)
-    edge = cells.where("NOT _whole").join(at, _CELL).where(_inside(lat, lng))
-    found = inner.unionByName(edge).select(*boxes.columns, *points.columns)
-    return first(found, list(key))
+    finest, n_listed = LEVELS[-1], max(2 * k, 16)
+    on_map = F.col(lat).between(-90.0, 90.0) & F.col(lng).between(-180.0, 180.0)
+    ranked = staged(points.where(on_map).orderBy(*order).withColumn("_rank", F.monotonically_increasing_id()), "ranked")
+    areas = staged(boxes.select(*BOX).distinct().withColumn("_box", F.monotonically_increasing_id()), "areas")
+    at = filed(ranked.select("_rank", F.col(lat).alias("_lat"), F.col(lng).alias("_lng")), "_lat", "_lng")
+
+    def first(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+        return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("_rank"))).where(F.col("place") <= n)
+
+    listed = staged(first(at, _CELL, n_listed + 1).groupBy(*_CELL).agg(
+        F.sort_array(F.collect_list(F.struct("_rank", "_lat", "_lng"))).alias("_listed")), "cells")
+    pairs, best, deep = covering(areas).withColumn("_after", F.lit(-1).cast("long")), None, []
+    for _ in LEVELS:
+        held = F.when(F.col("_whole"), F.slice("_listed", 1, k)).otherwise(F.filter("_listed", lambda p: p["_lng"].between(
+            F.col("_lo"), F.col("_hi")) & p["_lat"].between(F.col("min_lat"), F.col("max_lat"))))
+        new = F.slice(F.filter(held, lambda p: p["_rank"] > F.col("_after")), 1, k)
+        met = staged(pairs.join(listed, _CELL).select(
+            *BOX, "_box", "_lo", "_hi", *_CELL, F.transform(new, lambda p: p["_rank"]).alias("_new"),
+            (~F.col("_whole") & (F.size("_listed") > n_listed)).alias("_more"),
+            F.greatest("_after", F.element_at("_listed", -1)["_rank"]).alias("_after")), "met")
+        ranks = met.select("_box", F.explode("_new").alias("_rank"))
+        best = staged(first(ranks if best is None else best.unionByName(ranks), ["_box"], k).drop("place"), "best")
+        full = best.groupBy("_box").agg(F.count(F.lit(1)).alias("_n_found"), F.max("_rank").alias("_worst")).where(F.col("_n_found") >= k)
+        unsettled = staged(met.where("_more").drop("_new", "_more").join(full.drop("_n_found"), "_box", "left")
+                           .where(F.col("_worst").isNull() | (F.col("_after") < F.col("_worst"))), "unsettled")
+        deep.append(unsettled.where(F.col("_level") == finest))
+        wide = unsettled.where(F.col("_level") < finest).drop("_worst")
+        if wide.isEmpty():
+            break
+        pairs = _opened(wide)
+    rest = reduce(DataFrame.unionByName, deep).join(at.where(F.col("_level") == finest), _CELL).where(
+        _inside("_lat", "_lng") & (F.col("_rank") > F.col("_after")) & (F.col("_worst").isNull() | (F.col("_rank") < F.col("_worst"))))
+    found = boxes.join(areas, list(BOX)).join(best.unionByName(rest.select("_box", "_rank")), "_box").join(ranked, "_rank")
+    return first(found, list(key), k).select(*boxes.columns, *points.columns, "place")
 
 
 def radius_box_cols(lat: Column, lng: Column, km: Column) -> list[Column]:
