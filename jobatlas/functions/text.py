@@ -225,7 +225,18 @@ def seniority_marker(c, alternatives: str = SENIORITY_ALTERNATIVES) -> Column:
 
 def canonical_seniority(m) -> Column:
     """lower/trim, drop one trailing '.', map abbreviations."""
-    low = F.regexp_replace(fold_lower(utrim(m)), r"\.$", "")
+    return canonical_marker(folded_marker(m))
+
+
+def folded_marker(m) -> Column:
+    """The first step of P7: lower/trim, drop one trailing '.'."""
+    return F.regexp_replace(fold_lower(utrim(m)), r"\.$", "")
+
+
+def canonical_marker(folded) -> Column:
+    """The second step of P7: map abbreviations.  Every branch reads ``folded``: give a materialised column
+    where it is costly."""
+    low = _c(folded)
     expr = None
     for k, v in SENIORITY_CANON.items():
         expr = (F.when(low == k, v) if expr is None else expr.when(low == k, v))
@@ -235,16 +246,31 @@ def canonical_seniority(m) -> Column:
 def classify_experience(title, experience_raw, desc_text,
                         alternatives: str = SENIORITY_ALTERNATIVES) -> Column:
     """First marker in the title, else the experience field, else the description."""
-    m = F.coalesce(seniority_marker(title, alternatives), seniority_marker(experience_raw, alternatives),
-                   seniority_marker(desc_text, alternatives))
-    return F.coalesce(canonical_seniority(m), F.lit(""))
+    return F.coalesce(canonical_seniority(experience_marker(title, experience_raw, desc_text, alternatives)), F.lit(""))
+
+
+def experience_marker(title, experience_raw, desc_text, alternatives: str = SENIORITY_ALTERNATIVES) -> Column:
+    """The marker that P6 finds, as it is written; NULL if none."""
+    return F.coalesce(seniority_marker(title, alternatives), seniority_marker(experience_raw, alternatives),
+                      seniority_marker(desc_text, alternatives))
 
 
 def classify_work_type(work_raw, location_raw, desc_text, hybrid_marker: str = HYBRID_MARKER,
                        remote_markers: tuple[str, ...] = REMOTE_MARKERS) -> Column:
     """Substring vote over lower(work || ' ' || location || ' ' || description)."""
-    hay = fold_lower(F.concat_ws(" ", null_to_blank(work_raw), null_to_blank(location_raw),
-                                   null_to_blank(desc_text)))
+    return work_type_of(work_type_text(work_raw, location_raw, desc_text), hybrid_marker, remote_markers)
+
+
+def work_type_text(work_raw, location_raw, desc_text) -> Column:
+    """The text that P8 votes over."""
+    return fold_lower(F.concat_ws(" ", null_to_blank(work_raw), null_to_blank(location_raw),
+                                  null_to_blank(desc_text)))
+
+
+def work_type_of(text, hybrid_marker: str = HYBRID_MARKER,
+                 remote_markers: tuple[str, ...] = REMOTE_MARKERS) -> Column:
+    """P8's vote over :func:`work_type_text` (every marker reads it: give a materialised column where it is costly)."""
+    hay = _c(text)
     remote = None
     for m in remote_markers:
         p = F.contains(hay, F.lit(m))
@@ -338,7 +364,12 @@ DOT_DATE_RE = r"^([0-9]{2})\.([0-9]{2})\.([0-9]{4})$"
 
 def parse_posted_date(raw) -> Column:
     """DATE of the first matching layout, NULL if none matches or the value is invalid."""
-    s = utrim(null_to_blank(raw))
+    return parse_trimmed_date(utrim(null_to_blank(raw)))
+
+
+def parse_trimmed_date(trimmed) -> Column:
+    """P14 over text that is already trimmed (every part reads it: give a materialised column where it is costly)."""
+    s = _c(trimmed)
     g = lambda pat, i: F.regexp_extract(s, pat, i)
     is_dt = s.rlike(DATE_TIME_RE)
     hh = F.coalesce(F.nullif(g(DATE_TIME_RE, 2), F.lit("")), F.nullif(g(DATE_TIME_RE, 5), F.lit("")))

@@ -30,7 +30,10 @@ def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str])
 
 def dedup_batch(df: DataFrame, hash_col: str = "dedup_hash",
                 order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """First record per non-blank fingerprint, plus every record without one."""
-    has = F.coalesce(F.col(hash_col), F.lit("")) != ""
-    kept = first_per_key(df.where(has), hash_col, order)
-    return kept.unionByName(df.where(~has))
+    """First record per non-blank fingerprint, plus every record without one.
+
+    A record without a fingerprint is a group of its own, so that one pass does: with the two kinds apart, the
+    plan below (a whole normalisation) would be computed for each, and the fingerprint once more to tell them."""
+    blank = F.coalesce(F.col(hash_col), F.lit("")) == ""
+    own = df.withColumn("_own", F.when(blank, F.monotonically_increasing_id()))
+    return first_per_key(own, [hash_col, "_own"], order).drop("_own")
