@@ -108,12 +108,23 @@ def grid_cell(px, radius_px: int = CLUSTER_RADIUS_PX) -> Column:
 def haversine_km(lat1, lng1, lat2, lng2) -> Column:
     """Great-circle distance in kilometres."""
     p1, p2 = F.radians(_c(lat1)), F.radians(_c(lat2))
-    dp = p2 - p1
-    dl = F.radians(_c(lng2)) - F.radians(_c(lng1))
-    a = F.pow(F.sin(dp / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
+    return great_circle_km(p1, F.cos(p1), F.radians(_c(lng1)), p2, F.cos(p2), F.radians(_c(lng2)))
+
+
+def great_circle_km(p1: Column, cos1: Column, l1: Column, p2: Column, cos2: Column, l2: Column) -> Column:
+    """:func:`haversine_km` of latitudes and longitudes in radians, with the cosines of the latitudes."""
+    a = F.pow(F.sin((p2 - p1) / 2), 2) + cos1 * cos2 * F.pow(F.sin((l2 - l1) / 2), 2)
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def round_km(km, digits: int = 3) -> Column:
+    """``F.round`` of a distance, without its decimal arithmetic per row: only values within a millionth of a tie,
+    and those that are no ordinary distance, go through it."""
+    d, scale = _c(km), float(10 ** digits)
+    off_tie = F.abs(d * scale - F.floor(d * scale) - 0.5) > 1e-6
+    return F.when((d >= 0) & (d < 1e5) & off_tie, F.floor(d * scale + 0.5) / scale).otherwise(F.round(d, digits))
+
+
 def radius_box(lat0: float, lng0: float, km: float) -> tuple[float, float, float, float]:
     """Lat/lng box containing every point within ``km`` of (lat0, lng0): a cheap,
     pushable pre-filter in front of :func:`haversine_km`.  Returns (minLng, minLat, maxLng, maxLat).

@@ -6,6 +6,7 @@ equi-join on (level, cell): no pair of a box and a far point is ever formed.  Ce
 are verified point by point.  Cells that lie wholly inside need no test.  For the top of a list a box
 meets only each cell's own top, which is made once for all boxes; a cell on the edge is opened, one level
 finer at a time, only where points below its top could still be among the box's first.
+A circle meets cells of a grid of its own, of one height and nearly one width from the equator to the poles.
 
 A box with ``min_lng > max_lng`` wraps the antimeridian.  A box with a NULL or NaN edge, or with its
 edges the wrong way round, holds nothing; nor does any hold a point off the map (beyond 180 or 90 degrees).
@@ -21,14 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import EARTH_RADIUS_KM, haversine_km
+from ..functions.geo import EARTH_RADIUS_KM, great_circle_km
 from ..session import staged
 
 LEVELS = tuple(range(2, 15, 2))
+#: Levels of the cells in which circles and points meet.
+CIRCLE_LEVELS = tuple(range(2, 15))
 BOX = ("min_lng", "min_lat", "max_lng", "max_lat")
 _CELL = ["_level", "_cx", "_cy"]
 #: Degrees that keep rounding from calling a cell inside, or a point outside, by mistake.
 _MARGIN = 1e-9
+#: Degrees or km that keep rounding from missing a cell of a circle, or calling it inside.
+_CIRCLE_MARGIN = 1e-6
 
 
 def _cell_of(degrees: Column, origin: float, level: Column) -> Column:
@@ -142,28 +147,72 @@ def top_in_boxes(boxes: DataFrame, points: DataFrame, key: Sequence[str], order:
     return first(found, list(key), k).select(*boxes.columns, *points.columns, "place")
 
 
-def radius_box_cols(lat: Column, lng: Column, km: Column) -> list[Column]:
-    """Edges of a box around every point within ``km`` (columns ``BOX``), as ``geo.radius_box`` for one
-    centre: a circle over a pole takes all longitudes, one over the antimeridian wraps."""
-    r = km / EARTH_RADIUS_KM
-    dlat = F.degrees(r) + _MARGIN
-    polar = (lat + dlat >= 90) | (lat - dlat <= -90) | (r >= math.pi / 2)
-    dlng = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(r) / F.cos(F.radians(lat))))) + _MARGIN
-    lo, hi = lng - dlng, lng + dlng
-    return [F.when(polar, -180.0).when(lo < -180, lo + 360).otherwise(lo).alias("min_lng"),
-            F.greatest(lat - dlat, F.lit(-90.0)).alias("min_lat"),
-            F.when(polar, 180.0).when(hi > 180, hi - 360).otherwise(hi).alias("max_lng"),
-            F.least(lat + dlat, F.lit(90.0)).alias("max_lat")]
+def _cells_around(level: Column, band: Column) -> Column:
+    """How many cells lie around the earth in a band of latitude (bands are 360 / 2^level degrees high, counted from the
+    south pole).  No cell is wider than high; the count is exact in binary, so circles and points agree on it everywhere."""
+    half = F.pow(F.lit(2.0), level - 2)
+    off = F.least(F.abs(band - half), F.abs(band + 1 - half)) / half
+    return F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), level) * (1 - off * off))).cast("long")
+
+
+def _size(level: Column) -> Column:
+    return F.lit(360.0) / F.pow(F.lit(2.0), level)
+
+
+def circle_cells(circles: DataFrame) -> DataFrame:
+    """A row per circle (``_p``, ``_l``, radians, and ``_km``) and cell that it may meet, and ``_whole`` (the cell lies inside).
+    Cells are a half to a quarter of the radius high, so a circle has some fifty at most, at the poles too."""
+    reach = F.least(F.degrees(F.col("_km") / EARTH_RADIUS_KM), F.lit(180.0))
+    level = F.ceil(F.log2(F.lit(720.0) / F.greatest(reach, F.lit(720.0 / 2 ** CIRCLE_LEVELS[-1])))).cast("int")
+    c = circles.withColumns({"_reach": reach + _CIRCLE_MARGIN, "_level": F.greatest(F.lit(CIRCLE_LEVELS[0]), level),
+                             "_lat": F.degrees("_p"), "_lng": F.degrees("_l")})
+    last = F.pow(F.lit(2.0), F.col("_level") - 1).cast("long") - 1
+    edge = lambda lat: F.floor((lat + 90.0) / _size(F.col("_level"))).cast("long")
+    c = c.withColumn("_cy", F.explode(F.sequence(F.greatest(edge(F.col("_lat") - F.col("_reach")), F.lit(0)),
+                                                 F.least(edge(F.col("_lat") + F.col("_reach")), last))))
+    n, size = _cells_around(F.col("_level"), F.col("_cy")), F.radians(_size(F.col("_level")))
+    c = c.withColumns({"_n": n, "_south": F.col("_cy") * size - math.pi / 2, "_size": size})
+    # how far the corners of the band's cells lie from their middle at most
+    wide = F.cos(F.least(F.abs("_south"), F.abs(F.col("_south") + F.col("_size")))) * math.pi / F.col("_n")
+    corner = F.asin(F.least(F.lit(1.0), F.sqrt(F.pow(F.col("_size") / 4, 2) + F.pow(wide / 2, 2))))
+    over_pole = F.abs("_lat") + F.col("_reach") >= 90
+    side = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians("_reach")) / F.cos("_p")))) + _CIRCLE_MARGIN
+    x = lambda lng: F.floor((lng + 180.0) / 360.0 * F.col("_n")).cast("long")
+    first = F.when(over_pole, F.lit(0)).otherwise(x(F.col("_lng") - side))
+    end = F.when(over_pole, F.col("_n") - 1).otherwise(F.least(x(F.col("_lng") + side), first + F.col("_n") - 1))
+    c = c.withColumns({"_corner": corner * 2 * EARTH_RADIUS_KM + _CIRCLE_MARGIN, "_cx": F.explode(F.sequence(first, end))})
+    middle = great_circle_km(F.col("_p"), F.cos("_p"), F.col("_l"), F.col("_south") + F.col("_size") / 2,
+                             F.cos(F.col("_south") + F.col("_size") / 2), (F.col("_cx") + 0.5) * (2 * math.pi) / F.col("_n") - math.pi)
+    c = c.withColumns({"_middle": middle, "_cx": F.pmod("_cx", "_n")}).where(F.col("_middle") <= F.col("_km") + F.col("_corner"))
+    return c.withColumn("_whole", F.col("_middle") <= F.col("_km") - F.col("_corner")).drop(
+        "_reach", "_lat", "_lng", "_n", "_south", "_size", "_corner", "_middle")
+
+
+def circle_filed(points: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """``points`` on the map, once per level of ``CIRCLE_LEVELS``, with their cell among those of :func:`circle_cells`."""
+    on_map = F.col(lat).between(-90.0, 90.0) & F.col(lng).between(-180.0, 180.0)
+    p = points.where(on_map).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in CIRCLE_LEVELS])))
+    last = F.pow(F.lit(2.0), F.col("_level") - 1).cast("long") - 1
+    p = p.withColumn("_cy", F.least(F.floor((F.col(lat) + 90.0) / _size(F.col("_level"))).cast("long"), last))
+    n = _cells_around(F.col("_level"), F.col("_cy"))
+    return p.withColumn("_cx", F.least(F.floor((F.col(lng) + 180.0) / 360.0 * n).cast("long"), n - 1))
 
 
 def within_radius(centres: DataFrame, points: DataFrame, centre: Sequence[str] = ("centre_lat", "centre_lng", "km"),
                   lat: str = "lat", lng: str = "lng") -> DataFrame:
     """G9 for a table of centres: every pair of a centre and a point at most its ``km`` away, with ``distance_km``.
-    A negative or NULL radius, or a centre off the map, finds nothing."""
+    A negative or NULL radius, or a centre off the map, finds nothing.
+
+    The result may grow with the product of both tables, so the work for a pair is kept small: a circle meets the
+    cells of a grid that follows the circle (not its box, which is the whole parallel near a pole), what belongs to
+    one place (radians, cosine) is computed before the join, and points of a cell inside the circle need no test.  The
+    join is a merge of both shuffled sides: the planner's sizes do not know of the rows per cell, so it would broadcast
+    one of them and leave the pairs to the few tasks of the other's scan."""
     _disjoint(centres, points)
     c_lat, c_lng, km = (F.col(c) for c in centre)
-    sound = c_lat.between(-90.0, 90.0) & c_lng.between(-180.0, 180.0) & (km >= 0)
-    boxes = centres.where(sound).select("*", *radius_box_cols(c_lat, c_lng, km))
-    pairs = covering(boxes).join(filed(points, lat, lng), _CELL).where(F.col("_whole") | _inside(lat, lng))
-    pairs = pairs.withColumn("distance_km", haversine_km(c_lat, c_lng, F.col(lat), F.col(lng)))
-    return pairs.where(F.col("distance_km") <= km).select(*centres.columns, *points.columns, "distance_km")
+    sound = c_lat.between(-90.0, 90.0) & c_lng.between(-180.0, 180.0) & (km >= 0) & ~F.isnan(km)
+    circles = centres.where(sound).withColumns({"_p": F.radians(c_lat), "_l": F.radians(c_lng), "_km": km.cast("double")})
+    at = circle_filed(points, lat, lng).withColumns({"_p2": F.radians(lat), "_l2": F.radians(lng), "_cos2": F.cos(F.radians(lat))})
+    d = great_circle_km(F.col("_p"), F.col("_cos"), F.col("_l"), F.col("_p2"), F.col("_cos2"), F.col("_l2"))
+    pairs = circle_cells(circles).withColumn("_cos", F.cos("_p")).join(at.hint("merge"), _CELL).where(F.col("_whole") | (d <= F.col("_km")))
+    return pairs.select(*centres.columns, *points.columns, d.alias("distance_km"))

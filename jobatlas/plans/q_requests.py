@@ -9,6 +9,7 @@ from ..functions import geo as GEO
 from ..operators import facets, spatial
 from ..operators.pins import PinFilter, pins
 from ..operators.requests import coerce_requests
+from ..session import spread
 from ..sources import sinks
 from ..sources import tables as T
 from . import q_map
@@ -108,10 +109,10 @@ def q_companies_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_offices_near_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offices around every customer, each with a radius of its own (up to 2,500 km)."""
     key = F.col("c_custkey")
-    centres = T.read_table(spark, sf_dir, "customer").select(
+    centres = spread(T.read_table(spark, sf_dir, "customer")).select(
         "c_custkey", T.grid_lat(key).alias("centre_lat"), T.grid_lng(key).alias("centre_lng"), (100.0 + key % 7 * 400.0).alias("km"))
     offices = T.offices(spark, sf_dir).select(F.col("id").alias("office_id"), "lat", "lng")
-    return spatial.within_radius(centres, offices).select("c_custkey", "office_id", F.round("distance_km", 3).alias("distance_km"))
+    return spatial.within_radius(centres, offices).select("c_custkey", "office_id", GEO.round_km("distance_km").alias("distance_km"))
 
 
 @register("pins_of_viewports", T.with_views(f"""WITH buckets AS ({ORACLES['viewport_buckets']}),
